@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import documents
 from planweave.llm.exact_dedup import exact_dedup
+from planweave.llm.mixing import mix_sources
+from planweave.llm.simhash import simhash_groups
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +23,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
