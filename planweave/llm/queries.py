@@ -6,14 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import documents
 from planweave.llm.exact_dedup import exact_dedup
+from planweave.llm.licenses import duckdb_sql, scan_licenses
 from planweave.llm.mixing import mix_sources
+from planweave.llm.packing import best_fit_packing
 from planweave.llm.simhash import simhash_groups
+from planweave.llm.topk import top_k_inner
+from planweave.llm.warc import warc_round_trip
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def tokenizer_file() -> str:
+    """The public tokenizer that packing counts with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(documents(spark, sf_dir), tokenizer_file())
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_inner(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -23,12 +50,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
+    "op5_topk": op5_topk,
+    "op6_warc": op6_warc,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op1_license_scan": duckdb_sql(),
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        b AS (SELECT html, max(page_id) AS best FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+          CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN best <> page_id THEN best END AS refers_to
+        FROM p LEFT JOIN b ON p.html = b.html""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
