@@ -162,7 +162,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     bucketed = bucketed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket")
     groups = bucketed.mapInArrow(_bucketed, "text_sha256 string, best long, n long")
     members = rows.select("id", "content").mapInArrow(_digests, "id long, text_sha256 string")
-    joined = members.join(groups.select(F.col("text_sha256").alias("g"), "best", "n"), F.col("text_sha256") == F.col("g"))
+    # repeated ids are told apart before the join, so that nothing above it keeps a hot group in one task
     first = F.row_number().over(Window.partitionBy("text_sha256", "id").orderBy("text_sha256")) == 1
-    kept = first & F.col("id").eqNullSafe(F.col("best"))
+    joined = members.withColumn("first", first).join(groups.select(F.col("text_sha256").alias("g"), "best", "n"), F.col("text_sha256") == F.col("g"))
+    kept = F.col("first") & F.col("id").eqNullSafe(F.col("best"))
     return joined.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256")
