@@ -11,6 +11,7 @@ from planweave.llm.mixing import mix_sources
 from planweave.llm.packing import best_fit_packing
 from planweave.llm.simhash import simhash_groups
 from planweave.llm.topk import top_k_inner
+from planweave.llm.toxicity import score_toxicity
 from planweave.llm.warc import warc_round_trip
 
 
@@ -41,6 +42,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_topk": op5_topk,
     "op6_warc": op6_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
