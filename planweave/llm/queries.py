@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planweave.llm.common import documents
 from planweave.llm.exact_dedup import exact_dedup
-from planweave.llm.licenses import duckdb_sql, scan_licenses
+from planweave.llm.licenses import duckdb_sql as license_sql
+from planweave.llm.licenses import scan_licenses
+from planweave.llm.line_dedup import dedup_lines
+from planweave.llm.line_dedup import duckdb_sql as line_dedup_sql
 from planweave.llm.mixing import mix_sources
 from planweave.llm.packing import best_fit_packing
 from planweave.llm.simhash import simhash_groups
@@ -42,6 +46,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,6 +69,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_topk": op5_topk,
     "op6_warc": op6_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
@@ -72,7 +82,8 @@ ORACLE_SQL = {
         p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
-    "op1_license_scan": duckdb_sql(),
+    "op1_license_scan": license_sql(),
+    "op7_line_dedup": line_dedup_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         b AS (SELECT html, max(page_id) AS best FROM p WHERE strlen(html) >= 1000 GROUP BY html)
