@@ -14,6 +14,7 @@ from planweave.llm.line_dedup import duckdb_sql as line_dedup_sql
 from planweave.llm.mixing import mix_sources
 from planweave.llm.packing import best_fit_packing
 from planweave.llm.simhash import simhash_groups
+from planweave.llm.suffix_dedup import dedup_strings
 from planweave.llm.topk import top_k_inner
 from planweave.llm.toxicity import score_toxicity
 from planweave.llm.warc import warc_round_trip
@@ -23,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_strings(documents(spark, sf_dir))
+
+
 def tokenizer_file() -> str:
     """The public tokenizer that packing counts with."""
     import public_tokenizers
@@ -65,6 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_topk": op5_topk,
