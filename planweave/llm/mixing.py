@@ -14,6 +14,8 @@ from planweave.llm.common import WORD, written
 SHARD_WORDS = 2_000_000
 MAX_LEVELS = 17
 BLOCK_WORDS = 64
+#: A word with the white space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating; the mix's share of all words; most copies of a source.
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
@@ -168,3 +170,18 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     taken = joined.withColumn("taken", (F.col("copies") * F.col("size") + part).cast("long"))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id", "size")
     return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.row_number().over(shuffled).cast("long").alias("position"))
+
+
+def mixed_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for every copy that ``mix_sources`` takes of a document.
+
+    The last copy of a document that is taken in part holds its first words, with what stands between them. Documents of which
+    nothing is taken go. Ids must be unique.
+    """
+    names = docs.columns
+    taken = mix_sources(docs, id_column, text_column, source_column).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    copies = docs.join(taken, F.col(id_column) == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("long"))))
+    words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size")).cast("int")
+    first = F.array_join(F.slice(F.regexp_extract_all(text_column, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), words), "")
+    text = F.when(words == F.col("__size"), F.col(text_column)).otherwise(first)
+    return copies.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names])

@@ -19,6 +19,8 @@ SEED = 42
 SAMPLE = 4_000
 #: Members of a bucket that are compared in one step; larger buckets are dealt out in such blocks.
 BLOCK = 1_024
+#: Most comparisons of two blocks for which each link is given where each is asked for.
+SMALL = 256
 #: Estimated cost of one probe row against one compared pair.
 PROBE_COST = 40.0
 
@@ -51,7 +53,8 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int)
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).mapInArrow(run, "id long, fp long")
+    content = F.col(text_column) if dict(docs.dtypes)[text_column] == "binary" else text_bytes(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("id"), content.alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -137,14 +140,18 @@ def _keys(plan: list[tuple[list[int], int]]):
     return run
 
 
-def spanning_links(a: list[int], b: list[int], distance: int) -> Iterator[tuple[int, int]]:
+def spanning_links(a: list[int], b: list[int], distance: int, every: bool = False) -> Iterator[tuple[int, int]]:
     """Edges that join all linked members of two blocks: a spanning forest, never all pairs.
 
     Every member of one block is compared with every member of the other; an edge is only given where it joins
-    two parts of the forest, so a block of n members gives fewer than n edges.
+    two parts of the forest, so a block of n members gives fewer than n edges. With ``every``, small blocks give
+    each of their links instead, for a check of the links that follows.
     """
-    if len(a) * len(b) <= 64:
+    if len(a) * len(b) <= SMALL:
         close = [(x, y) for x in a for y in b if x != y and ((x ^ y) & (2**64 - 1)).bit_count() <= distance]
+        if every:
+            yield from close
+            return
     else:
         other = np.array(b, np.int64)
         close = ((x, y) for x in a for y in other[np.bitwise_count((other ^ np.int64(x)).view(np.uint64)) <= distance].tolist() if x != y)
@@ -163,10 +170,10 @@ def spanning_links(a: list[int], b: list[int], distance: int) -> Iterator[tuple[
             yield x, y
 
 
-def _verify(distance: int):
+def _verify(distance: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges = [e for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in spanning_links(a, b, distance)]
+            edges = [e for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in spanning_links(a, b, distance, every)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     return run
@@ -181,7 +188,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.groupBy(*key, "block").agg(F.collect_list("fp").alias("members"))
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
+def links(fps: DataFrame, distance: int, every: bool = False) -> DataFrame:
     """Edges (a, b) between distinct values ``fp`` whose closure joins all values that differ in <= distance bits.
 
     Buckets of the index (own value of a part) are compared with themselves and with the probes that fall in
@@ -204,7 +211,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     own = a.join(index.select(*key, F.col("block").alias("j"), F.col("members").alias("b")), key).filter("i <= j AND (i < j OR size(a) > 1)")
     probed = a.join(probes.select(*key, F.col("members").alias("b")), key)
     pairs = own.select("a", "b").union(probed.select("a", "b")).repartition(partitions(fps))
-    return pairs.mapInArrow(_verify(distance), "a long, b long")
+    return pairs.mapInArrow(_verify(distance, every), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -224,3 +231,47 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = roots.join(named, "root").select("fp", "component_id")
     return rows.join(of_class, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _similar(width: int, least: float):
+    """Of pairs of texts, those whose sets of shingles overlap by ``least`` of their union."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        words = text.lower().split()
+        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = shingles(x.as_py()), shingles(y.as_py())
+                keep.append(len(a & b) >= least * len(a | b))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
+    """(id, keep): ids of documents that are exact or near copies, and the smallest id of their group.
+
+    Texts of equal bytes are one class. Classes whose fingerprints differ in ``distance`` bits or fewer are
+    candidates, and linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
+    or more; groups are the connected classes. Classes with one fingerprint are candidates through the smallest
+    of them. Very large blocks of near fingerprints give a spanning forest of candidates instead of each pair.
+    Ids must be unique; rows with null ids take no part.
+    """
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).filter("id IS NOT NULL")
+    rows = written(fingerprints(texts, "id", "text", width).join(texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")), "id"))
+    classes = rows.groupBy("fp", "h1", "h2").agg(F.min("id").alias("least"))
+    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
+    edges = links(heads.select("fp"), distance, every=True)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = edges.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    within = classes.join(heads, "fp").filter("least <> head").select(F.col("head").alias("x"), F.col("least").alias("y"))
+    candidates = written(edges.unionByName(within))
+    left = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("t")), "x")
+    both = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("u")), "y").select("x", "y", "t", "u")
+    linked = both.mapInArrow(_similar(width, similarity), "x long, y long")
+    joined = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("fp", "h1", "h2", F.coalesce("component", "least").alias("keep"))
+    return rows.join(roots, ["fp", "h1", "h2"]).filter("id <> keep").select("id", "keep")

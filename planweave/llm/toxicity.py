@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -283,3 +284,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     scorer = learn(docs, labels, id_column, text_column, sample)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(_scores(scorer), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores below ``threshold``, with their columns; the text never leaves its partition."""
+    scorer = learn(docs, labels, id_column, text_column)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+
+    return docs.filter(score(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) < threshold)
