@@ -1 +1 @@
-
+"""Column expressions for text, units, colours and geometry."""

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planweave.plans import relational
+from planweave.plans import eventlog, relational, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (relational,)
+MODULES = (relational, eventlog, spatial)
 
 
 def queries() -> dict[str, Query]:

@@ -1,10 +1,11 @@
-"""Latest-per-key, joins, constraints, projections and event-log queries."""
+"""Latest-per-key, joins, updates, constraints and projections."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.operators.checks import cascade_delete, enum_violations, fk_violations, null_violations, unique_violations
 from planweave.operators.latest import latest_by
 from planweave.sources.tables import table
 
@@ -19,11 +20,171 @@ def latest_order_per_customer(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("c_custkey", "c_name", "n_name", "o_orderkey", "o_orderdate", "o_orderstatus")
 
 
-QUERIES = {"latest_order_per_customer": latest_order_per_customer}
+def latest_scalar_subquery(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest order of the first customer who ordered; the key is a subquery of one row."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    first = orders.agg(F.min("o_custkey").alias("first_key"))
+    return orders.join(first, F.col("o_custkey") == F.col("first_key")).drop("first_key").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1)
+
+
+def rules_chain_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest line of each customer over a three-table chain."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    chain = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    newest = latest_by(chain, ["o_custkey"], ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return newest.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_mktsegment", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").filter(F.col("o_orderkey") == 7).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+def compound_filter(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    return events.filter((F.col("event_type") == "click") & F.col("props").isNotNull()).select("event_id", "user_id", "value").orderBy("event_id")
+
+
+def ready_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Point updates as one rewrite: open orders of urgent priority become ready."""
+    orders = table(spark, folder, "orders")
+    due = (F.col("o_orderstatus") == "O") & F.col("o_orderpriority").startswith("1")
+    return orders.select("o_orderkey", F.when(due, "ready").otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+def counter_recompute(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of every customer, none included, counted anew instead of kept as a counter."""
+    counts = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    customer = table(spark, folder, "customer").select("c_custkey")
+    return customer.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("item_count"))
+
+
+def q_enum_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return enum_violations(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O"])
+
+
+def q_null_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls per column, where a left join of customers and their urgent orders leaves some."""
+    urgent = table(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("1")).select("o_custkey", "o_orderkey")
+    joined = table(spark, folder, "customer").select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return null_violations(joined, ["c_custkey", "o_orderkey"])
+
+
+def q_unique_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return unique_violations(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def q_fk_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose order is not among the finished ones."""
+    finished = table(spark, folder, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return fk_violations(lines, finished, "l_orderkey", "o_orderkey")
+
+
+def q_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that stay when the customers of one segment go."""
+    gone = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return cascade_delete(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey", "c_custkey")
+
+
+def projection_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Null-safe projection of a row to its contract."""
+    c = table(spark, folder, "customer")
+    label = F.concat_ws(" ", F.nullif(F.col("c_mktsegment"), F.lit("")), F.nullif(F.col("c_name"), F.lit("")))
+    return c.select("c_custkey", label.alias("label"), F.lit("1.0").alias("schema_version"), F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.lit(0.0)).alias("balance"))
+
+
+def upload_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Allow-list and size cap; both reach the scan."""
+    docs = table(spark, folder, "documents")
+    return docs.filter(F.col("source").isin("src0", "src1", "src2") & ~(F.col("n_chars") > 5000)).select("doc_id", "source", "n_chars")
+
+
+def provenance_hist(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts by kind in one pass, and the total of the kinds that are counted."""
+    status = F.col("o_orderstatus")
+    counts = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(status == "F").alias("observed"), F.count_if(status == "O").alias("inferred"), F.count_if(status == "X").alias("assumed"))
+    return counts.withColumn("total", F.col("observed") + F.col("inferred") + F.col("assumed"))
+
+
+def fidelity_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """A fingerprint of four fields in a fixed order."""
+    o = table(spark, folder, "orders")
+    return o.select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"))
+
+
+def concat_bags(spark: SparkSession, folder: str) -> DataFrame:
+    customer = table(spark, folder, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("balance"))
+    supplier = table(spark, folder, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("balance"))
+    return customer.unionByName(supplier)
+
+
+def confidence_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Per language and source the share of good documents, less a penalty where few are labelled, and approval."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "lang", "source"), table(spark, folder, "labels")
+    g = docs.join(labels, "doc_id", "left").groupBy("lang", "source").agg(F.sum("quality").alias("good"), F.count("quality").alias("n"))
+    mean = F.coalesce(F.col("good"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1))
+    few = F.when(F.col("n") < 3, 0.7).otherwise(1.0) * F.when(F.col("n") < 1, 0.5).otherwise(1.0)
+    scored = g.select("lang", "source", "n", F.round(F.least(mean * few, F.lit(1.0)), 4).alias("confidence"))
+    return scored.withColumn("approved", (F.col("confidence") >= 0.9) & (F.col("n") >= 3))
+
+
+QUERIES = {
+    "latest_order_per_customer": latest_order_per_customer,
+    "latest_scalar_subquery": latest_scalar_subquery,
+    "rules_chain_latest": rules_chain_latest,
+    "point_lookup": point_lookup,
+    "compound_filter": compound_filter,
+    "ready_update": ready_update,
+    "counter_recompute": counter_recompute,
+    "enum_violations": q_enum_violations,
+    "null_violations": q_null_violations,
+    "unique_violations": q_unique_violations,
+    "fk_violations": q_fk_violations,
+    "cascade_delete": q_cascade_delete,
+    "projection_contract": projection_contract,
+    "upload_filter": upload_filter,
+    "provenance_hist": provenance_hist,
+    "fidelity_hash": fidelity_hash,
+    "concat_bags": concat_bags,
+    "confidence_score": confidence_score,
+}
 
 ORACLE_SQL = {
     "latest_order_per_customer": """
         SELECT c_custkey, c_name, n_name, o_orderkey, o_orderdate, o_orderstatus
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) o
         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE rn = 1""",
+    "latest_scalar_subquery": """
+        SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
+        WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""",
+    "rules_chain_latest": """
+        SELECT c_custkey, c_mktsegment, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE rn = 1""",
+    "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7",
+    "compound_filter": "SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND props IS NOT NULL ORDER BY event_id",
+    "ready_update": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '1%' THEN 'ready' ELSE o_orderstatus END AS status FROM orders",
+    "counter_recompute": "SELECT c_custkey, count(o_orderkey) AS item_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "enum_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
+    "null_violations": """
+        WITH j AS (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority LIKE '1%') ON c_custkey = o_custkey)
+        SELECT 'c_custkey' AS column_name, count(*) FILTER (c_custkey IS NULL) AS n_null FROM j UNION ALL SELECT 'o_orderkey', count(*) FILTER (o_orderkey IS NULL) FROM j""",
+    "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "fk_violations": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
+    "cascade_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "projection_contract": """
+        SELECT c_custkey, concat_ws(' ', nullif(c_mktsegment, ''), nullif(c_name, '')) AS label, '1.0' AS schema_version,
+          CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0.0::DOUBLE END AS balance FROM customer""",
+    "upload_filter": "SELECT doc_id, source, n_chars FROM documents WHERE source IN ('src0', 'src1', 'src2') AND n_chars <= 5000",
+    "provenance_hist": """
+        SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS observed, count(*) FILTER (o_orderstatus = 'O') AS inferred,
+          count(*) FILTER (o_orderstatus = 'X') AS assumed, count(*) FILTER (o_orderstatus IN ('F', 'O', 'X')) AS total FROM orders GROUP BY o_custkey""",
+    "fidelity_hash": "SELECT o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS fingerprint FROM orders",
+    "concat_bags": "SELECT 'customer' AS kind, c_nationkey AS nationkey, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal FROM supplier",
+    "confidence_score": """
+        WITH g AS (SELECT lang, source, coalesce(sum(quality), 0) AS good, count(quality) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+        s AS (SELECT lang, source, n, round(least(good / greatest(n, 1)::DOUBLE * CASE WHEN n < 3 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN n < 1 THEN 0.5::DOUBLE ELSE 1 END, 1.0), 4) AS confidence FROM g)
+        SELECT lang, source, n, confidence, confidence >= 0.9 AND n >= 3 AS approved FROM s""",
 }
