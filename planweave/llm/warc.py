@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
 import uuid
@@ -18,9 +19,10 @@ from planweave.llm.common import partitions, shared_folder
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
-#: Payload bytes after which a task begins another archive, and bytes of records in a read.
+#: Bytes after which a task begins another archive, bytes of records in a read, and how hard records are packed.
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 8 << 20
+GZIP_LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -156,7 +158,7 @@ def _write(folder: str):
             name = f"pages-{uuid.uuid4().hex}.zip"
             with store.open_output_stream(f"{path}/{name}") as sink:
                 archive = ZipWriter(sink)
-                archive.add("archive/pages.warc", records)
+                archive.add("archive/pages.warc.gz", records)
                 archive.add("indexes/pages.idx", ["".join(index).encode()])
                 archive.close()
             names.append(name)
@@ -166,7 +168,8 @@ def _write(folder: str):
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
-                data = record(page_id, url, payload.as_py(), digest, refers_to)
+                # each record is a gzip member of its own, so that any can be read alone
+                data = gzip.compress(record(page_id, url, payload.as_py(), digest, refers_to), GZIP_LEVEL, mtime=0)
                 records.append(data)
                 index.append(f"{at} {len(data)}\n")
                 at += len(data)
@@ -206,7 +209,7 @@ def _read(folder: str, payloads: bool):
                     member = archive.members["indexes/pages.idx"]
                     index = archive.read(archive.start(member.name), member.size).decode()
                     spans = [tuple(map(int, line.split())) for line in index.splitlines()]
-                    base = archive.start("archive/pages.warc")
+                    base = archive.start("archive/pages.warc.gz")
                     i = 0
                     while i < len(spans):
                         first, end, j = spans[i][0], sum(spans[i]), i + 1
@@ -215,7 +218,7 @@ def _read(folder: str, payloads: bool):
                         data = archive.read(base + first, end - first)
                         rows = []
                         for offset, length in spans[i:j]:
-                            fields, body = parse_record(data[offset - first : offset - first + length])
+                            fields, body = parse_record(gzip.decompress(data[offset - first : offset - first + length]))
                             revisit = fields["WARC-Type"] == "revisit"
                             digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                             if not revisit and hashlib.sha1(body).hexdigest() != digest:
