@@ -1 +1 @@
-
+"""The event log as a stream."""
