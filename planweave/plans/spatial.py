@@ -33,8 +33,8 @@ def parse_sqft_ceiling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classify_type(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
-    return docs.select("doc_id", T.room_type(F.col("t")).alias("room_type"))
+    """The first room type that a whole text names."""
+    return table(spark, folder, "documents").select("doc_id", T.room_type(F.col("text")).alias("room_type"))
 
 
 def hex_rgba(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,9 +168,9 @@ def wall_thickness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The five vectors most similar to each of the ten with the smallest ids, themselves among them."""
+    """The five vectors most similar to each whose id is divisible by 100, themselves among them."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    top = cosine_top_k(v, v.filter("vec_id < 10"), 5, 8)
+    top = cosine_top_k(v, v.filter("vec_id % 100 = 0"), 5, 8)
     return top.select("query_id", "vec_id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
@@ -217,7 +217,7 @@ ORACLE_SQL = {
     "parse_sqft_ceiling": """
         WITH d AS (SELECT p_partkey, CASE WHEN p_partkey > 50 AND p_partkey < 50000 THEN p_partkey::INT END AS v, ((p_size % 12 + 5) * 12 + p_partkey % 12) * 0.0254::DOUBLE AS c FROM part)
         SELECT p_partkey, v AS sqft, round(v * 0.0929::DOUBLE, 4) AS area_m2, CASE WHEN c > 2 AND c < 6 THEN round(c, 2) END AS ceiling_m FROM d""",
-    "classify_type": f"SELECT doc_id, {_ROOM} AS room_type FROM (SELECT doc_id, lower(trim(substr(text, 1, 40), ' ')) AS t FROM documents)",
+    "classify_type": f"SELECT doc_id, {_ROOM} AS room_type FROM (SELECT doc_id, lower(trim(text, ' ')) AS t FROM documents)",
     "hex_rgba": """
         SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 // 65536 % 256)::INT END AS r, CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 // 256 % 256)::INT END AS g,
           CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 % 256)::INT END AS b, 255 AS a FROM part""",
@@ -246,7 +246,7 @@ ORACLE_SQL = {
         SELECT plan, round(coalesce(text, {_FALLBACK}), 6) AS px_per_meter, CASE WHEN text IS NULL THEN 0.35 ELSE 0.65 END::DOUBLE AS confidence, text IS NULL AS scale_uncertain FROM t""",
     "wall_thickness": ORDER_LINES + " SELECT plan, id, round(CASE WHEN thick > 0 THEN least(greatest(thick / 40.0::DOUBLE, 0.05), 0.8) ELSE 0.15 END, 6)::DOUBLE AS meters FROM o",
     "cosine_topk": """
-        WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id < 10),
+        WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM p)
         SELECT query_id, vec_id, rank, round(s, 4) AS similarity FROM r WHERE rank <= 5""",
 }
