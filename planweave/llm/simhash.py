@@ -25,11 +25,23 @@ SMALL = 256
 PROBE_COST = 40.0
 
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Another, independent hash from a hash."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
 def fingerprint(text: bytes, width: int) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; no words give zero."""
+    return fingerprint_pair(text, width, 1)[0]
+
+
+def fingerprint_pair(text: bytes, width: int, number: int = 2) -> list[int]:
+    """The fingerprint, and with ``number`` 2 another one from remixed hashes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * number
     joined = b" ".join(words)
     if len(words) <= width:
         hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
@@ -38,23 +50,28 @@ def fingerprint(text: bytes, width: int) -> int:
         starts = itertools.chain((0,), (ends + 1).tolist())
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist() + [len(joined)], strict=False)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+    out = []
+    for k in range(number):
+        hashes = remixed(hashes) if k else hashes
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 14):
+            bits = np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            counts += bits.sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes)).view(">u8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(id, fp): every whole text's fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int, number: int = 1) -> DataFrame:
+    """(id, fp): every whole text's fingerprint as a signed 64-bit number; with ``number`` 2 also fp2, the other one."""
+    names = ["fp", "fp2"][:number]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+            found = np.array([fingerprint_pair(t.as_py(), width, number) for t in batch.column(1)], np.uint64).reshape(-1, number).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(number))], names=["id", *names])
 
     content = F.col(text_column) if dict(docs.dtypes)[text_column] == "binary" else text_bytes(text_column)
-    return docs.select(F.col(id_column).cast("long").alias("id"), content.alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_column).cast("long").alias("id"), content.alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -251,27 +268,32 @@ def _similar(width: int, least: float):
     return run
 
 
+def candidate_pairs(classes: DataFrame, column: str, distance: int) -> DataFrame:
+    """(x, y): pairs of classes, named by their smallest ids, whose fingerprints are equal or close."""
+    heads = classes.groupBy(F.col(column).alias("f")).agg(F.min("least").alias("head"))
+    edges = links(heads.select(F.col("f").alias("fp")), distance, every=True)
+    edges = edges.join(heads.select(F.col("f").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("f").alias("b"), F.col("head").alias("q")), "b").select("p", "q")
+    within = classes.join(heads, F.col(column) == F.col("f")).filter("least <> head").select(F.col("head").alias("p"), F.col("least").alias("q"))
+    return edges.unionByName(within).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
     """(id, keep): ids of documents that are exact or near copies, and the smallest id of their group.
 
-    Texts of equal bytes are one class. Classes whose fingerprints differ in ``distance`` bits or fewer are
-    candidates, and linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
+    Texts of equal bytes are one class. Each text has two independent fingerprints; classes that differ in
+    ``distance`` bits or fewer of either are candidates, and linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
     or more; groups are the connected classes. Classes with one fingerprint are candidates through the smallest
     of them. Very large blocks of near fingerprints give a spanning forest of candidates instead of each pair.
     Ids must be unique; rows with null ids take no part.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).filter("id IS NOT NULL")
-    rows = written(fingerprints(texts, "id", "text", width).join(texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")), "id"))
-    classes = rows.groupBy("fp", "h1", "h2").agg(F.min("id").alias("least"))
-    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
-    edges = links(heads.select("fp"), distance, every=True)
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = edges.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    within = classes.join(heads, "fp").filter("least <> head").select(F.col("head").alias("x"), F.col("least").alias("y"))
-    candidates = written(edges.unionByName(within))
+    hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    rows = written(fingerprints(texts, "id", "text", width, 2).join(hashed, "id"))
+    classes = rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("id").alias("least"))
+    candidates = written(candidate_pairs(classes, "fp", distance).unionByName(candidate_pairs(classes, "fp2", distance)).distinct())
     left = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("t")), "x")
     both = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("u")), "y").select("x", "y", "t", "u")
     linked = both.mapInArrow(_similar(width, similarity), "x long, y long")
     joined = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("fp", "h1", "h2", F.coalesce("component", "least").alias("keep"))
-    return rows.join(roots, ["fp", "h1", "h2"]).filter("id <> keep").select("id", "keep")
+    roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "least").alias("keep"))
+    return rows.join(roots, ["h1", "h2"]).filter("id <> keep").select("id", "keep")
