@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
+from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.operators.intervals import band_pairs, dedupe_walls, greedy_pairs, merge_collinear
 from planweave.operators.scale import chosen_scale, fallback_scale, rank_matched_scale, scale_from_area
@@ -44,10 +45,14 @@ def hex_rgba(spark: SparkSession, folder: str) -> DataFrame:
     return part.select("p_partkey", *[c[i].alias(n) for i, n in enumerate("rgba")])
 
 
-def angle_class(spark: SparkSession, folder: str) -> DataFrame:
+def line_angles(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_quantity") - 25).cast("int").alias("dx"), ((F.col("l_partkey") % 41) - 20).cast("int").alias("dy")).distinct()
-    a = G.angle(F.col("dx"), F.col("dy"))
-    return lines.select("l_orderkey", "l_partkey", "dx", "dy", F.round(a, 6).alias("angle"), G.orientation(a).alias("orientation"))
+    return lines.withColumn("angle", G.angle(F.col("dx"), F.col("dy")))
+
+
+def angle_class(spark: SparkSession, folder: str) -> DataFrame:
+    a = line_angles(spark, folder)
+    return a.select("l_orderkey", "l_partkey", "dx", "dy", F.round("angle", 6).alias("angle"), G.orientation(F.col("angle")).alias("orientation"))
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,6 +172,29 @@ def wall_thickness(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("plan", "id", F.round(G.wall_thickness(F.col("px"), F.lit(40.0)), 6).alias("meters"))
 
 
+def deskew_angles(spark: SparkSession, folder: str) -> DataFrame:
+    """Per order the median of its segments' angles folded about the axes, and the turn that straightens it."""
+    a = line_angles(spark, folder).groupBy("l_orderkey").agg(F.round(F.median(O.deskew(F.col("angle"))), 4).alias("skew"))
+    return a.select(F.col("l_orderkey").alias("plan"), "skew", O.rotation(F.col("skew")).alias("turn"))
+
+
+def window_openings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rings whose first two points touch the left or upper edge, and the scale that fits them to a canvas."""
+    r = rings(spark, folder)
+    fit = O.canvas_scale(F.array_max("ring.x") * 30, F.array_max("ring.y") * 30)
+    return r.select("plan", O.on_edge(F.col("ring")).alias("is_window"), F.round(fit, 6).alias("fit"))
+
+
+def fidelity_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Per customer the mean relative error of line prices against order prices, as accuracy and weighted score."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("measured"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    error = F.abs(F.col("measured") - F.col("o_totalprice")) / F.col("o_totalprice")
+    mean = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).filter("o_totalprice > 0").groupBy("o_custkey").agg(F.avg(error).alias("mean"))
+    accuracy = O.area_accuracy(F.col("mean"))
+    return mean.select("o_custkey", F.round(accuracy, 4).alias("room_area_accuracy"), O.fidelity(accuracy).alias("overall"))
+
+
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five vectors most similar to each whose id is divisible by 100, themselves among them."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -196,6 +224,9 @@ QUERIES = {
     "scale_fallback": scale_fallback,
     "scale_select": scale_select,
     "wall_thickness": wall_thickness,
+    "deskew_angles": deskew_angles,
+    "window_openings": window_openings,
+    "fidelity_score": fidelity_score,
     "cosine_topk": cosine_topk,
 }
 
@@ -245,6 +276,19 @@ ORACLE_SQL = {
         , t AS (SELECT *, CASE WHEN plan % 3 = 0 AND area > 50 THEN sqrt(0.7::DOUBLE * w * h / (area * 0.0929::DOUBLE)) END AS text FROM b)
         SELECT plan, round(coalesce(text, {_FALLBACK}), 6) AS px_per_meter, CASE WHEN text IS NULL THEN 0.35 ELSE 0.65 END::DOUBLE AS confidence, text IS NULL AS scale_uncertain FROM t""",
     "wall_thickness": ORDER_LINES + " SELECT plan, id, round(CASE WHEN thick > 0 THEN least(greatest(thick / 40.0::DOUBLE, 0.05), 0.8) ELSE 0.15 END, 6)::DOUBLE AS meters FROM o",
+    "deskew_angles": """
+        WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, (l_quantity - 25)::INT AS dx, (l_partkey % 41 - 20)::INT AS dy FROM lineitem),
+        a AS (SELECT *, fmod(fmod(degrees(atan2(dy, dx)), 180) + 180, 180) AS g FROM l),
+        m AS (SELECT l_orderkey AS plan, round(median(CASE WHEN g > 135 THEN g - 180 WHEN g > 45 THEN g - 90 ELSE g END), 4) AS skew FROM a GROUP BY l_orderkey)
+        SELECT plan, skew, CASE WHEN abs(skew) > 0.5 THEN skew ELSE 0.0 END AS turn FROM m""",
+    "window_openings": _RINGS + """
+        , p AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY id) AS k FROM q)
+        SELECT plan, bool_or(k <= 2 AND (x <= 5 OR y <= 5)) AS is_window,
+          round(least(700 / CASE WHEN max(x) = 0 THEN 800 ELSE max(x) * 30 END::DOUBLE, 700 / CASE WHEN max(y) = 0 THEN 600 ELSE max(y) * 30 END::DOUBLE, 1.0), 6)::DOUBLE AS fit FROM p GROUP BY plan""",
+    "fidelity_score": """
+        WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS measured FROM lineitem GROUP BY l_orderkey),
+        m AS (SELECT o_custkey, 1.0::DOUBLE - least(avg(abs(measured - o_totalprice) / o_totalprice), 1.0) AS a FROM orders JOIN l ON o_orderkey = l_orderkey WHERE o_totalprice > 0 GROUP BY o_custkey)
+        SELECT o_custkey, round(a, 4) AS room_area_accuracy, round(0.4::DOUBLE + 0.3::DOUBLE * a + 0.2::DOUBLE + 0.1::DOUBLE, 4) AS overall FROM m""",
     "cosine_topk": """
         WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM p)

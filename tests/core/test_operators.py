@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
+from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merge_collinear
 from planweave.operators.latest import next_sequence, replay_since
@@ -194,3 +195,28 @@ def test_colors_and_blobs(spark, tmp_path):
     assert {tuple(r.size) if r.size else None for r in read} == {(800, 600), None}
     target = spark.createDataFrame([(1, "a")], "id int, v string")
     assert blobs.append_new(target, spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string"), ["id"]).collect() == [Row(id=2, v="c")]
+
+
+def test_openings(spark):
+    point = lambda x, y: Row(x=float(x), y=float(y))
+    assert one(spark, O.on_edge(F.col("p")), p=[point(5, 90), point(60, 90)]) is True
+    assert one(spark, O.on_edge(F.col("p")), p=[point(6, 90), point(60, 90), point(0, 0)]) is False
+    assert {tuple(c) for c in one(spark, O.gap_rectangle(F.col("a"), F.col("b"), F.lit(4)), a=point(0, 0), b=point(10, 0))} == {(0, 5), (10, 5), (10, -5), (0, -5)}
+    assert one(spark, O.gap_rectangle(F.col("a"), F.col("b"), F.lit(4)), a=point(0, 0), b=point(0, 0)) is None
+    solid = one(spark, O.opening_solid(F.col("a"), F.col("b"), F.lit(True), F.lit(0.15)), a=point(0, 0), b=point(1, 0))
+    assert {round(v[2], 6) for v in solid["vertices"]} == {0.9, 2.1} and {round(v[1], 6) for v in solid["vertices"]} == {0.09, -0.09}
+    narrow = one(spark, O.opening_solid(F.col("a"), F.col("b"), F.lit(False), F.lit(0.15)), a=point(0, 0), b=point(0.01, 0))
+    assert max(v[0] for v in narrow["vertices"]) - min(v[0] for v in narrow["vertices"]) == pytest.approx(0.84)
+    assert {v[2] for v in narrow["vertices"]} == {0.0, 2.1}
+
+
+@pytest.mark.parametrize(("angle", "want"), [(1.0, 1.0), (90.5, 0.5), (179.0, -1.0), (45.0, 45.0), (135.0, 45.0)])
+def test_deskew(spark, angle, want):
+    assert one(spark, O.deskew(F.lit(angle)), i=1) == want
+
+
+def test_scores(spark):
+    assert one(spark, O.rotation(F.lit(0.5)), i=1) == 0 and one(spark, O.rotation(F.lit(-0.6)), i=1) == -0.6
+    assert one(spark, O.area_accuracy(F.lit(None).cast("double")), i=1) == 1 and one(spark, O.area_accuracy(F.lit(2.0)), i=1) == 0
+    assert one(spark, O.fidelity(F.lit(0.5)), i=1) == 0.85
+    assert one(spark, O.canvas_scale(F.lit(1400), F.lit(0)), i=1) == 0.5 and one(spark, O.canvas_scale(F.lit(10), F.lit(10)), i=1) == 1
