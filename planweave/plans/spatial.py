@@ -238,7 +238,46 @@ _RINGS = ORDER_LINES + ", r AS (SELECT plan, id, pos AS x, thick AS y, count(*)
 _BOXES = ORDER_LINES + ", b AS (SELECT plan, sum(thick * (e - s)) AS area, max(e) - min(s) AS w, max(pos) - min(pos) + 1 AS h FROM o GROUP BY plan)"
 _FALLBACK = "CASE WHEN area < 1 THEN greatest(w, h) / 20.0::DOUBLE ELSE least(greatest(w, h) / 20.0::DOUBLE, sqrt(area / 20.0::DOUBLE)) END"
 
+
+
+def _fold(order: str, state: str, hit: str, step: str, result: str) -> str:
+    """One line of a plan at a time by a recursive query; ``x`` is the line and ``st`` the state before it."""
+    return f"""
+        WITH RECURSIVE {ORDER_LINES.strip().removeprefix("WITH ")},
+        l AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY {order}) AS k, count(*) OVER (PARTITION BY plan) AS n FROM o),
+        f AS (SELECT DISTINCT plan, 0::BIGINT AS k, n, {state} AS st FROM l UNION ALL
+          SELECT plan, k, n, {step} FROM (SELECT f.plan, l.k, f.n, f.st, l.id, l.pos, l.s, l.e, l.thick, {hit} AS hit FROM f JOIN l ON f.plan = l.plan AND l.k = f.k + 1)),
+        r AS (SELECT plan, st FROM f WHERE k = n)
+        {result}"""
+
+
+_SHARE = "greatest(0, least(o.e, l.e) - greatest(o.s, l.s)) / greatest(o.e - o.s, l.e - l.s, 1)::DOUBLE"
+
 ORACLE_SQL = {
+    "greedy_pairs": _fold(
+        "pos, id, s, e",
+        "{'open': []::STRUCT(pos INT, id BIGINT, s INT, e INT)[], 'pairs': []::STRUCT(a BIGINT, b BIGINT, apart INT)[]}",
+        f"list_filter(f.st.open, lambda o: l.pos - o.pos BETWEEN 3 AND 20 AND {_SHARE} >= 0.3)[1]",
+        """CASE WHEN hit IS NULL THEN {'open': list_append(st.open, {'pos': pos, 'id': id, 's': s, 'e': e}), 'pairs': st.pairs}
+             ELSE {'open': list_filter(st.open, lambda o: o.id <> hit.id), 'pairs': list_append(st.pairs, {'a': hit.id, 'b': id, 'apart': pos - hit.pos})} END""",
+        "SELECT plan, p.a, p.b, p.apart FROM (SELECT plan, unnest(st.pairs) AS p FROM r)",
+    ),
+    "merge_collinear": _fold(
+        "id",
+        "[]::STRUCT(pos INT, s INT, e INT, n INT)[]",
+        "list_position(list_transform(f.st, lambda o: abs(o.pos - l.pos) <= 10 AND greatest(o.s, l.s) - least(o.e, l.e) <= 2), true)",
+        """CASE WHEN hit IS NULL THEN list_append(st, {'pos': pos, 's': s, 'e': e, 'n': 1})
+             ELSE list_transform(st, lambda o, i: CASE WHEN i = hit THEN {'pos': trunc((o.pos + pos) / 2.0)::INT, 's': least(o.s, s), 'e': greatest(o.e, e), 'n': o.n + 1} ELSE o END) END""",
+        "SELECT plan, (i - 1)::INT AS extent, x.pos, x.s, x.e, x.n FROM (SELECT plan, unnest(st) AS x, unnest(range(1, len(st) + 1)) AS i FROM r)",
+    ),
+    "dedupe_walls": _fold(
+        "id",
+        "[]::STRUCT(id BIGINT, pos INT, s INT, e INT, best BIGINT, thick INT)[]",
+        f"list_position(list_transform(f.st, lambda o: abs(o.pos - l.pos) <= 10 AND {_SHARE} > 0.4), true)",
+        """CASE WHEN hit IS NULL THEN list_append(st, {'id': id, 'pos': pos, 's': s, 'e': e, 'best': id, 'thick': thick})
+             ELSE list_transform(st, lambda o, i: CASE WHEN i = hit AND thick > o.thick THEN {'id': o.id, 'pos': o.pos, 's': o.s, 'e': o.e, 'best': id, 'thick': thick} ELSE o END) END""",
+        "SELECT plan, x.id AS seed, x.best AS kept, x.thick FROM (SELECT plan, unnest(st) AS x FROM r)",
+    ),
     "sanitize_key": r"""
         SELECT page_id, substr(regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g'), 1, 64) AS name, regexp_replace(url, '\.[^.]*$', '') || '_page1.png' AS first_page FROM pages""",
     "parse_dimensions": """
