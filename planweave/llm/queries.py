@@ -82,6 +82,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": """
+        WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        w AS (SELECT doc_id, p, b[p:p + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM t WHERE n >= 100)),
+        r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+        i AS (SELECT doc_id, p, sum(jump) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, (p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100)::INT AS jump FROM r)),
+        g AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS e FROM i GROUP BY doc_id, run),
+        k AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM g),
+        c AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last_end FROM g GROUP BY doc_id),
+        h AS (SELECT k.doc_id, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept FROM k JOIN t ON k.doc_id = t.doc_id GROUP BY k.doc_id)
+        SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+          CASE WHEN h.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last_end + 1:n]))) END AS kept_sha256
+        FROM t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN h ON t.doc_id = h.doc_id""",
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

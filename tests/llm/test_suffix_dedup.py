@@ -104,3 +104,7 @@ def test_common_grams_cross_batches():
 
     out = [tuple(r.values()) for b in _known(iter([batch((1, 1, 0, 0), (2, 2, 0, 0)), batch((2, 3, 0, 0), (2, 4, 0, 0)), batch((2, 5, 0, 0)), batch((3, 6, 0, 1), (4, 7, 0, 0), (9, 9, 1, 2))])) for r in b.to_pylist()]
     assert set(out) == {(2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (9, 1)}
+
+
+def test_sql(against_duckdb):
+    against_duckdb("op2_suffix_dedup", "/root/testdata/sf0.01")
