@@ -17,8 +17,8 @@ LENGTH = 100
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in one suffix array, bytes of runs that are merged at a time, and bytes that are sifted at a time.
-SHARD_BYTES = 2 << 20
-MERGE_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+MERGE_BYTES = 2 << 20
 SIFT_BYTES = 1 << 20
 #: Low bits of a gram's sort key that hold its place.
 PLACE_BITS = 23
@@ -33,12 +33,16 @@ def words(buffer: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
 
 
-def hashes(w: np.ndarray, length: int, n: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes from each of the first ``n`` places on."""
-    at = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])
-    out = np.zeros(n, np.uint64)
-    for i, a in enumerate(at):
-        x = w[a : a + n] * FACTORS[i]
+def offsets(length: int) -> list[int]:
+    """Where the 8-byte words begin that cover ``length`` bytes."""
+    return [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of words."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for i, column in enumerate(columns):
+        x = column * FACTORS[i]
         x ^= x >> np.uint64(29)
         out += x * FACTORS[i + 1]
     out ^= out >> np.uint64(32)
@@ -47,6 +51,11 @@ def hashes(w: np.ndarray, length: int, n: int) -> np.ndarray:
     return out
 
 
+def hashes(w: np.ndarray, length: int, n: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each of the first ``n`` places on."""
+    return mixed([w[a : a + n] for a in offsets(length)])
+
+
 class Texts:
     """Texts side by side in one buffer, kept apart by bytes that no text holds."""
 
@@ -285,17 +294,26 @@ def digest_without(content: bytes, starts: list[int], ends: list[int]) -> tuple[
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without repeated grams are done; of the others the bytes around such grams are noted."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, doc, start, bytes): the stretches of text around repeated grams. A stretch travels by the least
+    hash of its repeated grams, so that copies of it mostly meet in one shard.
+    """
     for batch in batches:
-        ids, at = batch.column(0), batch.column(2).to_pylist()
-        sizes, digests, texts = [], [], []
-        for text, grams in zip(batch.column(1), at, strict=True):
-            content = text.as_py()
-            sizes.append(len(content))
-            digests.append(None if grams else hashlib.sha256(content).hexdigest())
-            texts.append(content if grams else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()), batch.column(2)], names=["doc", "n_bytes", "sha", "text", "at"])
+        rows: list[tuple[int, int, int, bytes]] = []
+        for one, text, grams in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if not grams.is_valid:
+                continue
+            content, at = text.as_py(), np.sort(np.asarray(grams.values))
+            w = words(np.frombuffer(content + APART, np.uint8))
+            h = mixed([w[at + o] for o in offsets(GRAM)])
+            for s, e in segments(len(content), at.tolist()):
+                for begin in range(s, e - LENGTH + 1, SHARD_BYTES):
+                    end = min(e, begin + SHARD_BYTES + LENGTH - 1)
+                    i, j = np.searchsorted(at, (begin, end))
+                    rows.append((int(h[i:j].min().view(np.int64)) if j > i else one, one, begin, content[begin:end]))
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["route", "doc", "start", "bytes"])
 
 
 def segments(length: int, grams: list[int]) -> list[tuple[int, int]]:
@@ -336,16 +354,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[int, int, bytes]] = []
     size = 0
     for batch in batches:
-        for i, text, grams in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            content = text.as_py()
-            for s, e in segments(len(content), grams):
-                for at in range(s, e - LENGTH + 1, SHARD_BYTES):
-                    piece = content[at : min(e, at + SHARD_BYTES + LENGTH - 1)]
-                    rows.append((i, at, piece))
-                    size += len(piece)
-                    if size > SHARD_BYTES:
-                        yield flush(rows)
-                        rows, size = [], 0
+        for one, start, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            rows.append((one, start, content.as_py()))
+            size += len(rows[-1][2])
+            if size > SHARD_BYTES:
+                yield flush(rows)
+                rows, size = [], 0
     if rows:
         yield flush(rows)
 
@@ -370,7 +384,7 @@ def merged(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts:
     later = first[at] < np.arange(len(begins))
     x, y = begins[later], begins[first[at[later]]]
     same = np.ones(len(x), bool)
-    for i in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+    for i in offsets(LENGTH):
         same &= t.words[x + i] == t.words[y + i]
     if not same.all():
         odd = np.isin(at, at[later][~same])
@@ -415,12 +429,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for text, runs in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-            runs = runs or []
-            found.append(digest_without(text.as_py(), [r["start"] for r in runs], [r["end"] for r in runs]))
+        found, sizes = [], []
+        for text, runs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            content, runs = text.as_py(), runs or []
+            sizes.append(len(content))
+            found.append(digest_without(content, [r["start"] for r in runs], [r["end"] for r in runs]))
         columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *columns], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame | None]:
@@ -445,23 +460,20 @@ def dedup_strings(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Grams of GRAM bytes are sifted first: of every string the least gram is a fixed choice, and a string can
     only occur twice if its least gram does. Text around repeated grams goes to suffix arrays, shard by shard;
     a shard's later strings are known at once, and its first ones are merged with other shards'. The sieve loses
-    nothing, as whatever passes it is compared byte by byte. No task holds more than a few MB of text.
+    nothing, and whatever passes it is compared byte by byte. No task holds more than a few MB of text.
     """
     texts, names = numbered(docs, id_column, text_column)
     n = partitions(docs)
     grams = texts.mapInArrow(_sift, "route long, doc long, at long, kind byte")
     by_gram = grams.repartition(n, "route").sortWithinPartitions(F.col("kind") == 2, "route")
     hot = by_gram.mapInArrow(_known, "doc long, at long").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    parted = texts.join(hot, "doc", "left").mapInArrow(_parted, "doc long, n_bytes long, sha string, text binary, at array<long>")
-    parted = written(parted)
-    open_ = parted.filter("text IS NOT NULL")
-    runs = open_.select("doc", "text", "at").mapInArrow(_shards, "route long, doc long, start long, n long, bytes binary")
-    later = runs.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_merge, "doc long, start long, end long")
+    # both joins are left ones over the same texts, so the texts are exchanged once and the exchange is used twice
+    cut = texts.join(hot, "doc", "left").select("doc", "text", "at").mapInArrow(_cut, "route long, doc long, start long, bytes binary")
+    # only a good place for copies to meet, so a hot one may be split
+    shards = cut.hint("rebalance", F.col("route")).sortWithinPartitions("route").mapInArrow(_shards, "route long, doc long, start long, n long, bytes binary")
+    later = shards.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_merge, "doc long, start long, end long")
     later = later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    finished = open_.select("doc", "n_bytes", "text").join(later, "doc", "left").mapInArrow(_finished, RESULT)
-    zero = F.lit(0).cast("long")
-    whole = parted.filter("text IS NULL").select("doc", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    result = finished.unionByName(whole)
+    result = texts.join(later, "doc", "left").select("doc", "text", "runs").mapInArrow(_finished, RESULT)
     if names is None:
         return result.withColumnRenamed("doc", "doc_id")
     return result.join(names, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
