@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -11,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import written
+from planweave.llm.common import arrow_rows, written
 
 CONTEXT = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in each of two generations; words that come again live on in the next.
-KNOWN_WORDS = 300_000
-#: The word that holds words apart, how many stand in a run, and signs that may follow a word.
+KNOWN_WORDS = 200_000
+#: The word that holds words apart, and how many stand in a run.
 APART = "\x01"
 RUN_WORDS = 1_000
+#: Texts that a worker holds at a time.
+TEXTS = 512
+#: Signs that may follow a word.
 ENDS = (".", ",")
 #: Pieces of one length that one task ranks; a length with more is dealt out.
 RANK_ROWS = 100_000
@@ -59,6 +63,8 @@ class WordIds:
         for word, base in ended:
             known[word] = known[base] + known[word[-1]]
         out = [b"".join(map(known.__getitem__, ws)) for ws in parts]
+        for word, _ in ended:  # soon made again from its parts, so the room is left to words
+            del known[word]
         if len(known) > KNOWN_WORDS:
             self.known, self.older = {}, known
         return out
@@ -68,8 +74,8 @@ class WordIds:
         """Tokenizes words in runs held apart by a word of one id, which is much faster than one by one."""
         runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
         apart = f" {APART} "
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([apart.join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for run in runs:
+            ids = np.array(self.tokenizer.encode_batch_fast([apart.join(run)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.apart)
             if len(cuts) != len(run) - 1:  # a word holds that id itself
                 for word in run:
@@ -80,18 +86,21 @@ class WordIds:
                 self.known[word] = data[i:j]
 
 
-_tokenizers: dict[str, WordIds] = {}
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per worker: what a task has learned serves the worker's next tasks."""
+    return WordIds(path)
 
 
 def _pieces(path: str, context: int):
     """Per text its pieces: start, length and CRC-32 of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _tokenizers.setdefault(path, WordIds(path))
+        ids_of = word_ids(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
+            for at in range(0, len(batch), TEXTS):
+                some = batch.slice(at, TEXTS)
                 rows: list[tuple[int | None, int, int, int, int]] = []
                 for one, ids in zip(some.column(0).to_pylist(), ids_of(some.column(1).to_pylist()), strict=True):
                     ids += end
@@ -230,7 +239,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     pieces = texts.mapInArrow(_pieces(tokenizer, context), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = written(pieces)
+    with arrow_rows(docs.sparkSession, TEXTS):
+        pieces = written(pieces)
     # ranks: within (length, shard) in the shard's order, after the counts of the shards before
     totals = dict(map(tuple, pieces.groupBy("length").agg(F.count("*")).collect()))  # at most ``context`` rows
     spread = docs.sparkSession.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in totals.items()], "length long, shards long")

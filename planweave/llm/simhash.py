@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import components, partitions, text_bytes, written
+from planweave.llm.common import arrow_rows, components, partitions, text_bytes, written
 
 SEED = 42
 #: Fingerprints on which bit correlations and candidate counts are estimated; every fingerprint is indexed.
 SAMPLE = 4_000
+#: Texts that a worker gets at a time.
+TEXTS = 1_000
 #: Members of a bucket that are compared in one step; larger buckets are dealt out in such blocks.
 BLOCK = 1_024
 #: Most comparisons of two blocks for which each link is given where each is asked for.
@@ -241,7 +243,8 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component_id is null where no id is reachable. Repeated rows are rows like others; an empty table gives no
     rows; other columns are ignored.
     """
-    rows = written(fingerprints(docs, id_column, text_column, width))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows = written(fingerprints(docs, id_column, text_column, width))
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     joined = components(links(classes.select("fp"), distance))
     roots = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -288,7 +291,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).filter("id IS NOT NULL")
     hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
-    rows = written(fingerprints(texts, "id", "text", width, 2).join(hashed, "id"))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows = written(fingerprints(texts, "id", "text", width, 2).join(hashed, "id"))
     classes = rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("id").alias("least"))
     candidates = written(candidate_pairs(classes, "fp", distance).unionByName(candidate_pairs(classes, "fp2", distance)).distinct())
     left = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("t")), "x")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import text_bytes
+from planweave.llm.common import arrow_rows, text_bytes
 
 #: Labelled documents that the classifier learns from, and the most word parts that it remembers.
 SAMPLE = 24_000
@@ -25,8 +25,9 @@ LEAST_DOCS = 4
 PRIOR = 3.0
 #: Word starts of these lengths are features, besides whole words.
 STARTS = (4, 5, 6)
-#: Words whose weight a worker remembers; it starts again beyond that.
-KNOWN_WORDS = 300_000
+#: Words whose weight a worker remembers, and starts again beyond; texts that it gets at a time when it learns.
+KNOWN_WORDS = 200_000
+TEXTS = 1_000
 
 #: Letters that a character can stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -281,14 +282,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     held out or not by the text "None"; repeated rows are rows like others; an empty table gives no rows; other
     columns are ignored. Labels are read from ``labels`` (doc_id, toxic) alone.
     """
-    scorer = learn(docs, labels, id_column, text_column, sample)
+    with arrow_rows(docs.sparkSession, TEXTS):
+        scorer = learn(docs, labels, id_column, text_column, sample)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(_scores(scorer), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``threshold``, with their columns; the text never leaves its partition."""
-    scorer = learn(docs, labels, id_column, text_column)
+    with arrow_rows(docs.sparkSession, TEXTS):
+        scorer = learn(docs, labels, id_column, text_column)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
