@@ -21,8 +21,10 @@ SAMPLE = 4_000
 TEXTS = 1_000
 #: Members of a bucket that are compared in one step; larger buckets are dealt out in such blocks.
 BLOCK = 1_024
-#: Most comparisons of two blocks for which each link is given where each is asked for.
+#: Most comparisons of two blocks that are made one by one.
 SMALL = 256
+#: Bytes of shingle hashes that a block of texts should hold when texts are compared.
+BLOCK_BYTES = 2_000_000
 #: Estimated cost of one probe row against one compared pair.
 PROBE_COST = 40.0
 
@@ -39,20 +41,23 @@ def fingerprint(text: bytes, width: int) -> int:
     return fingerprint_pair(text, width, 1)[0]
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hash of every run of ``width`` words, repeats included; fewer words are one run."""
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = itertools.chain((0,), (ends + 1).tolist())
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist() + [len(joined)], strict=False)], np.uint64)
+
+
 def fingerprint_pair(text: bytes, width: int, number: int = 2) -> list[int]:
     """The fingerprint, and with ``number`` 2 another one from remixed hashes."""
     words = text.lower().split()
     if not words:
         return [0] * number
-    joined = b" ".join(words)
-    if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = itertools.chain((0,), (ends + 1).tolist())
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist() + [len(joined)], strict=False)], np.uint64)
-    out = []
+    hashes, out = shingle_hashes(words, width), []
     for k in range(number):
         hashes = remixed(hashes) if k else hashes
         counts = np.zeros(64, np.int64)
@@ -159,18 +164,14 @@ def _keys(plan: list[tuple[list[int], int]]):
     return run
 
 
-def spanning_links(a: list[int], b: list[int], distance: int, every: bool = False) -> Iterator[tuple[int, int]]:
+def spanning_links(a: list[int], b: list[int], distance: int) -> Iterator[tuple[int, int]]:
     """Edges that join all linked members of two blocks: a spanning forest, never all pairs.
 
     Every member of one block is compared with every member of the other; an edge is only given where it joins
-    two parts of the forest, so a block of n members gives fewer than n edges. With ``every``, small blocks give
-    each of their links instead, for a check of the links that follows.
+    two parts of the forest, so a block of n members gives fewer than n edges.
     """
     if len(a) * len(b) <= SMALL:
         close = [(x, y) for x in a for y in b if x != y and ((x ^ y) & (2**64 - 1)).bit_count() <= distance]
-        if every:
-            yield from close
-            return
     else:
         other = np.array(b, np.int64)
         close = ((x, y) for x in a for y in other[np.bitwise_count((other ^ np.int64(x)).view(np.uint64)) <= distance].tolist() if x != y)
@@ -189,10 +190,10 @@ def spanning_links(a: list[int], b: list[int], distance: int, every: bool = Fals
             yield x, y
 
 
-def _verify(distance: int, every: bool):
+def _verify(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges = [e for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in spanning_links(a, b, distance, every)]
+            edges = [e for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in spanning_links(a, b, distance)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     return run
@@ -207,7 +208,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.groupBy(*key, "block").agg(F.collect_list("fp").alias("members"))
 
 
-def links(fps: DataFrame, distance: int, every: bool = False) -> DataFrame:
+def links(fps: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) between distinct values ``fp`` whose closure joins all values that differ in <= distance bits.
 
     Buckets of the index (own value of a part) are compared with themselves and with the probes that fall in
@@ -230,7 +231,7 @@ def links(fps: DataFrame, distance: int, every: bool = False) -> DataFrame:
     own = a.join(index.select(*key, F.col("block").alias("j"), F.col("members").alias("b")), key).filter("i <= j AND (i < j OR size(a) > 1)")
     probed = a.join(probes.select(*key, F.col("members").alias("b")), key)
     pairs = own.select("a", "b").union(probed.select("a", "b")).repartition(partitions(fps))
-    return pairs.mapInArrow(_verify(distance, every), "a long, b long")
+    return pairs.mapInArrow(_verify(distance), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -253,51 +254,148 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(of_class, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(width: int, least: float):
-    """Of pairs of texts, those whose sets of shingles overlap by ``least`` of their union."""
+def _shingle_sets(width: int):
+    """The text of each row (its last column) becomes its set of shingle hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py().lower().split(), width)).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["spot", "row", "fp", "fp2", "shingles"])
+
+    return run
+
+
+def similar_links(rows: list[tuple[int, int, int, int, int, bytes]], distance: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links that join all similar texts of a block, or of two blocks: a spanning forest of checked links.
 
-    def shingles(text: bytes) -> set[bytes]:
-        words = text.lower().split()
-        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    ``rows`` are (side, row, group, fp, fp2, shingles). Of two sides only texts of different sides are compared.
+    Each pair within ``distance`` bits of either fingerprint is checked, unless checked links or the groups
+    already join it.
+    """
+    side, row, label = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    prints = [np.array([r[k] for r in rows], np.int64) for k in (3, 4)]
+    sets: dict[int, set[int]] = {}
+
+    def shingles(i: int) -> set[int]:
+        if i not in sets:
+            sets[i] = set(np.frombuffer(rows[i][5], np.uint64).tolist())
+        return sets[i]
+
+    crossed = len(rows) > 0 and (side != side[0]).any()
+    for x in range(len(rows) - 1):
+        near = np.zeros(len(rows) - x - 1, bool)
+        for f in prints:
+            near |= np.bitwise_count((f[x + 1 :] ^ f[x]).view(np.uint64)) <= distance
+        near &= label[x + 1 :] != label[x]
+        if crossed:
+            near &= side[x + 1 :] != side[x]
+        for y in (np.flatnonzero(near) + x + 1).tolist():
+            small, large = sorted((len(rows[x][5]), len(rows[y][5])))
+            if label[x] == label[y] or small < least * large:
+                continue
+            common = len(shingles(x) & shingles(y))
+            if common >= least * ((small + large) // 8 - common):
+                label[label == label[y]] = label[x]
+                yield int(row[x]), int(row[y])
+
+
+def _check_blocks(distance: int, least: float):
+    """Links of each job (spot, i, j), whose rows follow each other; a worker holds one job at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = list(similar_links(held, distance, least))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = shingles(x.as_py()), shingles(y.as_py())
-                keep.append(len(a & b) >= least * len(a | b))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for spot, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (spot, i, j) != job:
+                    if len(held) > 1:
+                        yield flush()
+                    job, held = (spot, i, j), []
+                held.append(tuple(rest))
+        if len(held) > 1:
+            yield flush()
 
     return run
 
 
-def candidate_pairs(classes: DataFrame, column: str, distance: int) -> DataFrame:
-    """(x, y): pairs of classes, named by their smallest ids, whose fingerprints are equal or close."""
+def checked_links(jobs: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(a, b), written: the links of all jobs; ``jobs`` has spot, i, j, side, row, group, fp, fp2 and shingles."""
+    key = ["spot", "i", "j"]
+    dealt = jobs.select(*key, "side", "row", "group", "fp", "fp2", "shingles").repartition(partitions(jobs), *key).sortWithinPartitions(*key, "side", "row")
+    with arrow_rows(jobs.sparkSession, TEXTS):
+        return written(dealt.mapInArrow(_check_blocks(distance, similarity), "a long, b long"))
+
+
+def in_parts(members: DataFrame, key: list[str]) -> DataFrame:
+    """``members`` with ``part``, the block it is dealt to, and ``n_parts`` of its key, by number and by bytes."""
+    number = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy(*key).agg(number.alias("n_parts"))
+    return members.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("row"), F.col("n_parts")).cast("int"))
+
+
+def similar_pairs(members: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(a, b): checked links whose closure joins all similar texts of a spot; ``members`` has spot, row, fp, fp2, shingles.
+
+    A spot's texts are first checked block by block. Where a spot has several blocks, its largest group of
+    linked texts needs no more checks within itself: the other texts are checked block by block against each
+    other and against that group, so a hot spot of true copies costs few checks.
+    """
+    dealt = written(in_parts(members, ["spot"]))
+    same = dealt.select("*", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), F.col("row").alias("group"))
+    first = checked_links(same, distance, similarity)
+    large = dealt.filter("n_parts > 1").drop("part", "n_parts")
+    if large.isEmpty():
+        return first
+    grouped = large.join(components(first), F.col("row") == F.col("node"), "left").withColumn("group", F.coalesce("component", "row")).drop("node", "component")
+    largest = grouped.groupBy("spot", "group").agg(F.count("*").alias("n")).groupBy("spot").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
+    split = grouped.join(largest, "spot").withColumn("other", F.col("group") != F.col("main")).drop("main")
+    placed = written(in_parts(split, ["spot", "other"]))
+    counts = placed.filter("other").groupBy("spot").agg(F.first("n_parts").alias("n_others"))
+    spread = placed.join(counts, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1)))
+    # others meet others in the jobs (smaller block, larger block), the largest group in the jobs (block, -1 - its block)
+    others = spread.filter("other").select("*", F.least("part", "at").alias("i"), F.greatest("part", "at").alias("j"), F.col("part").alias("side"))
+    main = spread.filter("NOT other").select("*", F.col("at").alias("i"), (-1 - F.col("part")).alias("j"), F.lit(1).alias("side"))
+    blocks = placed.filter("NOT other").groupBy("spot").agg(F.first("n_parts").alias("n_main"))
+    facing = placed.filter("other").join(blocks, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_main") - 1)))
+    facing = facing.select("*", F.col("part").alias("i"), (-1 - F.col("at")).alias("j"), F.lit(0).alias("side"))
+    columns = ["spot", "i", "j", "side", "row", "group", "fp", "fp2", "shingles"]
+    jobs = others.select(*columns).unionByName(main.select(*columns)).unionByName(facing.select(*columns))
+    return first.unionByName(checked_links(jobs, distance, similarity))
+
+
+def close_classes(classes: DataFrame, column: str, distance: int) -> DataFrame:
+    """(a, b): links between classes, named by their smallest rows, whose closure joins all of equal or close fingerprints."""
     heads = classes.groupBy(F.col(column).alias("f")).agg(F.min("least").alias("head"))
-    edges = links(heads.select(F.col("f").alias("fp")), distance, every=True)
+    edges = links(heads.select(F.col("f").alias("fp")), distance)
     edges = edges.join(heads.select(F.col("f").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("f").alias("b"), F.col("head").alias("q")), "b").select("p", "q")
     within = classes.join(heads, F.col(column) == F.col("f")).filter("least <> head").select(F.col("head").alias("p"), F.col("least").alias("q"))
-    return edges.unionByName(within).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    return edges.unionByName(within).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
     """(id, keep): ids of documents that are exact or near copies, and the smallest id of their group.
 
     Texts of equal bytes are one class. Each text has two independent fingerprints; classes that differ in
-    ``distance`` bits or fewer of either are candidates, and linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
-    or more; groups are the connected classes. Classes with one fingerprint are candidates through the smallest
-    of them. Very large blocks of near fingerprints give a spanning forest of candidates instead of each pair.
+    ``distance`` bits or fewer of either are candidates, and linked if their sets of ``width``-word shingles (as
+    64-bit hashes) have a Jaccard similarity of ``similarity`` or more; groups are the connected classes. The
+    closure of close fingerprints parts the classes into spots; within a spot every candidate pair is checked
+    unless checked links already join it, so no link is lost however dense the spot is.
     Ids must be unique; rows with null ids take no part.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).filter("id IS NOT NULL")
     hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     with arrow_rows(docs.sparkSession, TEXTS):
         rows = written(fingerprints(texts, "id", "text", width, 2).join(hashed, "id"))
-    classes = rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("id").alias("least"))
-    candidates = written(candidate_pairs(classes, "fp", distance).unionByName(candidate_pairs(classes, "fp2", distance)).distinct())
-    left = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("t")), "x")
-    both = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("u")), "y").select("x", "y", "t", "u")
-    linked = both.mapInArrow(_similar(width, similarity), "x long, y long")
-    joined = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    classes = written(rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("id").alias("least")))
+    spots = components(close_classes(classes, "fp", distance).unionByName(close_classes(classes, "fp2", distance)))
+    members = classes.join(spots, F.col("least") == F.col("node")).select(F.col("component").alias("spot"), F.col("least").alias("row"), "fp", "fp2")
+    members = members.join(texts.select(F.col("id").alias("row"), "text"), "row").select("spot", "row", "fp", "fp2", "text")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        members = written(members.mapInArrow(_shingle_sets(width), "spot long, row long, fp long, fp2 long, shingles binary"))
+    joined = components(similar_pairs(members, distance, similarity))
     roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "least").alias("keep"))
     return rows.join(roots, ["h1", "h2"]).filter("id <> keep").select("id", "keep")

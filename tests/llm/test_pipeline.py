@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -113,3 +114,28 @@ def test_near_duplicates_by_brute_force(docs):
 def test_partial_copies_keep_what_stands_between(docs):
     got = mixed_texts(docs([(1, " a\tb\n\nc d", "en", "x", 1)])).collect()
     assert sorted(r.text for r in got) == [" a\tb", " a\tb\n\nc d"]
+
+
+def test_near_duplicates_lose_nothing_in_a_dense_group(docs, monkeypatch):
+    from planweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 256)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(2500):
+        words = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3, 4))):
+            words[rng.randrange(60)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    prints = np.array([simhash.fingerprint_pair(t.encode(), 5) for _, t in rows], np.uint64)
+    root = np.arange(len(rows))
+    for a in range(len(rows)):
+        close = (np.bitwise_count(prints ^ prints[a]) <= 8).any(axis=1) & (root != root[a])
+        for b in np.flatnonzero(close).tolist():
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root[root == high] = low
+    want = {i: int(root[i]) for i in range(len(rows)) if root[i] != i}
+    assert len(want) > 1000
+    assert {r.id: r.keep for r in near_duplicates(docs(rows)).collect()} == want
