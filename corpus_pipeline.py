@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import documents, written
+from planweave.llm.common import documents, numbered, written
 from planweave.llm.line_dedup import dedup_lines
 from planweave.llm.mixing import mixed_texts
 from planweave.llm.packing import best_fit_packing
 from planweave.llm.queries import tokenizer_file
-from planweave.llm.simhash import near_duplicates
+from planweave.llm.simhash import near_copies
 from planweave.llm.toxicity import without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,9 +29,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest id."""
-    gone = near_duplicates(docs).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row of smallest id; ids may be null or repeat."""
+    rows = numbered(docs)
+    gone = near_copies(rows, "__row").select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

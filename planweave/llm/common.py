@@ -41,6 +41,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with a row number, written so that the number stays when a task runs again; ids may be null or repeat."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within this block Python functions get that many rows at a time, as whole texts make large batches."""

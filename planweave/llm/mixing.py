@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import WORD, written
+from planweave.llm.common import WORD, numbered, written
 
 #: Words that an output shard should hold of the mix, most levels of the tree, and words in a block.
 SHARD_WORDS = 2_000_000
@@ -127,7 +127,7 @@ def split_quotas(shares: DataFrame, levels: int, seed: int) -> DataFrame:
     return rows.select("source", "source_size", "target", "copies", "shard", (F.col("quota") + more).alias("quota"))
 
 
-def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0, shard_words: int = SHARD_WORDS, row_column: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, shard, position.
 
     ``size`` counts the words of the text (null: 0), ``taken`` the words that the mix takes of it, repeats
@@ -135,14 +135,16 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     documents in a permuted order until the shard's quota is reached; the last one is taken in part. The sum
     of a source's ``taken`` is its target, rounded. ``position`` is the row's place in its shard's shuffled
     order. Null sources are one source, which comes last; null ids and repeated rows are rows like others; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. ``row_column``, a number of each row, is kept where it is given
+    and parts rows of one id and size.
 
     Documents fall to shards by hash, so a source of a third of all rows is spread over all shards; a window
     only ever orders one shard. Only sizes are shuffled, never texts.
     """
     # the text is reduced to its number of words in the scan
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size")))
+    row = [row_column] if row_column else []
+    sizes = written(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *row))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     levels = min(MAX_LEVELS, max(0, math.ceil(math.log2(max(1.0, TOTAL_SHARE * total / shard_words)))))
     shards = 1 << levels
@@ -163,24 +165,25 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # a table of its own, so that the tree is walked once however the join below is planned
     quotas = written(quotas)
     same = placed["source"].eqNullSafe(quotas["source"]) & (placed["shard"] == quotas["shard"])
-    joined = placed.join(quotas, same).select("doc_id", placed["source"], "size", "source_size", "target", "copies", "quota", placed["shard"])
-    permuted = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "doc_id", "size")
+    joined = placed.join(quotas, same).select("doc_id", placed["source"], "size", "source_size", "target", "copies", "quota", placed["shard"], *row)
+    permuted = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "doc_id", "size", *row)
     before = F.sum("size").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = F.greatest(F.lit(0), F.least("size", F.col("quota") - before))
     taken = joined.withColumn("taken", (F.col("copies") * F.col("size") + part).cast("long"))
-    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id", "size")
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.row_number().over(shuffled).cast("long").alias("position"))
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id", "size", *row)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.row_number().over(shuffled).cast("long").alias("position"), *row)
 
 
 def mixed_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for every copy that ``mix_sources`` takes of a document.
 
     The last copy of a document that is taken in part holds its first words, with what stands between them. Documents of which
-    nothing is taken go. Ids must be unique.
+    nothing is taken go. Rows are told apart by a written number, so ids may be null or repeat.
     """
     names = docs.columns
-    taken = mix_sources(docs, id_column, text_column, source_column).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    copies = docs.join(taken, F.col(id_column) == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("long"))))
+    rows = numbered(docs)
+    taken = mix_sources(rows, id_column, text_column, source_column, row_column="__row").filter("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    copies = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("long"))))
     words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(text_column, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), words), "")
     text = F.when(words == F.col("__size"), F.col(text_column)).otherwise(first)

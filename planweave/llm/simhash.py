@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import arrow_rows, components, partitions, text_bytes, written
+from planweave.llm.common import arrow_rows, components, numbered, partitions, text_bytes, written
 
 SEED = 42
 #: Fingerprints on which bit correlations and candidate counts are estimated; every fingerprint is indexed.
@@ -376,26 +376,35 @@ def close_classes(classes: DataFrame, column: str, distance: int) -> DataFrame:
     return edges.unionByName(within).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
-    """(id, keep): ids of documents that are exact or near copies, and the smallest id of their group.
+def near_copies(docs: DataFrame, row_column: str, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
+    """(row, id, keep): rows that are exact or near copies of another row of their group, and the id of the row that stays.
 
     Texts of equal bytes are one class. Each text has two independent fingerprints; classes that differ in
     ``distance`` bits or fewer of either are candidates, and linked if their sets of ``width``-word shingles (as
     64-bit hashes) have a Jaccard similarity of ``similarity`` or more; groups are the connected classes. The
     closure of close fingerprints parts the classes into spots; within a spot every candidate pair is checked
     unless checked links already join it, so no link is lost however dense the spot is.
-    Ids must be unique; rows with null ids take no part.
+    ``row_column`` numbers the rows; ids may be null or repeat. Of each group the row of smallest id stays, null
+    ids last, and of those the smallest row number.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).filter("id IS NOT NULL")
-    hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    texts = docs.select(F.col(row_column).alias("row"), F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text"))
+    hashed = texts.select("row", F.col("id").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     with arrow_rows(docs.sparkSession, TEXTS):
-        rows = written(fingerprints(texts, "id", "text", width, 2).join(hashed, "id"))
-    classes = written(rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("id").alias("least")))
+        rows = written(fingerprints(texts, "row", "text", width, 2).withColumnRenamed("id", "row").join(hashed, "row"))
+    classes = written(rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("row").alias("least")))
     spots = components(close_classes(classes, "fp", distance).unionByName(close_classes(classes, "fp2", distance)))
     members = classes.join(spots, F.col("least") == F.col("node")).select(F.col("component").alias("spot"), F.col("least").alias("row"), "fp", "fp2")
-    members = members.join(texts.select(F.col("id").alias("row"), "text"), "row").select("spot", "row", "fp", "fp2", "text")
+    members = members.join(texts.select("row", "text"), "row").select("spot", "row", "fp", "fp2", "text")
     with arrow_rows(docs.sparkSession, TEXTS):
         members = written(members.mapInArrow(_shingle_sets(width), "spot long, row long, fp long, fp2 long, shingles binary"))
     joined = components(similar_pairs(members, distance, similarity))
-    roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "least").alias("keep"))
-    return rows.join(roots, ["h1", "h2"]).filter("id <> keep").select("id", "keep")
+    roots = classes.join(joined, F.col("least") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "least").alias("root"))
+    placed = rows.join(roots, ["h1", "h2"]).select("row", "doc", "root")
+    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"))
+    return placed.join(stays, "root").filter("row <> first.row").select("row", F.col("doc").alias("id"), F.col("first.doc").alias("keep"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
+    """(id, keep): a row for each row of ``near_copies``, for any table; a null or repeated id does not tell which."""
+    rows = numbered(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")))
+    return near_copies(rows, "__row", "doc_id", "text", width, distance, similarity).select("id", "keep")

@@ -139,3 +139,23 @@ def test_near_duplicates_lose_nothing_in_a_dense_group(docs, monkeypatch):
     want = {i: int(root[i]) for i in range(len(rows)) if root[i] != i}
     assert len(want) > 1000
     assert {r.id: r.keep for r in near_duplicates(docs(rows)).collect()} == want
+
+
+def test_null_and_repeated_ids_go_as_rows(spark, docs):
+    copy, other = " ".join(f"c{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    near = copy.replace("c39", "d")
+    rows = [(1, copy), (1, copy), (1, other), (None, copy), (None, near), (None, "null id alone"), (2, near), (3, "a b c")]
+    rows = [(i, t, "en", "x", len(t)) for i, t in rows]
+    got = corpus_pipeline.simhash_dedup(spark, docs(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, copy), (1, other), (None, "null id alone"), (3, "a b c")], key=repr)
+
+
+def test_mix_of_null_and_repeated_ids(docs):
+    rows = [(None, "a b c"), (None, "d e f g"), (7, "h i"), (7, "j k"), (7, "h i"), (8, "l m n o p")]
+    rows = [(i, t, "en", "x", len(t)) for i, t in rows]
+    taken = sorted(((r.doc_id, r.taken) for r in mix_sources(docs(rows)).collect()), key=repr)
+    got = mixed_texts(docs(rows)).collect()
+    assert sum(len(r.text.split()) for r in got) == sum(n for _, n in taken)
+    for i in (None, 7, 8):
+        assert sum(len(r.text.split()) for r in got if r.doc_id == i) == sum(n for j, n in taken if j == i)
+    assert {r.text for r in got} >= {t for _, t, *_ in rows}
