@@ -42,8 +42,10 @@ SIGN = "[0134578@$!|+9]"
 MIXED = re.compile(rf"{LETTER}{SIGN}|{SIGN}{LETTER}|({LETTER})\1\1")
 #: Three single letters or more, held apart by one sign or space each.
 SPACED = re.compile(rf"(?<![^\W_])(?:{LETTER}[ .*_\-]){{2,}}{LETTER}(?![^\W_])")
-#: Words longer than this are no disguised words: they are weighed as they stand.
-LONGEST = 60
+#: What stands between separators inside a token.
+PIECE = re.compile(r"(?:[^\W_]|[@$!|+])+")
+#: Letters of a path that are held as one string; the strings of a longer path are linked, so its cost is linear.
+LINKED = 64
 
 #: Classes of the language model: word break, a-z, any other letter.
 CLASSES = 28
@@ -81,14 +83,17 @@ def decode(token: str, model: list) -> str:
     """The likeliest letters behind a token: the Viterbi path through the lattice of its characters.
 
     A state is the classes of the last two letters and the last character kept. Each character may stand for
-    itself or a letter of LEET, and a repeated letter or a sign between letters may be dropped.
+    itself or a letter of LEET, and a repeated letter or a sign between letters may be dropped. A character has
+    few readings, so the states are few and the cost grows in proportion to the token.
     """
     start = (0, 0, "")
-    paths: dict[tuple[int, int, str], tuple[float, str]] = {start: (0.0, "")}
+    paths: dict[tuple[int, int, str], tuple[float, tuple | None, str]] = {start: (0.0, None, "")}
     for c in token:
         letters = LEET.get(c, "")
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, last), (cost, text) in paths.items():
+        after: dict[tuple[int, int, str], tuple[float, tuple | None, str]] = {}
+        for (a, b, last), (cost, before, text) in paths.items():
+            if len(text) >= LINKED:
+                before, text = (before, text), ""
             steps = [(x, SUBSTITUTED) for x in letters]
             if c.isalpha():
                 steps.append((c, 0.0))
@@ -107,20 +112,29 @@ def decode(token: str, model: list) -> str:
                 else:
                     state, value = (a, b, last), cost + channel
                 if state not in after or value > after[state][0]:
-                    after[state] = (value, text + x)
+                    after[state] = (value, before, text + x)
         paths = after
-    return max(paths.items(), key=lambda p: p[1][0] + model[p[0][0]][p[0][1]][0])[1][1]
+    _, before, text = max(paths.items(), key=lambda p: p[1][0] + model[p[0][0]][p[0][1]][0])[1]
+    found = [text]
+    while before is not None:
+        before, text = before
+        found.append(text)
+    return "".join(reversed(found))
 
 
 WORDS = re.compile(r"[^\W_]+")
 
 
 def forms(word: str, model: list) -> list[str]:
-    """The words in a lower-case token, and those of its restored form if it looks disguised."""
+    """The words in a lower-case token, and if it looks disguised those of its restored form, as a whole and
+    with what stands between separators restored by itself."""
     found = WORDS.findall(word)
     core = word.strip(".,;:?!\"'()")
-    if len(core) <= LONGEST and MIXED.search(core):
+    if MIXED.search(core):
         found += WORDS.findall(decode(core, model))
+        pieces = PIECE.findall(core)
+        if len(pieces) > 1:
+            found += [x for p in pieces if MIXED.search(p) for x in WORDS.findall(decode(p, model))]
     return found
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from planweave.llm import queries
-from planweave.llm.toxicity import CLASSES, MIXED, SPACED, decode, held_out, ln_model, score_toxicity, tokens, trigram_counts
+from planweave.llm.toxicity import CLASSES, MIXED, SPACED, decode, forms, held_out, ln_model, score_toxicity, tokens, trigram_counts
 
 CLEAN = "the river ran past old houses and green fields while people spoke of rain bread music letters travel and winter light".split()
 TOXIC = ["grobnik", "snurfel", "idioten"]
@@ -85,3 +85,11 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
     toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     assert np.mean([t > c for t in toxic for c in clean]) > 0.95
+
+
+def test_long_tokens_are_restored(model):
+    long = "_".join(["r1v3r", "gr0bn1k", "h0us3s"] * 8)
+    assert len(long) > 60 and {"river", "grobnik", "houses"} <= set(forms(long, model))
+    assert "grobnik" in forms("-".join(["br3ad", "gr0bnik"]), model)
+    assert "snurfel" in forms("sn" + "u" * 100 + "rfel", model)
+    assert decode("1d10t3n" * 300, model)[:7] == "idioten"
