@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: What the pattern [^\x20\x09-\x0D]+ calls a word; Java and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes of a batch that a Python function gets.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,31 +24,65 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Where that is unset, the warehouse takes its place on a cluster, and a temporary folder where driver and
+    executors are one process, as in tests.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("spark.planweave.shared.dir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="planweave-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+        own = "file://" + tempfile.mkdtemp(prefix="planweave-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/planweave-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.planweave.shared.dir", own)
     return own
 
 
+#: Folders of written tables, for each open block of ``cleared``.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for block in _made[-1:]:
+        block.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Tables written within the block are deleted at its end; its result must be written outside of it."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
 def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
     """``df`` with a row number, written so that the number stays when a task runs again; ids may be null or repeat."""
     return written(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on the session's Python functions get at most BATCH_BYTES at a time, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within this block Python functions get that many rows at a time, as whole texts make large batches."""
@@ -58,13 +95,17 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("table-"):
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1].startswith("table-"):
+            delete(df.sparkSession, folder)
 
 
 def partitions(df: DataFrame) -> int:
@@ -76,15 +117,15 @@ def text_bytes(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each round only groups and joins edges by node, so no
-    component is gathered anywhere. A hot node's neighbours are reduced to their minimum by a partial
-    aggregate and joined back, a join that adaptive execution may split.
+    Nodes are of any type that Spark orders. Alternating large-star and small-star rounds, until nothing changes: each round only groups and joins edges
+    by node, so no component is gathered anywhere. A hot node's neighbours are reduced to their minimum by a
+    partial aggregate and joined back, a join that adaptive execution may split.
     """
     both = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour larger than the node points to the smallest of node and neighbours
         sides = both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -99,6 +140,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = after
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return both.select(F.col("a").alias("node"), F.col("b").alias("component")).union(both.select(F.col("b"), F.col("b")).distinct())

@@ -3,21 +3,20 @@ import random
 from planweave.llm.line_dedup import dedup_lines
 
 
-def brute(rows, least=8):
-    """Deletes the lines of every 2**j-line run with enough words that also starts earlier."""
+def brute(rows, least=8, longest=None):
+    """Deletes the lines of every run, of any number of lines, with enough words that also starts earlier."""
     order = sorted({(i if i is not None else -(2**63), t) for i, t in rows if t is not None})
     lines = {(i, t): t.split("\n") for i, t in order}
     gone = {k: set() for k in lines}
-    size = 1
-    while any(len(v) >= size for v in lines.values()):
+    counts = {k: [len(x.split()) for x in v] for k, v in lines.items()}
+    for size in range(1, longest + 1 if longest else max(map(len, lines.values()), default=0) + 1):
         seen = set()
         for k, v in lines.items():
             for at in range(len(v) - size + 1):
                 run = tuple(v[at : at + size])
-                if run in seen and sum(len(x.split()) for x in run) >= least:
+                if run in seen and sum(counts[k][at : at + size]) >= least:
                     gone[k] |= set(range(at, at + size))
                 seen.add(run)
-        size *= 2
     out = []
     for i, t in rows:
         if t is None:
@@ -62,5 +61,21 @@ def test_columns_stay(spark):
     assert (got[2].text, got[2].n_removed, got[2].at, got[2].longest_run) == ("", 1, 1, 1) and got[1].n_removed == 0
 
 
+def test_runs_of_any_length(docs):
+    shared = ["one two three", "four five six", "seven eight nine"]
+    assert [r[3] for r in run(docs, [(1, "\n".join(shared)), (2, "\n".join(["own", *shared, "last"]))])] == [0, 3]
+    blank = ["a b c d", "", "", "", "", "", "e f g h", "", "i"]
+    rows = [(1, "\n".join(["w " * 20, "x y", "z v"])), (2, "\n".join(["first", "w " * 20, "x y", "z v"])), (3, "\n".join(blank)), (4, "\n".join([*blank[:-1], "j"])), (5, "\n".join(["q", *blank]))]
+    assert run(docs, rows) == brute(rows)
+    assert [r[3] for r in run(docs, rows)][:2] == [0, 3]
+
+
+def test_random_short_lines(docs):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice(["", "a", "b", "a b", "c d e", "f"]) for _ in range(rng.randrange(1, 40)))) for i in range(25)]
+    assert run(docs, rows) == brute(rows)
+    assert run(docs, rows, least_words=3) == brute(rows, 3)
+
+
 def test_sql(against_duckdb):
     against_duckdb("op7_line_dedup")
