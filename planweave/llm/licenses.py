@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planweave.llm.common import let, written
+
 #: Words are runs of what is no separator, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted: every word must stand there.
@@ -34,47 +37,74 @@ NEAR_DIAGONALS = 3
 NEAR_WORDS = 8
 
 
-def templates() -> list[tuple[int, str, bool, int, str, int]]:
-    """(template, label, base, position, word pair, votes): the word pairs of each template that vote."""
+def templates() -> list[tuple[int, str, bool, int, str, str, int]]:
+    """(template, label, base, position, word, next word, votes): the word pairs of each template that vote."""
     out = []
     for t, (label, phrase) in enumerate(BASE + NOTICES):
         words = phrase.split()
-        pairs = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if t < len(BASE) or not {a, b} <= COMMON]
-        out += [(t, label, t < len(BASE), i, pair, len(pairs)) for i, pair in pairs]
+        pairs = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if t < len(BASE) or not {a, b} <= COMMON]
+        out += [(t, label, t < len(BASE), i, a, b, len(pairs)) for i, a, b in pairs]
     return out
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def pair_hash(word: str, after: str) -> int:
+    """What Spark's xxhash64(word, after) gives."""
+    hashed = xxhash.xxh64_intdigest(after.encode(), xxhash.xxh64_intdigest(word.encode(), 42))
+    return hashed - (1 << 64) if hashed >> 63 else hashed
+
+
+def word_pairs(text: Column) -> Column:
+    """An array of (place, word, after, hash, n_words): a text's word pairs whose hash stands in the templates'
+    hash set, and one entry at place -1 for the text itself."""
+    words = F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), "")
+    wanted = sorted({pair_hash(a, b) for *_, a, b, _ in templates()})
+
+    def pairs(w: Column) -> Column:
+        n = F.size(w).cast("long").alias("n_words")
+        hashed = F.transform(w, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("word"), F.get(w, i + 1).alias("after"), F.xxhash64(x, F.get(w, i + 1)).alias("hash"), n))
+        none = F.lit(None).cast("string")
+        own = F.struct(F.lit(-1).cast("long").alias("place"), none.alias("word"), none.alias("after"), F.lit(None).cast("long").alias("hash"), n)
+        return F.concat(F.array(own), F.filter(hashed, lambda p: p["hash"].isin(wanted)))
+
+    return let(words, pairs)
+
+
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Every word pair of every whole text is hashed and joined to the templates' word pairs, and the pairs
-    themselves compared. A hit votes for its template's diagonal (place in the text less place in the
-    template). A base phrase stands where a diagonal has all its votes. For notices, diagonals at most
-    NEAR_DIAGONALS apart whose hits follow each other within NEAR_WORDS merge to a span, which is verified by
-    its share of the template's places: LEAST_SHARE or more gives the label. ``score`` is the largest share of
+    Every word pair of every whole text is hashed; the hashes are joined to the templates' word pairs, and the
+    words themselves compared. A hit votes for its template's diagonal (place in the text less place in the
+    template). A base phrase stands where a diagonal has all its votes. For notices, diagonals that follow each
+    other by at most NEAR_DIAGONALS merge, and their hits are parted to spans where more than NEAR_WORDS words lie
+    between two. A span is verified by the different places of the template whose words stand in it: a share of
+    LEAST_SHARE or more gives the label. ``score`` is the largest share of
     a base phrase or a verified span, 0 if there is none. A null text is empty; null ids and repeated rows are
     rows like others; labels are empty strings where there is none; an empty table gives no rows; other columns
-    are ignored. A text's hits are few and grouped by id and content hash, so no key grows with the input.
+    are ignored. Texts are read once: their hits are written with a number of the row, so repeated rows stay
+    apart, and no key grows with the input.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    words = F.array_remove(F.split(F.lower("text"), SEPARATORS), "")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("content"), words.alias("words"))
-    pair = lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1))
-    grams = rows.select("doc_id", "content", F.posexplode(F.transform("words", pair)).alias("place", "gram"))
-    table = docs.sparkSession.createDataFrame(templates(), "template int, label string, base boolean, at int, pair string, votes int")
-    table = F.broadcast(table.withColumn("hash", F.xxhash64("pair")))  # as large as the constants above
-    hits = grams.join(table, (F.xxhash64("gram") == F.col("hash")) & (F.col("gram") == F.col("pair")))
-    key = ["doc_id", "content", "template", "label", "base", "votes"]
-    hits = hits.select(*key, "at", F.col("place").cast("long").alias("place"), (F.col("place") - F.col("at")).cast("long").alias("diagonal")).distinct()
-    diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
-    base = diagonals.filter("base AND n = votes").select(*key, F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-    order = Window.partitionBy("doc_id", "content", "template").orderBy("first", "diagonal")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    apart = (F.col("first") > F.max("last").over(before) + NEAR_WORDS) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR_DIAGONALS)
-    spans = diagonals.filter("NOT base").withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(order))
-    spans = spans.groupBy(*key, "span").agg(F.sum("n").alias("n"), F.min("first").alias("start"))
-    spans = spans.withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("votes"))).filter(F.col("share") >= LEAST_SHARE).select(*key, "start", "share")
-    found = base.unionByName(spans).groupBy(F.col("doc_id").alias("found_id"), F.col("content").alias("found_content")).agg(
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    grams = rows.select("row", "doc_id", F.explode(word_pairs(F.col("text"))).alias("g")).select("row", "doc_id", "g.*")
+    listed = [(*t, pair_hash(t[4], t[5])) for t in templates()]
+    table = docs.sparkSession.createDataFrame(listed, "template int, label string, base boolean, at int, w string, a string, votes int, h long")
+    # broadcast: as large as the constants above
+    met = grams.join(F.broadcast(table), (F.col("hash") == F.col("h")) & (F.col("word") == F.col("w")) & (F.col("after") == F.col("a")), "left")
+    met = written(met.filter("place = -1 OR template IS NOT NULL").select("row", F.when(F.col("place") == -1, F.col("doc_id")).alias("doc_id"), F.when(F.col("place") == -1, F.col("n_words")).alias("n_words"), "place", "template", "label", "base", "at", "votes"))
+    key = ["row", "template", "label", "base", "votes"]
+    hits = met.filter("place >= 0").select(*key, "at", "place", (F.col("place") - F.col("at")).alias("diagonal"))
+    base = hits.filter("base").groupBy(*key, F.col("diagonal").alias("start")).agg(F.count("*").alias("n")).filter("n = votes").select(*key, "start", F.lit(1.0).alias("share"))
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal", "place")
+    far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR_DIAGONALS).cast("int"), F.lit(0))
+    chained = hits.filter("NOT base").withColumn("far", far).withColumn("chain", F.sum("far").over(by_diagonal))
+    by_place = Window.partitionBy("row", "template", "chain").orderBy("place", "diagonal")
+    apart = F.coalesce((F.col("place") - F.lag("place").over(by_place) > NEAR_WORDS).cast("int"), F.lit(0))
+    spans = chained.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by_place)).groupBy(*key, "chain", "span")
+    spans = spans.agg(F.count_distinct("at").alias("n"), F.min("place").alias("start")).withColumn("share", F.col("n") / F.col("votes"))
+    found = base.unionByName(spans.filter(F.col("share") >= LEAST_SHARE).select(*key, "start", "share")).groupBy("row").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
@@ -82,28 +112,28 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    sized = rows.select("doc_id", "content", F.size("words").cast("long").alias("n_words"))
-    joined = sized.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content")), "left")
+    joined = met.filter("place = -1").select("row", "doc_id", "n_words").join(found, "row", "left")
     none = F.lit("")
     return joined.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def duckdb_sql() -> str:
-    """The same rows by DuckDB: it compares the word pairs themselves instead of hashes."""
-    values = ", ".join(f"({t}, '{label}', {base}, {at}, '{pair}', {votes})" for t, label, base, at, pair, votes in templates())
+    """The same rows by DuckDB, without hashes."""
+    values = ", ".join(f"({t}, '{label}', {base}, {at}, '{a} {b}', {votes})" for t, label, base, at, a, b, votes in templates())
     return f"""
         WITH t(template, label, base, spot, pair, votes) AS (VALUES {values}),
-        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
         g AS (SELECT doc_id, unnest(range(1, len(words))) AS i, words FROM w),
         h AS (SELECT doc_id, template, label, base, votes, spot, i - 1 AS place, i - 1 - spot AS diagonal
               FROM (SELECT doc_id, i, words[i] || ' ' || words[i + 1] AS gram FROM g) JOIN t ON gram = pair),
-        d AS (SELECT doc_id, template, label, base, votes, diagonal, count(*) AS n, min(place) AS first, max(place) AS last FROM h GROUP BY ALL),
-        s AS (SELECT *, first > max(last) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {NEAR_WORDS}
-                OR abs(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal)) > {NEAR_DIAGONALS} AS apart FROM d WHERE NOT base),
-        p AS (SELECT *, sum(coalesce(apart::int, 0)) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM s),
-        f AS (SELECT doc_id, label, base, diagonal AS start, 1.0::double AS share FROM d WHERE base AND n = votes UNION ALL
-              SELECT doc_id, label, base, min(first), least(1.0, sum(n)::double / votes) FROM p GROUP BY doc_id, template, label, base, votes, span
-              HAVING least(1.0, sum(n)::double / votes) >= {LEAST_SHARE}),
+        d AS (SELECT doc_id, label, diagonal AS start FROM h WHERE base GROUP BY doc_id, template, label, votes, diagonal HAVING count(*) = votes),
+        s AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place) > {NEAR_DIAGONALS}, false)::int AS far FROM h WHERE NOT base),
+        c AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS chain FROM s),
+        q AS (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY doc_id, template, chain ORDER BY place, diagonal) > {NEAR_WORDS}, false)::int AS apart FROM c),
+        p AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template, chain ORDER BY place, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM q),
+        f AS (SELECT doc_id, label, true AS base, start, 1.0::double AS share FROM d UNION ALL
+              SELECT doc_id, label, false, min(place), count(DISTINCT spot)::double / votes FROM p GROUP BY doc_id, template, label, votes, chain, span
+              HAVING count(DISTINCT spot)::double / votes >= {LEAST_SHARE}),
         r AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
                 coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
               FROM f GROUP BY doc_id)

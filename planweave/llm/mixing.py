@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import WORD, numbered, written
+from planweave.llm.common import WORD, let, numbered, written
 
 #: Words that an output shard should hold of the mix, most levels of the tree, and words in a block.
 SHARD_WORDS = 2_000_000
@@ -22,11 +22,6 @@ TOTAL_SHARE = 1.5
 MAX_COPIES = 2.0
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def ln_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8, where its error is below 1e-10."""
     m = n + 8.0
