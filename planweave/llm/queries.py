@@ -95,10 +95,10 @@ ORACLE_SQL = {
           CASE WHEN h.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last_end + 1:n]))) END AS kept_sha256
         FROM t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN h ON t.doc_id = h.doc_id""",
     "op5_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+        p AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INT AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op1_license_scan": license_sql(),
     "op7_line_dedup": line_dedup_sql(),
