@@ -6,14 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, text_bytes
+from planweave.llm.common import bounded_batches, partitions, text_bytes, written
 
-#: Most bytes of distinct content that a bucket should hold.
+#: Most bytes of distinct content that a bucket should hold, and hash bits by which records are parted each time.
 BUCKET_BYTES = 32 << 20
-MAX_BITS = 48
+STEP_BITS = 8
 
 
 class ContentTable:
@@ -52,96 +52,74 @@ class ContentTable:
         return entry
 
 
-GROUP = pa.schema([("hash", pa.int64()), ("content", pa.binary()), ("best", pa.int64()), ("n", pa.int64())])
-RESULT = pa.schema([("text_sha256", pa.string()), ("best", pa.int64()), ("n", pa.int64())])
-
-
-def larger(a: int | None, b: int | None) -> int | None:
-    return b if a is None else a if b is None else max(a, b)
+#: A row per different content of a task (with content) and per further record of it (without).
+RECORD = pa.schema([("entry", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("size", pa.int64()), ("content", pa.binary())])
+ENTRY = pa.schema([("entry", pa.int64()), ("group", pa.int64()), ("text_sha256", pa.string())])
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """On the map side: equal contents of a task become one row with their largest id and their number."""
-    table, best, counts = ContentTable(), [], []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(table.hashes, pa.int64()), pa.array(table.contents, pa.binary()), pa.array(best, pa.int64()), pa.array(counts, pa.int64())], schema=GROUP)
-        table.clear()
-        best.clear()
-        counts.clear()
-        return out
-
+    """On the map side: the first record of each content of a task is the entry that the task's others belong to."""
+    table, first = ContentTable(), []
     for batch in batches:
-        for hashed, content, one in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            entry = table.add(content.as_py().lower(), hashed)
-            if entry == len(best):
-                best.append(one)
-                counts.append(1)
+        rows, ids, hashes = (batch.column(i).to_pylist() for i in range(3))
+        entries, contents = [], []
+        for row, hashed, content in zip(rows, hashes, batch.column(3), strict=True):
+            content = content.as_py().lower()
+            if (entry := table.add(content, hashed)) == len(first):
+                first.append(row)
+                contents.append(content)
             else:
-                best[entry] = larger(best[entry], one)
-                counts[entry] += 1
-            if table.bytes > BUCKET_BYTES:
-                yield flush()
-    if best:
-        yield flush()
+                contents.append(None)
+            entries.append(first[entry])
+        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), batch.column(0), batch.column(1), batch.column(2), pa.array([None if c is None else len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())], schema=RECORD)
+        if table.bytes > BUCKET_BYTES:
+            table.clear()
+            first.clear()
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come bucket by bucket; one bucket's distinct contents are held at a time."""
-    table, best, counts, current = ContentTable(), [], [], None
-
-    def flush() -> pa.RecordBatch:
-        digests = [hashlib.sha256(c).hexdigest() for c in table.contents]
-        out = pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(best, pa.int64()), pa.array(counts, pa.int64())], schema=RESULT)
-        table.clear()
-        best.clear()
-        counts.clear()
-        return out
-
+    """Rows come bucket by bucket; one bucket's different contents are held at a time. Entries of equal contents get
+    the first one's number as their group."""
+    table, groups, digests, current = ContentTable(), [], [], None
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
-        for bucket, hashed, content, one, n in zip(*columns[:2], batch.column(2), *columns[2:], strict=True):
+        found: list[tuple[int, int, str]] = []
+        for bucket, hashed, entry, content in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             if bucket != current:
-                if best:
-                    yield flush()
+                table.clear()
+                groups.clear()
+                digests.clear()
                 current = bucket
-            entry = table.add(content.as_py(), hashed)
-            if entry == len(best):
-                best.append(one)
-                counts.append(n)
-            else:
-                best[entry] = larger(best[entry], one)
-                counts[entry] += n
-    if best:
-        yield flush()
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(c.as_py().lower()).hexdigest() for c in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["id", "text_sha256"])
+            content = content.as_py()
+            at = table.add(content, hashed)
+            if at == len(groups):
+                groups.append(entry)
+                digests.append(hashlib.sha256(content).hexdigest())
+            found.append((entry, groups[at], digests[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * 3, ENTRY, strict=True)], schema=ENTRY)
 
 
-def bucket_bits(hashed: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """How many leading bits of the hash part the records: buckets are parted again until each fits.
+def parted(contents: DataFrame, bucket_bytes: int, step_bits: int = STEP_BITS) -> Iterator[DataFrame]:
+    """``contents`` with ``bucket``, in tables of buckets that fit.
 
-    A content counts once, as copies collapse before the exchange. One content longer than a bucket can't
-    be parted; the loop ends when further bits no longer make the largest bucket smaller.
+    The records are parted by the leading bits of their hash. Buckets that hold more than ``bucket_bytes`` of
+    different hashes' contents are written to spill files in the shared folder and parted again by further bits,
+    they alone, until none is left; a bucket of one hash can't be parted and is as large as that content.
     """
-    sizes = hashed.groupBy("hash").agg(F.max("size").alias("size"))
-    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
-    bits = 4
-    while (total or 0) > bucket_bytes << bits and bits < MAX_BITS:
-        bits += 4
-    while bits < MAX_BITS:
-        most = sizes.groupBy(F.shiftright("hash", 64 - bits)).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0
-        if most <= max(bucket_bytes, largest or 0):
-            break
-        bits += 4
-    return bits
-
-
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    rest, bits = contents, step_bits
+    while True:
+        rest = rest.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits))
+        # a content that several tasks hold counts once
+        sizes = rest.groupBy("bucket", "hash").agg(F.max("size").alias("size"))
+        large = sizes.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter((F.col("size") > bucket_bytes) & (F.col("n") > 1)).select("bucket")
+        large = written(large)
+        if bits >= 64 or large.isEmpty():
+            yield rest
+            return
+        yield rest.join(large, "bucket", "left_anti")
+        rest, bits = written(rest.join(large, "bucket", "left_semi").drop("bucket")), min(64, bits + step_bits)
+
+
+def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = BUCKET_BYTES, step_bits: int = STEP_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after lower-casing A-Z; null is the empty text. Of equal texts
@@ -149,21 +127,26 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     repeat an id and a text exactly one is kept. An empty table gives no
     rows. Other columns of ``docs`` are ignored, whatever their names.
 
-    The records are parted by a 64-bit hash of their content; the exchange's files are the spill files.
-    ``bucket_bits`` parts again until a bucket fits. Each bucket's complete contents are compared in an
-    open-addressing table. Copies collapse in each map task first, so a hot text costs a row a task.
+    Records are written once, with each task's copies of a content collapsed to one entry. Their contents are
+    parted by a 64-bit hash, again and again where a bucket doesn't fit, and each bucket's complete contents are compared in an
+    open-addressing table, which gives every entry its group. Records find their group's best row and size through their entry,
+    so a hot text is spread over as many entries as tasks saw it.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("content"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("content"))
     # lower() joins at least what lower-casing A-Z joins, so equal texts share a hash
-    rows = rows.select(F.xxhash64(F.lower(F.col("content").cast("string"))).alias("hash"), "content", "id")
-    bits = bucket_bits(rows.select("hash", F.octet_length("content").alias("size")), bucket_bytes)
-    local = rows.mapInArrow(_collapse, "hash long, content binary, best long, n long")
-    bucketed = local.select(F.shiftright("hash", 64 - bits).alias("bucket"), "hash", "content", "best", "n")
-    bucketed = bucketed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket")
-    groups = bucketed.mapInArrow(_bucketed, "text_sha256 string, best long, n long")
-    members = rows.select("id", "content").mapInArrow(_digests, "id long, text_sha256 string")
-    # repeated ids are told apart before the join, so that nothing above it keeps a hot group in one task
-    first = F.row_number().over(Window.partitionBy("text_sha256", "id").orderBy("text_sha256")) == 1
-    joined = members.withColumn("first", first).join(groups.select(F.col("text_sha256").alias("g"), "best", "n"), F.col("text_sha256") == F.col("g"))
-    kept = F.col("first") & F.col("id").eqNullSafe(F.col("best"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256")
+    rows = rows.select("row", "id", F.xxhash64(F.lower(F.col("content").cast("string"))).alias("hash"), "content")
+    records = written(rows.mapInArrow(_collapse, "entry long, row long, id long, hash long, size long, content binary"))
+    groups = None
+    for table in parted(records.filter("content IS NOT NULL").select("entry", "hash", "size", "content"), bucket_bytes, step_bits):
+        dealt = table.select("bucket", "hash", "entry", "content").repartition(partitions(docs), "bucket").sortWithinPartitions("bucket")
+        found = dealt.mapInArrow(_bucketed, "entry long, group long, text_sha256 string")
+        groups = found if groups is None else groups.unionByName(found)
+    groups = written(groups)
+    # of an entry's records, which stand in one task's output, the best and their number; then of each group's entries
+    kept = F.struct(F.col("id").isNotNull().alias("known"), "id", (-F.col("row")).alias("order"))
+    counted = records.groupBy("entry").agg(F.max(kept).alias("best"), F.count("*").alias("n"))
+    totals = groups.join(counted, "entry").groupBy("group").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    of_entry = groups.join(totals, "group").select("entry", F.col("best.id").alias("keep_id"), (-F.col("best.order")).alias("keep_row"), "n", "text_sha256")
+    joined = records.select("entry", "row", "id").join(of_entry, "entry")
+    return joined.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")

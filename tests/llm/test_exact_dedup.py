@@ -1,6 +1,6 @@
 import hashlib
 
-from planweave.llm.exact_dedup import ContentTable, exact_dedup
+from planweave.llm.exact_dedup import ContentTable, exact_dedup, parted
 
 ROWS = [(1, "Abc"), (2, "aBC"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 300_000), (8, "X" * 300_000), (None, "abc"), (None, "alone"), (9, "k"), (10, "K")]
 
@@ -18,8 +18,25 @@ def expected(rows):
 
 
 def test_matches_brute_force(docs):
-    for size in (1, 1 << 20):
-        assert sorted(map(tuple, exact_dedup(docs(ROWS), bucket_bytes=size).collect()), key=repr) == expected(ROWS)
+    for size, bits in ((1, 8), (1 << 20, 8), (40, 1)):
+        assert sorted(map(tuple, exact_dedup(docs(ROWS), bucket_bytes=size, step_bits=bits).collect()), key=repr) == expected(ROWS)
+
+
+def test_only_buckets_that_do_not_fit_are_parted_again(spark):
+    low = [(i, i, 10, b"x" * 10) for i in range(20)]
+    high = [(100 + i, (1 << 62) + (i << 30), 10, b"y" * 10) for i in range(3)]
+    df = spark.createDataFrame(low + high, "entry long, hash long, size long, content binary")
+    tables = [sorted(r.entry for r in t.collect()) for t in parted(df, 64, 16)]
+    assert tables[0] == [100, 101, 102] and sorted(sum(tables, [])) == sorted(r[0] for r in low + high)
+    sizes = [t.groupBy("bucket").agg({"size": "sum"}).collect() for t in parted(df, 64, 16)]
+    assert all(r["sum(size)"] <= 64 for rows in sizes for r in rows)
+
+
+def test_hot_text_without_ids(docs):
+    rows = [(None, "same")] * 40 + [(i, "same") for i in range(3)] + [(None, "other")] * 5
+    got = exact_dedup(docs(rows).repartition(3)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got if r.kept and r.keep_id is not None) == [(2, 2, 43)]
+    assert sum(r.kept for r in got) == 2 and {r.keep_id for r in got} == {2, None}
 
 
 def test_repeated_rows_and_clashing_columns(spark):
