@@ -131,7 +131,8 @@ def test_near_duplicates_lose_nothing_in_a_dense_group(docs, monkeypatch):
     prints = np.array([simhash.fingerprint_pair(t.encode(), 5) for _, t in rows], np.uint64)
     root = np.arange(len(rows))
     for a in range(len(rows)):
-        close = (np.bitwise_count(prints ^ prints[a]) <= 8).any(axis=1) & (root != root[a])
+        bits = np.bitwise_count(prints ^ prints[a])
+        close = ((bits <= 8).any(axis=1) | (bits.sum(axis=1) <= simhash.WIDE)) & (root != root[a])
         for b in np.flatnonzero(close).tolist():
             if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 low, high = sorted((root[a], root[b]))
@@ -141,6 +142,75 @@ def test_near_duplicates_lose_nothing_in_a_dense_group(docs, monkeypatch):
     assert {r.id: r.keep for r in near_duplicates(docs(rows)).collect()} == want
 
 
+def near_pairs(rng, band, number, words=120):
+    """Pairs of texts whose similarity lies in the band; the pairs have nothing in common with each other."""
+    out = []
+    while len(out) < number:
+        a = [f"v{rng.getrandbits(40)}" for _ in range(words)]
+        b = list(a)
+        for _ in range(rng.randrange(1, 7)):
+            b[rng.randrange(words)] = f"e{rng.getrandbits(40)}"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if band[0] <= len(x & y) / len(x | y) < band[1]:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+BANDS = [(0.8, 0.85), (0.85, 0.9), (0.9, 0.95)]
+
+
+def test_recall_by_band(docs):
+    rng = random.Random(12)
+    pairs = [p for band in BANDS for p in near_pairs(rng, band, 300)]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.id: r.keep for r in near_duplicates(docs(rows)).collect()}
+    assert all(i == keep + 1 and i % 2 for i, keep in got.items())
+    for k in range(3):
+        share = sum(2 * i + 1 in got for i in range(300 * k, 300 * k + 300)) / 300
+        print("recall", BANDS[k], share)
+        assert share >= 0.9
+
+
+@pytest.mark.parametrize("n", [10**6, 15 * 10**6, 10**9])
+def test_recall_of_the_plan_for_many_texts(n):
+    """Which pairs the probes of a plan for ``n`` texts would bring together and find close."""
+    from planweave.llm import simhash
+
+    rng = random.Random(n)
+    for band in BANDS:
+        prints = [[simhash.fingerprint_pair(t.encode(), 5) for t in p] for p in near_pairs(rng, band, 400)]
+        plans = [simhash.pigeonhole_plan(np.array([np.uint64(f[k]) for p in prints for f in p]).view(np.int64), n, 8) for k in range(2)]
+        met = 0
+        for a, b in prints:
+            bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
+            probed = [any(sum((x ^ y) >> (63 - bit) & 1 for bit in group) <= t for group, t in plan) for x, y, plan in zip(a, b, plans)]
+            met += any(p and (d <= 8 or sum(bits) <= simhash.WIDE) for p, d in zip(probed, bits))
+        print("recall", n, band, met / len(prints), [(len(g), t) for g, t in plans[0]])
+        assert met >= 0.9 * len(prints)
+
+
+def test_dense_group_of_mixed_similarity(docs):
+    rng = random.Random(400)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((2, 3, 3))):
+            words[at] = f"e{rng.getrandbits(40)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = {i for i in range(400) if root[i] != i}
+    got = {r.id for r in near_duplicates(docs(rows)).collect()}
+    print("dense group", len(got), len(want))
+    assert got <= want or len(got) <= len(want)
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_null_and_repeated_ids_go_as_rows(spark, docs):
     copy, other = " ".join(f"c{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
     near = copy.replace("c39", "d")
