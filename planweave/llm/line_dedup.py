@@ -92,7 +92,8 @@ def later_windows(lines: DataFrame, least_words: int) -> DataFrame | None:
     asked = asked.join(ranks.select(*key, F.col("at").alias("tail_at"), F.col("rank").alias("tail")), [*key, "tail_at"])
     asked = asked.select("doc", "text_hash", "start", "end", "length", "head", "tail")
     same, position = ["length", "head", "tail"], F.struct("doc", "text_hash", "start")
-    first = asked.groupBy(*same).agg(F.min(position).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that the join below has an exchange of its own, which can be dealt anew where a window is very common
+    first = written(asked.groupBy(*same).agg(F.min(position).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     return asked.join(first, same).filter(position > F.col("first")).select("doc", "text_hash", "start", "end")
 
 
