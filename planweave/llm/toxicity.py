@@ -10,40 +10,45 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import arrow_rows, text_bytes
+from planweave.llm.common import arrow_rows, bounded_batches, text_bytes
 
-#: Labelled documents that the classifier learns from, and the most word parts that it remembers.
+#: Labelled documents that the classifier learns from.
 SAMPLE = 24_000
-LEXICON = 20_000
+#: Least weight of a word part that is remembered; a document can hold few words of such weight.
+LEAST_WEIGHT = 0.7
 #: Fewest labelled documents that a word part must stand in, and weight of the base rate against its own.
 LEAST_DOCS = 4
 PRIOR = 3.0
 #: Word starts of these lengths are features, besides whole words.
 STARTS = (4, 5, 6)
 #: Words whose weight a worker remembers, and starts again beyond; texts that it gets at a time when it learns.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 TEXTS = 1_000
 
 #: Letters that a character can stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: Natural logarithms of the channel's probabilities: a substituted and a dropped character.
-SUBSTITUTED, DROPPED = -1.0, -1.0
+#: Natural logarithms of the channel's probabilities: a substituted character, one that repeats the last, and what
+#: only holds letters apart.
+SUBSTITUTED, DROPPED, HELD_APART = -1.0, -1.0, -1.0
 #: The channel hardly ever keeps a digit or sign inside a word as it is.
 KEPT_SIGN = -12.0
 
 LETTER = "[^\\W\\d_]"
 SIGN = "[0134578@$!|+9]"
-#: A word mixes letters with what can stand for letters, or repeats a letter three times.
-MIXED = re.compile(rf"{LETTER}{SIGN}|{SIGN}{LETTER}|({LETTER})\1\1")
-#: Three single letters or more, held apart by one sign or space each.
-SPACED = re.compile(rf"(?<![^\W_])(?:{LETTER}[ .*_\-]){{2,}}{LETTER}(?![^\W_])")
-#: What stands between separators inside a token.
-PIECE = re.compile(r"(?:[^\W_]|[@$!|+])+")
+#: A word mixes letters with what can stand for letters, repeats a letter three times, or holds letters apart.
+MIXED = re.compile(rf"{LETTER}{SIGN}|{SIGN}{LETTER}|({LETTER})\1\1|[^\W_][.*_\-/~]+[^\W_]")
+#: A token with a sign or digit that stands for a letter beside one.
+DISGUISED = re.compile(rf"{LETTER}[@$!|+](?![^\w\s])|(?<![^\w\s])[@$!|+]{LETTER}|{LETTER}[0134578][a-z]|^[0134578]{LETTER}|{LETTER}[0134578]$")
+#: Three single letters or signs or more, each held apart from the next.
+SPACED = re.compile(rf"(?<![^\W_])(?:(?:{LETTER}|{SIGN})[ .*_\-]+){{2,}}(?:{LETTER}|{SIGN})(?![^\W_])")
+#: Signs around a token that are no part of a word.
+AROUND = ".,;:?!\"'()"
+#: A sign repeated at an end of a token stands for no letter.
+JUNK = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 #: Letters of a path that are held as one string; the strings of a longer path are linked, so its cost is linear.
 LINKED = 64
 
@@ -79,33 +84,21 @@ def ln_model(counts: np.ndarray) -> np.ndarray:
     return np.log(0.7 * p3 + 0.29 * p2[None] + 0.01 / CLASSES)
 
 
-def decode(token: str, model: list) -> str:
-    """The likeliest letters behind a token: the Viterbi path through the lattice of its characters.
+def decode(span: str, model: list) -> str:
+    """The likeliest text behind a span: the Viterbi path through the lattice of its characters.
 
-    A state is the classes of the last two letters and the last character kept. Each character may stand for
-    itself or a letter of LEET, and a repeated letter or a sign between letters may be dropped. A character has
-    few readings, so the states are few and the cost grows in proportion to the token.
+    A state is the classes of the last two characters and the last one kept. Each character may stand for
+    itself or a letter of LEET; a repeated letter or a sign between letters may be dropped; what stands between
+    letters, a space or any other sign, may be dropped or end a word. A character has
+    few readings, so the states are few and the cost grows in proportion to the span.
     """
-    start = (0, 0, "")
-    paths: dict[tuple[int, int, str], tuple[float, tuple | None, str]] = {start: (0.0, None, "")}
-    for c in token:
-        letters = LEET.get(c, "")
+    paths: dict[tuple[int, int, str], tuple[float, tuple | None, str]] = {(0, 0, ""): (0.0, None, "")}
+    for c in span:
         after: dict[tuple[int, int, str], tuple[float, tuple | None, str]] = {}
         for (a, b, last), (cost, before, text) in paths.items():
             if len(text) >= LINKED:
                 before, text = (before, text), ""
-            steps = [(x, SUBSTITUTED) for x in letters]
-            if c.isalpha():
-                steps.append((c, 0.0))
-                if c == last:
-                    steps.append(("", DROPPED))
-            elif letters:
-                steps.append((c, KEPT_SIGN))
-                if last and last in letters:
-                    steps.append(("", DROPPED))
-            else:
-                steps.append(("", 0.0))
-            for x, channel in steps:
+            for x, channel in readings(c, last):
                 if x:
                     k = char_class(x)
                     state, value = (b, k, x), cost + channel + model[a][b][k]
@@ -122,26 +115,73 @@ def decode(token: str, model: list) -> str:
     return "".join(reversed(found))
 
 
+def readings(c: str, last: str) -> list[tuple[str, float]]:
+    """What a character can stand for after the last one kept, with the channel's logarithm; "" is nothing."""
+    letters = LEET.get(c, "")
+    steps = [(x, SUBSTITUTED) for x in letters]
+    if c.isalpha():
+        steps.append((c, 0.0))
+        if c == last:
+            steps.append(("", DROPPED))
+    elif letters:
+        steps.append((c, KEPT_SIGN))
+        if last and last in letters:
+            steps.append(("", DROPPED))
+    else:
+        steps.append(("", HELD_APART))
+        if last != " ":
+            steps.append((" ", 0.0))
+    return steps
+
+
 WORDS = re.compile(r"[^\W_]+")
 
 
-def forms(word: str, model: list) -> list[str]:
-    """The words in a lower-case token, and if it looks disguised those of its restored form, as a whole and
-    with what stands between separators restored by itself."""
-    found = WORDS.findall(word)
-    core = word.strip(".,;:?!\"'()")
-    if MIXED.search(core):
+def forms(span: str, model: list) -> list[str]:
+    """The words in a lower-case token, and if it looks disguised those of its restored form. A span with spaces
+    gives its restored form alone, as its tokens speak for themselves."""
+    core = JUNK.sub("", span.strip(AROUND))
+    spaced = " " in core
+    found = [] if spaced else WORDS.findall(span)
+    if spaced or MIXED.search(core):
         found += WORDS.findall(decode(core, model))
-        pieces = PIECE.findall(core)
-        if len(pieces) > 1:
-            found += [x for p in pieces if MIXED.search(p) for x in WORDS.findall(decode(p, model))]
     return found
 
 
-def tokens(text: str) -> set[str]:
-    """Different lower-case tokens of a text; letters held apart are put together to one."""
+class Memory(dict):
+    """What a function gives for its latest arguments; it starts again when it is full."""
+
+    def __init__(self, of) -> None:
+        self.of = of
+
+    def __missing__(self, key: str):
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        value = self[key] = self.of(key)
+        return value
+
+
+DISGUISED_TOKENS = Memory(lambda w: DISGUISED.search(w) is not None)
+
+
+def tokens(text: str, starts: frozenset[str] = frozenset(), whole: frozenset[str] = frozenset()) -> set[str]:
+    """Different lower-case tokens of a text, and spans of several that may be one word: single characters held
+    apart, disguised tokens with a neighbour, and tokens that together spell a word of ``whole``, whose beginnings
+    are ``starts``."""
     text = text.lower()
-    return set(text.split()).union(re.sub(r"[ .*_\-]", "", m[0]) for m in SPACED.finditer(text))
+    listed = text.split()
+    found = set(listed)
+    odd = {w for w in found if DISGUISED_TOKENS[w]}
+    found.update(m[0] for m in SPACED.finditer(text) if any(map(str.isalpha, m[0])))
+    for i in [i for i, w in enumerate(listed) if w in starts]:
+        joined, j = listed[i], i + 1
+        while joined in starts and j < len(listed):
+            joined, j = joined + listed[j], j + 1
+            if joined in whole or joined.rstrip(AROUND) in whole:
+                found.add(" ".join(listed[i:j]))
+    for i in [i for i, w in enumerate(listed) if w in odd] if odd else []:
+        found.update(" ".join(pair) for pair in (listed[max(0, i - 1) : i + 1], listed[i : i + 2]) if len(pair) == 2)
+    return found
 
 
 def parts(word: str) -> list[str]:
@@ -156,19 +196,28 @@ class Scorer:
     weights: dict[str, float]
     model: list
     calibration: tuple[float, float, float, float] = (-2.0, 1.0, 0.0, 0.0)
-    known: dict[str, float] = field(default_factory=dict)
+    known: dict[str, tuple[str, float] | None] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        # words that weigh enough to be looked for across spaces
+        self.whole = frozenset(p[:-1] for p, w in self.weights.items() if w > 1.0 and p.endswith("$") and len(p) > max(STARTS))
+        self.starts = frozenset(w[:n] for w in self.whole for n in range(1, len(w)))
 
-    def weight(self, word: str) -> float:
-        if (w := self.known.get(word)) is None:
+    def weighed(self, span: str) -> tuple[str, float] | None:
+        """The word of a token or span that weighs most, and its weight, if any weighs anything."""
+        if (w := self.known.get(span, ())) == ():
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
             get = self.weights.get
-            w = self.known[word] = max((max(get(p, 0.0) for p in parts(x)) for x in forms(word, self.model)), default=0.0)
+            found = ((x, max(get(p, 0.0) for p in parts(x))) for x in forms(span, self.model))
+            word, weight = max(found, key=lambda f: f[1], default=("", 0.0))
+            w = self.known[span] = (word, weight) if weight > 0.0 else None
         return w
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """The two largest weights of different words, and the logarithm of how many words weigh over 1."""
-        w = sorted((x for x in map(self.weight, tokens(text)) if x > 0.0), reverse=True)
+        found = dict(filter(None, map(self.weighed, tokens(text, self.starts, self.whole))))
+        w = sorted(found.values(), reverse=True)
         return (w[0] if w else 0.0, w[1] if len(w) > 1 else 0.0, math.log1p(sum(x > 1.0 for x in w)))
 
     def score(self, text: str) -> float:
@@ -269,8 +318,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     counts = counts.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     share = (F.col("toxic") + PRIOR * rate) / (F.col("n") + PRIOR)
     weight = F.ln(share / (1 - share)) - math.log(rate / (1 - rate))
-    lexicon = counts.select("part", weight.alias("weight"), "n").filter("weight > 0.7").orderBy(F.desc(F.col("weight") * F.ln("n")), "part").limit(LEXICON)
-    scorer.weights = {r["part"]: r["weight"] for r in lexicon.collect()}
+    # every part of enough weight that LEAST_DOCS of the at most ``sample`` documents share
+    lexicon = counts.select("part", weight.alias("weight")).filter(F.col("weight") > LEAST_WEIGHT).collect()
+    scorer = Scorer({r["part"]: r["weight"] for r in lexicon}, as_list)
     fit = labelled.filter("part = 0").select("text", "toxic").mapInArrow(_evidence(scorer), "toxic int, x double, y double, z double").collect()
     if {r["toxic"] for r in fit} == {0, 1}:
         scorer.calibration = logistic(np.array([(r["x"], r["y"], r["z"]) for r in fit]), np.array([r["toxic"] for r in fit], float))
@@ -290,12 +340,14 @@ def _scores(scorer: Scorer):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
-    Spans that look disguised (signs and digits among letters, letters repeated three times, letters held apart)
+    Spans that look disguised (signs and digits among letters, letters repeated three times, letters or pieces of a word held
+    apart by spaces or signs)
     are decoded over a lattice of what each character can stand for, under a character model of the corpus; the
     text's words and the restored ones are then weighed. A null text is empty and scored like one; a null id is
     held out or not by the text "None"; repeated rows are rows like others; an empty table gives no rows; other
     columns are ignored. Labels are read from ``labels`` (doc_id, toxic) alone.
     """
+    bounded_batches(docs.sparkSession)
     with arrow_rows(docs.sparkSession, TEXTS):
         scorer = learn(docs, labels, id_column, text_column, sample)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
@@ -304,11 +356,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``threshold``, with their columns; the text never leaves its partition."""
+    bounded_batches(docs.sparkSession)
     with arrow_rows(docs.sparkSession, TEXTS):
         scorer = learn(docs, labels, id_column, text_column)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([scorer.score(t) for t in texts.to_pylist()], pa.float64())
 
     return docs.filter(score(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) < threshold)

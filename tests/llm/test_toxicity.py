@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from planweave.llm import queries
-from planweave.llm.toxicity import CLASSES, MIXED, SPACED, decode, forms, held_out, ln_model, score_toxicity, tokens, trigram_counts
+from planweave.llm.toxicity import CLASSES, MIXED, SPACED, Scorer, char_class, decode, forms, held_out, ln_model, parts, readings, score_toxicity, tokens, trigram_counts
 
 CLEAN = "the river ran past old houses and green fields while people spoke of rain bread music letters travel and winter light".split()
 TOXIC = ["grobnik", "snurfel", "idioten"]
@@ -24,10 +24,64 @@ def test_decoding(model, raw, plain):
 def test_what_looks_disguised():
     assert all(MIXED.search(w) for w in ("m0ron", "stuuupid", "@ss"))
     assert not any(MIXED.search(w) for w in ("moron", "2024", "well", "%%%", "été"))
-    assert "idiot" in tokens("you I D I O T!") and "moron" in tokens("a: m-o-r-o-n, b")
+    assert "i d i o t" in tokens("you I D I O T!") and "m-o-r-o-n" in tokens("a: m-o-r-o-n, b")
     assert SPACED.search("a b") is None
 
 
+@pytest.mark.parametrize(("raw", "plain"), [("1 d 1 0 t 3 n", "idioten"), ("g r 0 b n i k", "grobnik"), ("gr.ob.nik", "grobnik"), ("gro bnik", "grobnik"), ("green fields", "green fields"), ("r1v3r_h0us3s", "river houses")])
+def test_spaces_and_signs_are_edges_of_the_lattice(model, raw, plain):
+    assert decode(raw, model) == plain
+
+
+def test_decode_finds_the_best_of_all_readings(model):
+    rng = random.Random(9)
+    for _ in range(150):
+        span = "".join(rng.choice("gr0bn1k3e @._oos$") for _ in range(rng.randrange(1, 8)))
+        best = {}
+
+        def walk(i, a, b, last, text, cost):
+            if i == len(span):
+                best[text] = max(best.get(text, -1e9), cost + model[a][b][0])
+                return
+            for x, channel in readings(span[i], last):
+                if x:
+                    k = char_class(x)
+                    walk(i + 1, b, k, x, text + x, cost + channel + model[a][b][k])
+                else:
+                    walk(i + 1, a, b, last, text, cost + channel)
+
+        walk(0, 0, 0, "", "", 0.0)
+        assert best[decode(span, model)] >= max(best.values()) - 1e-9
+
+
+def test_score_by_hand(model):
+    rng = random.Random(10)
+    weights = {p: rng.uniform(0.8, 4.0) for w in TOXIC for p in parts(w)}
+    scorer = Scorer(weights, model, (-3.0, 1.5, 0.5, 0.25))
+    disguises = ["gr0bnik", "s n u r f e l", "idi oten", "gro-bnik", "idiooooten", "snurfel."]
+    for _ in range(60):
+        chosen = [(rng.choice(TOXIC + CLEAN)) for _ in range(rng.randrange(0, 30))] + rng.sample(disguises, rng.randrange(3))
+        rng.shuffle(chosen)
+        plain = {"gr0bnik": "grobnik", "s n u r f e l": "snurfel", "idi oten": "idioten", "gro-bnik": "grobnik", "idiooooten": "idioten", "snurfel.": "snurfel"}
+        by_token = {}
+        for w in chosen:
+            word = plain.get(w, w)
+            by_token[word] = max((weights.get(p, 0.0) for p in parts(word)), default=0.0)
+            for piece in {"idi oten": ["idi", "oten"], "gro-bnik": []}.get(w, []):
+                by_token[piece] = max((weights.get(p, 0.0) for p in parts(piece)), default=0.0)
+        found = sorted((x for x in by_token.values() if x > 0), reverse=True) + [0.0, 0.0]
+        z = -3.0 + 1.5 * found[0] + 0.5 * found[1] + 0.25 * np.log1p(sum(x > 1.0 for x in found))
+        assert abs(scorer.score(" ".join(chosen)) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_spaced_words_are_scored(model):
+    scorer = Scorer({"grobnik$": 3.0, "idioten$": 3.0}, model)
+    for text in ("x gro bnik y", "a gr0 bnik.", "id io ten", "g r 0 b n i k", "gr.ob.nik", "1 d 1 0 t 3 n"):
+        assert scorer.evidence(text)[0] == 3.0
+    for text in ("the river ran", "1 2 3 4", "a b", "well-known"):
+        assert scorer.evidence(text)[0] == 0.0
+
+
 def test_trigrams_do_not_depend_on_the_chunk():
     text = b"abc de" * 400_000
     c = trigram_counts([text])
