@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import arrow_rows, written
+from planweave.llm.common import arrow_rows, bounded_batches, written
 
 CONTEXT = 4096
 END_ID = 1
@@ -21,6 +21,8 @@ KNOWN_WORDS = 200_000
 #: The word that holds words apart, and how many stand in a run.
 APART = "\x01"
 RUN_WORDS = 1_000
+#: A text on which word by word and as a whole must give the same ids.
+PROBE = " The  quick,brown fox's 12.5 JUMPS.\n\nOver (the) lazy-dog, and. \tNaïve Ünïcode\u00a0text \u4e2d\u6587 e.g. x\ny "
 #: Texts that a worker holds at a time.
 TEXTS = 512
 #: Signs that may follow a word.
@@ -32,20 +34,31 @@ RANK_ROWS = 100_000
 class WordIds:
     """Little-endian 32-bit ids of a text, word by word.
 
-    The tokenizer parts texts at white space and keeps nothing across it, so a text's ids are those of its
-    words joined; only words not seen before go through the tokenizer. A word here is what stands between
-    spaces and line feeds; other white space inside it is left to the tokenizer.
+    Where the tokenizer parts texts at white space and keeps nothing across it, a text's ids are those of its
+    words joined, and only words not seen before go through the tokenizer. A word here is what stands between
+    spaces and line feeds; other white space inside it is left to the tokenizer. That is tried on PROBE first; a
+    tokenizer that answers otherwise gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.apart,) = self.tokenizer.encode(APART, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
+        self.by_word = len(apart) == 1
+        if self.by_word:
+            self.apart = apart[0]
+            self.by_word = self._of_words([PROBE]) == self._of_texts([PROBE])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        return self._of_words(texts) if self.by_word else self._of_texts(texts)
+
+    def _of_texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, texts: list[str]) -> list[bytes]:
         # the tokenizer lower-cases; doing so before makes fewer different words, and is the same for ASCII
         parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         known, older = self.known, self.older
@@ -69,7 +82,6 @@ class WordIds:
             self.known, self.older = {}, known
         return out
 
-
     def _learn(self, words: list[str]) -> None:
         """Tokenizes words in runs held apart by a word of one id, which is much faster than one by one."""
         runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
@@ -114,12 +126,46 @@ def _pieces(path: str, context: int):
     return run
 
 
+class SumIndex:
+    """What lengths add up to a sum: single lengths, pairs by their larger part, triples by their largest part.
+
+    Built once from the lengths that occur; ``left`` says how many of each are still available.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left, n = left, len(left)
+        lengths, present = np.flatnonzero(left)[::-1], left > 0
+        small = lengths.astype(np.uint16)
+        self.pairs, least = [small[:0]], np.full(n, n)
+        for total in range(1, n):
+            here = (lengths < total) & (2 * lengths >= total)
+            here[here] = present[total - lengths[here]]
+            self.pairs.append(small[here])
+            if here.any():
+                least[total] = lengths[here][-1]  # the smallest larger part of a pair
+        self.triples = [small[:0]]
+        for total in range(1, n):
+            here = (lengths < total) & (3 * lengths >= total)
+            here[here] = least[total - lengths[here]] <= lengths[here]
+            self.triples.append(small[here])
+
+    def of_two(self, total: int, largest: int) -> list[tuple[int, int]]:
+        a = self.pairs[total].astype(np.int64)
+        a = a[(a <= largest) & (self.left[a] > 0) & (self.left[total - a] > 0)]
+        return [(x, total - x) for x in a.tolist()]
+
+    def of_three(self, total: int) -> Iterator[tuple[int, int, int]]:
+        for a in self.triples[total].tolist():
+            if self.left[a]:
+                yield from ((a, b, c) for b, c in self.of_two(total - a, a))
+
+
 def pack_lengths(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, how many such sequences), from how many pieces there are of each length.
 
-    From the longest length down, the gap it leaves is looked up among the single lengths, the sums of two and
-    the sums of three that are still available; a combination that fills the gap exactly is taken as often as
-    its lengths allow. What stays is packed by best fit: from the longest down, into the open sequences with
+    From the longest length down, the gap it leaves is looked up in the index of single lengths, sums of two and
+    sums of three; a combination that fills the gap exactly is taken as often as
+    its lengths are still available. What stays is packed by best fit: from the longest down, into the open sequences with
     the smallest gap that holds it. At most ``context`` different lengths exist, whatever the input's size.
     """
     left = np.zeros(context + 1, np.int64)
@@ -134,28 +180,20 @@ def pack_lengths(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[t
                 left[n] -= k
             out.append((lengths, k))
 
+    index = SumIndex(left)
     for longest in np.flatnonzero(left)[::-1].tolist():
         gap = context - longest
         if not gap:
             take(longest)
             continue
         take(longest, gap)
-        # the index of sums is the table of available lengths: a sum's last part is looked up as its complement
-        here = np.flatnonzero(left)[::-1]
-        here = here[here < gap]
-        first = here[2 * here >= gap]
-        for a in first[left[gap - first] > 0].tolist():
-            if not left[longest]:
-                break
-            take(longest, a, gap - a)
-        for a in here[3 * here >= gap].tolist():
-            if not left[longest]:
-                break
-            second = here[(here <= a) & (2 * here >= gap - a) & (here < gap - a)]
-            for b in second[left[gap - a - second] > 0].tolist() if left[a] else []:
-                if not left[longest] or not left[a]:
+        for a, b in index.of_two(gap, gap):
+            take(longest, a, b)
+        if left[longest]:
+            for three in index.of_three(gap):
+                take(longest, *three)
+                if not left[longest]:
                     break
-                take(longest, a, b, gap - a - b)
     # residuals: open sequences by gap, each kind with its number
     open_: dict[int, dict[tuple[int, ...], int]] = {}
     gaps: list[int] = []
@@ -237,6 +275,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
     Ranks are counted per length and shard, so no length is ordered in one task. Null ids and repeated rows are
     documents like others; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     pieces = texts.mapInArrow(_pieces(tokenizer, context), "doc_id long, piece int, start long, length long, ids_crc32 long")
     with arrow_rows(docs.sparkSession, TEXTS):

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from planweave.llm.packing import WordIds, best_fit_packing, pack_lengths
+from planweave.llm.packing import SumIndex, WordIds, best_fit_packing, pack_lengths
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -79,3 +79,24 @@ def test_packing_is_near_the_bound():
     plan = pack_lengths(counts)
     least = -(-sum(n * c for n, c in counts.items()) // 4096)
     assert sum(k for _, k in plan) <= least + 1
+
+
+def test_another_tokenizer_gets_whole_texts(docs):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordIds(PATH).by_word and not WordIds(other).by_word
+    tokenizer = Tokenizer.from_file(other)
+    text = " The quick,  brown fox.\n\nÜber it's "
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    row = best_fit_packing(docs([(1, text)]), other).first()
+    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_index_of_sums():
+    rng = random.Random(1)
+    left = np.zeros(61, np.int64)
+    for n in rng.sample(range(1, 60), 25):
+        left[n] = rng.randrange(1, 3)
+    index, there = SumIndex(left), [n for n in range(61) if left[n]]
+    for total in range(1, 61):
+        assert sorted(index.of_two(total, total)) == sorted((a, b) for a in there for b in there if b <= a and a + b == total)
+        assert sorted(index.of_three(total)) == sorted((a, b, c) for a in there for b in there for c in there if c <= b <= a and a + b + c == total)
