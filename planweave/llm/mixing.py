@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import WORD, let, numbered, written
+from planweave.llm.common import WORD, fresh, let, numbered, partitions, written
 
-#: Words that an output shard should hold of the mix, most levels of the tree, and words in a block.
+#: Words that an output shard should hold of the mix, words of a source that a leaf of its tree should hold, most
+#: levels of the tree, and words in a block.
 SHARD_WORDS = 2_000_000
+LEAF_WORDS = 50_000
 MAX_LEVELS = 17
-BLOCK_WORDS = 64
+BLOCK_WORDS = 256
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating; the mix's share of all words; most copies of a source.
@@ -92,94 +94,119 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def split_quotas(shares: DataFrame, levels: int, seed: int) -> DataFrame:
-    """Per source and shard: how many words the partial copy takes there.
+    """Per source and leaf: how many words the partial copy takes there.
 
-    ``shares`` has a row per source: source, part (words to take), words (array of the shards' words) and
-    blocks (whole blocks of the shards up to each). Each
-    node of the tree holds a quota of blocks for a run of shards; its left half gets a hypergeometric number of
-    them. Words short of a block go to the first shards with room, so the sum is exactly ``part``.
+    ``shares`` has a row per source: source, part (words to take), depth (the tree's levels, ``levels`` at most), words
+    (array of the leaves' words) and blocks (whole blocks of the leaves up to each). Each
+    node of the tree holds a quota of blocks for a run of leaves; its left half gets a hypergeometric number of
+    them. Words short of a block go to the first leaves with room, so the sum is exactly ``part``.
     """
-    shards = 1 << levels
     tree = shares.withColumn("before", F.concat(F.array(F.lit(0).cast("long")), "blocks"))
     tree = tree.withColumn("quotas", F.array(F.least(F.floor(F.col("part") / BLOCK_WORDS).cast("long"), F.element_at("before", -1))))
 
     def to_left(level: int) -> Callable[[Column, Column], Column]:
+        run = F.expr(f"shiftleft(1, greatest(depth - {level}, 1))")
+
         def left(k: Column, i: Column) -> Column:
-            start, middle, end = (F.col("before")[(i * (shards >> level) + at).cast("int")] for at in (0, shards >> level + 1, shards >> level))
+            start, middle, end = (F.col("before")[(i * run + at).cast("int")] for at in (F.lit(0), (run / 2).cast("int"), run))
             return hypergeometric(end - start, middle - start, k, uniform(F.col("source"), F.lit(level), i, F.lit(seed)))
 
         return left
 
     for level in range(levels):
-        tree = tree.withColumn("left", F.transform("quotas", to_left(level)))
-        tree = tree.withColumn("quotas", F.flatten(F.zip_with("quotas", "left", lambda k, x: F.array(x, k - x))))
-    rows = tree.select("source", "source_size", "target", "part", "copies", F.posexplode(F.arrays_zip("quotas", "words")).alias("shard", "at"))
+        open_ = F.col("depth") > level
+        tree = tree.withColumn("left", F.when(open_, F.transform("quotas", to_left(level))))
+        tree = tree.withColumn("quotas", F.when(open_, F.flatten(F.zip_with("quotas", "left", lambda k, x: F.array(x, k - x)))).otherwise(F.col("quotas")))
+    rows = tree.select("source", "part", F.posexplode(F.arrays_zip("quotas", "words")).alias("leaf", "at"))
     rows = rows.withColumn("quota", F.col("at.quotas") * BLOCK_WORDS).withColumn("room", F.col("at.words") - F.col("quota"))
     by_source = Window.partitionBy("source")
     rest = F.col("part") - F.sum("quota").over(by_source)
-    room_before = F.sum("room").over(by_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
+    room_before = F.sum("room").over(by_source.orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
     more = F.greatest(F.lit(0), F.least("room", rest - room_before))
-    return rows.select("source", "source_size", "target", "copies", "shard", (F.col("quota") + more).alias("quota"))
+    return rows.select("source", "leaf", (F.col("quota") + more).alias("quota"))
 
 
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0, shard_words: int = SHARD_WORDS, row_column: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, shard, position.
 
     ``size`` counts the words of the text (null: 0), ``taken`` the words that the mix takes of it, repeats
-    counted: the whole copies of its source that fit the target, and for the rest of the target the shard's
-    documents in a permuted order until the shard's quota is reached; the last one is taken in part. The sum
+    counted: the whole copies of its source that fit the target, and for the rest of the target blocks of
+    BLOCK_WORDS words of the source's documents. The source's tree says how many blocks each of its leaves gives; a leaf's blocks
+    are drawn in a permuted order, none twice, until its quota is reached, and the last one is taken in part. The sum
     of a source's ``taken`` is its target, rounded. ``position`` is the row's place in its shard's shuffled
     order. Null sources are one source, which comes last; null ids and repeated rows are rows like others; an empty
-    table gives no rows; other columns are ignored. ``row_column``, a number of each row, is kept where it is given
-    and parts rows of one id and size.
+    table gives no rows; other columns are ignored. Rows that agree in id, text and source may change places, all others
+    are always mixed alike. With ``row_column``, a number of each row, that column is kept and ``drawn`` added, the
+    (block, words) that the partial copy takes of the row.
 
-    Documents fall to shards by hash, so a source of a third of all rows is spread over all shards; a window
-    only ever orders one shard. Only sizes are shuffled, never texts.
+    Documents fall to leaves by hash, and a source has as many leaves as its size asks for, so a source of a third of all
+    rows is spread over many; a window only ever orders one leaf or shard. Only sizes are shuffled, never texts.
     """
-    # the text is reduced to its number of words in the scan
-    size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    row = [row_column] if row_column else []
-    sizes = written(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *row))
+    # the text is reduced to its number of words and a hash in the scan
+    text = F.col(text_column).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    row = F.col(row_column) if row_column else F.monotonically_increasing_id()
+    sizes = written(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("content"), row.alias("row")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    levels = min(MAX_LEVELS, max(0, math.ceil(math.log2(max(1.0, TOTAL_SHARE * total / shard_words)))))
-    shards = 1 << levels
-    placed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(shards)).cast("int"))
-    sums = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    targets = source_targets(sizes)
-    cells = targets.select("source", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    same = cells["source"].eqNullSafe(sums["source"]) & (cells["shard"] == sums["shard"])
-    cells = cells.join(sums, same, "left").select(cells["source"], "source_size", "target", cells["shard"], F.coalesce("words", F.lit(0)).alias("words"))
-    blocks = F.sum(F.floor(F.col("words") / BLOCK_WORDS).cast("long")).over(Window.partitionBy("source").orderBy("shard"))
-    listed = F.array_sort(F.collect_list(F.struct("shard", "words", "blocks")))
-    arrays = cells.withColumn("blocks", blocks).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), listed.alias("l"))
-    arrays = arrays.select("source", "source_size", "target", F.col("l.words").alias("words"), F.col("l.blocks").alias("blocks"))
+    shards = 1 << max(math.ceil(math.log2(max(1.0, TOTAL_SHARE * total / shard_words))), int(math.log2(partitions(docs))))
     wanted = F.round("target").cast("long")
     copies = F.when(F.col("source_size") > 0, F.floor(wanted / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    shares = arrays.withColumn("copies", copies).withColumn("part", wanted - F.col("copies") * F.col("source_size"))
-    quotas = split_quotas(shares, levels, seed)
-    # a table of its own, so that the tree is walked once however the join below is planned
-    quotas = written(quotas)
-    same = placed["source"].eqNullSafe(quotas["source"]) & (placed["shard"] == quotas["shard"])
-    joined = placed.join(quotas, same).select("doc_id", placed["source"], "size", "source_size", "target", "copies", "quota", placed["shard"], *row)
-    permuted = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "doc_id", "size", *row)
-    before = F.sum("size").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    part = F.greatest(F.lit(0), F.least("size", F.col("quota") - before))
-    taken = joined.withColumn("taken", (F.col("copies") * F.col("size") + part).cast("long"))
-    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id", "size", *row)
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.row_number().over(shuffled).cast("long").alias("position"), *row)
+    leaves = F.greatest(F.lit(1.0), F.col("source_size") / min(LEAF_WORDS, shard_words))
+    depth = F.least(F.lit(MAX_LEVELS), F.ceil(F.log2(leaves))).cast("int")
+    # tables of their own, so that each is worked out once however the joins below are planned
+    sources = written(source_targets(sizes).withColumn("copies", copies).withColumn("part", wanted - F.col("copies") * F.col("source_size")).withColumn("depth", depth))
+    levels = sources.agg(F.max("depth")).first()[0] or 0
+    placed = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    leaf = F.pmod(F.xxhash64("doc_id", "size", "content", F.lit(seed)), F.expr("shiftleft(1L, depth)")).cast("int")
+    placed = placed.withColumn("leaf", leaf).withColumn("shard", F.pmod(F.xxhash64("source", "leaf"), F.lit(shards)).cast("int"))
+    sums = placed.groupBy("source", "leaf").agg(F.sum("size").alias("words"))
+    cells = sources.withColumn("leaf", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, depth) - 1"))))
+    same = cells["source"].eqNullSafe(sums["source"]) & (cells["leaf"] == sums["leaf"])
+    cells = cells.join(sums, same, "left").select(cells["source"], "part", "depth", cells["leaf"], F.coalesce("words", F.lit(0)).alias("words"))
+    blocks = F.sum(F.floor(F.col("words") / BLOCK_WORDS).cast("long")).over(Window.partitionBy("source").orderBy("leaf"))
+    listed = F.array_sort(F.collect_list(F.struct("leaf", "words", "blocks"))).alias("l")
+    arrays = cells.withColumn("blocks", blocks).groupBy("source", "part", "depth").agg(listed)
+    shares = arrays.select("source", "part", "depth", F.col("l.words").alias("words"), F.col("l.blocks").alias("blocks"))
+    quotas = written(split_quotas(shares, levels, seed).filter("quota > 0"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK_WORDS).cast("long")))
+    pieces = placed.filter("size > 0 AND part > 0").select("row", "doc_id", "content", "source", "leaf", "size", block.alias("block"))
+    pieces = pieces.withColumn("words", F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS))
+    same = pieces["source"].eqNullSafe(quotas["source"]) & (pieces["leaf"] == quotas["leaf"])
+    pieces = pieces.join(quotas, same).select("row", "doc_id", "content", pieces["source"], pieces["leaf"], "block", "words", "quota")
+    order = [F.xxhash64("doc_id", "content", "block", F.lit(seed + 1)), "doc_id", "content", "block", "row"]
+    permuted = Window.partitionBy("source", "leaf").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = F.least("words", F.col("quota") - (F.sum("words").over(permuted) - F.col("words")))
+    drawn = pieces.withColumn("drawn", part).filter("drawn > 0").groupBy("row")
+    drawn = drawn.agg(F.sum("drawn").alias("more"), *([F.array_sort(F.collect_list(F.struct("block", "drawn"))).alias("drawn")] if row_column else []))
+    kept = ["row", "doc_id", "source", "size", "source_size", "target", "copies", "shard", "content"]
+    taken = placed.select(*kept).join(drawn, "row", "left").withColumn("taken", (F.col("copies") * F.col("size") + F.coalesce("more", F.lit(0))).cast("long"))
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "content", F.lit(seed + 2)), "doc_id", "content", "row")
+    extra = [F.col("row").alias(row_column), "drawn"] if row_column else []
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.row_number().over(shuffled).cast("long").alias("position"), *extra)
 
 
 def mixed_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for every copy that ``mix_sources`` takes of a document.
 
-    The last copy of a document that is taken in part holds its first words, with what stands between them. Documents of which
+    The last copy of a document that is taken in part holds the words of its drawn blocks in their order, with what
+    stands before each. Documents of which
     nothing is taken go. Rows are told apart by a written number, so ids may be null or repeat.
     """
-    names = docs.columns
-    rows = numbered(docs)
-    taken = mix_sources(rows, id_column, text_column, source_column, row_column="__row").filter("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    copies = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("long"))))
-    words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size")).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all(text_column, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), words), "")
-    text = F.when(words == F.col("__size"), F.col(text_column)).otherwise(first)
+    names, row = docs.columns, fresh(docs, "__row")
+    rows = numbered(docs, row)
+    # what the drawn blocks make up to a whole text is a whole copy
+    more = F.coalesce(F.aggregate("drawn", F.lit(0).cast("long"), lambda a, d: a + d["drawn"]), F.lit(0))
+    full = more == F.col("size")
+    facts = F.struct(((F.col("taken") - F.when(full, 0).otherwise(more)) / F.col("size")).cast("long").alias("copies"), F.when((more > 0) & ~full, F.col("drawn")).alias("drawn"))
+    mix = fresh(rows, "__mix")
+    taken = mix_sources(rows, id_column, text_column, source_column, row_column=row).filter("taken > 0").select(F.col(f"`{row}`"), facts.alias(mix))
+    # nulls stand for whole copies, the blocks for a partial one
+    wanted = F.concat(F.array_repeat(F.lit(None).cast("array<struct<block:bigint,drawn:bigint>>"), F.col(f"`{mix}`.copies").cast("int")), F.when(F.col(f"`{mix}`.drawn").isNull(), F.expr("array()").cast("array<array<struct<block:bigint,drawn:bigint>>>")).otherwise(F.array(F.col(f"`{mix}`.drawn"))))
+    copies = rows.join(taken, row).withColumn(mix, F.explode(wanted))
+
+    def blocks_of(words: Column) -> Column:
+        return F.flatten(F.transform(F.col(f"`{mix}`"), lambda d: F.slice(words, (d["block"] * BLOCK_WORDS + 1).cast("int"), d["drawn"].cast("int"))))
+
+    part = F.array_join(let(F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(SPACED_WORD), F.lit(0)), blocks_of), "")
+    text = F.when(F.col(f"`{mix}`").isNull(), F.col(f"`{text_column}`")).otherwise(part)
     return copies.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names])
