@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -15,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, shared_folder
+from planweave.llm.common import bounded_batches, partitions, shared_folder
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
@@ -93,7 +94,7 @@ class ZipArchive:
             raise ValueError("no end of central directory")
         count, size, start = struct.unpack_from("<H2I", tail, end + 10)
         locator = end - 20
-        if locator >= 0 and tail[locator : locator + 4] == LOCATOR64 and MANY in (size, start) or count == 0xFFFF:
+        if locator >= 0 and tail[locator : locator + 4] == LOCATOR64 and (MANY in (size, start) or count == 0xFFFF):
             (end64,) = struct.unpack_from("<Q", tail, locator + 8)
             head = self.read(end64, 56)
             if head[:4] != END64:
@@ -113,7 +114,8 @@ class ZipArchive:
                 raise ValueError("broken central directory")
             method, packed, size, n_name, n_extra, n_comment = *struct.unpack_from("<H", data, at + 10), *struct.unpack_from("<2I3H", data, at + 20)
             (offset,) = struct.unpack_from("<I", data, at + 42)
-            name = data[at + 46 : at + 46 + n_name].decode()
+            (flags,) = struct.unpack_from("<H", data, at + 8)
+            name = data[at + 46 : at + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437")
             extra, i = data[at + 46 + n_name : at + 46 + n_name + n_extra], 0
             while i + 4 <= len(extra):
                 kind, n = struct.unpack_from("<2H", extra, i)
@@ -138,7 +140,18 @@ class ZipArchive:
         return m.header_at + 30 + sum(struct.unpack_from("<2H", head, 26))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark would take."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The folder's file system; Hadoop's names of stores are turned into pyarrow's."""
+    scheme, apart, rest = folder.partition(":")
+    folder = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "wasbs": "abfss"}.get(scheme, scheme) + apart + rest
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[5:]
     return fs.FileSystem.from_uri(folder)
 
 
@@ -159,7 +172,7 @@ def _write(folder: str):
             with store.open_output_stream(f"{path}/{name}") as sink:
                 archive = ZipWriter(sink)
                 archive.add("archive/pages.warc.gz", records)
-                archive.add("indexes/pages.idx", ["".join(index).encode()])
+                archive.add("indexes/pages.cdxj", ["".join(index).encode()])
                 archive.close()
             names.append(name)
             records.clear()
@@ -171,7 +184,7 @@ def _write(folder: str):
                 # each record is a gzip member of its own, so that any can be read alone
                 data = gzip.compress(record(page_id, url, payload.as_py(), digest, refers_to), GZIP_LEVEL, mtime=0)
                 records.append(data)
-                index.append(f"{at} {len(data)}\n")
+                index.append(json.dumps({"offset": at, "length": len(data), "filename": "pages.warc.gz"}) + "\n")
                 at += len(data)
                 if at > ARCHIVE_BYTES:
                     flush()
@@ -196,38 +209,89 @@ COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_
 
 def _page(urn: str) -> int | None:
     number = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def indexed(archive: ZipArchive) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records of every archive in the package, by the archive's file name: what the index
+    members say, lines that end in a JSON object."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for name, member in archive.members.items():
+        if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")):
+            data = archive.read(archive.start(name), member.size)
+            for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines():
+                if "{" in line:
+                    entry = json.loads(line[line.index("{") :])
+                    if "offset" in entry:
+                        found.setdefault(entry.get("filename", ""), []).append((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(spans) for name, spans in found.items()}
+
+
+def scanned(archive: ZipArchive, base: int, size: int) -> Iterator[bytes]:
+    """The records of an archive without an index, one gzip member after the other."""
+    at, inflate, parts = 0, zlib.decompressobj(31), []
+    while at < size:
+        data = archive.read(base + at, min(READ_BYTES, size - at))
+        at += len(data)
+        while data:
+            parts.append(inflate.decompress(data))
+            if not inflate.eof:
+                break
+            yield b"".join(parts)
+            data, inflate, parts = inflate.unused_data, zlib.decompressobj(31), []
+
+
+def in_ranges(archive: ZipArchive, base: int, spans: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The records at ``spans``; neighbours of up to READ_BYTES together are read at once."""
+    i = 0
+    while i < len(spans):
+        first, end, j = spans[i][0], sum(spans[i]), i + 1
+        while j < len(spans) and sum(spans[j]) - first <= READ_BYTES:
+            end, j = sum(spans[j]), j + 1
+        data = archive.read(base + first, end - first)
+        for offset, length in spans[i:j]:
+            yield gzip.decompress(data[offset - first : offset - first + length])
+        i = j
+
+
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
 
 
 def _read(folder: str, payloads: bool):
+    def rows_of(name: str, archive: ZipArchive) -> Iterator[tuple]:
+        index = indexed(archive)
+        for member in archive.members.values():
+            if not member.name.endswith(".warc.gz"):
+                continue
+            base, spans = archive.start(member.name), index.get(member.name.rsplit("/", 1)[-1])
+            for data in in_ranges(archive, base, spans) if spans else scanned(archive, base, member.size):
+                fields, body = parse_record(data)
+                if fields["WARC-Type"] not in ("response", "revisit", "resource"):
+                    continue
+                revisit = fields["WARC-Type"] == "revisit"
+                digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or hashlib.sha1(body).hexdigest()
+                if not revisit and hashlib.sha1(body).hexdigest() != digest:
+                    raise ValueError(f"{name}: a payload does not match its digest")
+                size = int(fields.get("WARC-Payload-Length", len(body))) if revisit else len(body)
+                yield _page(fields.get("WARC-Record-ID", "")), size, digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To", "")) if revisit else None, fields.get("WARC-Target-URI"), body if payloads and not revisit else None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=COLUMNS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_folder(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_file(f"{path}/{name}") as file:
-                    archive = ZipArchive(file)
-                    member = archive.members["indexes/pages.idx"]
-                    index = archive.read(archive.start(member.name), member.size).decode()
-                    spans = [tuple(map(int, line.split())) for line in index.splitlines()]
-                    base = archive.start("archive/pages.warc.gz")
-                    i = 0
-                    while i < len(spans):
-                        first, end, j = spans[i][0], sum(spans[i]), i + 1
-                        while j < len(spans) and sum(spans[j]) - first <= READ_BYTES:
-                            end, j = sum(spans[j]), j + 1
-                        data = archive.read(base + first, end - first)
-                        rows = []
-                        for offset, length in spans[i:j]:
-                            fields, body = parse_record(gzip.decompress(data[offset - first : offset - first + length]))
-                            revisit = fields["WARC-Type"] == "revisit"
-                            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if not revisit and hashlib.sha1(body).hexdigest() != digest:
-                                raise ValueError(f"{name}: a payload does not match its digest")
-                            size = int(fields["WARC-Payload-Length"]) if revisit else len(body)
-                            rows.append((_page(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None, fields.get("WARC-Target-URI"), body if payloads and not revisit else None))
-                        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=COLUMNS)
-                        i = j
+                    rows, held = [], 0
+                    for row in rows_of(name, ZipArchive(file)):
+                        rows.append(row)
+                        held += row[1] if payloads else 200
+                        if held > READ_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch_of(rows)
 
     return run
 
@@ -249,22 +313,23 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     A null payload is empty; a row with a null id is a response; of rows that repeat an id and a payload all
     with the largest id are responses. Other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"))
     revisits = originals(pages, id_column, payload_column)
     joined = rows.withColumn("content", F.sha2("payload", 256)).join(revisits, ["page_id", "content"], "left").select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "refers_to")
-    return joined.mapInArrow(_write(folder), "name string")
+    return joined.mapInArrow(_write(qualified(pages.sparkSession, folder)), "name string")
 
 
 def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the named archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
+    """The response, resource and revisit records of every archive in the named packages: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return names.mapInArrow(_read(folder, payloads), kinds)
+    return names.mapInArrow(_read(qualified(names.sparkSession, folder), payloads), kinds)
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads every record back."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
     store, path = open_folder(folder)
     store.create_dir(path)
     listing = f"{folder}-names"

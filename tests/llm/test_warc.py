@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import zipfile
@@ -86,3 +87,28 @@ def test_empty_repeated_and_clashing(spark):
 
 def test_sql(against_duckdb):
     against_duckdb("op6_warc")
+
+
+def test_packages_of_others(spark, tmp_path):
+    records = [gzip.compress(warc.record(i, "u", b"p%d" % i, hashlib.sha1(b"p%d" % i).hexdigest(), None)) for i in range(4)]
+    head = gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    with zipfile.ZipFile(tmp_path / "one.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", head + records[0] + records[1])
+        z.writestr("archive/b.warc.gz", records[2] + records[3])
+        # of b one record is indexed, a has no index
+        z.writestr("indexes/index.cdx.gz", gzip.compress(b'u)/ 2024 {"offset": "%d", "length": "%d", "filename": "b.warc.gz"}\n' % (len(records[2]), len(records[3]))))
+        z.writestr("datapackage.json", "{}")
+    names = spark.createDataFrame([("one.wacz",)], "name string")
+    assert sorted((r.page_id, bytes(r.payload)) for r in read_archives(names, str(tmp_path)).collect()) == [(0, b"p0"), (1, b"p1"), (3, b"p3")]
+
+
+def test_many_members_without_zip64():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(65_535):
+            z.writestr(str(i), b"")
+    assert len(ZipArchive(Bytes(out.getvalue())).members) == 65_535
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("\xe9".encode().decode("cp437")), b"x")
+    assert len(ZipArchive(Bytes(out.getvalue())).members) == 1
