@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, text_bytes, written
+from planweave.llm.common import bounded_batches, partitions, text_bytes, written
 
 #: Bytes of a string that must not occur twice; bytes of the grams that are sifted; grams in a string.
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in one suffix array, bytes of runs that are merged at a time, and bytes that are sifted at a time.
 SHARD_BYTES = 1 << 20
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 20
 SIFT_BYTES = 1 << 20
+#: Runs of one gram that are merged in one task; the strings of a gram with more are merged one by one.
+HOT_RUNS = 2_000
 #: Low bits of a gram's sort key that hold its place.
 PLACE_BITS = 23
 #: Stands between texts; no UTF-8 text holds it.
@@ -329,8 +331,8 @@ def segments(length: int, grams: list[int]) -> list[tuple[int, int]]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(route, doc, start, n, bytes): strings that a shard knows to be later ones (bytes null), and the strings
-    that are the shard's first, as runs with one least gram, by whose hash they travel to be merged.
+    """(gram, shard, doc, start, n): strings that a shard knows to be later ones (gram null), and the strings that are
+    the shard's first, as runs with one least gram. A shard is named by the first place of its text.
     """
 
     def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -343,13 +345,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, least = t.grams()
         a, b = spans(later, text)
         c, d = spans(t.whole() & ~later, text, least)
-        at = np.concatenate([a, c])
+        at = np.concatenate([a, c]).astype(np.int64)
         owner = text[at] if len(at) else np.zeros(0, np.int64)
-        docs = doc[owner]
-        content = [None] * len(a) + [t.data[i : j + LENGTH - 1] for i, j in zip(c.tolist(), d.tolist(), strict=True)]
-        route = np.concatenate([doc[text[a]] if len(a) else np.zeros(0, np.int64), h[least[c]].view(np.int64) if len(c) else np.zeros(0, np.int64)])
-        columns = [pa.array(route, pa.int64()), pa.array(docs, pa.int64()), pa.array(start[owner] + at - t.starts[owner] if len(at) else at, pa.int64()), pa.array(np.concatenate([b - a, d - c]), pa.int64()), pa.array(content, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["route", "doc", "start", "n", "bytes"])
+        gram = np.concatenate([np.zeros(len(a), np.int64), h[least[c]].view(np.int64) if len(c) else np.zeros(0, np.int64)])
+        shard = np.full(len(at), int(mixed([doc[:1].astype(np.uint64), start[:1].astype(np.uint64)]).view(np.int64)[0]))
+        columns = [pa.array(gram, pa.int64(), mask=np.arange(len(at)) < len(a)), pa.array(shard), pa.array(doc[owner], pa.int64()), pa.array(start[owner] + at - t.starts[owner] if len(at) else at, pa.int64()), pa.array(np.concatenate([b - a, d - c]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "shard", "doc", "start", "n"])
 
     rows: list[tuple[int, int, bytes]] = []
     size = 0
@@ -364,35 +365,51 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, hot, doc, start, n, bytes): the runs of grams that several shards hold, cut from their texts once more.
+    Runs travel by their gram; those of a hot gram go string by string, each by its own hash.
+    """
+    names = ["route", "hot", "doc", "start", "n", "bytes"]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for batch in batches:
+        rows: list[tuple[int, bool, int, int, int, bytes]] = []
+        for one, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if not runs:
+                continue
+            content = text.as_py()
+            for r in runs:
+                start, n = r["start"], r["n"]
+                piece = content[start : start + n + LENGTH - 1]
+                if not r["hot"]:
+                    rows.append((r["gram"], False, one, start, n, piece))
+                    continue
+                each = hashes(words(np.frombuffer(piece + APART, np.uint8)), LENGTH, n).view(np.int64).tolist()
+                rows += [(h, True, one, start + i, 1, piece[i : i + LENGTH]) for i, h in enumerate(each)]
+            if len(rows) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
 def merged(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings from several shards: those that also begin earlier, as (row, first, end) within the runs.
 
-    The shards' strings make one sorted list of fingerprints; each string finds its place there by binary
-    search, the earliest string at a place is the one that stays, and the bytes of the others are compared
-    with it. Should two strings share a fingerprint only, theirs are told apart byte by byte.
+    The strings make one sorted list; each finds its place there by binary search, comparing bytes, and the earliest
+    string at a place is the one that stays.
     """
     order = np.lexsort((starts, docs))
     contents, counts = [contents[i] for i in order], counts[order]
     t = Texts(contents)
     row = t.spread(np.arange(len(contents)))
     begins = np.flatnonzero(np.arange(t.n) - t.starts[row] < counts[row])
-    finger = hashes(t.words, LENGTH, t.n)[begins]
-    listed = np.unique(finger)
-    at = np.searchsorted(listed, finger)
+    # a trailing zero byte would be lost on numpy's strings, but all of them are LENGTH bytes long
+    strings = np.ndarray((t.n,), f"S{LENGTH}", t.buffer, strides=(1,))[begins]
+    listed = np.sort(strings)
+    at = np.searchsorted(listed, strings)
     first = np.full(len(listed), len(begins), np.int64)
     np.minimum.at(first, at, np.arange(len(begins)))
     later = first[at] < np.arange(len(begins))
-    x, y = begins[later], begins[first[at[later]]]
-    same = np.ones(len(x), bool)
-    for i in offsets(LENGTH):
-        same &= t.words[x + i] == t.words[y + i]
-    if not same.all():
-        odd = np.isin(at, at[later][~same])
-        seen: set[bytes] = set()
-        for k in np.flatnonzero(odd).tolist():
-            string = t.data[begins[k] : begins[k] + LENGTH]
-            later[k] = string in seen
-            seen.add(string)
     flags = np.zeros(t.n, bool)
     flags[begins[later]] = True
     a, b = spans(flags, row)
@@ -401,30 +418,37 @@ def merged(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, counts:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by route; runs are merged in portions that never part a route."""
+    """(doc, start, end) of later strings. Rows come sorted by hot or not, route, doc and start; runs are merged in portions that
+    never part a route, and of a hot route's strings only the different ones are held.
+    """
+    rows: list[tuple[int, int, int, bytes]] = []
+    size, last, seen = 0, None, set()
 
-    def flush(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def flush() -> Iterator[tuple[int, int, int]]:
         doc, start, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         row, a, b = merged([r[3] for r in rows], doc, start, n)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start[row] + a), pa.array(start[row] + b)], names=["doc", "start", "end"])
+        rows.clear()
+        return zip(doc[row].tolist(), (start[row] + a).tolist(), (start[row] + b).tolist(), strict=True)
 
-    rows: list[tuple[int, int, int, bytes]] = []
-    size, last = 0, None
     for batch in batches:
-        known: list[tuple[int, int, int]] = []
-        for route, doc, start, n, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if content is None:
-                known.append((doc, start, start + n))
+        found: list[tuple[int, int, int]] = []
+        for route, hot, doc, start, n, content in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if hot:
+                if route != last:
+                    seen, last = set(), route
+                if content in seen:
+                    found.append((doc, start, start + 1))
+                seen.add(content)
                 continue
             if size > MERGE_BYTES and route != last:
-                yield flush(rows)
-                rows, size = [], 0
+                found += flush()
+                size = 0
             rows.append((doc, start, n, content))
             size, last = size + len(content), route
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*known, strict=True)], names=["doc", "start", "end"])
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "end"])
     if rows:
-        yield flush(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*flush(), strict=True)) or [(), (), ()]], names=["doc", "start", "end"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,20 +483,30 @@ def dedup_strings(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Grams of GRAM bytes are sifted first: of every string the least gram is a fixed choice, and a string can
     only occur twice if its least gram does. Text around repeated grams goes to suffix arrays, shard by shard;
-    a shard's later strings are known at once, and its first ones are merged with other shards'. The sieve loses
-    nothing, and whatever passes it is compared byte by byte. No task holds more than a few MB of text.
+    a shard's later strings are known at once. Of its first ones, those whose least gram another shard holds too are
+    cut from the texts once more and merged with that shard's by binary search. The sieve loses
+    nothing, and whatever passes it is compared byte by byte. No task holds more than a few MB of text, however
+    common a gram is: the strings of a gram with more than HOT_RUNS runs travel one by one.
     """
+    bounded_batches(docs.sparkSession)
     texts, names = numbered(docs, id_column, text_column)
     n = partitions(docs)
     grams = texts.mapInArrow(_sift, "route long, doc long, at long, kind byte")
     by_gram = grams.repartition(n, "route").sortWithinPartitions(F.col("kind") == 2, "route")
     hot = by_gram.mapInArrow(_known, "doc long, at long").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    # both joins are left ones over the same texts, so the texts are exchanged once and the exchange is used twice
+    # the joins are left ones over the same texts, so the texts are exchanged once and the exchange is used again
     cut = texts.join(hot, "doc", "left").select("doc", "text", "at").mapInArrow(_cut, "route long, doc long, start long, bytes binary")
     # only a good place for copies to meet, so a hot one may be split
-    shards = cut.hint("rebalance", F.col("route")).sortWithinPartitions("route").mapInArrow(_shards, "route long, doc long, start long, n long, bytes binary")
-    later = shards.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_merge, "doc long, start long, end long")
-    later = later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    shards = written(cut.hint("rebalance", F.col("route")).sortWithinPartitions("route").mapInArrow(_shards, "gram long, shard long, doc long, start long, n int"))
+    runs = shards.filter("gram IS NOT NULL")
+    shared = runs.groupBy("gram").agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.count("*").alias("runs")).filter("low < high")
+    shared = written(shared.select("gram", (F.col("runs") > HOT_RUNS).alias("hot")))
+    asked = runs.join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("gram", "hot", "start", "n")).alias("asked"))
+    again = texts.join(asked, "doc", "left").select("doc", "text", "asked").mapInArrow(_again, "route long, hot boolean, doc long, start long, n int, bytes binary")
+    dealt = again.repartition(n, "hot", "route").sortWithinPartitions("hot", "route", "doc", "start")
+    later = dealt.mapInArrow(_merge, "doc long, start long, end long")
+    known = shards.filter("gram IS NULL").select("doc", "start", (F.col("start") + F.col("n")).alias("end"))
+    later = later.unionByName(known).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     result = texts.join(later, "doc", "left").select("doc", "text", "runs").mapInArrow(_finished, RESULT)
     if names is None:
         return result.withColumnRenamed("doc", "doc_id")

@@ -54,10 +54,23 @@ def test_random_texts(docs, monkeypatch, small):
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
         monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 500)
         monkeypatch.setattr(suffix_dedup, "SIFT_BYTES", 700)
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 4)
     rows = mixed(150, 3)
     assert run(docs, rows) == brute(rows)
 
 
+def test_a_passage_in_every_shard(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 400)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 10)
+    rng = random.Random(21)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    own = lambda n: "".join(rng.choices("klmnopqrst ", k=n))
+    rows = [(i, own(150) + passage[: rng.randrange(60, 261)] + own(90)) for i in range(120)]
+    rows += [(500 + i, own(60) + passage[5:80] + own(60)) for i in range(60)]
+    assert run(docs, rows) == brute(rows)
+
+
 def test_nulls_short_long_and_ties(docs):
     a = "".join(random.Random(1).choices("abcdefgh ", k=5000))
     rows = [(5, None), (6, ""), (7, a), (8, a), (9, "x" * 99), (10, "x" * 100), (11, "x" * 250_000), (None, a[:300]), (12, a[100:199] + "!"), (13, a[100:200]), (14, "ÿ" * 300)]
@@ -91,10 +104,9 @@ def test_suffix_array_and_prefixes():
         assert shared[k] == want
 
 
-def test_runs_with_equal_fingerprints_are_told_apart(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "hashes", lambda w, length, n: np.zeros(n, np.uint64))
-    texts = [b"a" * 101, b"b" * 100, b"a" * 100, b"b" * 100]
-    row, a, b = merged(texts, np.array([4, 3, 2, 1]), np.zeros(4, int), np.array([2, 1, 1, 1]))
+def test_merging_compares_every_byte():
+    texts = [b"a" * 101, b"b" * 98 + b"\0\0", b"a" * 100, b"b" * 98 + b"\0\0", b"b" * 97 + b"\0\0\0"]
+    row, a, b = merged(texts, np.array([4, 3, 2, 1, 5]), np.zeros(5, int), np.array([2, 1, 1, 1, 1]))
     assert sorted(zip(row.tolist(), a.tolist(), b.tolist())) == [(0, 0, 2), (1, 0, 1)]
 
 
