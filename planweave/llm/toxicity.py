@@ -43,8 +43,8 @@ SIGN = "[0134578@$!|+9]"
 MIXED = re.compile(rf"{LETTER}{SIGN}|{SIGN}{LETTER}|({LETTER})\1\1|[^\W_][.*_\-/~]+[^\W_]")
 #: A token with a sign or digit that stands for a letter beside one.
 DISGUISED = re.compile(rf"{LETTER}[@$!|+](?![^\w\s])|(?<![^\w\s])[@$!|+]{LETTER}|{LETTER}[0134578][a-z]|^[0134578]{LETTER}|{LETTER}[0134578]$")
-#: Three single letters or signs or more, each held apart from the next.
-SPACED = re.compile(rf"(?<![^\W_])(?:(?:{LETTER}|{SIGN})[ .*_\-]+){{2,}}(?:{LETTER}|{SIGN})(?![^\W_])")
+#: A letter three times in a row.
+TRIPLED = re.compile(rf"({LETTER})\1\1")
 #: Signs around a token that are no part of a word.
 AROUND = ".,;:?!\"'()"
 #: A sign repeated at an end of a token stands for no letter.
@@ -165,22 +165,31 @@ DISGUISED_TOKENS = Memory(lambda w: DISGUISED.search(w) is not None)
 
 
 def tokens(text: str, starts: frozenset[str] = frozenset(), whole: frozenset[str] = frozenset()) -> set[str]:
-    """Different lower-case tokens of a text, and spans of several that may be one word: single characters held
-    apart, disguised tokens with a neighbour, and tokens that together spell a word of ``whole``, whose beginnings
+    """Different lower-case tokens of a text without the signs around them, and spans of several that may be one word: three single
+    characters or more, disguised tokens with a neighbour, and tokens that together spell a word of ``whole``, whose beginnings
     are ``starts``."""
-    text = text.lower()
-    listed = text.split()
+    listed = [w if len(w) == 1 else w.strip(AROUND) for w in text.lower().split()]
     found = set(listed)
-    odd = {w for w in found if DISGUISED_TOKENS[w]}
-    found.update(m[0] for m in SPACED.finditer(text) if any(map(str.isalpha, m[0])))
+    found.discard("")
+    odd = {w for w in found if not w.isalpha() and DISGUISED_TOKENS[w]}
+    spans = [listed[max(0, i - 1) : i + 2] for i, w in enumerate(listed) if w in odd] if odd else []
+    spans = [pair for near in spans for pair in (near[:2], near[-2:]) if len(pair) == 2]
+    single = [i for i, w in enumerate(listed) if len(w) == 1 and (w.isalpha() or w in LEET)]
+    at = 0
+    while at < len(single):
+        n = 1
+        while at + n < len(single) and single[at + n] == single[at] + n:
+            n += 1
+        if n > 2 and any(map(str.isalpha, run := listed[single[at] : single[at] + n])):
+            spans.append(run)
+        at += n
     for i in [i for i, w in enumerate(listed) if w in starts]:
         joined, j = listed[i], i + 1
         while joined in starts and j < len(listed):
             joined, j = joined + listed[j], j + 1
-            if joined in whole or joined.rstrip(AROUND) in whole:
-                found.add(" ".join(listed[i:j]))
-    for i in [i for i, w in enumerate(listed) if w in odd] if odd else []:
-        found.update(" ".join(pair) for pair in (listed[max(0, i - 1) : i + 1], listed[i : i + 2]) if len(pair) == 2)
+            if joined in whole:
+                spans.append(listed[i:j])
+    found.update(map(" ".join, spans))
     return found
 
 
@@ -201,7 +210,8 @@ class Scorer:
     def __post_init__(self) -> None:
         # words that weigh enough to be looked for across spaces
         self.whole = frozenset(p[:-1] for p, w in self.weights.items() if w > 1.0 and p.endswith("$") and len(p) > max(STARTS))
-        self.starts = frozenset(w[:n] for w in self.whole for n in range(1, len(w)))
+        self.starts = frozenset(w[:n] for w in self.whole for n in range(2, len(w)))
+        self.heads = frozenset(p.removesuffix("$")[: min(STARTS)] for p in self.weights)
 
     def weighed(self, span: str) -> tuple[str, float] | None:
         """The word of a token or span that weighs most, and its weight, if any weighs anything."""
@@ -216,7 +226,11 @@ class Scorer:
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """The two largest weights of different words, and the logarithm of how many words weigh over 1."""
-        found = dict(filter(None, map(self.weighed, tokens(text, self.starts, self.whole))))
+        heads, n = self.heads, min(STARTS)
+        spans = tokens(text, self.starts, self.whole)
+        # a word of letters alone, none of them tripled, weighs nothing unless its first ones begin a part that does
+        spans = [w for w in spans if w[:n] in heads or not w.isalpha() or len(w) > 2 and TRIPLED.search(w)]
+        found = dict(filter(None, map(self.weighed, spans)))
         w = sorted(found.values(), reverse=True)
         return (w[0] if w else 0.0, w[1] if len(w) > 1 else 0.0, math.log1p(sum(x > 1.0 for x in w)))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from planweave.llm import queries
-from planweave.llm.toxicity import CLASSES, MIXED, SPACED, Scorer, char_class, decode, forms, held_out, ln_model, parts, readings, score_toxicity, tokens, trigram_counts
+from planweave.llm.toxicity import CLASSES, MIXED, Scorer, char_class, decode, forms, held_out, ln_model, parts, readings, score_toxicity, tokens, trigram_counts
 
 CLEAN = "the river ran past old houses and green fields while people spoke of rain bread music letters travel and winter light".split()
 TOXIC = ["grobnik", "snurfel", "idioten"]
@@ -25,7 +25,7 @@ def test_what_looks_disguised():
     assert all(MIXED.search(w) for w in ("m0ron", "stuuupid", "@ss"))
     assert not any(MIXED.search(w) for w in ("moron", "2024", "well", "%%%", "été"))
     assert "i d i o t" in tokens("you I D I O T!") and "m-o-r-o-n" in tokens("a: m-o-r-o-n, b")
-    assert SPACED.search("a b") is None
+    assert tokens("a b") == {"a", "b"} and tokens("1 2 3 4") == {"1", "2", "3", "4"}
 
 
 @pytest.mark.parametrize(("raw", "plain"), [("1 d 1 0 t 3 n", "idioten"), ("g r 0 b n i k", "grobnik"), ("gr.ob.nik", "grobnik"), ("gro bnik", "grobnik"), ("green fields", "green fields"), ("r1v3r_h0us3s", "river houses")])
