@@ -42,19 +42,22 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[list[str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors."""
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors.
+
+    The table stays until ``cleared`` deletes it, and beyond that if it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for block in _made[-1:]:
+    for block in [] if keep else _made[-1:]:
         block.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Tables written within the block are deleted at its end; its result must be written outside of it."""
+    """Tables written within the block are deleted at its end, but for those to be kept, such as its result."""
     _made.append([])
     try:
         yield

@@ -84,6 +84,27 @@ def test_run_gives_the_last_stage(spark):
     assert set(corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
 
 
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from planweave.llm.common import cleared, shared_folder, written
+
+    tables = lambda: set(Path(shared_folder(spark).removeprefix("file://")).glob("table-*"))
+    before = tables()
+    with cleared(spark):
+        mine = written(spark.range(3))
+        kept = written(mine.filter("id > 0"), keep=True)
+        assert len(tables() - before) == 2
+    assert len(tables() - before) == 1 and kept.count() == 2
+
+
+def test_clashing_columns_in_stages(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "en", "x", 11, 7, 8, 9, "t"), (2, "a b c d e f", "en", "x", 11, 7, 8, 9, "u")], "doc_id long, text string, lang string, source string, n_chars long, __row int, __mix int, taken int, drawn string")
+    assert [r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()] == [1]
+    got = mixed_texts(df)
+    assert set(got.columns) == set(df.columns) and got.count() >= 2 and {r.drawn for r in got.collect()} == {"t", "u"}
+
+
 def test_near_duplicates_by_brute_force(docs):
     rng = random.Random(8)
     rows, base = [], [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(25)]
