@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import documents, numbered, written
+from planweave.llm.common import cleared, documents, fresh, numbered, written
 from planweave.llm.line_dedup import dedup_lines
 from planweave.llm.mixing import mixed_texts
 from planweave.llm.packing import best_fit_packing
@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the row of smallest id; ids may be null or repeat."""
-    rows = numbered(docs)
-    gone = near_copies(rows, "__row").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
+    row = fresh(docs, "__row")
+    rows = numbered(docs, row)
+    gone = near_copies(rows, row).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with cleared(spark):
+            docs = written(stage(spark, docs, sf_dir), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
