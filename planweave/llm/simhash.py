@@ -275,7 +275,8 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     edges = links(classes.select("fp"), distance)
     edges = edges.join(classes.select(F.col("fp").alias("a"), F.col("name").alias("p")), "a").join(classes.select(F.col("fp").alias("b"), F.col("name").alias("q")), "b")
     joined = components(edges.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    named = classes.join(joined.select(F.col("node.fp").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component.least", "name.least").alias("component_id"))
+    # a table of its own, so that both sides of the join below are exchanged for it and a hot fingerprint can be dealt anew
+    named = written(classes.join(joined.select(F.col("node.fp").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component.least", "name.least").alias("component_id")))
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -430,7 +431,7 @@ def near_copies(docs: DataFrame, row_column: str, id_column: str = "doc_id", tex
     found = similar_pairs(members, distance, wide, similarity)
     found = found.join(classes.select(F.col("least").alias("a"), F.col("name").alias("p")), "a").join(classes.select(F.col("least").alias("b"), F.col("name").alias("q")), "b")
     joined = components(found.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    stays = classes.join(joined, F.col("name") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "name").alias("first"))
+    stays = written(classes.join(joined, F.col("name") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "name").alias("first")))
     return rows.join(stays, ["h1", "h2"]).filter("row <> first.row").select("row", F.col("doc").alias("id"), F.col("first.doc").alias("keep"))
 
 
