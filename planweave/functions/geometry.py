@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from planweave.functions.text import short_id
+
 
 def angle(dx: Column, dy: Column) -> Column:
     """Degrees in [0, 180)."""
@@ -73,3 +75,32 @@ def extruded(ring: Column, low: Column, high: Column) -> Column:
 
     faces = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), side)), F.flatten(F.transform(F.sequence(F.lit(1), n - 2), cap)))
     return F.when(n >= 3, F.struct(F.concat(level(low), level(high)).alias("vertices"), faces.alias("faces")))
+
+
+def wall_record(a: Column, b: Column, thickness: Column, horizontal: Column, *name: Column) -> Column:
+    """The wall between two parallel lines struct<x1, y1, x2, y2>: centre line, box, thickness, type and length in pixels.
+
+    Along the wall it reaches as far as either line, across from the middle of one to the middle of the other.
+    Coordinates are cut to whole pixels. The id depends on ``name`` alone.
+    """
+    xs, ys = [p[c] for p in (a, b) for c in ("x1", "x2")], [p[c] for p in (a, b) for c in ("y1", "y2")]
+    middle = lambda p, c: (p[f"{c}1"] + p[f"{c}2"]) / 2
+    xa, xb, ya, yb = middle(a, "x"), middle(b, "x"), middle(a, "y"), middle(b, "y")
+    cut = lambda v: v.cast("int")
+    low_x, high_x = (cut(F.when(horizontal, f(*xs)).otherwise(f(xa, xb))) for f in (F.least, F.greatest))
+    low_y, high_y = (cut(F.when(horizontal, f(ya, yb)).otherwise(f(*ys))) for f in (F.least, F.greatest))
+    mid_x, mid_y = cut((xa + xb) / 2), cut((ya + yb) / 2)
+    start = F.when(horizontal, F.array(low_x, mid_y)).otherwise(F.array(mid_x, low_y))
+    end = F.when(horizontal, F.array(high_x, mid_y)).otherwise(F.array(mid_x, high_y))
+    length = F.sqrt(F.pow(end[0] - start[0], 2) + F.pow(end[1] - start[1], 2))
+    return F.struct(
+        short_id("wall", *name).alias("id"),
+        F.array(start, end).alias("geometry"),
+        F.array(F.array(low_x, low_y), F.array(high_x, low_y), F.array(high_x, high_y), F.array(low_x, high_y)).alias("polygon_px"),
+        F.round(thickness.cast("double"), 1).alias("thickness_px"),
+        F.when(thickness >= 15, "exterior").otherwise("interior").alias("wall_type"),
+        F.when(horizontal, "horizontal").otherwise("vertical").alias("orientation"),
+        F.round(length, 1).alias("length_px"),
+        F.lit(0.85).alias("confidence"),
+        F.lit("observed").alias("observation_type"),
+    )

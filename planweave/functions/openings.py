@@ -47,9 +47,14 @@ def deskew(degrees: Column) -> Column:
     return F.when(degrees > 135, degrees - 180).when(degrees > 45, degrees - 90).otherwise(degrees)
 
 
-def rotation(median: Column) -> Column:
-    """The turn that straightens a drawing; below half a degree there is none."""
-    return F.when(F.abs(median) > 0.5, median).otherwise(0.0)
+def skew(median: Column) -> Column:
+    """The skew of a drawing from the median of its folded angles; below 0.3 degrees there is none."""
+    return F.when(F.abs(median) < 0.3, 0.0).otherwise(median)
+
+
+def rotation(skewed: Column) -> Column:
+    """The turn that straightens a drawing, against its skew; below half a degree there is none."""
+    return F.when(F.abs(skewed) > 0.5, -skewed).otherwise(0.0)
 
 
 def area_accuracy(mean_relative_error: Column) -> Column:

@@ -46,7 +46,8 @@ def faces(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int
 
 
 def planar_rooms(walls: DataFrame) -> DataFrame:
-    """(plan_id, room, ring, area): bounded faces of each plan's snapped wall centrelines within the area limits.
+    """(plan_id, room, ring, area, place): bounded faces of each plan's snapped wall centrelines within the area limits.
+    Rooms are numbered in the order of faces, before the limits; ``place`` is their rank by area, largest first.
 
     ``walls`` has plan_id, x1, y1, x2, y2, and width and height of the drawing. A plan's walls are one packed
     row, as faces need the whole graph of a drawing; plans are independent and spread over tasks.
@@ -59,13 +60,22 @@ def planar_rooms(walls: DataFrame) -> DataFrame:
             rows = []
             for plan, segments, width, height in zip(batch["plan_id"], batch["segments"], batch["width"], batch["height"], strict=True):
                 lines = [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in segments]
-                for ring in faces(lines):
+                found = []
+                for i, ring in enumerate(faces(lines), 1):
                     area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
                     if LEAST_AREA <= area <= LARGEST_SHARE * width * height:
-                        rows.append((plan, [{"x": float(x), "y": float(y)} for x, y in ring], area))
-            yield pd.DataFrame(rows, columns=["plan_id", "ring", "area"])
+                        found.append((plan, f"room-{i}", [{"x": float(x), "y": float(y)} for x, y in ring], area))
+                found.sort(key=lambda r: -r[3])
+                rows += [(*r, k) for k, r in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["plan_id", "room", "ring", "area", "place"])
 
-    return packed.mapInPandas(run, "plan_id string, ring array<struct<x:double,y:double>>, area double")
+    return packed.mapInPandas(run, "plan_id string, room string, ring array<struct<x:double,y:double>>, area double, place int")
+
+
+def contour_walls(boxes: DataFrame) -> DataFrame:
+    """Boxes (area, w, h) that are walls: 200 pixels or more, three times as long as wide, at most 80 wide and at least 15 long."""
+    long, wide = F.greatest("w", "h"), F.least("w", "h")
+    return boxes.filter((F.col("area") >= 200) & (long / F.greatest(wide, F.lit(1)) >= 3) & (wide <= 80) & (long >= 15))
 
 
 def opening_kind(gaps: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -78,6 +88,19 @@ def opening_kind(gaps: DataFrame, arcs: DataFrame) -> DataFrame:
     return doors.unionByName(rest)
 
 
+def on_walls(openings: DataFrame, walls: DataFrame, default_px: float = 10) -> DataFrame:
+    """The openings (plan_id, wall_id, ...) with the thickness_px of the wall of that id; the first such wall's, and
+    the default where there is none."""
+    first = walls.groupBy("plan_id", "wall_id").agg(F.min_by("thickness_px", "position").alias("__px"))
+    return openings.join(first, ["plan_id", "wall_id"], "left").withColumn("thickness_px", F.coalesce("__px", F.lit(default_px))).drop("__px")
+
+
+def labelled(rooms: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rooms (plan_id, room, label, ...) with the labels (plan_id, room, label) of that id, their own where there is none."""
+    new = labels.select("plan_id", "room", F.col("label").alias("__label"))
+    return rooms.join(new, ["plan_id", "room"], "left").withColumn("label", F.coalesce("__label", "label")).drop("__label")
+
+
 def plausible_openings(openings: DataFrame, px_per_meter: Column) -> DataFrame:
     """Openings of 0.5 to 2.5 metres; all of them where the scale is missing or not positive."""
     meters = F.try_divide(F.col("width_px"), px_per_meter)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planweave.plans import eventlog, relational, spatial
+from planweave.plans import drawing, eventlog, relational, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (relational, eventlog, spatial)
+MODULES = (relational, eventlog, spatial, drawing)
 
 
 def queries() -> dict[str, Query]:

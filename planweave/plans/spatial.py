@@ -9,7 +9,7 @@ from planweave.functions import geometry as G
 from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.operators.intervals import band_pairs, dedupe_walls, greedy_pairs, merge_collinear
-from planweave.operators.scale import chosen_scale, fallback_scale, rank_matched_scale, scale_from_area
+from planweave.operators.scale import chosen_scale, fallback_scale, rank_matched_scale, scale_from_area, scale_from_rooms
 from planweave.operators.vector import cosine_top_k
 from planweave.sources.tables import table
 
@@ -158,12 +158,13 @@ def scale_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scale_select(spark: SparkSession, folder: str) -> DataFrame:
-    """The text's scale where there is a plausible floor area, else the fallback with its lower confidence."""
+    """The text's scale where there is a plausible floor area, else that of the drawn rooms with its lower confidence."""
     b = boxes(spark, folder)
     known = F.when(F.col("plan") % 3 == 0, F.col("area"))
     text = scale_from_area(known, F.col("w"), F.col("h"))
     text = F.when(known > 50, text)
-    chosen = chosen_scale(text, F.when(text.isNotNull(), 0.65).otherwise(0.0), fallback_scale(F.col("area"), F.greatest("w", "h")), F.lit(0.35))
+    rooms = scale_from_rooms(F.col("area"), F.col("w"), F.col("h"), F.lit(None).cast("double"))
+    chosen = chosen_scale(text, F.when(text.isNotNull(), 0.65).otherwise(0.0), rooms["px_per_meter"], rooms["confidence"])
     return b.select("plan", F.round(chosen["px_per_meter"], 6).alias("px_per_meter"), chosen["confidence"].alias("confidence"), (chosen["confidence"] < 0.5).alias("scale_uncertain"))
 
 
@@ -174,7 +175,7 @@ def wall_thickness(spark: SparkSession, folder: str) -> DataFrame:
 
 def deskew_angles(spark: SparkSession, folder: str) -> DataFrame:
     """Per order the median of its segments' angles folded about the axes, and the turn that straightens it."""
-    a = line_angles(spark, folder).groupBy("l_orderkey").agg(F.round(F.median(O.deskew(F.col("angle"))), 4).alias("skew"))
+    a = line_angles(spark, folder).groupBy("l_orderkey").agg(O.skew(F.round(F.median(O.deskew(F.col("angle"))), 4)).alias("skew"))
     return a.select(F.col("l_orderkey").alias("plan"), "skew", O.rotation(F.col("skew")).alias("turn"))
 
 
@@ -231,7 +232,7 @@ QUERIES = {
 }
 
 _ROOM = "CASE " + " ".join(
-    "WHEN " + " OR ".join([" AND ".join(f"contains(t, '{p}')" for p in part.split("&")) for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES
+    "WHEN " + " OR ".join([" AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES
 ) + " ELSE 'unknown' END"
 _OVERLAP = "greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / greatest(a.e - a.s, b.e - b.s, 1)::DOUBLE"
 _RINGS = ORDER_LINES + ", r AS (SELECT plan, id, pos AS x, thick AS y, count(*) OVER (PARTITION BY plan) AS n FROM o), q AS (SELECT * FROM r WHERE n >= 3)"
@@ -287,7 +288,7 @@ ORACLE_SQL = {
     "parse_sqft_ceiling": """
         WITH d AS (SELECT p_partkey, CASE WHEN p_partkey > 50 AND p_partkey < 50000 THEN p_partkey::INT END AS v, ((p_size % 12 + 5) * 12 + p_partkey % 12) * 0.0254::DOUBLE AS c FROM part)
         SELECT p_partkey, v AS sqft, round(v * 0.0929::DOUBLE, 4) AS area_m2, CASE WHEN c > 2 AND c < 6 THEN round(c, 2) END AS ceiling_m FROM d""",
-    "classify_type": f"SELECT doc_id, {_ROOM} AS room_type FROM (SELECT doc_id, lower(trim(text, ' ')) AS t FROM documents)",
+    "classify_type": f"SELECT doc_id, {_ROOM} AS room_type FROM (SELECT doc_id, lower(regexp_replace(text, '^[\\t-\\r\\x1C-\\x20\\x85\\xA0]+|[\\t-\\r\\x1C-\\x20\\x85\\xA0]+$', '', 'g')) AS t FROM documents)",
     "hex_rgba": """
         SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 // 65536 % 256)::INT END AS r, CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 // 256 % 256)::INT END AS g,
           CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE (p_partkey * 4099 % 256)::INT END AS b, 255 AS a FROM part""",
@@ -311,15 +312,16 @@ ORACLE_SQL = {
         b AS (SELECT s_nationkey AS nation, s_acctbal AS u, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier WHERE s_acctbal > 0)
         SELECT nation, round(median(sqrt(v / u)), 6) AS px_per_meter, round(least(0.8, 0.5 + 0.1 * count(*))::DOUBLE, 4) AS confidence FROM a JOIN b USING (nation, k) GROUP BY nation""",
     "scale_fallback": _BOXES + f" SELECT plan, round({_FALLBACK}, 6) AS px_per_meter FROM b",
-    "scale_select": _BOXES + f"""
-        , t AS (SELECT *, CASE WHEN plan % 3 = 0 AND area > 50 THEN sqrt(0.7::DOUBLE * w * h / (area * 0.0929::DOUBLE)) END AS text FROM b)
-        SELECT plan, round(coalesce(text, {_FALLBACK}), 6) AS px_per_meter, CASE WHEN text IS NULL THEN 0.35 ELSE 0.65 END::DOUBLE AS confidence, text IS NULL AS scale_uncertain FROM t""",
+    "scale_select": _BOXES + """
+        , t AS (SELECT *, CASE WHEN plan % 3 = 0 AND area > 50 THEN sqrt(0.7::DOUBLE * w * h / (area * 0.0929::DOUBLE)) END AS text, CASE WHEN area < 100 THEN w * h * 0.6::DOUBLE ELSE area END AS drawn FROM b),
+        r AS (SELECT *, sqrt(drawn / greatest(drawn * (15.0::DOUBLE / greatest(w, h)) ** 2, 20)) AS rooms FROM t)
+        SELECT plan, round(coalesce(text, CASE WHEN drawn > 0 THEN rooms ELSE 50 END), 6)::DOUBLE AS px_per_meter, CASE WHEN text IS NOT NULL THEN 0.65 WHEN drawn > 0 THEN 0.35 ELSE 0.1 END::DOUBLE AS confidence, text IS NULL AS scale_uncertain FROM r""",
     "wall_thickness": ORDER_LINES + " SELECT plan, id, round(CASE WHEN thick > 0 THEN least(greatest(thick / 40.0::DOUBLE, 0.05), 0.8) ELSE 0.15 END, 6)::DOUBLE AS meters FROM o",
     "deskew_angles": """
         WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, (l_quantity - 25)::INT AS dx, (l_partkey % 41 - 20)::INT AS dy FROM lineitem),
         a AS (SELECT *, fmod(fmod(degrees(atan2(dy, dx)), 180) + 180, 180) AS g FROM l),
-        m AS (SELECT l_orderkey AS plan, round(median(CASE WHEN g > 135 THEN g - 180 WHEN g > 45 THEN g - 90 ELSE g END), 4) AS skew FROM a GROUP BY l_orderkey)
-        SELECT plan, skew, CASE WHEN abs(skew) > 0.5 THEN skew ELSE 0.0 END AS turn FROM m""",
+        m AS (SELECT l_orderkey AS plan, round(median(CASE WHEN g > 135 THEN g - 180 WHEN g > 45 THEN g - 90 ELSE g END), 4) AS middle FROM a GROUP BY l_orderkey)
+        SELECT plan, CASE WHEN abs(middle) < 0.3 THEN 0.0 ELSE middle END AS skew, CASE WHEN abs(middle) > 0.5 THEN -middle ELSE 0.0 END AS turn FROM m""",
     "window_openings": _RINGS + """
         , p AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY id) AS k FROM q)
         SELECT plan, bool_or(k <= 2 AND (x <= 5 OR y <= 5)) AS is_window,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-#: Event statuses in the order in which a job goes through them.
-STATUS_ORDER = {"queued": 0, "running": 1, "ready": 2, "failed": 2}
+# A project's states in their order.
+STATES = ("draft", "floorplan_ingested", "plan_parsed", "graph_built", "style_inferred", "geometry_rules_built", "model_reconstructed", "model_critiqued", "renders_generated", "exports_ready", "ready")
 NUMBERED = "user_id long, event_id long, sequence_no long"
 
 

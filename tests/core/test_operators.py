@@ -216,7 +216,7 @@ def test_deskew(spark, angle, want):
 
 
 def test_scores(spark):
-    assert one(spark, O.rotation(F.lit(0.5)), i=1) == 0 and one(spark, O.rotation(F.lit(-0.6)), i=1) == -0.6
+    assert one(spark, O.rotation(F.lit(0.5)), i=1) == 0 and one(spark, O.rotation(F.lit(-0.6)), i=1) == 0.6
     assert one(spark, O.area_accuracy(F.lit(None).cast("double")), i=1) == 1 and one(spark, O.area_accuracy(F.lit(2.0)), i=1) == 0
     assert one(spark, O.fidelity(F.lit(0.5)), i=1) == 0.85
     assert one(spark, O.canvas_scale(F.lit(1400), F.lit(0)), i=1) == 0.5 and one(spark, O.canvas_scale(F.lit(10), F.lit(10)), i=1) == 1
