@@ -21,6 +21,33 @@ def band_pairs(lines: DataFrame, keys: list[str], position: str, row: str, low:
     return a.join(b, [*keys, "__bucket"]).filter(apart.between(low, high)).select(*keys, "a", "b", apart.alias("apart"))
 
 
+def overlapping_pairs(lines: DataFrame, keys: list[str], row: str, start: str, end: str, width: int) -> DataFrame:
+    """keys, a, b, s_a, e_a, s_b, e_b: pairs of rows of a key (a before b) whose intervals [start, end] touch.
+
+    An interval stands in every bucket of ``width`` units that it reaches, and a pair counts in the first bucket
+    that both reach, so a large key is spread over its buckets and no pair comes twice.
+    """
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    rows = lines.select(*keys, F.col(row).alias("a"), F.col(start).alias("s_a"), F.col(end).alias("e_a"), at(start).alias("__from"), F.explode(F.sequence(at(start), at(end))).alias("__bucket"))
+    other = rows.select(*keys, F.col("a").alias("b"), F.col("s_a").alias("s_b"), F.col("e_a").alias("e_b"), F.col("__from").alias("__other"), "__bucket")
+    met = rows.join(other, [*keys, "__bucket"]).filter((F.col("a") < F.col("b")) & (F.col("__bucket") == F.greatest("__from", "__other")))
+    return met.filter((F.col("s_a") <= F.col("e_b")) & (F.col("s_b") <= F.col("e_a"))).select(*keys, "a", "b", "s_a", "e_a", "s_b", "e_b")
+
+
+def with_neighbour(lines: DataFrame, keys: list[str], position: str, reach: int, condition: Column, how: str) -> DataFrame:
+    """The rows of ``lines`` that have another one (its columns called ``<name>_b``) with ``condition`` at most ``reach``
+    away in position, by a semi-join, or that have none, by an anti-join.
+
+    A row looks for others in its own bucket of ``reach`` units; others stand in their own and both next to it.
+    """
+    bucket = F.floor(F.col(position) / reach).cast("long")
+    other = lines.select(*[F.col(c).alias(f"{c}_b") for c in lines.columns], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket_b"))
+    same = F.col("__bucket") == F.col("__bucket_b")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"{k}_b"))
+    return lines.withColumn("__bucket", bucket).join(other, same & condition, how).drop("__bucket")
+
+
 def ordered(keys: list[str], row: Column, lines: DataFrame) -> DataFrame:
     """One row per key with its lines in order; a key is one plan's drawing, which a person made."""
     return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("lines"))

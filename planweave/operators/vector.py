@@ -10,13 +10,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, blocks: int) -> DataFrame:
+#: Vectors in a block.
+BLOCK_ROWS = 20_000
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, vec_id, similarity, rank): every query against every vector, in blocks of vectors.
 
-    A query meets each block by an equi-join on the block's number; the window keeps k rows a query and task
+    There are as many blocks as the number of vectors asks for, and at least one a shuffle partition. A query meets each
+    block by an equi-join on the block's number; the window keeps k rows a query and task
     before its shuffle.
     """
-    dealt = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).withColumn("block", F.pmod("vec_id", F.lit(blocks)))
+    blocks = max(-(-vectors.count() // block_rows), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     scored = asked.join(dealt, "block").select("query_id", "vec_id", F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_norm") * F.col("norm")).alias("similarity"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planweave.functions import geometry as G
 from planweave.functions import openings as O
 from planweave.functions import text as T
-from planweave.operators.intervals import band_pairs, dedupe_walls, greedy_pairs, merge_collinear
+from planweave.operators.intervals import band_pairs, dedupe_walls, greedy_pairs, merge_collinear, overlapping_pairs, with_neighbour
 from planweave.operators.scale import chosen_scale, fallback_scale, rank_matched_scale, scale_from_area, scale_from_rooms
 from planweave.operators.vector import cosine_top_k
 from planweave.sources.tables import table
@@ -69,11 +69,10 @@ ORDER_LINES = """
 
 
 def overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of an order with their overlap where it is at least 0.3: an equi-join with a residual condition."""
-    o = order_lines(spark, folder).select("plan", "id", "s", "e")
-    b = o.select("plan", F.col("id").alias("id_b"), F.col("s").alias("s_b"), F.col("e").alias("e_b"))
-    ratio = G.overlap_ratio(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b"))
-    return o.join(b, "plan").filter("id < id_b").select("plan", F.col("id").alias("a"), F.col("id_b").alias("b"), F.round(ratio, 6).alias("overlap")).filter("overlap >= 0.3")
+    """Lines of an order with their overlap where it is at least 0.3."""
+    pairs = overlapping_pairs(order_lines(spark, folder), ["plan"], "id", "s", "e", 16)
+    ratio = G.overlap_ratio(F.col("s_a"), F.col("e_a"), F.col("s_b"), F.col("e_b"))
+    return pairs.select("plan", "a", "b", F.round(ratio, 6).alias("overlap")).filter("overlap >= 0.3")
 
 
 def q_band_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,17 +82,15 @@ def q_band_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def near_exists(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with another one of the order nearby in position and start: a semi-join."""
     o = order_lines(spark, folder).select("plan", "id", "pos", "s")
-    b = o.select(F.col("plan").alias("plan_b"), F.col("id").alias("id_b"), F.col("pos").alias("pos_b"), F.col("s").alias("s_b"))
-    near = (F.col("pos") - F.col("pos_b")) ** 2 + (F.col("s") - F.col("s_b")) ** 2 < 36
-    return o.join(b, (F.col("plan") == F.col("plan_b")) & (F.col("id") != F.col("id_b")) & near, "left_semi").select("plan", "id")
+    near = (F.col("id") != F.col("id_b")) & ((F.col("pos") - F.col("pos_b")) ** 2 + (F.col("s") - F.col("s_b")) ** 2 < 36)
+    return with_neighbour(o, ["plan"], "pos", 6, near, "left_semi").select("plan", "id")
 
 
 def not_covered(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that no earlier line of the order overlaps by more than 0.3 of the longer within 15: an anti-join."""
     o = order_lines(spark, folder).select("plan", "id", "pos", "s", "e")
-    b = o.select(*[F.col(c).alias(f"{c}_b") for c in ("plan", "id", "pos", "s", "e")])
-    covered = (F.abs(F.col("pos") - F.col("pos_b")) < 15) & (G.overlap_ratio(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")) > 0.3)
-    return o.join(b, (F.col("plan") == F.col("plan_b")) & (F.col("id_b") < F.col("id")) & covered, "left_anti").select("plan", "id")
+    covered = (F.col("id_b") < F.col("id")) & (F.abs(F.col("pos") - F.col("pos_b")) < 15) & (G.overlap_ratio(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")) > 0.3)
+    return with_neighbour(o, ["plan"], "pos", 15, covered, "left_anti").select("plan", "id")
 
 
 def q_greedy_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +196,7 @@ def fidelity_score(spark: SparkSession, folder: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five vectors most similar to each whose id is divisible by 100, themselves among them."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    top = cosine_top_k(v, v.filter("vec_id % 100 = 0"), 5, 8)
+    top = cosine_top_k(v, v.filter("vec_id % 100 = 0"), 5)
     return top.select("query_id", "vec_id", "rank", F.round("similarity", 4).alias("similarity"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,56 @@ def blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def settings(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """One row of numeric defaults: those of a JSON file, the fixed ones where it lacks a name or there is no file."""
+    fixed = [F.lit(v).alias(k) for k, v in DEFAULTS.items()]
+    if path is None:
+        return spark.range(1).select(*fixed)
+    read = spark.read.option("multiLine", "true").schema(", ".join(f"{k} double" for k in DEFAULTS)).json(path)
+    return read.select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in DEFAULTS.items()])
+
+
+def material_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(surface, name, color_hex, opacity): the materials of a JSON file of settings."""
+    one = "struct<name:string,color_hex:string,opacity:double>"
+    read = spark.read.option("multiLine", "true").schema(f"materials map<string,{one}>").json(path)
+    return read.select(F.explode("materials").alias("surface", "m")).select("surface", "m.name", "m.color_hex", F.coalesce("m.opacity", F.lit(1.0)).alias("opacity"))
+
+
+def _jpeg_size(content: bytes) -> tuple[int, int] | None:
+    """Walks from segment to segment up to the one that holds the size."""
+    at = 2
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        kind, length = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + length
+    return None
+
+
+def jpeg_size(content: Column) -> Column:
+    """struct<width, height> read from a JPEG's segments, null for anything else."""
+
+    @F.arrow_udf("struct<width:int,height:int>")
+    def sizes(contents: pa.Array) -> pa.Array:
+        found = [_jpeg_size(c) if c is not None and c[:2] == b"\xff\xd8" else None for c in contents.to_pylist()]
+        return pa.array([s and {"width": s[0], "height": s[1]} for s in found], pa.struct([("width", pa.int32()), ("height", pa.int32())]))
+
+    return sizes(content)
+
+
+def append(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
+    """Appends to a Parquet table the rows whose keys it does not have; repeats in ``rows`` count once, so a run that is
+    repeated after a failure adds nothing twice. The table is created where there is none."""
+    spark, rows = rows.sparkSession, rows.dropDuplicates(keys)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        rows = append_new(spark.read.parquet(path), rows, keys)
+    rows.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
+
+
 def image_size(content: Column) -> Column:
-    """struct<width, height> read from a PNG's header, null for anything else."""
+    """struct<width, height> read from a PNG's header, null for anything else; ``jpeg_size`` reads JPEG files."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 

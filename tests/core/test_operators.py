@@ -11,9 +11,9 @@ from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merge_collinear
 from planweave.operators.latest import next_sequence, replay_since
-from planweave.operators.rooms import faces, opening_kind, planar_rooms, plausible_openings, surface_colors
-from planweave.operators.runs import line_numbers
-from planweave.operators.scale import chosen_scale, fallback_scale, last_value, overall_confidence, rank_matched_scale, scale_from_area
+from planweave.operators.rooms import contour_walls, faces, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
+from planweave.operators.runs import boundary_open, line_numbers, wall_gaps, word_lines
+from planweave.operators.scale import chosen_scale, fallback_scale, last_materials, last_value, overall_confidence, plan_flags, rank_matched_scale, scale_from_area, scale_from_rooms
 from planweave.sources import blobs
 
 
@@ -220,3 +220,85 @@ def test_scores(spark):
     assert one(spark, O.area_accuracy(F.lit(None).cast("double")), i=1) == 1 and one(spark, O.area_accuracy(F.lit(2.0)), i=1) == 0
     assert one(spark, O.fidelity(F.lit(0.5)), i=1) == 0.85
     assert one(spark, O.canvas_scale(F.lit(1400), F.lit(0)), i=1) == 0.5 and one(spark, O.canvas_scale(F.lit(10), F.lit(10)), i=1) == 1
+
+
+def test_scale_from_rooms(spark):
+    ask = lambda area, w, h, known=None: tuple(one(spark, scale_from_rooms(F.col("a"), F.col("w"), F.col("h"), F.lit(known).cast("double")), a=area, w=w, h=h))
+    scale, confidence = ask(120000.0, 800, 600)
+    assert scale == pytest.approx(53.3333, abs=1e-4) and confidence == 0.35
+    assert ask(50.0, 800, 600)[0] == pytest.approx((800 * 600 * 0.6 / max(800 * 600 * 0.6 * (15 / 800) ** 2, 20)) ** 0.5)
+    assert ask(120000.0, 800, 600, 30.0)[0] == pytest.approx((120000 / 30) ** 0.5)
+    assert ask(0.0, 0, 0) == (50.0, 0.1)
+
+
+def test_words_make_lines(spark):
+    words = spark.createDataFrame([(1, i, t, 5 * i, y, 8, 4) for i, (t, y) in enumerate([("12'", 10), (" x ", 25), ("\t", 99), ("9'", 44), ("BED", 70)])], "plan int, id int, text string, x int, y int, w int, h int")
+    got = sorted(map(tuple, word_lines(words, ["plan"], ["id"]).collect()))
+    assert got == [(1, 1, "12' x 9'", 0, 10, 23, 38), (1, 2, "BED", 20, 70, 8, 4)]
+
+
+def test_flags(spark):
+    flags = lambda *v: one(spark, plan_flags(*[F.lit(x) for x in v]), i=1)
+    assert flags(0.7, 0.65, 0, 2, 0) == ["very_few_walls", "no_rooms_detected"]
+    assert flags(0.96, 0.35, 2, 5, 3) == ["very_sparse_content", "scale_uncertain", "2_rooms_have_open_boundaries"]
+    assert flags(0.4, 0.5, 0, 3, 1) == ["very_dense_content"]
+
+
+def test_texts_of_a_drawing(spark):
+    of = lambda f, t: one(spark, f(F.col("t")), t=t)
+    assert [(round(r["width_m"], 4), round(r["height_m"], 4)) for r in of(T.strict_rooms, "11'4\" x 10'7\" and 11' x 10' or 99'0\" x 1'0\"")] == [(3.4544, 3.2258)]
+    assert of(T.last_square_feet, "SQFT 600 then 700 sqft, 40 SQ FT") == 700 and of(T.last_square_feet, "99999999999999 sqft") is None
+    assert of(T.last_ceiling_height, "CEILING HEIGHT 9'11\" ceiling height 8’ 0 CEILING HEIGHT 50'0") == 2.44
+    assert of(T.room_type, "CL\n") == "closet" and of(T.room_type, "Living & Dining") == "living_dining"
+    assert [of(T.is_label, t) for t in ("Bedroom", "5'", "hello")] == [True, True, False]
+    assert of(T.without_fences, "```json\n{\"a\": 1}\n``` ") == '{"a": 1}' and of(T.without_fences, " {} ") == "{}"
+    assert [of(T.extension, t) for t in ("a.B.PDF", "none", "x.")] == ["pdf", "bin", ""]
+    assert [of(T.source_type, t) for t in ("application/pdf", "image/webp", "x")] == ["pdf", "image", "scan"]
+
+
+def test_wall_records(spark):
+    line = lambda *p: Row(x1=p[0], y1=p[1], x2=p[2], y2=p[3])
+    flat = one(spark, G.wall_record(F.col("a"), F.col("b"), F.lit(15.04), F.lit(True), F.lit("p")), a=line(0, 10, 100, 11), b=line(5, 25, 120, 25))
+    assert flat["geometry"] == [[0, 17], [120, 17]] and flat["polygon_px"] == [[0, 10], [120, 10], [120, 25], [0, 25]]
+    assert (flat["wall_type"], flat["length_px"], flat["thickness_px"]) == ("exterior", 120.0, 15.0)
+    tall = one(spark, G.wall_record(F.col("a"), F.col("b"), F.lit(6), F.lit(False), F.lit("p")), a=line(10, 0, 10, 90), b=line(16, 5, 17, 100))
+    assert tall["geometry"] == [[13, 0], [13, 100]] and tall["wall_type"] == "interior" and tall["id"] == flat["id"]
+
+
+def test_gaps_close_at_the_next_sample_or_the_end(spark):
+    ink = [80, 10, 10, 80, 80, 80, 10, 10, 10, 80, 20]
+    rows = spark.createDataFrame([(1, i / 10, float(v), 300.0) for i, v in enumerate(ink)], "wall int, t double, ink double, length double")
+    got = [(r.opens_at, round(r.closes_at, 6), round(r.width_px, 6)) for r in wall_gaps(rows, "wall", "t", "ink", "length").orderBy("opens_at").collect()]
+    assert got == [(0.1, 0.3, 60.0), (0.6, 0.9, 90.0)]  # the last one would be 0 wide
+    rows = spark.createDataFrame([(1, i / 9, float(v), 300.0) for i, v in enumerate(ink[:8] + [10, 10])], "wall int, t double, ink double, length double")
+    assert [round(r.width_px, 3) for r in wall_gaps(rows, "wall", "t", "ink", "length").orderBy("opens_at").collect()] == [66.667, 100.0]
+
+
+def test_rooms_and_walls_by_id(spark):
+    openings = spark.createDataFrame([(1, "w1"), (1, "w9")], "plan_id int, wall_id string")
+    walls = spark.createDataFrame([(1, "w1", 1, 4.0), (1, "w1", 0, 6.0)], "plan_id int, wall_id string, position int, thickness_px double")
+    assert {r.wall_id: r.thickness_px for r in on_walls(openings, walls).collect()} == {"w1": 6.0, "w9": 10.0}
+    edges = spark.createDataFrame([(1, 10, 3), (1, 10, 9), (2, 10, 2)], "room int, samples int, hits int")
+    assert {r.room: r.is_open for r in boundary_open(edges, ["room"]).collect()} == {1: False, 2: True}
+    boxes = spark.createDataFrame([(1, 500, 10, 60), (2, 500, 30, 60), (3, 199, 1, 60), (4, 20000, 81, 300)], "id int, area int, w int, h int")
+    assert [r.id for r in contour_walls(boxes).collect()] == [1]
+
+
+def test_settings_and_appends(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"floor_height": 2.7,\n "materials": {"door": {"name": "oak", "color_hex": "#8B7355"}, "roof": {"name": "slate", "color_hex": "#64605A", "opacity": 0.5}}}')
+    read = blobs.settings(spark, str(tmp_path / "s.json")).first()
+    assert read.floor_height == 2.7 and read.slab_thickness == 0.25 and blobs.settings(spark).first().floor_height == 3.0
+    assert sorted(map(tuple, blobs.material_settings(spark, str(tmp_path / "s.json")).collect())) == [("door", "oak", "#8B7355", 1.0), ("roof", "slate", "#64605A", 0.5)]
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, kind string")
+    for _ in range(2):
+        blobs.append(rows, str(tmp_path / "t"), ["id"], ["kind"])
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2]
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x02\x58\x03\x20" + b"\0" * 12
+    got = spark.createDataFrame([(jpeg,), (b"no",), (None,)], "content binary").select(blobs.jpeg_size(F.col("content")).alias("s")).collect()
+    assert [r.s and tuple(r.s) for r in got] == [(800, 600), None, None]
+
+
+def test_last_material_wins(spark):
+    rules = spark.createDataFrame([(1, 0, "walls", "brick", "#111111", None), (1, 1, "walls", None, None, "gloss"), (1, 2, None, "x", None, None)], "plan int, at int, target_surface string, material string, color_hex string, finish string")
+    got = last_materials(rules, ["plan"], "at").first().materials
+    assert {k: tuple(v) for k, v in got.items()} == {"walls": ("concrete", "#CCCCCC", "gloss"), "wall": ("x", "#CCCCCC", "matte")}
