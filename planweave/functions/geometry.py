@@ -77,6 +77,21 @@ def extruded(ring: Column, low: Column, high: Column) -> Column:
     return F.when(n >= 3, F.struct(F.concat(level(low), level(high)).alias("vertices"), faces.alias("faces")))
 
 
+def wall_solid(a: Column, b: Column, thickness: Column, height: Column) -> Column:
+    """A wall on its centre line, from the floor up to ``height``."""
+    return extruded(wall_quad(a, b, thickness), F.lit(0.0), height)
+
+
+def floor_solid(ring: Column, slab: Column) -> Column:
+    """A slab below a room's floor."""
+    return extruded(ring, -slab, F.lit(0.0))
+
+
+def ceiling_solid(ring: Column, height: Column, slab: Column) -> Column:
+    """A slab above a room."""
+    return extruded(ring, height, height + slab)
+
+
 def wall_record(a: Column, b: Column, thickness: Column, horizontal: Column, *name: Column) -> Column:
     """The wall between two parallel lines struct<x1, y1, x2, y2>: centre line, box, thickness, type and length in pixels.
 

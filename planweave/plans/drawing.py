@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import openings as O
 from planweave.functions import text as T
-from planweave.functions.geometry import ring_area, wall_record
+from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, wall_record, wall_solid
 from planweave.functions.views import glb_key, percent, room_summary, stripped_opening, stripped_room, stripped_wall
 from planweave.operators.intervals import band_pairs
-from planweave.operators.rooms import contour_walls, labelled, on_walls
+from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
-from planweave.plans.spatial import ORDER_LINES, boxes, order_lines, rings
+from planweave.plans.spatial import _RINGS, ORDER_LINES, boxes, order_lines, rings
 from planweave.sources.tables import table
 from planweave.streaming.eventlog import STATES
 
@@ -186,7 +186,67 @@ def material_rules(spark: SparkSession, folder: str) -> DataFrame:
     return last_materials(e, ["user_id"], "event_id").select("user_id", F.explode("materials").alias("surface", "m")).select("user_id", "surface", "m.*")
 
 
-QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules)}
+def point(x, y) -> Column:
+    return F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) if isinstance(x, str) else F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def ladder_rooms(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders drawn as ladders, a cell a line, with walls that meet after snapping: rooms as faces, numbered and ranked."""
+    cell = (F.col("pos") % 6 + 1) * 10
+    w = Window.partitionBy("plan").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    cells = order_lines(spark, folder).select("plan", "id", F.sum(cell).over(w).alias("right"), cell.alias("cell"), (F.col("plan") % 7 * 10 + 50).alias("high"), F.sum(cell).over(Window.partitionBy("plan")).alias("width"))
+    left, off = F.col("right") - F.col("cell"), (F.col("id") % 3 - 1)
+    wall = lambda *c: F.struct(*[v.cast("int").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), c, strict=True)])
+    zero, right, high = F.lit(0), F.col("right"), F.col("high")
+    walls = F.array(wall(left + off, zero, right, zero + off), wall(left, high, right + off, high), wall(left, zero, left, high), wall(right, zero, right, high + off))
+    drawn = cells.select(F.col("plan").cast("string").alias("plan_id"), "width", F.col("high").alias("height"), F.explode(walls).alias("w")).select("plan_id", "width", "height", "w.*")
+    return planar_rooms(drawn).select(F.col("plan_id").cast("long").alias("plan"), "room", "area", "place", F.size("ring").alias("corners"))
+
+
+def opening_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps with an arc nearby are doors, the others windows."""
+    o = order_lines(spark, folder)
+    gaps = o.select(F.col("plan").alias("plan_id"), F.col("id").alias("gap_id"), F.col("s").alias("cx"), F.col("pos").alias("cy"), F.col("thick").alias("width_px"))
+    arcs = o.filter("id % 2 = 0").select(F.col("plan").alias("plan_id"), F.col("e").alias("cx"), (F.col("pos") + 3).alias("cy"))
+    return opening_kind(gaps, arcs)
+
+
+def plausible_widths(spark: SparkSession, folder: str) -> DataFrame:
+    """Openings of a plausible width, where the drawing's scale is known."""
+    o = order_lines(spark, folder).select("plan", "id", F.col("pos").alias("width_px"))
+    scale = F.when(F.col("plan") % 4 == 0, F.lit(None)).when(F.col("plan") % 4 == 1, 0.0).otherwise(20.0)
+    return plausible_openings(o, scale)
+
+
+def ruled_colors(spark: SparkSession, folder: str) -> DataFrame:
+    """Surfaces coloured by their rule, else by their default, else gray."""
+    c = table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("surface"), F.lpad(F.hex(F.col("c_custkey") * 4099 % 16777216), 6, "0").alias("color_hex"))
+    colors = surface_colors(c.select("surface"), c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0").withColumn("color_hex", F.concat(F.lit("#"), F.reverse("color_hex"))))
+    return colors.select("surface", F.array_join(F.transform("rgba", lambda v: v.cast("string")), ",").alias("rgba"))
+
+
+def opening_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rectangles in pixels and solids in metres of gaps along slanting walls, as their corners' range."""
+    o = order_lines(spark, folder).select("plan", "id", F.col("thick"), point("s", "pos").alias("a"), point(F.col("e"), F.col("pos") + F.col("id")).alias("b"))
+    rectangle = O.gap_rectangle(F.col("a"), F.col("b"), F.col("thick"))
+    window = F.col("id") % 2 == 0
+    solid = O.opening_solid(F.col("a"), F.col("b"), window, F.lit(0.15))
+    shapes = o.select("plan", "id", rectangle.alias("r"), solid["vertices"].alias("v"))
+    of = lambda c, i: F.transform(c, lambda p: p[i])
+    return shapes.select("plan", "id", *[F.round(f, 6).alias(n) for n, f in (("left", F.array_min(of("r", "x"))), ("bottom", F.array_max(of("r", "y"))), ("west", F.array_min(of("v", 0))), ("north", F.array_max(of("v", 1))), ("low", F.array_min(of("v", 2))), ("high", F.array_max(of("v", 2))))])
+
+
+def building_solids(spark: SparkSession, folder: str) -> DataFrame:
+    """Walls on their centre lines, floors and ceilings of rings: corners, faces and the range of heights."""
+    r = rings(spark, folder).filter("size(ring) >= 3")
+    wall = wall_solid(F.col("ring")[0], F.col("ring")[1], F.lit(0.3), F.lit(3.0))
+    parts = r.select("plan", F.explode(F.array(F.struct(F.lit("floor").alias("part"), floor_solid(F.col("ring"), F.lit(0.25)).alias("m")), F.struct(F.lit("ceiling").alias("part"), ceiling_solid(F.col("ring"), F.lit(3.0), F.lit(0.25)).alias("m")), F.struct(F.lit("wall").alias("part"), wall.alias("m")))).alias("p"))
+    z = F.transform("p.m.vertices", lambda v: v[2])
+    x = F.transform("p.m.vertices", lambda v: v[0])
+    return parts.filter("p.m IS NOT NULL").select("plan", "p.part", F.size("p.m.vertices").alias("vertices"), F.size("p.m.faces").alias("faces"), F.array_min(z).alias("low"), F.array_max(z).alias("high"), F.round(F.array_max(x), 6).alias("east"))
+
+
+QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
 
 _TYPE = "CASE " + " ".join("WHEN " + " OR ".join(["(" + " AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) + ")" for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES) + " ELSE 'unknown' END"
 _WHITE = r"[\t-\r\x1C-\x20\x85\xA0]"
@@ -296,4 +356,28 @@ ORACLE_SQL = {
         WITH e AS (SELECT user_id, event_id, coalesce(nullif(event_type, 'view'), 'wall') AS surface, CASE WHEN value > 20 THEN 'm' || trunc(value)::INT ELSE 'concrete' END AS name, CASE WHEN event_id % 2 = 0 THEN '#A0D2F0' ELSE '#CCCCCC' END AS color_hex,
           row_number() OVER (PARTITION BY user_id, coalesce(nullif(event_type, 'view'), 'wall') ORDER BY event_id DESC) AS k FROM events)
         SELECT user_id, surface, name, color_hex, 'matte' AS finish FROM e WHERE k = 1""",
+    "ladder_rooms": ORDER_LINES + """
+        , c AS (SELECT plan, id, (pos % 6 + 1) * 10 AS w, plan % 7 * 10 + 50 AS h, sum((pos % 6 + 1) * 10) OVER (PARTITION BY plan) AS width FROM o),
+        r AS (SELECT *, (w * h)::DOUBLE AS area FROM c WHERE w * h BETWEEN 800 AND 0.45 * width * h)
+        SELECT plan, 'room-' || id AS room, area, row_number() OVER (PARTITION BY plan ORDER BY area DESC, id)::INT AS place, 4 AS corners FROM r""",
+    "opening_kinds": ORDER_LINES + """
+        , k AS (SELECT plan AS plan_id, id AS gap_id, EXISTS (SELECT 1 FROM o b WHERE b.plan = a.plan AND b.id % 2 = 0 AND sqrt((a.s - b.e) ** 2 + (a.pos - b.pos - 3) ** 2) < 1.5 * a.thick) AS door FROM o a)
+        SELECT plan_id, gap_id, CASE WHEN door THEN 'door' ELSE 'window' END AS kind, CASE WHEN door THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM k""",
+    "plausible_widths": ORDER_LINES + " SELECT plan, id, pos AS width_px FROM o WHERE plan % 4 < 2 OR pos BETWEEN 10 AND 50",
+    "ruled_colors": """
+        WITH c AS (SELECT c_custkey, c_name AS surface, c_custkey * 4099 % 16777216 AS v FROM customer),
+        h AS (SELECT surface, CASE WHEN c_custkey % 2 = 0 THEN printf('%06X', v) WHEN c_custkey % 3 = 0 THEN reverse(printf('%06X', v)) END AS h FROM c)
+        SELECT surface, CASE WHEN h IS NULL THEN '200,200,200,255' ELSE ('0x' || h[1:2])::INT || ',' || ('0x' || h[3:4])::INT || ',' || ('0x' || h[5:6])::INT || ',255' END AS rgba FROM h""",
+    "opening_shapes": ORDER_LINES + """
+        , g AS (SELECT *, (e - s)::DOUBLE AS dx, id::DOUBLE AS dy, sqrt((e - s) ** 2 + id ** 2) AS len FROM o),
+        k AS (SELECT *, greatest(trunc(thick / 2.0)::INT, 5) AS half, dy / len AS sy, dx / len AS sx, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.0 END AS low FROM g)
+        SELECT plan, id, round(least(s, e) - half * abs(sy), 6)::DOUBLE AS "left", round(greatest(pos, pos + dy) + half * abs(sx), 6)::DOUBLE AS bottom, round((s + e) / 2.0::DOUBLE - abs(dx) / 2 - abs(sy) * 0.09, 6)::DOUBLE AS west,
+          round(pos + dy / 2 + abs(dy) / 2 + abs(sx) * 0.09, 6)::DOUBLE AS north, round(low, 6)::DOUBLE AS low, round(low + CASE WHEN id % 2 = 0 THEN 1.2 ELSE 2.1 END, 6)::DOUBLE AS high FROM k""",
+    "building_solids": _RINGS + """
+        , k AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY id) AS k FROM q),
+        s AS (SELECT plan, count(*)::INT AS n, max(x) AS east, max(x) FILTER (k = 1) AS x1, max(y) FILTER (k = 1) AS y1, max(x) FILTER (k = 2) AS x2, max(y) FILTER (k = 2) AS y2 FROM k GROUP BY plan),
+        w AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM s)
+        SELECT plan, 'floor' AS part, 2 * n AS vertices, 4 * n - 4 AS faces, -0.25::DOUBLE AS low, 0.0::DOUBLE AS high, east::DOUBLE AS east FROM s UNION ALL
+        SELECT plan, 'ceiling', 2 * n, 4 * n - 4, 3.0::DOUBLE, 3.25::DOUBLE, east FROM s UNION ALL
+        SELECT plan, 'wall', 8, 12, 0.0::DOUBLE, 3.0::DOUBLE, round(greatest(x1, x2) + abs(y2 - y1) / len * 0.15::DOUBLE, 6) FROM w WHERE len >= 0.001""",
 }
