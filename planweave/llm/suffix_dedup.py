@@ -494,7 +494,7 @@ def dedup_strings(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     grams = texts.mapInArrow(_sift, "route long, doc long, at long, kind byte")
     by_gram = grams.repartition(n, "route").sortWithinPartitions(F.col("kind") == 2, "route")
     hot = by_gram.mapInArrow(_known, "doc long, at long").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    # the joins are left ones over the same texts, so the texts are exchanged once and the exchange is used again
+    # left joins over the same texts: they are exchanged once up to the shards, and once for both joins after them
     cut = texts.join(hot, "doc", "left").select("doc", "text", "at").mapInArrow(_cut, "route long, doc long, start long, bytes binary")
     # only a good place for copies to meet, so a hot one may be split
     shards = written(cut.hint("rebalance", F.col("route")).sortWithinPartitions("route").mapInArrow(_shards, "gram long, shard long, doc long, start long, n int"))
