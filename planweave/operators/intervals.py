@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.geometry import overlap_ratio
@@ -48,16 +48,27 @@ def with_neighbour(lines: DataFrame, keys: list[str], position: str, reach: int,
     return lines.withColumn("__bucket", bucket).join(other, same & condition, how).drop("__bucket")
 
 
-def ordered(keys: list[str], row: Column, lines: DataFrame) -> DataFrame:
-    """One row per key with its lines in order; a key is one plan's drawing, which a person made."""
-    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("lines"))
+ISLAND = "__island"
+
+
+def islands(lines: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """The lines with the number of their island: one ends where the next position lies further than ``reach`` away.
+    Lines of different islands never meet, so a large drawing is folded island by island."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    far = F.col("pos") - F.lag("pos").over(w) > reach
+    return lines.withColumn("__far", F.coalesce(far.cast("int"), F.lit(0))).withColumn(ISLAND, F.sum("__far").over(w)).drop("__far")
+
+
+def ordered(keys: list[str], row: Column, lines: DataFrame, reach: int) -> DataFrame:
+    """One row per key and island with its lines in order."""
+    return islands(lines, keys, reach).groupBy(*keys, ISLAND).agg(F.array_sort(F.collect_list(row)).alias("lines"))
 
 
 def greedy_pairs(lines: DataFrame, keys: list[str], low: int, high: int, least_overlap: float) -> DataFrame:
     """Pairs of parallel lines: in the order of position, a line takes the earliest open line at a distance
     between the bounds that overlaps it enough; both are then closed. ``lines`` has pos, id, s and e (its extent).
 
-    One left fold over each key's lines, as pairing depends on their order.
+    One left fold over each island's lines, as pairing depends on their order.
     """
     row = F.struct("pos", "id", "s", "e")
     open_type = "array<struct<pos:int,id:bigint,s:int,e:int>>"
@@ -76,7 +87,7 @@ def greedy_pairs(lines: DataFrame, keys: list[str], low: int, high: int, least_o
         near = F.filter(state["open"], lambda o: x["pos"] - o["pos"] <= high)
         return F.when(hit.isNotNull(), paired).otherwise(F.struct(F.array_append(near, x).alias("open"), state["pairs"].alias("pairs")))
 
-    folded = ordered(keys, row, lines).select(*keys, F.aggregate("lines", start, step)["pairs"].alias("pairs"))
+    folded = ordered(keys, row, lines, high).select(*keys, F.aggregate("lines", start, step)["pairs"].alias("pairs"))
     return folded.select(*keys, F.explode("pairs").alias("p")).select(*keys, "p.a", "p.b", "p.apart")
 
 
@@ -86,7 +97,7 @@ def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> D
     are not tried again. ``lines`` has id, pos, s and e.
     """
     row = F.struct("id", "pos", "s", "e")
-    start = F.array().cast("array<struct<pos:int,s:int,e:int,n:int>>")
+    start = F.array().cast("array<struct<first:bigint,pos:int,s:int,e:int,n:int>>")
 
     def fits(o: Column, x: Column) -> Column:
         return (F.abs(o["pos"] - x["pos"]) <= near) & (F.greatest(o["s"], x["s"]) - F.least(o["e"], x["e"]) <= gap)
@@ -97,14 +108,16 @@ def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> D
             state,
             lambda o, i: F.when(
                 i == at,
-                F.struct(((o["pos"] + x["pos"]) / 2).cast("int").alias("pos"), F.least(o["s"], x["s"]).alias("s"), F.greatest(o["e"], x["e"]).alias("e"), (o["n"] + 1).alias("n")),
+                F.struct(o["first"].alias("first"), ((o["pos"] + x["pos"]) / 2).cast("int").alias("pos"), F.least(o["s"], x["s"]).alias("s"), F.greatest(o["e"], x["e"]).alias("e"), (o["n"] + 1).alias("n")),
             ).otherwise(o),
         )
-        alone = F.struct(x["pos"].alias("pos"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"))
+        alone = F.struct(x["id"].alias("first"), x["pos"].alias("pos"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"))
         return F.when(at >= 0, grown).otherwise(F.array_append(state, alone))
 
-    folded = ordered(keys, row, lines).select(*keys, F.aggregate("lines", start, step).alias("x"))
-    return folded.select(*keys, F.posexplode("x").alias("extent", "x")).select(*keys, "extent", "x.pos", "x.s", "x.e", "x.n")
+    folded = ordered(keys, row, lines, near).select(*keys, F.explode(F.aggregate("lines", start, step)).alias("x"))
+    # extents are numbered in the order in which they began
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("x.first")) - 1
+    return folded.select(*keys, number.alias("extent"), "x.pos", "x.s", "x.e", "x.n")
 
 
 def dedupe_walls(walls: DataFrame, keys: list[str], near: int, least_overlap: float) -> DataFrame:
@@ -126,5 +139,5 @@ def dedupe_walls(walls: DataFrame, keys: list[str], near: int, least_overlap: fl
         kept = F.transform(state, lambda o, i: F.when((i == at) & (x["thick"] > o["thick"]), seed(o, x["id"], x["thick"])).otherwise(o))
         return F.when(at >= 0, kept).otherwise(F.array_append(state, seed(x, x["id"], x["thick"])))
 
-    folded = ordered(keys, row, walls).select(*keys, F.explode(F.aggregate("lines", start, step)).alias("x"))
+    folded = ordered(keys, row, walls, near).select(*keys, F.explode(F.aggregate("lines", start, step)).alias("x"))
     return folded.select(*keys, F.col("x.id").alias("seed"), F.col("x.best").alias("kept"), "x.thick")
