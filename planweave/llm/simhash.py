@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from planweave.llm.common import arrow_rows, bounded_batches, components, numbered, partitions, text_bytes, written
 
@@ -280,15 +281,18 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(width: int):
-    """The text of each row (its last column) becomes its set of shingle hashes, as bytes."""
+def shingled(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``rows`` (numbered by ``row``) with ``shingles``, their texts' sets of shingle hashes as bytes. They are made anew where they are
+    needed, as they take as much room as the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py().lower().split(), width)).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["spot", "row", "fp", "fp2", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py().lower().split(), width)).tobytes() for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
-    return run
+    names = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("shingles", BinaryType())])
+    return rows.join(texts.select("row", "text"), "row").select(*names, "text").mapInArrow(run, schema)
 
 
 def similar_links(rows: list[tuple[int, int, int, int, int, bytes]], distance: int, wide: int, least: float) -> Iterator[tuple[int, int]]:
@@ -356,21 +360,22 @@ def checked_links(jobs: DataFrame, distance: int, wide: int, similarity: float)
 
 
 def in_parts(members: DataFrame, key: list[str]) -> DataFrame:
-    """``members`` with ``part``, the block it is dealt to, and ``n_parts`` of its key, by number and by bytes."""
-    number = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int")
+    """``members`` with ``part``, the block it is dealt to, and ``n_parts`` of its key, by number and by size of texts."""
+    number = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     sizes = members.groupBy(*key).agg(number.alias("n_parts"))
     return members.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("row"), F.col("n_parts")).cast("int"))
 
 
-def similar_pairs(members: DataFrame, distance: int, wide: int, similarity: float) -> DataFrame:
-    """(a, b): checked links whose closure joins all similar texts of a spot; ``members`` has spot, row, fp, fp2, shingles.
+def similar_pairs(members: DataFrame, texts: DataFrame, width: int, distance: int, wide: int, similarity: float) -> DataFrame:
+    """(a, b): checked links whose closure joins all similar texts of a spot; ``members`` has spot, row, fp, fp2 and size.
 
     A spot's texts are first checked block by block. Where a spot has several blocks, its largest group of
     linked texts needs no more checks within itself: the other texts are checked block by block against each
     other and against that group, so a hot spot of true copies costs few checks.
     """
     dealt = written(in_parts(members, ["spot"]))
-    same = dealt.select("*", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), F.col("row").alias("group"))
+    same = shingled(dealt.select("spot", "row", "fp", "fp2", "part"), texts, width)
+    same = same.select("*", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), F.col("row").alias("group"))
     first = checked_links(same, distance, wide, similarity)
     large = dealt.filter("n_parts > 1").drop("part", "n_parts")
     if large.isEmpty():
@@ -380,12 +385,15 @@ def similar_pairs(members: DataFrame, distance: int, wide: int, similarity: floa
     split = grouped.join(largest, "spot").withColumn("other", F.col("group") != F.col("main")).drop("main")
     placed = written(in_parts(split, ["spot", "other"]))
     counts = placed.filter("other").groupBy("spot").agg(F.first("n_parts").alias("n_others"))
-    spread = placed.join(counts, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1)))
+    blocks = placed.filter("NOT other").groupBy("spot").agg(F.first("n_parts").alias("n_main"))
+    if counts.isEmpty():
+        return first
+    with_sets = written(shingled(placed.join(counts.select("spot"), "spot", "left_semi"), texts, width))
+    spread = with_sets.join(counts, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1)))
     # others meet others in the jobs (smaller block, larger block), the largest group in the jobs (block, -1 - its block)
     others = spread.filter("other").select("*", F.least("part", "at").alias("i"), F.greatest("part", "at").alias("j"), F.col("part").alias("side"))
     main = spread.filter("NOT other").select("*", F.col("at").alias("i"), (-1 - F.col("part")).alias("j"), F.lit(1).alias("side"))
-    blocks = placed.filter("NOT other").groupBy("spot").agg(F.first("n_parts").alias("n_main"))
-    facing = placed.filter("other").join(blocks, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_main") - 1)))
+    facing = with_sets.filter("other").join(blocks, "spot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_main") - 1)))
     facing = facing.select("*", F.col("part").alias("i"), (-1 - F.col("at")).alias("j"), F.lit(0).alias("side"))
     columns = ["spot", "i", "j", "side", "row", "group", "fp", "fp2", "shingles"]
     jobs = others.select(*columns).unionByName(main.select(*columns)).unionByName(facing.select(*columns))
@@ -417,18 +425,16 @@ def near_copies(docs: DataFrame, row_column: str, id_column: str = "doc_id", tex
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(row_column).alias("row"), F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text"))
-    hashed = texts.select("row", F.col("id").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    hashed = texts.select("row", F.col("id").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
     with arrow_rows(docs.sparkSession, TEXTS):
         rows = written(fingerprints(texts, "row", "text", width, 2).withColumnRenamed("id", "row").join(hashed, "row"))
     # the row of a class that would stay is its name, so that the smallest name of a group is the row that does
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("name")
-    classes = written(rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("row").alias("least"), first))
-    spots = components(close_classes(classes.drop("name"), distance, wide))
-    members = classes.join(spots, F.col("least") == F.col("node")).select(F.col("component").alias("spot"), F.col("least").alias("row"), "fp", "fp2")
-    members = members.join(texts.select("row", "text"), "row").select("spot", "row", "fp", "fp2", "text")
+    classes = written(rows.groupBy("h1", "h2", "fp", "fp2").agg(F.min("row").alias("least"), F.max("size").alias("size"), first))
+    spots = components(close_classes(classes.select("fp", "fp2", "least"), distance, wide))
+    members = classes.join(spots, F.col("least") == F.col("node")).select(F.col("component").alias("spot"), F.col("least").alias("row"), "fp", "fp2", "size")
     with arrow_rows(docs.sparkSession, TEXTS):
-        members = written(members.mapInArrow(_shingle_sets(width), "spot long, row long, fp long, fp2 long, shingles binary"))
-    found = similar_pairs(members, distance, wide, similarity)
+        found = similar_pairs(members, texts, width, distance, wide, similarity)
     found = found.join(classes.select(F.col("least").alias("a"), F.col("name").alias("p")), "a").join(classes.select(F.col("least").alias("b"), F.col("name").alias("q")), "b")
     joined = components(found.select(F.col("p").alias("a"), F.col("q").alias("b")))
     stays = written(classes.join(joined, F.col("name") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "name").alias("first")))
