@@ -182,20 +182,21 @@ def is_close(a: Items, x: int, b: Items, distance: int, wide: int | None) -> np.
 def spanning_links(a: Items, b: Items, distance: int, wide: int | None = None) -> Iterator[tuple[int, int]]:
     """Edges that join all close members of two blocks: a spanning forest, never all pairs.
 
-    Items are arrays of fingerprints, perhaps second fingerprints, and names. Every member of one block is compared
+    Items are arrays of fingerprints and perhaps second fingerprints, and are named by them. Every member of one block is compared
     with every member of the other; an edge is only given where it joins
     two parts of the forest, so a block of n members gives fewer than n edges.
     """
-    root: dict[int, int] = {}
+    root: dict = {}
 
-    def find(i: int) -> int:
+    def find(i):
         while (r := root.setdefault(i, i)) != i:
             root[i] = root.setdefault(r, r)
             i = r
         return i
 
-    names = b[-1].tolist()
-    for i, x in enumerate(a[-1].tolist()):
+    named = lambda items: items[0].tolist() if len(items) == 1 else list(zip(*(c.tolist() for c in items), strict=True))
+    names = named(b)
+    for i, x in enumerate(named(a)):
         for j in np.flatnonzero(is_close(a, i, b, distance, wide)).tolist():
             y = names[j]
             if x != y and (r := find(x)) != (s := find(y)):
@@ -208,53 +209,62 @@ def _verify(distance: int, wide: int | None):
         for batch in batches:
             half = batch.num_columns // 2
             columns = [(np.asarray(c.values), np.asarray(c.offsets)) for c in batch.columns]
-            edges: list[tuple[int, int]] = []
+            edges: list = []
             for i in range(len(batch)):
                 sides = [values[offsets[i] : offsets[i + 1]] for values, offsets in columns]
                 edges += spanning_links(tuple(sides[:half]), tuple(sides[half:]), distance, wide)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            ends = [e[k] for k in (0, 1) for e in [tuple(zip(*edges, strict=True)) or ((), ())]]
+            columns = [c for end in ends for c in ([end] if half == 1 else list(zip(*end, strict=True)) or [()] * half)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=ENDS[half])
 
     return run
 
 
+#: What the ends of a link are called, by the number of fingerprints.
+ENDS = {1: ["a", "b"], 2: ["a", "a2", "b", "b2"]}
+
+
 def in_blocks(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(part, value, block, and the ``names`` as arrays): each bucket's items in blocks of about BLOCK members."""
+    """(part, value, block, blocks, and the ``names`` as arrays): each bucket's items in blocks of about BLOCK members."""
     key = ["part", "value"]
     counts = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     large = counts.filter("blocks > 1")
-    dealt = rows.join(large, key, "left").withColumn("block", F.pmod(F.xxhash64(*names), F.coalesce("blocks", F.lit(1))).cast("int"))
-    gathered = dealt.groupBy(*key, "block").agg(F.collect_list(F.struct(*names)).alias("m"))
-    return gathered.select(*key, "block", *[F.col(f"m.{c}").alias(c) for c in names])
+    dealt = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int"))
+    gathered = dealt.groupBy(*key, "block", "blocks").agg(F.collect_list(F.struct(*names)).alias("m"))
+    return gathered.select(*key, "block", "blocks", *[F.col(f"m.{c}").alias(c) for c in names])
 
 
 def links(items: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
-    """Edges (a, b) between names of items whose closure joins all whose fingerprints differ in <= distance bits.
+    """Edges (a, b) between items whose closure joins all whose fingerprints differ in <= distance bits.
 
-    ``items`` has different rows (fp), which are their own names, or with ``wide`` (fp, fp2, name). Buckets of the
+    ``items`` has different rows (fp), or with ``wide`` (fp, fp2), and edges (a, a2, b, b2). Buckets of the
     index (own value of a part) are compared with themselves and with the probes that fall in
     them (values within the part's threshold). Large buckets are dealt out in blocks, compared pair by pair in
     tasks of their own. With ``wide``, items that meet in a bucket are also joined if both fingerprints together
     differ in at most that many bits.
     """
     n = items.count()
-    names = ["fp", "fp2", "name"] if wide is not None else ["fp"]
+    names = ["fp", "fp2"] if wide is not None else ["fp"]
+    ends = ENDS[len(names)]
     # those with the smallest hashes are a random sample that reruns repeat
     sample = np.array([r.fp for r in items.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     if n < 2:
-        return items.select(F.col(names[-1]).alias("a"), F.col(names[-1]).alias("b")).filter("false")
+        return items.select(*[F.col("fp").alias(c) for c in ends]).filter("false")
     plan = pigeonhole_plan(sample, n, distance)
     keyed = items.select(*names).mapInArrow(_keys(plan), "part int, value long, probe boolean, " + ", ".join(f"{c} long" for c in names))
-    index = in_blocks(keyed.filter("NOT probe").drop("probe"), names)
-    index = written(index)
+    index = written(in_blocks(keyed.filter("NOT probe").drop("probe"), names))
     hits = keyed.filter("probe").drop("probe").join(index.select("part", "value").distinct(), ["part", "value"], "left_semi")
     probes = in_blocks(hits, names)
     key, a, b = ["part", "value"], [f"a_{c}" for c in names], [f"b_{c}" for c in names]
-    left = index.select(*key, F.col("block").alias("i"), *[F.col(c).alias(x) for c, x in zip(names, a, strict=True)])
-    right = [F.col(c).alias(x) for c, x in zip(names, b, strict=True)]
+    left = index.select(*key, F.col("block").alias("i"), F.col("blocks").alias("n"), *[F.col(c).alias(x) for c, x in zip(names, a, strict=True)])
+    right = [F.col("blocks").alias("m"), *[F.col(c).alias(x) for c, x in zip(names, b, strict=True)]]
     own = left.join(index.select(*key, F.col("block").alias("j"), *right), key).filter(F.expr(f"i <= j AND (i < j OR size({a[0]}) > 1)"))
     probed = left.join(probes.select(*key, *right), key)
-    pairs = own.select(*a, *b).union(probed.select(*a, *b)).repartition(partitions(items))
-    return pairs.mapInArrow(_verify(distance, wide), "a long, b long")
+    pairs = own.select("n", "m", *a, *b).union(probed.select("n", "m", *a, *b))
+    # blocks of large buckets are sent to tasks of their own, the others are compared where they met
+    large = pairs.filter("n > 1 OR m > 1").select(*a, *b).repartition(partitions(items))
+    compared = [p.mapInArrow(_verify(distance, wide), ", ".join(f"{c} long" for c in ends)) for p in (pairs.filter("n = 1 AND m = 1").select(*a, *b), large)]
+    return written(compared[0].union(compared[1]))
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -406,8 +416,11 @@ def close_classes(classes: DataFrame, distance: int, wide: int) -> DataFrame:
     heads = written(classes.groupBy("fp", "fp2").agg(F.min("least").alias("name")))
     within = classes.join(heads, ["fp", "fp2"]).filter("least <> name").select(F.col("name").alias("a"), F.col("least").alias("b"))
     first = links(heads, distance, wide)
-    second = links(heads.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "name"), distance, wide)
-    return within.unionByName(first).unionByName(second)
+    second = links(heads.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), distance, wide)
+    both = first.unionByName(second.select(F.col("a2").alias("a"), F.col("a").alias("a2"), F.col("b2").alias("b"), F.col("b").alias("b2")))
+    end = lambda x, name: heads.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("name").alias(name))
+    named = both.join(end("a", "p"), ["a", "a2"]).join(end("b", "q"), ["b", "b2"])
+    return within.unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b")))
 
 
 def near_copies(docs: DataFrame, row_column: str, id_column: str = "doc_id", text_column: str = "text", width: int = 5, distance: int = 8, similarity: float = 0.8, wide: int = WIDE) -> DataFrame:
