@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from planweave.llm.common import bounded_batches, partitions, text_bytes, writte
 #: Most bytes of distinct content that a bucket should hold, and hash bits by which records are parted each time.
 BUCKET_BYTES = 32 << 20
 STEP_BITS = 8
+#: How many times smaller than that a bucket of even hashes should be at first.
+EVEN = 16
 
 
 class ContentTable:
@@ -101,11 +104,12 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parted(contents: DataFrame, bucket_bytes: int, step_bits: int = STEP_BITS) -> Iterator[DataFrame]:
     """``contents`` with ``bucket``, in tables of buckets that fit.
 
-    The records are parted by the leading bits of their hash. Buckets that hold more than ``bucket_bytes`` of
+    The records are parted by the leading bits of their hash, at first by as many as their sum asks for if hashes were even. Buckets that hold more than ``bucket_bytes`` of
     different hashes' contents are written to spill files in the shared folder and parted again by further bits,
     they alone, until none is left; a bucket of one hash can't be parted and is as large as that content.
     """
-    rest, bits = contents, step_bits
+    total = contents.agg(F.sum("size")).first()[0] or 0
+    rest, bits = contents, min(64, max(step_bits, math.ceil(math.log2(max(1.0, EVEN * total / bucket_bytes)))))
     while True:
         rest = rest.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits))
         # a content that several tasks hold counts once
