@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.llm.common import documents
+from planweave.llm.divergence import duckdb_sql as divergence_sql
+from planweave.llm.divergence import source_divergence
 from planweave.llm.exact_dedup import exact_dedup
 from planweave.llm.licenses import duckdb_sql as license_sql
 from planweave.llm.licenses import scan_licenses
@@ -68,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -102,6 +109,7 @@ ORACLE_SQL = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op1_license_scan": license_sql(),
     "op7_line_dedup": line_dedup_sql(),
+    "op11_source_divergence": divergence_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         b AS (SELECT html, max(page_id) AS best FROM p WHERE strlen(html) >= 1000 GROUP BY html)
