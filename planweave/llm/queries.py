@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.llm.byte_bpe import decode_ids, encode_texts
 from planweave.llm.common import documents
 from planweave.llm.divergence import duckdb_sql as divergence_sql
 from planweave.llm.divergence import source_divergence
@@ -74,6 +75,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = decode_ids(encode_texts(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -86,6 +95,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL = {
