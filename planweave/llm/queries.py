@@ -17,6 +17,8 @@ from planweave.llm.line_dedup import duckdb_sql as line_dedup_sql
 from planweave.llm.mixing import mix_sources
 from planweave.llm.packing import best_fit_packing
 from planweave.llm.simhash import simhash_groups
+from planweave.llm.spelling import duckdb_sql as spelling_sql
+from planweave.llm.spelling import spelling_variants
 from planweave.llm.suffix_dedup import dedup_strings
 from planweave.llm.topk import top_k_inner
 from planweave.llm.toxicity import score_toxicity
@@ -83,6 +85,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -96,6 +102,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -120,6 +127,7 @@ ORACLE_SQL = {
     "op1_license_scan": license_sql(),
     "op7_line_dedup": line_dedup_sql(),
     "op11_source_divergence": divergence_sql(),
+    "op13_spelling_variants": spelling_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         b AS (SELECT html, max(page_id) AS best FROM p WHERE strlen(html) >= 1000 GROUP BY html)
