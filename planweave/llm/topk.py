@@ -20,17 +20,20 @@ CANDIDATES = 4_096
 QUERIES = 1_024
 GROUP = 8
 STEP = 256
-#: Doubles hold every integer up to here.
-EXACT = float(1 << 53)
+#: Doubles hold every integer up to EXACT; from WHOLE on, 256 times a double is a whole number.
+EXACT, WHOLE, SCALE = float(1 << 53), float(1 << 45), 256.0
 #: Most bytes of a candidate block.
 BLOCK_BYTES = 4 << 20
 #: Room for rounding in a distance (a root of a difference) and in a product, against the longest vector's square.
 GAP_SLACK, SLACK = 1e-6, 1e-9
 LONG = (1 << 63) - 1
 
+FOUND = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("score", pa.int64()), ("order", pa.binary()), ("vec_id", pa.int64())])
+
 
 def scaled(name: str = "embedding") -> Column:
-    return F.transform(F.col(name).cast("array<double>"), lambda x: F.floor(256.0 * x).cast("double"))
+    """floor(256 x) / 256, which a double holds for any x: beyond WHOLE, x itself is a multiple of 1/256."""
+    return F.transform(F.col(name).cast("array<double>"), lambda x: F.when(F.abs(x) >= WHOLE, x).otherwise(F.floor(SCALE * x).cast("double") / SCALE))
 
 
 def usable(name: str = "embedding") -> Column:
@@ -96,12 +99,25 @@ class Block:
 
     def __post_init__(self) -> None:
         self.low, self.high = self.table.min(1), self.table.max(1)
-        self.norms = np.sqrt((self.vectors**2).sum(1))
+        with np.errstate(over="ignore"):  # too long for an exact product in doubles all the same
+            self.norms = np.sqrt((self.vectors**2).sum(1))
+
+
+def whole(x: float) -> int:
+    """256 x for a multiple of 1/256, in Python's integers of any size."""
+    return int(x) * int(SCALE) if abs(x) >= WHOLE else int(x * SCALE)
 
 
 def whole_product(a: np.ndarray, b: np.ndarray) -> int:
-    """The inner product of whole numbers held as doubles, in Python's integers of any size."""
-    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    """The inner product of the whole numbers that 256 times the components are."""
+    return sum(whole(x) * whole(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes that are ordered as integers of any size are: sign, number of bytes, bytes; turned over below zero."""
+    size = (abs(score).bit_length() + 7) // 8
+    key = b"\x01" + size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return key if score >= 0 else b"\x00" + bytes(255 - b for b in key[1:])
 
 
 @dataclass
@@ -133,19 +149,19 @@ class Best:
             self.scored += len(some)
             # where every partial sum is a whole number that doubles hold, the product is exact
             product = (block.vectors[some] / space.unit) @ (query / space.unit)
-            exact = length * block.norms[some] < EXACT
+            exact = length * block.norms[some] * SCALE**2 < EXACT
             near = np.flatnonzero(product >= self.floor - space.slack) if len(self.found) >= self.k else np.arange(len(some))
             if len(near) > self.k and exact.all():
                 # only the k best of this step, and their ties, can enter
                 near = near[product[near] >= np.partition(product[near], -self.k)[-self.k]]
             for j in near.tolist():
                 c = some[j]
-                score = int(block.vectors[c] @ query) if exact[j] else whole_product(query, block.vectors[c])
+                score = int(block.vectors[c] @ query * SCALE**2) if exact[j] else whole_product(query, block.vectors[c])
                 self.found.append((-score, int(block.ids[c]), int(block.rows[c])))
             self.found = sorted(self.found)[: self.k]
             if len(self.found) == self.k:
                 # integers of any size divide to the nearest double
-                self.floor = max(self.floor, -self.found[-1][0] / int(space.unit) ** 2 - space.slack)
+                self.floor = max(self.floor, -self.found[-1][0] / whole(space.unit) ** 2 - space.slack)
 
 
 def first_floor(query: np.ndarray, own: int, sample: Block, space: Space, k: int) -> float:
@@ -185,7 +201,7 @@ def _search(space: Space, sample: Block, k: int):
                 if one["side"] == 0:
                     held.append(block)
                     continue
-                out: list[tuple[int, int, int, int]] = []
+                out: list[tuple[int, int, int, bytes, int]] = []
                 for i, (row, id_) in enumerate(zip(block.rows.tolist(), block.ids.tolist(), strict=True)):
                     query, to_pivots = block.vectors[i], block.table[:, i]
                     best = Best(k, [], first_floor(query, row, sample, space, k))
@@ -193,9 +209,9 @@ def _search(space: Space, sample: Block, k: int):
                     gaps = [np.maximum(np.maximum(b.low - to_pivots, to_pivots - b.high), 0.0).max(initial=0.0) for b in held]
                     for b in np.argsort(gaps, kind="stable").tolist():
                         best.search(query, row, held[b], to_pivots, space)
-                    out += [(row, id_, max(-LONG - 1, min(LONG, -s)), v) for s, v, _ in best.found]
-                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "score", "vec_id"])
+                    out += [(row, id_, max(-LONG - 1, min(LONG, -s)), sort_key(-s), v) for s, v, _ in best.found]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
     return run
 
@@ -224,7 +240,7 @@ def top_k_inner(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
     no part, nor do rows with a null id; shorter vectors count as filled up with zeros, empty ones included. Rows that
     repeat an id are candidates each, and queries each. Fewer than k candidates give fewer rows; an empty table
     gives none; other columns are ignored. Scores are exact for any finite component and any width: where a
-    double might not hold a sum, Python's integers do. A score beyond a long is given as the nearest long.
+    double might not hold a sum, Python's integers do. A score beyond a long is given as the nearest long, after ranking.
 
     Candidates stand in blocks by their nearest pivot, with their distances to all pivots (chosen from a bounded sample; every
     row is indexed). A task holds a group of candidate blocks, and every block of queries comes to each group, so
@@ -237,7 +253,7 @@ def top_k_inner(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
     rows = written(rows)
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", F.abs))).alias("component")).first()
     n, width = facts["n"], max(1, facts["width"] or 1)
-    unit = 2.0 ** min(1023, int(np.frexp(facts["component"] or 1.0)[1]))
+    unit = 2.0 ** min(1023, max(0, int(np.frexp(facts["component"] or 1.0)[1])))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit))
     longest = rows.agg(F.max(squares)).first()[0] or 0.0
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
@@ -266,6 +282,6 @@ def top_k_inner(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
     there = asked.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).withColumn("side", F.lit(1))
     columns = ["at", "side", "block", "rows", "ids", "vectors", "pivots"]
     met = here.select(*columns).unionByName(there.select(*columns)).repartition(groups, "at").sortWithinPartitions("at", "side", "block")
-    found = met.mapInArrow(_search(space, sample, k), "q long, query_id long, score long, vec_id long")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    found = met.mapInArrow(_search(space, sample, k), "q long, query_id long, score long, order binary, vec_id long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("order"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,14 +1,15 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from planweave.llm.topk import Best, Block, Space, lifted, top_k_inner
+from planweave.llm.topk import Best, Block, Space, lifted, sort_key, top_k_inner
 
 
 def brute(rows, k=5, every=50):
-    ok = [(i, [math.floor(256 * np.float64(x).item()) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for at, (q, query) in enumerate(ok):
         if q % every == 0:
@@ -54,6 +55,22 @@ def test_large_components_and_many(spark):
     assert [(r[2], r[3]) for r in run(spark, huge)] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
 
 
+def test_no_component_is_clamped(spark):
+    rows = [(0, [2e17, -1e17]), (1, [1 / 256, 2 / 256]), (2, [1e-9, -1.0]), (3, [-1.5, -3.0])]
+    held = lambda found: [(q, r, v, max(-(2**63), min(2**63 - 1, s))) for q, r, v, s in found]
+    assert run(spark, rows) == held(brute(rows)) and (0, 2, 1, 0) in run(spark, rows)
+    top = 1.7e308
+    rows = [(0, [top, 1.0]), (1, [top, 5.0]), (2, [top, 4.0]), (3, [-top, 0.0]), (4, [1e-300, -1e-300]), (50, [-1.0, 0.5])]
+    for candidates in (2, 4096):
+        got = run(spark, rows, candidates=candidates)
+        assert held(brute(rows)) == got and [r[2] for r in got if r[0] == 0] == [1, 2, 4, 50, 3]
+
+
+def test_sort_keys():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 10**30, -(10**30), 2**63, -(2**63)]
+    assert sorted(numbers) == sorted(numbers, key=sort_key)
+
+
 def test_bounds_stop_the_search():
     values = np.arange(5000.0)[:, None]
     space = Space(1, 8192.0, float((4999 / 8192) ** 2), lifted(values[[4999, 0]] / 8192, float((4999 / 8192) ** 2)))
