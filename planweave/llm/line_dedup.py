@@ -12,11 +12,17 @@ LEAST_WORDS = 8
 PLACE = ["doc", "text_hash", "at"]
 
 
+def line_keys(line: str) -> tuple[Column, Column]:
+    """Two hashes of a line that don't depend on each other: the second starts from a constant's hash."""
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, at, words, k1, k2): every line of every whole text, by 128 bits of hash."""
+    k1, k2 = line_keys("line")
     lines = docs.select("doc", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     words = F.regexp_count("line", F.lit(WORD)).cast("long")
-    return lines.select(*PLACE, words.alias("words"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    return lines.select(*PLACE, words.alias("words"), k1.alias("k1"), k2.alias("k2"))
 
 
 def ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,9 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from planweave.llm import line_dedup
 from planweave.llm.line_dedup import dedup_lines
 
 
@@ -79,3 +83,14 @@ def test_random_short_lines(docs):
 
 def test_sql(against_duckdb):
     against_duckdb("op7_line_dedup")
+
+
+@pytest.mark.parametrize("weak", [0, 1])
+def test_lines_whose_one_hash_collides_stay_apart(docs, monkeypatch, weak):
+    """The other hash alone tells lines apart, so it doesn't depend on the colliding one."""
+    keys = line_dedup.line_keys
+    monkeypatch.setattr(line_dedup, "line_keys", lambda line: tuple(F.lit(7).cast("long") if i == weak else k for i, k in enumerate(keys(line))))
+    rows = [(i, f"own line {i} of this text with many words in it\nshared line of this text with many words in it") for i in range(6)]
+    assert run(docs, rows) == brute(rows)
+    first, second = docs([(1, "some line")]).select(*keys("text")).first()
+    assert second not in docs([(1, "some line")]).select(F.hash(F.lit(first)), F.xxhash64(F.lit(first)), F.xxhash64("text", F.lit(1))).first()
