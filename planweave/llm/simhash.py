@@ -438,7 +438,7 @@ def near_copies(docs: DataFrame, row_column: str, id_column: str = "doc_id", tex
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(row_column).alias("row"), F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text"))
-    hashed = texts.select("row", F.col("id").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
+    hashed = texts.select("row", F.col("id").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("size"))
     with arrow_rows(docs.sparkSession, TEXTS):
         rows = written(fingerprints(texts, "row", "text", width, 2).withColumnRenamed("id", "row").join(hashed, "row"))
     # the row of a class that would stay is its name, so that the smallest name of a group is the row that does
