@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.functions.geometry import overlap_ratio
-
 
 def band_pairs(lines: DataFrame, keys: list[str], position: str, row: str, low: int, high: int) -> DataFrame:
     """Pairs (a, b) of rows of a key whose positions lie ``low`` to ``high`` apart.
@@ -48,96 +49,201 @@ def with_neighbour(lines: DataFrame, keys: list[str], position: str, reach: int,
     return lines.withColumn("__bucket", bucket).join(other, same & condition, how).drop("__bucket")
 
 
-ISLAND = "__island"
-
-
 def islands(lines: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """The lines with the number of their island: one ends where the next position lies further than ``reach`` away.
-    Lines of different islands never meet, so a large drawing is folded island by island."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    far = F.col("pos") - F.lag("pos").over(w) > reach
-    return lines.withColumn("__far", F.coalesce(far.cast("int"), F.lit(0))).withColumn(ISLAND, F.sum("__far").over(w)).drop("__far")
+    """The lines with ``__island``, the number of their island, and ``__width``, the mean extent of its lines.
 
-
-def ordered(keys: list[str], row: Column, lines: DataFrame, reach: int) -> DataFrame:
-    """One row per key and island with its lines in order."""
-    return islands(lines, keys, reach).groupBy(*keys, ISLAND).agg(F.array_sort(F.collect_list(row)).alias("lines"))
+    Positions fall to buckets as wide as the reach; an island is a stretch of buckets without an empty one, so lines of
+    different islands lie further apart than the reach and never meet. Buckets are counted and numbered, never lines, so
+    a drawing with very many lines is neither sorted nor held in one task.
+    """
+    lines = lines.withColumn("__bucket", F.floor(F.col("pos") / F.greatest(F.lit(reach), F.lit(1))).cast("long"))
+    used = lines.groupBy(*keys, "__bucket").agg(F.sum(F.greatest(F.col("e") - F.col("s"), F.lit(0)).cast("double")).alias("__sum"), F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__bucket")
+    apart = F.coalesce((F.col("__bucket") - F.lag("__bucket").over(w) > 1).cast("long"), F.lit(0))
+    used = used.withColumn("__apart", apart).withColumn("__island", F.sum("__apart").over(w))
+    whole = Window.partitionBy(*keys, "__island")
+    width = F.ceil(F.sum("__sum").over(whole) / F.sum("__n").over(whole)).cast("long")
+    names = [F.col(k).alias(f"__of_{i}") for i, k in enumerate(keys)]
+    used = used.select(*names, F.col("__bucket").alias("__at"), "__island", F.greatest(width, F.lit(1)).alias("__width"))
+    same = F.col("__bucket") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{i}"))
+    return lines.join(used, same).drop("__bucket", "__at", *[f"__of_{i}" for i in range(len(keys))])
+
+
+class Cells:
+    """What a fold has seen so far, by bands of position and cells along the lines."""
+
+    def __init__(self, band: int, width: int) -> None:
+        self.band, self.width = max(1, band), width
+        self.bands: dict[int, dict[int, dict[int, list]]] = {}
+        self.reach: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def put(self, pos: int, low: int, high: int, number: int, item: list) -> None:
+        """Enters the item in the cells from low to high; cells that it stands in already aren't gone through again."""
+        band, first, last = pos // self.band, low // self.width, high // self.width
+        before = self.reach.get((band, number))
+        cells = self.bands.setdefault(band, {})
+        if before is None:
+            new = range(first, last + 1)
+        else:
+            new = [*range(first, before[0]), *range(before[1] + 1, last + 1)]
+            first, last = min(first, before[0]), max(last, before[1])
+        for c in new:
+            cells.setdefault(c, {})[number] = item
+        self.reach[band, number] = first, last
+
+    def take(self, pos: int, number: int) -> None:
+        band = pos // self.band
+        first, last = self.reach.pop((band, number))
+        for c in range(first, last + 1):
+            del self.bands[band][c][number]
+
+    def first(self, below: int, above: int, low: int, high: int, fits: Callable[[list], bool]) -> int | None:
+        """The smallest number of an item that fits, among those at positions from below to above and in the cells from low to high."""
+        found: int | None = None
+        for band in range(below // self.band, above // self.band + 1):
+            cells = self.bands.get(band)
+            if cells is None:
+                continue
+            for c in range(low // self.width, high // self.width + 1):
+                for number, item in cells.get(c, {}).items():
+                    if (found is None or number < found) and fits(item):
+                        found = number
+        return found
+
+    def forget(self, below: int) -> None:
+        """Drops bands of positions below that nothing will meet any more."""
+        for band in [b for b in self.bands if b < below // self.band]:
+            for items in self.bands.pop(band).values():
+                for number in items:
+                    self.reach.pop((band, number), None)
+
+
+def scanned(lines: DataFrame, keys: list[str], reach: int, order: list[str], values: list[str], fold: Callable, out: list[tuple[str, str]]) -> DataFrame:
+    """A fold over each island's lines in order: ``fold`` makes, for an island's mean extent, a step that gets a line's ``values`` and
+    an end; both give rows of ``out``.
+
+    Lines come sorted, one after the other, so a task holds what the fold keeps and never a plan's lines.
+    """
+    rows = islands(lines, keys, reach).repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", *order).select(*keys, "__island", "__width", *values)
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, step, end, types = None, None, None, []
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n)]
+            found: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: n + 1] != group:
+                    if end is not None:
+                        found += [(*group[:n], *r) for r in end()]
+                    group = row[: n + 1]
+                    step, end = fold(row[n + 1])
+                found += [(*group[:n], *r) for r in step(*row[n + 2 :])]
+            yield batch_of(found, types)
+        if end is not None:
+            yield batch_of([(*group[:n], *r) for r in end()], types)
+
+    def batch_of(found: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        kept = [*types, *(kinds[k] for _, k in out)]
+        columns = list(zip(*found, strict=True)) or [()] * len(kept)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kept, strict=True)], names=[*keys, *(name for name, _ in out)])
+
+    schema = ", ".join([*(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys), *(f"{name} {kind}" for name, kind in out)])
+    return rows.mapInArrow(run, schema)
+
+
+def share(s1: int, e1: int, s2: int, e2: int) -> float:
+    """The shared part of two intervals against the longer one, as ``overlap_ratio`` has it."""
+    return max(0, min(e1, e2) - max(s1, s2)) / max(e1 - s1, e2 - s2, 1)
 
 
 def greedy_pairs(lines: DataFrame, keys: list[str], low: int, high: int, least_overlap: float) -> DataFrame:
     """Pairs of parallel lines: in the order of position, a line takes the earliest open line at a distance
-    between the bounds that overlaps it enough; both are then closed. ``lines`` has pos, id, s and e (its extent).
+    between the bounds that overlaps it enough; both are then closed. ``lines`` has pos, id, s and e (its extent); ``least_overlap`` is above 0.
 
-    One left fold over each island's lines, as pairing depends on their order.
+    That is each line taking the nearest later one that is still free. One scan over each island's lines, which keeps the open lines of the last ``high`` units.
     """
-    row = F.struct("pos", "id", "s", "e")
-    open_type = "array<struct<pos:int,id:bigint,s:int,e:int>>"
-    start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast("array<struct<a:bigint,b:bigint,apart:int>>").alias("pairs"))
 
-    def fits(o: Column, x: Column) -> Column:
-        return (x["pos"] - o["pos"]).between(low, high) & (overlap_ratio(o["s"], o["e"], x["s"], x["e"]) >= least_overlap)
+    def fold(width: int):
+        open_, numbers = Cells(high, width), iter(range(1 << 62))
+        items: dict[int, list] = {}
 
-    def step(state: Column, x: Column) -> Column:
-        hit = F.get(F.filter(state["open"], lambda o: fits(o, x)), F.lit(0))
-        paired = F.struct(
-            F.filter(state["open"], lambda o: o["id"] != hit["id"]).alias("open"),
-            F.array_append(state["pairs"], F.struct(hit["id"].alias("a"), x["id"].alias("b"), (x["pos"] - hit["pos"]).alias("apart"))).alias("pairs"),
-        )
-        # lines too far behind can no longer be taken
-        near = F.filter(state["open"], lambda o: x["pos"] - o["pos"] <= high)
-        return F.when(hit.isNotNull(), paired).otherwise(F.struct(F.array_append(near, x).alias("open"), state["pairs"].alias("pairs")))
+        def step(pos: int, id_: int, s: int, e: int) -> list[tuple]:
+            open_.forget(pos - high)
+            hit = open_.first(pos - high, pos - low, s, e, lambda o: low <= pos - o[0] <= high and share(o[2], o[3], s, e) >= least_overlap)
+            if hit is None:
+                number = next(numbers)
+                items[number] = [pos, id_, s, e]
+                open_.put(pos, s, e, number, items[number])
+                if len(items) > 4 * len(open_.reach) + 1000:  # those that were dropped
+                    alive = {n for _, n in open_.reach}
+                    for k in [k for k in items if k not in alive]:
+                        del items[k]
+                return []
+            other = items.pop(hit)
+            open_.take(other[0], hit)
+            return [(other[1], id_, pos - other[0])]
 
-    folded = ordered(keys, row, lines, high).select(*keys, F.aggregate("lines", start, step)["pairs"].alias("pairs"))
-    return folded.select(*keys, F.explode("pairs").alias("p")).select(*keys, "p.a", "p.b", "p.apart")
+        return step, list
+
+    values = ["pos", "id", "s", "e"]
+    return scanned(lines, keys, high, values, values, fold, [("a", "long"), ("b", "long"), ("apart", "int")])
 
 
 def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> DataFrame:
     """Merged extents: in the order of ``id``, a line joins the first extent so far whose position is within
     ``near`` and that lies within ``gap`` of it; the extent grows and its position becomes the truncated mean. Earlier lines
     are not tried again. ``lines`` has id, pos, s and e.
+
+    One scan over each island's lines, which keeps the extents, found by their place.
     """
-    row = F.struct("id", "pos", "s", "e")
-    start = F.array().cast("array<struct<first:bigint,pos:int,s:int,e:int,n:int>>")
-
-    def fits(o: Column, x: Column) -> Column:
-        return (F.abs(o["pos"] - x["pos"]) <= near) & (F.greatest(o["s"], x["s"]) - F.least(o["e"], x["e"]) <= gap)
-
-    def step(state: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(state, lambda o: fits(o, x)), F.lit(True)) - 1
-        grown = F.transform(
-            state,
-            lambda o, i: F.when(
-                i == at,
-                F.struct(o["first"].alias("first"), ((o["pos"] + x["pos"]) / 2).cast("int").alias("pos"), F.least(o["s"], x["s"]).alias("s"), F.greatest(o["e"], x["e"]).alias("e"), (o["n"] + 1).alias("n")),
-            ).otherwise(o),
-        )
-        alone = F.struct(x["id"].alias("first"), x["pos"].alias("pos"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"))
-        return F.when(at >= 0, grown).otherwise(F.array_append(state, alone))
-
-    folded = ordered(keys, row, lines, near).select(*keys, F.explode(F.aggregate("lines", start, step)).alias("x"))
+
+    def fold(width: int):
+        cells, extents = Cells(near, width), []
+
+        def step(id_: int, pos: int, s: int, e: int) -> list[tuple]:
+            hit = cells.first(pos - near, pos + near, min(s, e), max(s, e), lambda o: abs(o[1] - pos) <= near and max(o[2], s) - min(o[3], e) <= gap)
+            if hit is None:
+                hit = len(extents)
+                extents.append([id_, pos, s, e, 1])
+            else:
+                first, at, low, high, n = extents[hit]
+                extents[hit][:] = first, int((at + pos) / 2), min(low, s), max(high, e), n + 1
+            _, at, low, high, _ = extents[hit]
+            cells.put(at, min(low, high) - gap, max(low, high) + gap, hit, extents[hit])
+            return []
+
+        return step, lambda: map(tuple, extents)
+
+    folded = scanned(lines, keys, near, ["id", "pos", "s", "e"], ["id", "pos", "s", "e"], fold, [("first", "long"), ("pos", "int"), ("s", "int"), ("e", "int"), ("n", "int")])
     # extents are numbered in the order in which they began
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("x.first")) - 1
-    return folded.select(*keys, number.alias("extent"), "x.pos", "x.s", "x.e", "x.n")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1
+    return folded.select(*keys, number.alias("extent"), "pos", "s", "e", "n")
 
 
 def dedupe_walls(walls: DataFrame, keys: list[str], near: int, least_overlap: float) -> DataFrame:
     """Walls without doubles: in the order of ``id``, a wall falls to the first seed that is near and overlaps it
     enough, which keeps the strictly thicker of the two; else it is a seed. Later walls are compared with the
-    seed, not with what it keeps. ``walls`` has id, pos, s, e and thick.
+    seed, not with what it keeps. ``walls`` has id, pos, s, e and thick; ``least_overlap`` is 0 or more.
+
+    One scan over each island's walls, which keeps the seeds, found by their place.
     """
-    row = F.struct("id", "pos", "s", "e", "thick")
-    start = F.array().cast("array<struct<id:bigint,pos:int,s:int,e:int,best:bigint,thick:int>>")
 
-    def fits(o: Column, x: Column) -> Column:
-        return (F.abs(o["pos"] - x["pos"]) <= near) & (overlap_ratio(o["s"], o["e"], x["s"], x["e"]) > least_overlap)
+    def fold(width: int):
+        cells, seeds = Cells(near, width), []
 
-    def seed(o: Column, best: Column, thick: Column) -> Column:
-        return F.struct(o["id"].alias("id"), o["pos"].alias("pos"), o["s"].alias("s"), o["e"].alias("e"), best.alias("best"), thick.alias("thick"))
+        def step(id_: int, pos: int, s: int, e: int, thick: int) -> list[tuple]:
+            hit = cells.first(pos - near, pos + near, s, e, lambda o: abs(o[3] - pos) <= near and share(o[4], o[5], s, e) > least_overlap)
+            if hit is None:
+                seeds.append([id_, id_, thick, pos, s, e])
+                cells.put(pos, s, e, len(seeds) - 1, seeds[-1])
+            elif thick > seeds[hit][2]:
+                seeds[hit][1:3] = id_, thick
+            return []
 
-    def step(state: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(state, lambda o: fits(o, x)), F.lit(True)) - 1
-        kept = F.transform(state, lambda o, i: F.when((i == at) & (x["thick"] > o["thick"]), seed(o, x["id"], x["thick"])).otherwise(o))
-        return F.when(at >= 0, kept).otherwise(F.array_append(state, seed(x, x["id"], x["thick"])))
+        return step, lambda: (tuple(s[:3]) for s in seeds)
 
-    folded = ordered(keys, row, walls, near).select(*keys, F.explode(F.aggregate("lines", start, step)).alias("x"))
-    return folded.select(*keys, F.col("x.id").alias("seed"), F.col("x.best").alias("kept"), "x.thick")
+    return scanned(walls, keys, near, ["id", "pos", "s", "e", "thick"], ["id", "pos", "s", "e", "thick"], fold, [("seed", "long"), ("kept", "long"), ("thick", "int")])

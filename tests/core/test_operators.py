@@ -105,11 +105,11 @@ def test_lines_and_replay(spark):
     assert next_sequence(events, ["project"], "seq").first().next_sequence == 6
 
 
-def lines(rng, n):
+def lines(rng, n, places=tuple(range(40)), along=30):
     out = []
     for i in range(n):
-        s = rng.randrange(30)
-        out.append((1, i, rng.randrange(40), s, s + rng.randrange(1, 30), rng.randrange(6)))
+        s = rng.randrange(along)
+        out.append((1, i, rng.choice(places), s, s + rng.randrange(1, 30), rng.randrange(6)))
     return out
 
 
@@ -120,10 +120,11 @@ def ratio(a, b):
 SCHEMA = "plan int, id long, pos int, s int, e int, thick int"
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_folds_match_plain_loops(spark, seed):
+@pytest.mark.parametrize(("seed", "n", "places", "along"), [*((s, 25, range(40), 30) for s in range(3)), (3, 400, [p for p in range(-200, 400) if p % 50 < 30], 200), (4, 300, range(9), 2000), (5, 300, [7], 60)])
+def test_folds_match_plain_loops(spark, seed, n, places, along):
+    """Few lines, several islands, a narrow band, one position."""
     rng = random.Random(seed)
-    rows = lines(rng, 25)
+    rows = lines(rng, n, places, along)
     df = spark.createDataFrame(rows, SCHEMA)
     order = sorted(rows, key=lambda r: (r[2], r[1]))
     used, pairs = set(), []
@@ -164,6 +165,18 @@ def test_folds_match_plain_loops(spark, seed):
     assert sorted((r.seed, r.kept, r.thick) for r in dedupe_walls(df, ["plan"], 10, 0.4).collect()) == sorted(kept)
 
 
+def test_folds_of_many_lines_of_one_plan_and_of_null_plans(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(None).cast("string").alias("plan"), "id", (F.rand(1) * 2000).cast("int").alias("pos"), (F.rand(2) * 5000).cast("int").alias("s"), F.lit(1).alias("thick"))
+    df = df.withColumn("e", F.col("s") + 100).cache()
+    pairs = greedy_pairs(df, ["plan"], 3, 20, 0.3).collect()
+    assert len({r.a for r in pairs} | {r.b for r in pairs}) == 2 * len(pairs) > n / 2 and {r.plan for r in pairs} == {None}
+    extents = merge_collinear(df, ["plan"], 2, 10).collect()
+    assert sum(r.n for r in extents) == n and sorted(r.extent for r in extents) == list(range(len(extents)))
+    assert dedupe_walls(df, ["plan"], 10, 0.4).count() < n
+    assert greedy_pairs(df.limit(0), ["plan"], 3, 20, 0.3).count() == 0
+
+
 def test_faces():
     two = [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0), (100, 0, 200, 0), (200, 0, 200, 100), (200, 100, 100, 100)]
     assert sorted(len(r) for r in faces(two)) == [4, 4]
