@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import bounded_batches, written
+from planweave.llm.common import bounded_batches, partitions, text_bytes, written
 
-#: What the pattern calls a term; only A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term in lower-cased UTF-8: letters of ASCII and whatever lies beyond ASCII.
+TERM_BYTES = re.compile(rb"[a-z\x80-\xff]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents that a term needs, the prior count, the scale of a share, and ranks of terms that are reported.
 LEAST_DOCUMENTS, PRIOR, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
 #: Terms of a block of rows and groups of a block of columns; most columns that are multiplied at once.
 BLOCK_TERMS, BLOCK_GROUPS, COLUMNS = 128, 24, 512
 
+#: Terms of all groups that a task counts before it hands them on.
+MOST_TERMS = 400_000
+
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 PARTIAL = pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.int64())])
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a group's terms and the group's documents that hold them; also a
-    row of term null for every group, with its number of documents, so groups without terms are not lost.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of a task's terms by group, handed on whenever MOST_TERMS are held."""
+    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+
+    def flush() -> pa.RecordBatch:
+        names, terms, counts, docs = [], [], [], []
+        for name, (n, d) in held.items():
+            names += [name] * len(n)
+            terms += n.keys()
+            counts += n.values()
+            docs += [d[t] for t in n]
+        held.clear()
+        columns = [[x for x, _ in names], [x for _, x in names], pa.array(terms, pa.binary()).cast(pa.string()), counts, docs]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, COUNTED, strict=True)], schema=COUNTED)
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            # lower() of bytes changes A-Z alone, and every byte of another sign is above those of ASCII
+            words = TERM_BYTES.findall(text.as_py().lower())
+            n, d = held.setdefault((lang, source), (Counter(), Counter()))
+            n.update(words)
+            d.update(set(words))
+        if sum(len(n) for n, _ in held.values()) >= MOST_TERMS:
+            yield flush()
+    yield flush()
 
-    Each document gives its terms and, apart from them, its different terms; the sums combine before the shuffle.
-    """
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of a group's terms and the group's documents that hold them, summed in
+    each task; dealt by lang and term, so that what follows needs no other exchange to sum them up."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    words = docs.select(name("lang"), name("source"), F.regexp_extract_all(text, F.lit(f"({TERM})")).alias("words"))
-    one = lambda n, d: lambda w: F.struct(w.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    group = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    each = F.concat(F.transform("words", one(1, 0)), F.transform(F.array_distinct("words"), one(0, 1)), group)
-    return words.select("lang", "source", F.explode(each).alias("w")).groupBy("lang", "source", "w.term").agg(F.sum("w.n").alias("n"), F.sum("w.docs").alias("docs"))
+    counted = docs.select(name("lang"), name("source"), text_bytes("text").alias("text")).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    dealt = counted.repartition(partitions(docs), "lang", "term")
+    return dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -125,13 +154,16 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     and shares become one-hot columns, and every joint table of two groups is priced from their product (``_priced``).
     """
     bounded_batches(docs.sparkSession)
-    counts = written(term_counts(docs))
-    groups = counts.filter("term IS NULL").select("lang", "source")
-    by_term = counts.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
-    kept = written(by_term.select("lang", "term", "total", F.length(F.bin("total")).alias("size")))
-    of_size = kept.groupBy("lang", "size").agg(F.count("*").alias("terms"), F.sum("total").alias("sum"))
+    counts = term_counts(docs)
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
+    kept = kept.select("lang", "term", "total", F.length(F.bin("total")).alias("size"))
+    # both sides with all columns, so that one exchange serves both
+    cells = written(counts.join(kept, ["lang", "term"]))
+    kept = cells.select("lang", "term", "total", "size").distinct()
+    of_size = written(kept.groupBy("lang", "size").agg(F.count("*").alias("terms"), F.sum("total").alias("sum")))
     langs = of_size.groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("sum").alias("lang_n"))
-    cells = counts.filter("term IS NOT NULL").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total", "size")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    groups = docs.select(name("lang"), name("source")).distinct()
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     groups = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["group_n", "terms", "lang_n"]).withColumn("g", number)
@@ -145,11 +177,11 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     out = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
     deal = of_size.select("lang", "size", F.ceil(F.col("terms") / block_terms).alias("blocks"))
-    blocked = kept.join(deal, ["lang", "size"]).select("lang", "term", F.concat_ws("-", "size", F.pmod(F.xxhash64("term"), F.col("blocks"))).alias("block"))
-    rows = blocked.groupBy("lang", "block").agg(F.count("*").alias("rows"))
+    block = F.concat_ws("-", "size", F.pmod(F.xxhash64("term"), F.col("blocks"))).alias("block")
+    rows = kept.join(deal, ["lang", "size"]).groupBy("lang", block).agg(F.count("*").alias("rows"))
     nothing = share(F.lit(0), F.col("group_n"), F.col("terms"))
     heads = rows.join(groups, "lang").select("lang", "block", "bands", "g", nothing.alias("p"), "rows")
-    priced = joint_prices(cells.join(blocked, ["lang", "term"]), heads, block_groups, columns)
+    priced = joint_prices(cells.join(deal, ["lang", "size"]).withColumn("block", block), heads, block_groups, columns)
     # every pair of a lang's sources, also where no term is kept
     one, two = groups.select("lang", "source", "g"), groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h"))
     pairs = one.join(two, "lang").filter("g <> h").withColumn("a", F.least("g", "h")).withColumn("b", F.greatest("g", "h"))
