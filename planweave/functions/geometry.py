@@ -61,6 +61,36 @@ def wall_quad(a: Column, b: Column, thickness: Column) -> Column:
     return F.when(length >= 0.001, F.array(corner(a, 1), corner(b, 1), corner(b, -1), corner(a, -1)))
 
 
+def offset_ring(ring: Column, distance: float, quarter: int = 16) -> Column:
+    """A ring (against the clock, y up) moved outwards: corners that turn left become arcs of ``quarter`` steps a quarter turn,
+    corners that turn right stay corners, straight ones go. Edges at a corner that turns right are longer than the distance."""
+    n = F.size(ring)
+
+    def unit(a: Column, b: Column) -> Column:
+        dx, dy = (b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double")
+        return F.transform(F.array(F.sqrt(dx * dx + dy * dy)), lambda l: F.struct((dx / l).alias("x"), (dy / l).alias("y")))[0]
+
+    def moved(p: Column, x: Column, y: Column) -> Column:
+        return F.struct((p["x"] + distance * x).alias("x"), (p["y"] + distance * y).alias("y"))
+
+    def corner(v: Column) -> Column:
+        p, d, e = v["p"], v["d"], v["e"]  # the corner, the way to it and the way from it
+        cross, dot = d["x"] * e["y"] - d["y"] * e["x"], d["x"] * e["x"] + d["y"] * e["y"]
+        start, turn = F.atan2(-d["x"], d["y"]), F.atan2(cross, dot)
+        steps = F.greatest(F.lit(1), F.ceil(turn / (F.pi() / (2 * quarter)) - 1e-9)).cast("int")
+        arc = F.transform(F.sequence(F.lit(0), steps), lambda k: moved(p, F.cos(start + turn * k / steps), F.sin(start + turn * k / steps)))
+        inner = F.array(moved(p, (d["y"] + e["y"]) / (1 + dot), -(d["x"] + e["x"]) / (1 + dot)))
+        return F.when(cross > 1e-12, arc).when(cross < -1e-12, inner).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+    ways = F.transform(ring, lambda p, i: F.struct(p.alias("p"), unit(ring[(i + n - 1) % n], p).alias("d"), unit(p, ring[(i + 1) % n]).alias("e")))
+    return F.flatten(F.transform(ways, corner))
+
+
+def roof_solid(outline: Column, low: Column, height: Column) -> Column:
+    """A slab of that height on top of the ceilings, drawn over the moved outline."""
+    return extruded(outline, low, low + height)
+
+
 def extruded(ring: Column, low: Column, high: Column) -> Column:
     """struct<vertices, faces> of a ring drawn up from ``low`` to ``high``: two triangles a side, caps as fans."""
     n = F.size(ring)

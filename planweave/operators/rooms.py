@@ -2,74 +2,60 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planweave.functions.geometry import offset_ring, ring_area, to_meters
 from planweave.functions.text import rgba
+from planweave.operators.faces import faces, footprints
 
 #: Snapping grid, smallest room and largest share of the drawing that a room may cover.
 GRID, LEAST_AREA, LARGEST_SHARE = 5, 800.0, 0.45
+#: Fewest walls, segments and rooms of a plan whose rooms are taken from its walls.
+LEAST_WALLS, LEAST_SEGMENTS, LEAST_ROOMS = 6, 3, 2
 
 
-def faces(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """The bounded faces of a planar graph of segments that meet at their ends only.
+def planar_rooms(walls: DataFrame, least_walls: int = LEAST_WALLS, least_segments: int = LEAST_SEGMENTS, least_rooms: int = LEAST_ROOMS) -> DataFrame:
+    """(plan_id, room, ring, area, place): the polygons that each plan's snapped wall centrelines enclose, within the area limits.
+    Rooms are numbered in the order of their least edges, before the limits; ``place`` is their rank by area, largest first.
 
-    Half-edges leave a point in the order of their angles; a face is walked by turning to the next half-edge
-    clockwise from the one that was come along. Outer faces run the other way round and are left out.
+    ``walls`` has plan_id, x1, y1, x2, y2, and width and height of the drawing. Holes are no part of a room's area, dead ends and bridges no
+    part of its ring. A plan with fewer walls, segments of some length after snapping, or rooms than the least numbers has none.
     """
-    neighbours: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x1, y1, x2, y2 in {tuple(s) for s in segments}:
-        if (x1, y1) != (x2, y2):
-            for a, b in (((x1, y1), (x2, y2)), ((x2, y2), (x1, y1))):
-                if b not in neighbours.setdefault(a, []):
-                    neighbours[a].append(b)
-    place = {}
-    for a, around in neighbours.items():
-        around.sort(key=lambda b: math.atan2(b[1] - a[1], b[0] - a[0]))
-        place.update({(a, b): i for i, b in enumerate(around)})
-    out, seen = [], set()
-    for start in sorted(place):
-        ring, edge = [], start
-        while edge not in seen:
-            seen.add(edge)
-            ring.append(edge[0])
-            a, b = edge
-            edge = (b, neighbours[b][place[(b, a)] - 1])
-        area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-        if len(ring) >= 3 and area > 0:
-            out.append(ring)
-    return out
-
-
-def planar_rooms(walls: DataFrame) -> DataFrame:
-    """(plan_id, room, ring, area, place): bounded faces of each plan's snapped wall centrelines within the area limits.
-    Rooms are numbered in the order of faces, before the limits; ``place`` is their rank by area, largest first.
-
-    ``walls`` has plan_id, x1, y1, x2, y2, and width and height of the drawing. A plan's walls are one packed
-    row, as faces need the whole graph of a drawing; plans are independent and spread over tasks.
+    snap = lambda c: (F.bround(F.col(c) / GRID) * GRID).cast("long").alias(c)
+    ends = ("x1", "y1", "x2", "y2")
+    snapped = walls.select(F.col("plan_id").alias("plan"), *map(snap, ends), "width", "height")
+    some = F.count_if((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    size = snapped.groupBy("plan").agg(F.count("*").alias("walls"), some.alias("segments"), F.max("width").alias("width"), F.max("height").alias("height"))
+    enough = size.filter((F.col("walls") >= least_walls) & (F.col("segments") >= least_segments)).select(F.col("plan").alias("plan_id"), "width", "height")
+    same = F.col("plan").eqNullSafe(F.col("plan_id"))
+    found = faces(snapped.join(enough.select("plan_id"), same, "left_semi").select("plan", *ends)).join(enough, same)
+    by_plan = Window.partitionBy("plan_id")
+    number = F.row_number().over(by_plan.orderBy("first"))
+    rooms = found.withColumn("room", F.concat(F.lit("room-"), number.cast("string"))).withColumn("number", number)
+    rooms = rooms.filter((F.col("area") >= LEAST_AREA) & (F.col("area") <= LARGEST_SHARE * F.col("width") * F.col("height")))
+    rooms = rooms.withColumn("rooms", F.count("*").over(by_plan)).filter(F.col("rooms") >= least_rooms)
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    place = F.row_number().over(by_plan.orderBy(F.desc("area"), "number"))
+    return rooms.select("plan_id", "room", ring.alias("ring"), "area", place.alias("place"))
+
+
+def roof_outlines(rooms: DataFrame, px_per_meter: Column, overhang: float = 0.15, least_area: float = 0.01) -> DataFrame:
+    """(plan_id, footprint, area, outline): the union of each plan's rooms (plan_id, ring in whole pixels, which don't overlap) as the outer ring of its largest
+    part, in metres with y upwards, its area, and that ring moved outwards by ``overhang``.
+
+    Rooms of at most ``least_area`` square metres count for nothing. Metres are counted from the least x and the largest y of the plan's rooms.
+    ``px_per_meter`` is a column of ``rooms``, one value a plan.
     """
-    snap = lambda c: (F.bround(F.col(c) / GRID) * GRID).cast("int").alias(c)
-    packed = walls.groupBy("plan_id").agg(F.collect_list(F.struct(*map(snap, ("x1", "y1", "x2", "y2")))).alias("segments"), F.max("width").alias("width"), F.max("height").alias("height"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for plan, segments, width, height in zip(batch["plan_id"], batch["segments"], batch["width"], batch["height"], strict=True):
-                lines = [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in segments]
-                found = []
-                for i, ring in enumerate(faces(lines), 1):
-                    area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-                    if LEAST_AREA <= area <= LARGEST_SHARE * width * height:
-                        found.append((plan, f"room-{i}", [{"x": float(x), "y": float(y)} for x, y in ring], area))
-                found.sort(key=lambda r: -r[3])
-                rows += [(*r, k) for k, r in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["plan_id", "room", "ring", "area", "place"])
-
-    return packed.mapInPandas(run, "plan_id string, room string, ring array<struct<x:double,y:double>>, area double, place int")
+    sized = rooms.withColumn("__scale", px_per_meter)
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    frame = sized.groupBy("plan_id").agg(F.min(F.array_min(x)).alias("min_x"), F.max(F.array_max(y)).alias("max_y"), F.max("__scale").alias("scale"))
+    large = sized.filter(ring_area(F.col("ring")) / (F.col("__scale") * F.col("__scale")) > least_area)
+    found = footprints(large.select(F.col("plan_id").alias("plan"), "ring")).join(frame, F.col("plan").eqNullSafe(F.col("plan_id")))
+    # y turns round, and so does the ring
+    ring = F.transform(F.reverse("ring"), lambda p: to_meters(p["x"], p["y"], F.col("min_x"), F.col("max_y"), F.col("scale")))
+    found = found.select("plan_id", ring.alias("footprint"), (F.col("area") / (F.col("scale") * F.col("scale"))).alias("area"))
+    return found.withColumn("outline", offset_ring(F.col("footprint"), overhang))
 
 
 def contour_walls(boxes: DataFrame) -> DataFrame:

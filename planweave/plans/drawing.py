@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from planweave.functions import openings as O
 from planweave.functions import text as T
-from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, wall_record, wall_solid
+from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, roof_solid, wall_record, wall_solid
 from planweave.functions.views import glb_key, percent, room_summary, stripped_opening, stripped_room, stripped_wall
 from planweave.operators.intervals import band_pairs
-from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
+from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, roof_outlines, surface_colors
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
 from planweave.plans.spatial import _RINGS, ORDER_LINES, boxes, order_lines, rings
@@ -190,17 +190,59 @@ def point(x, y) -> Column:
     return F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) if isinstance(x, str) else F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def ladder_rooms(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders drawn as ladders, a cell a line, with walls that meet after snapping: rooms as faces, numbered and ranked."""
+def wall(*ends) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), ends, strict=True)])
+
+
+def ladder_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of an order as cells next to each other: where a cell ends, how wide it is, how high and wide the plan is."""
     cell = (F.col("pos") % 6 + 1) * 10
     w = Window.partitionBy("plan").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    cells = order_lines(spark, folder).select("plan", "id", F.sum(cell).over(w).alias("right"), cell.alias("cell"), (F.col("plan") % 7 * 10 + 50).alias("high"), F.sum(cell).over(Window.partitionBy("plan")).alias("width"))
+    return order_lines(spark, folder).select("plan", "id", F.sum(cell).over(w).alias("right"), cell.alias("cell"), (F.col("plan") % 7 * 10 + 50).alias("high"), F.sum(cell).over(Window.partitionBy("plan")).alias("width"))
+
+
+def ladder_walls() -> Column:
     left, off = F.col("right") - F.col("cell"), (F.col("id") % 3 - 1)
-    wall = lambda *c: F.struct(*[v.cast("int").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), c, strict=True)])
-    zero, right, high = F.lit(0), F.col("right"), F.col("high")
-    walls = F.array(wall(left + off, zero, right, zero + off), wall(left, high, right + off, high), wall(left, zero, left, high), wall(right, zero, right, high + off))
-    drawn = cells.select(F.col("plan").cast("string").alias("plan_id"), "width", F.col("high").alias("height"), F.explode(walls).alias("w")).select("plan_id", "width", "height", "w.*")
-    return planar_rooms(drawn).select(F.col("plan_id").cast("long").alias("plan"), "room", "area", "place", F.size("ring").alias("corners"))
+    right, high = F.col("right"), F.col("high")
+    return F.array(wall(left + off, 0, right, 0 + off), wall(left, high, right + off, high), wall(left, 0, left, high), wall(right, 0, right, high + off))
+
+
+def drawn(cells: DataFrame, walls: Column) -> DataFrame:
+    return cells.select(F.col("plan").cast("string").alias("plan_id"), "width", F.col("high").alias("height"), F.explode(walls).alias("w")).select("plan_id", "width", "height", "w.*")
+
+
+def room_rows(rooms: DataFrame) -> DataFrame:
+    return rooms.select(F.col("plan_id").cast("long").alias("plan"), "room", "area", "place", F.size("ring").alias("corners"))
+
+
+def ladder_rooms(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders drawn as ladders, a cell a line, with walls that meet after snapping: rooms as faces, numbered and ranked."""
+    return room_rows(planar_rooms(drawn(ladder_cells(spark, folder), ladder_walls())))
+
+
+def spur_rooms(spark: SparkSession, folder: str) -> DataFrame:
+    """Ladders whose cells hold a dead end of two walls and, where they are large, a square of walls: on its own, at the end
+    of a wall from a corner, or with a smaller one inside."""
+    cells = ladder_cells(spark, folder)
+    left, kind = F.col("right") - F.col("cell"), F.col("id") % 3
+    x = left + 10
+    none = F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    square = lambda at, low, size: F.array(wall(at, low, at + size, low), wall(at + size, low, at + size, low + size), wall(at + size, low + size, at, low + size), wall(at, low + size, at, low))
+    large = (F.col("cell") >= 50) & (F.col("high") >= 60)
+    inside = F.when(large & (kind == 0), square(x, 10, 30)).when(large & (kind == 1), F.concat(square(x, 10, 30), F.array(wall(left, 0, x, 10)))).when(large & (kind == 2), F.concat(square(x, 10, 30), square(x + 10, 20, 10))).otherwise(none)
+    spur = F.array(wall(F.col("right"), 0, F.col("right") - 5, 5), wall(F.col("right") - 5, 5, F.col("right") - 5, 10))
+    return room_rows(planar_rooms(drawn(cells, F.concat(ladder_walls(), spur, inside))))
+
+
+def roof_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as rows of rooms of different heights that stand on one line, some left out: the roof over the largest connected part."""
+    cells = ladder_cells(spark, folder).withColumn("high", (F.col("id") % 3 + 2) * 10).filter("(plan + id) % 5 > 0")
+    right, left, high = F.col("right"), F.col("right") - F.col("cell"), F.col("high")
+    rooms = cells.select(F.col("plan").alias("plan_id"), F.array(point(left, F.lit(0)), point(left, high), point(right, high), point(right, F.lit(0))).alias("ring"))
+    roofs = roof_outlines(rooms, F.lit(10.0))
+    solid = roof_solid(F.col("outline"), F.lit(3.25), F.lit(0.2))
+    z = F.transform(solid["vertices"], lambda v: v[2])
+    return roofs.select(F.col("plan_id").alias("plan"), F.size("footprint").alias("corners"), F.round("area", 6).alias("area"), F.round(ring_area(F.col("outline")), 6).alias("outline_area"), F.size("outline").alias("outline_corners"), F.size(solid["faces"]).alias("faces"), F.round(F.array_min(z), 6).alias("low"), F.round(F.array_max(z), 6).alias("high"))
 
 
 def opening_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +288,7 @@ def building_solids(spark: SparkSession, folder: str) -> DataFrame:
     return parts.filter("p.m IS NOT NULL").select("plan", "p.part", F.size("p.m.vertices").alias("vertices"), F.size("p.m.faces").alias("faces"), F.array_min(z).alias("low"), F.array_max(z).alias("high"), F.round(F.array_max(x), 6).alias("east"))
 
 
-QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
+QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
 
 _TYPE = "CASE " + " ".join("WHEN " + " OR ".join(["(" + " AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) + ")" for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES) + " ELSE 'unknown' END"
 _WHITE = r"[\t-\r\x1C-\x20\x85\xA0]"
@@ -357,9 +399,25 @@ ORACLE_SQL = {
           row_number() OVER (PARTITION BY user_id, coalesce(nullif(event_type, 'view'), 'wall') ORDER BY event_id DESC) AS k FROM events)
         SELECT user_id, surface, name, color_hex, 'matte' AS finish FROM e WHERE k = 1""",
     "ladder_rooms": ORDER_LINES + """
-        , c AS (SELECT plan, id, (pos % 6 + 1) * 10 AS w, plan % 7 * 10 + 50 AS h, sum((pos % 6 + 1) * 10) OVER (PARTITION BY plan) AS width FROM o),
-        r AS (SELECT *, (w * h)::DOUBLE AS area FROM c WHERE w * h BETWEEN 800 AND 0.45 * width * h)
-        SELECT plan, 'room-' || id AS room, area, row_number() OVER (PARTITION BY plan ORDER BY area DESC, id)::INT AS place, 4 AS corners FROM r""",
+        , c AS (SELECT plan, id, (pos % 6 + 1) * 10 AS w, plan % 7 * 10 + 50 AS h, sum((pos % 6 + 1) * 10) OVER (PARTITION BY plan) AS width, count(*) OVER (PARTITION BY plan) AS n FROM o),
+        r AS (SELECT *, (w * h)::DOUBLE AS area FROM c WHERE n >= 2 AND w * h BETWEEN 800 AND 0.45 * width * h)
+        SELECT plan, 'room-' || id AS room, area, row_number() OVER (PARTITION BY plan ORDER BY area DESC, id)::INT AS place, 4 AS corners FROM r QUALIFY count(*) OVER (PARTITION BY plan) >= 2""",
+    "spur_rooms": ORDER_LINES + """
+        , c AS (SELECT plan, id, (pos % 6 + 1) * 10 AS w, plan % 7 * 10 + 50 AS h, sum((pos % 6 + 1) * 10) OVER (PARTITION BY plan) AS width, id % 3 AS kind, pos % 6 >= 4 AND plan % 7 >= 1 AS large FROM o),
+        f AS (SELECT plan, id, 0 AS k, w * h - CASE WHEN large THEN 900 ELSE 0 END AS area, width * h AS whole FROM c
+          UNION ALL SELECT plan, id, 1, 900 - CASE WHEN kind = 2 THEN 100 ELSE 0 END, width * h FROM c WHERE large
+          UNION ALL SELECT plan, id, 2, 100, width * h FROM c WHERE large AND kind = 2),
+        m AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY id, k) AS number FROM f),
+        r AS (SELECT * FROM m WHERE area BETWEEN 800 AND 0.45 * whole QUALIFY count(*) OVER (PARTITION BY plan) >= 2)
+        SELECT plan, 'room-' || number AS room, area::DOUBLE AS area, row_number() OVER (PARTITION BY plan ORDER BY area DESC, number)::INT AS place, 4 AS corners FROM r""",
+    "roof_outline": ORDER_LINES + """
+        , c AS (SELECT plan, id, (pos % 6 + 1) * 10 AS w, (id % 3 + 2) * 10 AS h FROM o WHERE (plan + id) % 5 > 0),
+        g AS (SELECT *, id - row_number() OVER (PARTITION BY plan ORDER BY id) AS part FROM c),
+        s AS (SELECT *, lag(h) OVER (PARTITION BY plan, part ORDER BY id) AS before FROM g),
+        p AS (SELECT plan, part, sum(w * h) / 100.0 AS area, sum(2 * w) / 10.0 + (sum(CASE WHEN before IS NULL THEN h ELSE abs(h - before) END) + arg_max(h, id)) / 10.0 AS around, count(*) FILTER (before IS NOT NULL AND before <> h) AS steps, min(id) AS first FROM s GROUP BY plan, part),
+        b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY plan ORDER BY area DESC, first) = 1)
+        SELECT plan, (4 + 2 * steps)::INT AS corners, area::DOUBLE AS area, round((area + 0.15 * around + (4 + steps) * 8 * 0.0225 * sin(pi() / 32) - steps * 0.0225)::DOUBLE, 6) AS outline_area,
+          ((4 + steps) * 17 + steps)::INT AS outline_corners, (4 * ((4 + steps) * 17 + steps) - 4)::INT AS faces, 3.25::DOUBLE AS low, 3.45::DOUBLE AS high FROM b""",
     "opening_kinds": ORDER_LINES + """
         , k AS (SELECT plan AS plan_id, id AS gap_id, EXISTS (SELECT 1 FROM o b WHERE b.plan = a.plan AND b.id % 2 = 0 AND sqrt((a.s - b.e) ** 2 + (a.pos - b.pos - 3) ** 2) < 1.5 * a.thick) AS door FROM o a)
         SELECT plan_id, gap_id, CASE WHEN door THEN 'door' ELSE 'window' END AS kind, CASE WHEN door THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM k""",

@@ -1,5 +1,6 @@
 """Hand-computed cases of functions and operators, and folds against plain loops."""
 
+import math
 import random
 
 import pytest
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from planweave.functions import geometry as G
 from planweave.functions import openings as O
 from planweave.functions import text as T
+from planweave.functions.geometry import offset_ring, ring_area, roof_solid
+from planweave.operators.faces import faces, footprints
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merge_collinear
 from planweave.operators.latest import next_sequence, replay_since
-from planweave.operators.rooms import contour_walls, faces, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
+from planweave.operators.rooms import contour_walls, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
 from planweave.operators.runs import boundary_open, line_numbers, wall_gaps, word_lines
 from planweave.operators.scale import chosen_scale, fallback_scale, last_materials, last_value, overall_confidence, plan_flags, rank_matched_scale, scale_from_area, scale_from_rooms
 from planweave.sources import blobs
@@ -177,18 +180,104 @@ def test_folds_of_many_lines_of_one_plan_and_of_null_plans(spark):
     assert greedy_pairs(df.limit(0), ["plan"], 3, 20, 0.3).count() == 0
 
 
-def test_faces():
-    two = [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0), (100, 0, 200, 0), (200, 0, 200, 100), (200, 100, 100, 100)]
-    assert sorted(len(r) for r in faces(two)) == [4, 4]
-    grid = [(x, y, x + 100, y) for x in (0, 100) for y in (0, 100, 200)] + [(x, y, x, y + 100) for x in (0, 100, 200) for y in (0, 100)]
-    assert len(faces(grid)) == 4
-    assert faces([(0, 0, 10, 0), (10, 0, 10, 10)]) == []
+SEGMENTS = "plan int, x1 int, y1 int, x2 int, y2 int"
+
+
+def regions(size, walled):
+    """Plain flood fill: the sizes of the sets of grid cells that no wall parts, but for the one that leads outside."""
+    left, out = {(x, y) for x in range(-1, size + 1) for y in range(-1, size + 1)}, []
+    while left:
+        todo, seen = [left.pop()], 0
+        outside = False
+        while todo:
+            x, y = todo.pop()
+            seen += 1
+            outside |= x < 0
+            for nx, ny, edge in ((x + 1, y, (x + 1, y, x + 1, y + 1)), (x - 1, y, (x, y, x, y + 1)), (x, y + 1, (x, y + 1, x + 1, y + 1)), (x, y - 1, (x, y, x + 1, y))):
+                if (nx, ny) in left and edge not in walled:
+                    left.remove((nx, ny))
+                    todo.append((nx, ny))
+        out += [] if outside else [seen]
+    return sorted(out)
+
+
+def test_faces_of_random_grids_equal_flood_fill(spark):
+    """Grids with gaps have dead ends, bridges, parts within parts, and holes in holes."""
+    rng, rows, want = random.Random(8), [], {}
+    for plan in range(12):
+        size = rng.randrange(3, 9)
+        edges = [(x, y, x + 1, y) for x in range(size) for y in range(size + 1)] + [(x, y, x, y + 1) for x in range(size + 1) for y in range(size)]
+        walled = set(rng.sample(edges, int(len(edges) * rng.choice((0.5, 0.7, 0.8, 1.0)))))
+        want[plan] = regions(size, walled)
+        rows += [(plan, *(10 * v for v in (e if rng.random() < 0.5 else e[2:] + e[:2]))) for e in walled] + [(plan, 0, 0, 0, 0)]
+    found = faces(spark.createDataFrame(rows, SEGMENTS)).collect()
+    assert {p: sorted(r.area / 100 for r in found if r.plan == p) for p in want} == want
+    for r in found:
+        ring = [(p.x, p.y) for p in r.ring]
+        assert len(ring) >= 4 and sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 >= r.area
+    assert faces(spark.createDataFrame([(1, 0, 0, 10, 0), (1, 10, 0, 10, 10)], SEGMENTS)).count() == 0
+    assert faces(spark.createDataFrame([], SEGMENTS)).count() == 0
+
+
+def test_faces_with_slanting_walls_and_a_long_ring(spark):
+    square = lambda x, y, a: [(x, y, x + a, y), (x + a, y, x + a, y + a), (x + a, y + a, x, y + a), (x, y + a, x, y)]
+    walls = square(0, 0, 30) + square(10, 10, 10) + [(0, 0, 5, 5), (5, 5, 5, 8)] + [(12, 15, 15, 12), (15, 12, 18, 15), (18, 15, 15, 18), (15, 18, 12, 15)] + square(23, 11, 3) + [(30, 30, 40, 40)] + square(40, 40, 10)
+    circle = [(round(2000 * math.cos(math.tau * i / 300)), round(2000 * math.sin(math.tau * i / 300))) for i in range(300)]
+    rows = [(1, *w) for w in walls] + [(None, *a, *b) for a, b in zip(circle, circle[1:] + circle[:1], strict=True)]
+    found = faces(spark.createDataFrame(rows, SEGMENTS)).collect()
+    assert sorted(r.area for r in found if r.plan == 1) == [9, 18, 82, 100, 791]
+    (whole,) = [r for r in found if r.plan is None]
+    start = circle.index((whole.ring[0].x, whole.ring[0].y))
+    assert [(p.x, p.y) for p in whole.ring] == circle[start:] + circle[:start]
+
+
+def test_footprints_of_random_cells_equal_flood_fill(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for plan in range(12):
+        size = rng.randrange(2, 7)
+        cells = {(x, y) for x in range(size) for y in range(size) if rng.random() < 0.65} or {(0, 0)}
+        left, best = set(cells), 0
+        while left:
+            todo, n = [left.pop()], 0
+            while todo:
+                x, y = todo.pop()
+                n += 1
+                near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & left
+                left -= near
+                todo += near
+            best = max(best, n)
+        want[plan] = best
+        for x, y in cells:
+            ring = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
+            rows.append((plan, [(10 * a, 10 * b) for a, b in (ring if rng.random() < 0.5 else ring[::-1])]))
+    # a long side next to two short ones
+    rows += [(99, [(0, 0), (40, 0), (40, 10), (0, 10)]), (99, [(0, 10), (15, 10), (15, 30), (0, 30)]), (99, [(15, 10), (40, 10), (15, 30)])]
+    df = spark.createDataFrame(rows, "plan int, ring array<struct<x:int,y:int>>")
+    found = {r.plan: r for r in footprints(df).collect()}
+    assert {p: found[p].area / 100 for p in want} == want
+    assert found[99].area == 400 + 300 + 250 and {(p.x, p.y) for p in found[99].ring} == {(0, 0), (40, 0), (40, 10), (15, 30), (0, 30)}
+    assert footprints(df.limit(0)).count() == 0
+
+
+def test_moved_rings(spark):
+    rings = [[(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (5, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)], [(0, 0), (12, 0), (0, 5)]]
+    df = spark.createDataFrame([([(float(x), float(y)) for x, y in r],) for r in rings], "ring array<struct<x:double,y:double>>")
+    got = df.select(offset_ring(F.col("ring"), 0.15).alias("o")).select(F.size("o").alias("n"), ring_area(F.col("o")).alias("a")).collect()
+    q = 8 * 0.0225 * math.sin(math.pi / 32)
+    assert [(r.n, round(r.a, 9)) for r in got[:2]] == [(68, round(100 + 6 + 4 * q, 9)), (86, round(64 + 6 + 5 * q - 0.0225, 9))]
+    assert 30 + 30 * 0.15 + 3.9 * q < got[2].a < 30 + 30 * 0.15 + math.pi * 0.0225
+    solid = df.select(roof_solid(offset_ring(F.col("ring"), 0.15), F.lit(3.25), F.lit(0.2)).alias("s")).first().s
+    assert {v[2] for v in solid["vertices"]} == {3.25, 3.45} and len(solid["vertices"]) == 2 * 68
 
 
 def test_rooms_and_openings(spark):
     walls = [("p", *s, 1000, 1000) for s in [(1, 0, 101, 1), (99, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0)]]
-    rooms = planar_rooms(spark.createDataFrame(walls, "plan_id string, x1 int, y1 int, x2 int, y2 int, width int, height int")).collect()
-    assert [(r.plan_id, r.area) for r in rooms] == [("p", 10000.0)]
+    walls += [("q", *s, 500, 500) for s in [(0, 0, 100, 0), (100, 0, 200, 0), (0, 100, 100, 100), (100, 100, 200, 100), (0, 0, 0, 100), (100, 0, 100, 100), (200, 0, 200, 100)]]
+    walls = spark.createDataFrame(walls, "plan_id string, x1 int, y1 int, x2 int, y2 int, width int, height int")
+    # p has too few walls, and would have too few rooms
+    assert [(r.plan_id, r.room, r.area, r.place) for r in planar_rooms(walls).orderBy("place").collect()] == [("q", "room-1", 10000.0, 1), ("q", "room-2", 10000.0, 2)]
+    assert [(r.plan_id, r.area) for r in planar_rooms(walls.filter("plan_id = 'p'"), 1, 1, 1).collect()] == [("p", 10000.0)]
+    assert planar_rooms(walls, least_rooms=3).count() == 0
     gaps = spark.createDataFrame([("p", 1, 100, 100, 40), ("p", 2, 500, 500, 40)], "plan_id string, gap_id int, cx int, cy int, width_px int")
     arcs = spark.createDataFrame([("p", 159, 100), ("p", 560, 500)], "plan_id string, cx int, cy int")
     assert {r.gap_id: r.kind for r in opening_kind(gaps, arcs).collect()} == {1: "door", 2: "window"}
