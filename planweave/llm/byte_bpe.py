@@ -52,8 +52,7 @@ class ByteBPE:
         self.shorter: dict[int, int | None] = {}
         self.size: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self, {})
         self.longest = 1
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         made: dict[bytes, int] = {}
@@ -115,8 +114,10 @@ class ByteBPE:
         longest, shorter, size, compatible = self.automaton.iter_long, self.shorter, self.size, self.compatible
         # longest matches all along the piece; most often they go together, else the search begins where two don't
         out = [token for _, token in longest(text)]
-        bad = next((k for k in range(1, len(out)) if not compatible(out[k - 1], out[k])), len(out))
-        if bad == len(out):
+        for bad in range(1, len(out)):
+            if not compatible(out[bad - 1], out[bad]):
+                break
+        else:
             return out
         token: int | None = out[bad]
         del out[bad:]
@@ -137,19 +138,28 @@ class ByteBPE:
 
     def packed(self, pieces: list[str]) -> bytes:
         """The ids of all pieces as little-endian unsigned 32-bit integers."""
-        known, older = self.known, self.older
-        for piece in set(pieces).difference(known):
-            if (ids := older.get(piece)) is None:
-                ids = b"".join([self.code[i] for i in self.encode(piece.encode())])
-            known[piece] = ids
-        out = b"".join(map(known.__getitem__, pieces))
-        for piece in [p for p in set(pieces) if len(p) > LONGEST_KNOWN]:
-            del known[piece]
-        if len(known) > KNOWN_PIECES:
-            self.known, self.older = {}, known
+        out = b"".join(map(self.known.__getitem__, pieces))
+        if len(self.known) > KNOWN_PIECES:
+            self.known = Known(self, self.known)
         return out
 
 
+class Known(dict):
+    """Packed ids of pieces, worked out when they are asked for first; pieces of the generation before live on."""
+
+    def __init__(self, bpe: ByteBPE, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.bpe, self.older = bpe, dict(older)
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            code = self.bpe.code
+            ids = b"".join([code[i] for i in self.bpe.encode(piece.encode())])
+        if len(piece) <= LONGEST_KNOWN:
+            self[piece] = ids
+        return ids
+
+
 @functools.cache
 def byte_bpe(path: str) -> ByteBPE:
     """One per worker, so its tasks share what it has learned."""
