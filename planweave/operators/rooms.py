@@ -64,14 +64,26 @@ def contour_walls(boxes: DataFrame) -> DataFrame:
     return boxes.filter((F.col("area") >= 200) & (long / F.greatest(wide, F.lit(1)) >= 3) & (wide <= 80) & (long >= 15))
 
 
-def opening_kind(gaps: DataFrame, arcs: DataFrame) -> DataFrame:
+def opening_kind(gaps: DataFrame, arcs: DataFrame, cell: int = 64) -> DataFrame:
     """Gaps (plan_id, gap_id, cx, cy, width_px) with kind and confidence: a door where an arc's centre lies closer
-    than 1.5 widths, else a window. An existence test, so several arcs count once."""
-    a = arcs.select(F.col("plan_id").alias("__plan"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    near = (F.col("plan_id") == F.col("__plan")) & (F.sqrt((F.col("cx") - F.col("ax")) ** 2 + (F.col("cy") - F.col("ay")) ** 2) < 1.5 * F.col("width_px"))
-    doors = gaps.join(a, near, "left_semi").select("plan_id", "gap_id", F.lit("door").alias("kind"), F.lit(0.8).alias("confidence"))
-    rest = gaps.join(a, near, "left_anti").select("plan_id", "gap_id", F.lit("window").alias("kind"), F.lit(0.7).alias("confidence"))
-    return doors.unionByName(rest)
+    than 1.5 widths, else a window. An existence test, so several arcs count once.
+
+    An arc stands in one cell of its plan, a gap in all cells that its reach covers, so a plan with very many of both is spread
+    over its cells; gaps that met a near arc are told by their columns.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    names, reach = ["plan_id", "gap_id", "cx", "cy", "width_px"], 1.5 * F.greatest(F.col("width_px"), F.lit(0))
+    cells = lambda c: F.explode(F.sequence(at(F.col(c) - reach), at(F.col(c) + reach)))
+    a = arcs.select(F.col("plan_id").alias("__plan"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), at(F.col("cx")).alias("__ax"), at(F.col("cy")).alias("__ay"))
+    spread = gaps.select(*names).distinct().withColumn("__x", cells("cx")).withColumn("__y", cells("cy"))
+    near = F.sqrt((F.col("cx") - F.col("ax")) ** 2 + (F.col("cy") - F.col("ay")) ** 2) < 1.5 * F.col("width_px")
+    met = spread.join(a, (F.col("plan_id") == F.col("__plan")) & (F.col("__x") == F.col("__ax")) & (F.col("__y") == F.col("__ay")) & near, "left_semi")
+    doors = met.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
+    same = F.lit(True)
+    for c in names:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    door = F.col("__gap_id").isNotNull()
+    return gaps.join(doors, same, "left").select("plan_id", "gap_id", F.when(door, "door").otherwise("window").alias("kind"), F.when(door, 0.8).otherwise(0.7).alias("confidence"))
 
 
 def on_walls(openings: DataFrame, walls: DataFrame, default_px: float = 10) -> DataFrame:

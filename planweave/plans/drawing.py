@@ -9,11 +9,10 @@ from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, roof_solid, wall_record, wall_solid
 from planweave.functions.views import glb_key, percent, room_summary, stripped_opening, stripped_room, stripped_wall
-from planweave.operators.intervals import band_pairs
 from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, roof_outlines, surface_colors
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
-from planweave.plans.spatial import _RINGS, ORDER_LINES, boxes, order_lines, rings
+from planweave.plans.spatial import _RINGS, ORDER_LINES, boxes, greedy_sql, order_lines, q_greedy_pairs, rings
 from planweave.sources.tables import table
 from planweave.streaming.eventlog import STATES
 
@@ -69,12 +68,14 @@ def annotation_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wall_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of parallel lines as walls of 15 pixels or more, ranked by length."""
+    """Matched pairs of parallel lines as walls of 15 pixels or more, ranked by length."""
     o = order_lines(spark, folder)
     line = F.struct(F.col("s").alias("x1"), F.col("pos").alias("y1"), (F.col("e") + 4 * F.col("id")).alias("x2"), (F.col("pos") + F.col("id") % 3).alias("y2"))
-    lines = o.select("plan", "id", line.alias("line"))
-    pairs = band_pairs(o, ["plan"], "pos", "id", 3, 20)
-    pairs = pairs.join(lines.select("plan", F.col("id").alias("a"), F.col("line").alias("line_a")), ["plan", "a"]).join(lines.select("plan", F.col("id").alias("b"), F.col("line").alias("line_b")), ["plan", "b"])
+    # both ends of each pair look their line up in one join
+    ends = q_greedy_pairs(spark, folder).select("plan", "a", "b", "apart", F.explode(F.array("a", "b")).alias("id"))
+    found = ends.join(o.select("plan", "id", line.alias("line")), ["plan", "id"])
+    of = lambda c: F.max(F.when(F.col("id") == F.col(c), F.col("line"))).alias(f"line_{c}")
+    pairs = found.groupBy("plan", "a", "b", "apart").agg(of("a"), of("b"))
     wall = wall_record(F.col("line_a"), F.col("line_b"), F.col("apart"), F.col("plan") % 2 == 0, F.col("plan").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))
     walls = pairs.select("plan", "a", "b", wall.alias("w")).filter("w.length_px >= 15")
     rank = F.row_number().over(Window.partitionBy("plan").orderBy(F.desc("w.length_px"), "a", "b"))
@@ -340,9 +341,10 @@ ORACLE_SQL = {
         j AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY plan ORDER BY id)) > 20 AS jump FROM w),
         l AS (SELECT *, sum(coalesce(jump::INT, 0)) OVER (PARTITION BY plan ORDER BY id) + 1 AS line_no FROM j)
         SELECT plan, line_no::BIGINT AS line_no, string_agg('w' || y, ' ' ORDER BY id) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM l GROUP BY plan, line_no""",
-    "wall_records": ORDER_LINES + """
-        , p AS (SELECT a.plan, a.id AS a, b.id AS b, b.pos - a.pos AS apart, a.s AS ax1, a.pos AS ay1, a.e + 4 * a.id AS ax2, a.pos + a.id % 3 AS ay2, b.s AS bx1, b.pos AS by1, b.e + 4 * b.id AS bx2, b.pos + b.id % 3 AS by2
-          FROM o a JOIN o b ON a.plan = b.plan AND b.pos - a.pos BETWEEN 3 AND 20),
+    "wall_records": greedy_sql("""
+        , u AS (SELECT plan, unnest(st.pairs) AS p FROM r),
+        p AS (SELECT a.plan, a.id AS a, b.id AS b, u.p.apart AS apart, a.s AS ax1, a.pos AS ay1, a.e + 4 * a.id AS ax2, a.pos + a.id % 3 AS ay2, b.s AS bx1, b.pos AS by1, b.e + 4 * b.id AS bx2, b.pos + b.id % 3 AS by2
+          FROM u JOIN o a ON a.plan = u.plan AND a.id = u.p.a JOIN o b ON b.plan = u.plan AND b.id = u.p.b),
         m AS (SELECT *, (ay1 + ay2) / 2.0::DOUBLE AS ya, (by1 + by2) / 2.0::DOUBLE AS yb, (ax1 + ax2) / 2.0::DOUBLE AS xa, (bx1 + bx2) / 2.0::DOUBLE AS xb, plan % 2 = 0 AS flat FROM p),
         c AS (SELECT *, trunc(CASE WHEN flat THEN least(ax1, ax2, bx1, bx2) ELSE least(xa, xb) END)::INT AS min_x, trunc(CASE WHEN flat THEN greatest(ax1, ax2, bx1, bx2) ELSE greatest(xa, xb) END)::INT AS max_x,
           trunc(CASE WHEN flat THEN least(ya, yb) ELSE least(ay1, ay2, by1, by2) END)::INT AS min_y, trunc(CASE WHEN flat THEN greatest(ya, yb) ELSE greatest(ay1, ay2, by1, by2) END)::INT AS max_y,
@@ -350,7 +352,7 @@ ORACLE_SQL = {
         g AS (SELECT *, CASE WHEN flat THEN min_x ELSE mid_x END AS x1, CASE WHEN flat THEN mid_y ELSE min_y END AS y1, CASE WHEN flat THEN max_x ELSE mid_x END AS x2, CASE WHEN flat THEN mid_y ELSE max_y END AS y2 FROM c),
         k AS (SELECT *, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 1) AS length_px FROM g)
         SELECT plan, a, b, 'wall-' || substr(sha256(plan || '|' || a || '|' || b), 1, 6) AS wall_id, x1, y1, x2, y2, min_x, min_y, max_x, max_y, apart::DOUBLE AS thickness_px, CASE WHEN apart >= 15 THEN 'exterior' ELSE 'interior' END AS wall_type,
-          CASE WHEN flat THEN 'horizontal' ELSE 'vertical' END AS orientation, length_px, row_number() OVER (PARTITION BY plan ORDER BY length_px DESC, a, b)::INT AS place FROM k WHERE length_px >= 15""",
+          CASE WHEN flat THEN 'horizontal' ELSE 'vertical' END AS orientation, length_px, row_number() OVER (PARTITION BY plan ORDER BY length_px DESC, a, b)::INT AS place FROM k WHERE length_px >= 15"""),
     "contour_filter": ORDER_LINES + """
         , b AS (SELECT plan, 2 * sum(thick * (e - s)) AS area, max(e) - min(s) AS w, max(pos) - min(pos) + 1 AS h FROM o GROUP BY plan)
         SELECT plan, w, h FROM b WHERE area >= 200 AND greatest(w, h) / greatest(least(w, h), 1)::DOUBLE >= 3 AND least(w, h) <= 80 AND greatest(w, h) >= 15""",

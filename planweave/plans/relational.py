@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.functions.canonical import fingerprint
 from planweave.operators.checks import cascade_delete, enum_violations, fk_violations, null_violations, unique_violations
 from planweave.operators.latest import latest_by
+from planweave.operators.scale import overall_confidence
 from planweave.sources.tables import table
 
 
@@ -109,9 +111,16 @@ def provenance_hist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fidelity_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """A fingerprint of four fields in a fixed order."""
-    o = table(spark, folder, "orders")
-    return o.select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"))
+    """A fingerprint of each order's nested geometry: lines as walls, some without thickness, no rooms, openings missing, a box."""
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    half = F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity") / 2)
+    wall = F.struct(F.concat(F.lit('wall "é" '), "l_linenumber").alias("id"), F.array(F.array(F.col("l_partkey"), F.lit(0)), F.array(F.col("l_partkey"), F.col("l_linenumber"))).alias("geometry"), half.alias("thickness_px"), (F.col("l_returnflag") == "N").alias("inner"))
+    order = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", wall.alias("wall"))
+    plans = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["wall"]).alias("walls"), F.min("l_partkey").alias("min_x"), F.max("l_partkey").alias("max_x"))
+    nothing = F.lit(None).cast("array<struct<id:string,width_px:double>>")
+    plan = F.struct("walls", F.array().cast("array<string>").alias("rooms"), nothing.alias("openings"), F.struct("min_x", "max_x").alias("bounding_box_px"))
+    plans = plans.select("l_orderkey", plan.alias("plan"))
+    return plans.select("l_orderkey", fingerprint(F.col("plan"), plans.schema["plan"].dataType).alias("fingerprint"))
 
 
 def concat_bags(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,8 +134,8 @@ def confidence_score(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents").select("doc_id", "lang", "source"), table(spark, folder, "labels")
     g = docs.join(labels, "doc_id", "left").groupBy("lang", "source").agg(F.sum("quality").alias("good"), F.count("quality").alias("n"))
     mean = F.coalesce(F.col("good"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1))
-    few = F.when(F.col("n") < 3, 0.7).otherwise(1.0) * F.when(F.col("n") < 1, 0.5).otherwise(1.0)
-    scored = g.select("lang", "source", "n", F.round(F.least(mean * few, F.lit(1.0)), 4).alias("confidence"))
+    # documents stand for walls, labelled ones of good quality for rooms
+    scored = g.select("lang", "source", "n", overall_confidence(mean, F.col("n"), F.coalesce(F.col("good"), F.lit(0))).alias("confidence"))
     return scored.withColumn("approved", (F.col("confidence") >= 0.9) & (F.col("n") >= 3))
 
 
@@ -181,10 +190,14 @@ ORACLE_SQL = {
     "provenance_hist": """
         SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS observed, count(*) FILTER (o_orderstatus = 'O') AS inferred,
           count(*) FILTER (o_orderstatus = 'X') AS assumed, count(*) FILTER (o_orderstatus IN ('F', 'O', 'X')) AS total FROM orders GROUP BY o_custkey""",
-    "fidelity_hash": "SELECT o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS fingerprint FROM orders",
+    "fidelity_hash": r"""
+        WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, '{"geometry": [[' || l_partkey || ', 0], [' || l_partkey || ', ' || l_linenumber || ']], "id": "wall \"\u00e9\" ' || l_linenumber || '", "inner": ' || (l_returnflag = 'N')::VARCHAR
+          || ', "thickness_px": ' || CASE WHEN l_partkey % 5 > 0 THEN (l_quantity / 2.0)::DOUBLE::VARCHAR ELSE 'null' END || '}' AS wall FROM lineitem)
+        SELECT l_orderkey, sha256('{"bounding_box_px": {"max_x": ' || max(l_partkey) || ', "min_x": ' || min(l_partkey) || '}, "openings": null, "rooms": [], "walls": ['
+          || string_agg(wall, ', ' ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) || ']}') AS fingerprint FROM w GROUP BY l_orderkey""",
     "concat_bags": "SELECT 'customer' AS kind, c_nationkey AS nationkey, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal FROM supplier",
     "confidence_score": """
         WITH g AS (SELECT lang, source, coalesce(sum(quality), 0) AS good, count(quality) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL),
-        s AS (SELECT lang, source, n, round(least(good / greatest(n, 1)::DOUBLE * CASE WHEN n < 3 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN n < 1 THEN 0.5::DOUBLE ELSE 1 END, 1.0), 4) AS confidence FROM g)
+        s AS (SELECT lang, source, n, round(least(good / greatest(n, 1)::DOUBLE * CASE WHEN n < 3 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN good < 1 THEN 0.5::DOUBLE ELSE 1 END, 1.0), 2) AS confidence FROM g)
         SELECT lang, source, n, confidence, confidence >= 0.9 AND n >= 3 AS approved FROM s""",
 }

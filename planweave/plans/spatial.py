@@ -251,15 +251,22 @@ def _fold(order: str, state: str, hit: str, step: str, result: str) -> str:
 
 _SHARE = "greatest(0, least(o.e, l.e) - greatest(o.s, l.s)) / greatest(o.e - o.s, l.e - l.s, 1)::DOUBLE"
 
-ORACLE_SQL = {
-    "greedy_pairs": _fold(
+
+
+def greedy_sql(result: str) -> str:
+    """The pairs of each plan as ``st.pairs`` of the table r, and what is made of them."""
+    return _fold(
         "pos, id, s, e",
         "{'open': []::STRUCT(pos INT, id BIGINT, s INT, e INT)[], 'pairs': []::STRUCT(a BIGINT, b BIGINT, apart INT)[]}",
         f"list_filter(f.st.open, lambda o: l.pos - o.pos BETWEEN 3 AND 20 AND {_SHARE} >= 0.3)[1]",
         """CASE WHEN hit IS NULL THEN {'open': list_append(st.open, {'pos': pos, 'id': id, 's': s, 'e': e}), 'pairs': st.pairs}
              ELSE {'open': list_filter(st.open, lambda o: o.id <> hit.id), 'pairs': list_append(st.pairs, {'a': hit.id, 'b': id, 'apart': pos - hit.pos})} END""",
-        "SELECT plan, p.a, p.b, p.apart FROM (SELECT plan, unnest(st.pairs) AS p FROM r)",
-    ),
+        result,
+    )
+
+
+ORACLE_SQL = {
+    "greedy_pairs": greedy_sql("SELECT plan, p.a, p.b, p.apart FROM (SELECT plan, unnest(st.pairs) AS p FROM r)"),
     "merge_collinear": _fold(
         "id",
         "[]::STRUCT(pos INT, s INT, e INT, n INT)[]",

@@ -1,15 +1,19 @@
 """Hand-computed cases of functions and operators, and folds against plain loops."""
 
+import hashlib
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from planweave.functions import geometry as G
 from planweave.functions import openings as O
 from planweave.functions import text as T
+from planweave.functions.canonical import canonical_json, fingerprint
 from planweave.functions.geometry import offset_ring, ring_area, roof_solid
 from planweave.operators.faces import faces, footprints
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merge_collinear
@@ -286,6 +290,25 @@ def test_rooms_and_openings(spark):
     assert plausible_openings(widths, F.lit(None).cast("double")).count() == 4
 
 
+def test_openings_near_many_arcs(spark):
+    rng = random.Random(1)
+    gaps = [("p", i, rng.randrange(-300, 300), rng.randrange(-300, 300), rng.choice((0, 5, 40, 200))) for i in range(80)] + [(None, 99, 0, 0, 40)]
+    arcs = [("p", rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(40)] + [(None, 0, 0)]
+    found = opening_kind(spark.createDataFrame(gaps, "plan_id string, gap_id int, cx int, cy int, width_px int"), spark.createDataFrame(arcs, "plan_id string, cx int, cy int")).collect()
+    want = {i: "door" if any(q == p is not None and math.dist((x, y), (ax, ay)) < 1.5 * w for q, ax, ay in arcs) else "window" for p, i, x, y, w in gaps}
+    assert {r.gap_id: r.kind for r in found} == want and len(found) == len(gaps)
+
+
+def test_canonical_text_is_that_of_sorted_json(spark):
+    rows = [(1, 'a "q" \\ \n é \U0001f600', 1.5, [[1, 2], None, []], {"b": 2.0, "a": None}, True), (2, None, -3.0, None, {}, None), (3, "", 12345678.0, [], None, False), (4, "x", 0.001, [[None]], {"é": 1e15}, True)]
+    df = spark.createDataFrame(rows, "z int, s string, d double, a array<array<int>>, m map<string,double>, b boolean")
+    kind = StructType(df.schema.fields)
+    got = df.select("z", canonical_json(F.struct(*df.columns), kind).alias("text"), fingerprint(F.struct(*df.columns), kind).alias("hash")).collect()
+    for r, row in zip(sorted(got), rows, strict=True):
+        text = json.dumps(dict(zip(df.columns, row, strict=True)), sort_keys=True)
+        assert r.text == text and r.hash == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_colors_and_blobs(spark, tmp_path):
     surfaces = spark.createDataFrame([("walls",), ("floor",), ("roof",)], "surface string")
     rules = spark.createDataFrame([("roof", "#010203")], "surface string, color_hex string")
