@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from planweave.functions.canonical import fingerprint
 from planweave.operators.checks import cascade_delete, enum_violations, fk_violations, null_violations, unique_violations
 from planweave.operators.latest import latest_by
 from planweave.operators.scale import overall_confidence
+from planweave.sources.ledger import Ledger
+from planweave.sources.scratch import scratch_folder
 from planweave.sources.tables import table
 
 
@@ -55,6 +59,18 @@ def ready_update(spark: SparkSession, folder: str) -> DataFrame:
     return orders.select("o_orderkey", F.when(due, "ready").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
+def write_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a table by priority, some of them updated and some added: the table after that, of which only the touched partitions were rewritten."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    ledger = Ledger(spark, f"{scratch_folder(spark)}/orders-{uuid.uuid4().hex}", ("o_orderpriority",))
+    keys = ["o_orderkey", "o_orderpriority"]
+    ledger.append(o, keys)
+    ready = o.filter("o_orderpriority < '3' AND o_orderkey % 7 = 0").select(*keys, F.lit("ready").alias("o_orderstatus"))
+    new = o.filter("o_orderpriority < '2' AND o_orderkey % 97 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_orderpriority", F.lit("new").alias("o_orderstatus"))
+    ledger.update(ready.unionByName(new), keys)
+    return ledger.read()
+
+
 def counter_recompute(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of every customer, none included, counted anew instead of kept as a counter."""
     counts = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
@@ -146,6 +162,7 @@ QUERIES = {
     "point_lookup": point_lookup,
     "compound_filter": compound_filter,
     "ready_update": ready_update,
+    "write_back": write_back,
     "counter_recompute": counter_recompute,
     "enum_violations": q_enum_violations,
     "null_violations": q_null_violations,
@@ -175,6 +192,9 @@ ORACLE_SQL = {
     "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7",
     "compound_filter": "SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND props IS NOT NULL ORDER BY event_id",
     "ready_update": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '1%' THEN 'ready' ELSE o_orderstatus END AS status FROM orders",
+    "write_back": """
+        SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority < '3' AND o_orderkey % 7 = 0 THEN 'ready' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders
+        UNION ALL SELECT -o_orderkey, o_orderpriority, 'new', NULL FROM orders WHERE o_orderpriority < '2' AND o_orderkey % 97 = 0""",
     "counter_recompute": "SELECT c_custkey, count(o_orderkey) AS item_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "enum_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
     "null_violations": """

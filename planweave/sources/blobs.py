@@ -61,27 +61,36 @@ def _jpeg_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _webp_size(content: bytes) -> tuple[int, int] | None:
+    """The size in the header of a lossy, lossless or extended file."""
+    kind, number = content[12:16], lambda i, n: int.from_bytes(content[i : i + n], "little")
+    if kind == b"VP8 " and content[23:26] == b"\x9d\x01\x2a":
+        return number(26, 2) & 0x3FFF, number(28, 2) & 0x3FFF
+    if kind == b"VP8L" and content[20:21] == b"\x2f":
+        bits = number(21, 4)
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    return (number(24, 3) + 1, number(27, 3) + 1) if kind == b"VP8X" and len(content) >= 30 else None
+
+
+def _size(content: bytes | None) -> tuple[int, int] | None:
+    if content is None:
+        return None
+    if content[:2] == b"\xff\xd8":
+        return _jpeg_size(content)
+    return _webp_size(content) if content[:4] == b"RIFF" and content[8:12] == b"WEBP" else None
+
+
 def jpeg_size(content: Column) -> Column:
-    """struct<width, height> read from a JPEG's segments, null for anything else."""
+    """struct<width, height> read from a JPEG's segments or a WebP file's header, null for anything else."""
 
     @F.arrow_udf("struct<width:int,height:int>")
     def sizes(contents: pa.Array) -> pa.Array:
-        found = [_jpeg_size(c) if c is not None and c[:2] == b"\xff\xd8" else None for c in contents.to_pylist()]
+        found = [_size(c) for c in contents.to_pylist()]
         return pa.array([s and {"width": s[0], "height": s[1]} for s in found], pa.struct([("width", pa.int32()), ("height", pa.int32())]))
 
     return sizes(content)
 
 
-def append(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
-    """Appends to a Parquet table the rows whose keys it does not have; repeats in ``rows`` count once, so a run that is
-    repeated after a failure adds nothing twice. The table is created where there is none."""
-    spark, rows = rows.sparkSession, rows.dropDuplicates(keys)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        rows = append_new(spark.read.parquet(path), rows, keys)
-    rows.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
-
-
 def image_size(content: Column) -> Column:
     """struct<width, height> read from a PNG's header, null for anything else; ``jpeg_size`` reads JPEG files."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
@@ -90,8 +99,3 @@ def image_size(content: Column) -> Column:
 
 def materials(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(MATERIALS.items()), "surface string, color_hex string")
-
-
-def append_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys the target does not have yet: what an idempotent insert appends."""
-    return rows.join(target.select(*keys), keys, "left_anti")
