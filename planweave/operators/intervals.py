@@ -193,8 +193,8 @@ def greedy_pairs(lines: DataFrame, keys: list[str], low: int, high: int, least_o
     return scanned(lines, keys, high, values, values, fold, [("a", "long"), ("b", "long"), ("apart", "int")])
 
 
-def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> DataFrame:
-    """Merged extents: in the order of ``id``, a line joins the first extent so far whose position is within
+def merged_extents(lines: DataFrame, keys: list[str], gap: int, near: int) -> DataFrame:
+    """Merged extents (keys, first, pos, s, e, n), named by their first line: in the order of ``id``, a line joins the first extent so far whose position is within
     ``near`` and that lies within ``gap`` of it; the extent grows and its position becomes the truncated mean. Earlier lines
     are not tried again. ``lines`` has id, pos, s and e.
 
@@ -218,10 +218,14 @@ def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> D
 
         return step, lambda: map(tuple, extents)
 
-    folded = scanned(lines, keys, near, ["id", "pos", "s", "e"], ["id", "pos", "s", "e"], fold, [("first", "long"), ("pos", "int"), ("s", "int"), ("e", "int"), ("n", "int")])
+    return scanned(lines, keys, near, ["id", "pos", "s", "e"], ["id", "pos", "s", "e"], fold, [("first", "long"), ("pos", "int"), ("s", "int"), ("e", "int"), ("n", "int")])
+
+
+def merge_collinear(lines: DataFrame, keys: list[str], gap: int, near: int) -> DataFrame:
+    """``merged_extents``, numbered in a plan from 0."""
     # extents are numbered in the order in which they began
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1
-    return folded.select(*keys, number.alias("extent"), "pos", "s", "e", "n")
+    return merged_extents(lines, keys, gap, near).select(*keys, number.alias("extent"), "pos", "s", "e", "n")
 
 
 def dedupe_walls(walls: DataFrame, keys: list[str], near: int, least_overlap: float) -> DataFrame:

@@ -9,6 +9,7 @@ from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, roof_solid, wall_record, wall_solid
 from planweave.functions.views import glb_key, percent, room_summary, stripped_opening, stripped_room, stripped_wall
+from planweave.operators.chain import parsed_plans
 from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, roof_outlines, surface_colors
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
@@ -289,7 +290,32 @@ def building_solids(spark: SparkSession, folder: str) -> DataFrame:
     return parts.filter("p.m IS NOT NULL").select("plan", "p.part", F.size("p.m.vertices").alias("vertices"), F.size("p.m.faces").alias("faces"), F.array_min(z).alias("low"), F.array_max(z).alias("high"), F.round(F.array_max(x), 6).alias("east"))
 
 
-QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
+def parse_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders drawn as rooms apart from each other, with doubled lines, walls in pieces, doubles of walls and contours, parsed from lines to flags."""
+    cell = (F.col("pos") % 6 + 6) * 10
+    w = Window.partitionBy("plan").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    cells = order_lines(spark, folder).select("plan", "id", (F.col("pos")).alias("gap"), cell.alias("w"), (F.col("plan") % 7 * 10 + 100).alias("h"), F.sum(cell + 40).over(w).alias("end"))
+    cells = cells.withColumn("x", F.col("end") - 40 - F.col("w"))
+    x, end, h = F.col("x"), F.col("x") + F.col("w"), F.col("h")
+    line = lambda flat, pos, s, e: F.struct(F.lit(flat).alias("horizontal"), pos.alias("pos"), s.alias("s"), e.alias("e"))
+    double = lambda flat, pos, s, e: [line(flat, pos - 3, s, e), line(flat, pos + 3, s, e)]
+    zero = F.lit(0).cast("long")
+    bottom = F.when(F.col("id") % 3 == 0, F.array(*double(True, zero, x, x + 20), *double(True, zero, x + 25, end))).otherwise(F.array(*double(True, zero, x, end)))
+    again = F.when(F.col("id") % 4 == 1, F.array(*double(False, x + 16, zero, h))).otherwise(F.array().cast("array<struct<horizontal:boolean,pos:bigint,s:bigint,e:bigint>>"))
+    drawn = cells.select("plan", "id", F.posexplode(F.concat(bottom, F.array(*double(True, h, x, end), *double(False, x, zero, h), *double(False, end, zero, h)), again)).alias("k", "l"))
+    whole = lambda c: F.col(c).cast("int").alias(c.split(".")[-1])
+    lines = drawn.select("plan", (F.col("id") * 16 + F.col("k")).alias("id"), "l.horizontal", whole("l.pos"), whole("l.s"), whole("l.e"))
+    bar = F.when(F.col("id") % 5 == 2, line(True, F.floor(h / 20) * 10, x + 15, x + 45)).when(F.col("id") % 5 == 3, line(True, zero + 5, x, end))
+    contours = cells.select("plan", "id", bar.alias("l")).filter("l IS NOT NULL").select("plan", "id", "l.horizontal", whole("l.pos"), whole("l.s"), whole("l.e"), F.lit(10).alias("thick"))
+    frames = cells.groupBy("plan").agg(F.max("end").alias("width"), (F.max("h") + 40).alias("height"), F.sum(F.col("w") * F.col("h")).alias("area"), (F.col("plan") % 100 / 100).alias("white"))
+    frames = frames.select("plan", "width", "height", "white", F.when(F.col("plan") % 5 == 0, F.col("area") / 100).alias("square_meters"))
+    gaps = cells.select("plan", F.col("id").alias("gap_id"), F.floor(x + F.col("w") / 2).alias("cx"), zero.alias("cy"), F.col("gap").alias("width_px"))
+    arcs = cells.filter("id % 2 = 0").select("plan", F.floor(x + F.col("w") / 2 + 5).alias("cx"), (zero + 3).alias("cy"))
+    parsed = parsed_plans(frames, lines, contours, gaps, arcs)
+    return parsed.select("plan", "walls", "rooms", "doors", "windows", "room_area", F.round("px_per_meter", 6).alias("px_per_meter"), "confidence", F.array_join("flags", ",").alias("flags"))
+
+
+QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, parse_chain, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
 
 _TYPE = "CASE " + " ".join("WHEN " + " OR ".join(["(" + " AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) + ")" for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES) + " ELSE 'unknown' END"
 _WHITE = r"[\t-\r\x1C-\x20\x85\xA0]"
@@ -420,6 +446,17 @@ ORACLE_SQL = {
         b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY plan ORDER BY area DESC, first) = 1)
         SELECT plan, (4 + 2 * steps)::INT AS corners, area::DOUBLE AS area, round((area + 0.15 * around + (4 + steps) * 8 * 0.0225 * sin(pi() / 32) - steps * 0.0225)::DOUBLE, 6) AS outline_area,
           ((4 + steps) * 17 + steps)::INT AS outline_corners, (4 * ((4 + steps) * 17 + steps) - 4)::INT AS faces, 3.25::DOUBLE AS low, 3.45::DOUBLE AS high FROM b""",
+    "parse_chain": ORDER_LINES + """
+        , c AS (SELECT plan, id, pos AS gap, (pos % 6 + 6) * 10 AS w, plan % 7 * 10 + 100 AS h, count(*) OVER (PARTITION BY plan) AS n FROM o),
+        p AS (SELECT plan, sum(w + 40) AS width, max(h) + 40 AS height, sum(w * h) AS drawn, count(*) FILTER (id % 5 = 2) AS bars, count(*) AS n FROM c GROUP BY plan),
+        q AS (SELECT *, 4 * n + bars AS walls, CASE WHEN n >= 2 THEN n ELSE 0 END AS rooms, CASE WHEN n >= 2 THEN drawn ELSE 0 END AS room_area FROM p),
+        d AS (SELECT *, CASE WHEN room_area < 100 THEN width * height * 0.6::DOUBLE ELSE room_area END AS seen FROM q),
+        s AS (SELECT *, sqrt(seen / CASE WHEN plan % 5 = 0 THEN drawn / 100.0::DOUBLE ELSE greatest(seen * (15.0::DOUBLE / greatest(width, height)) ** 2, 20) END) AS px FROM d),
+        g AS (SELECT c.plan, count(*) FILTER (id % 2 = 0 AND sqrt(34) < 1.5 * gap) AS doors, count(*) FILTER (NOT (id % 2 = 0 AND sqrt(34) < 1.5 * gap)) AS windows FROM c JOIN s ON c.plan = s.plan WHERE gap / px BETWEEN 0.5 AND 2.5 GROUP BY c.plan)
+        SELECT s.plan, walls, rooms, coalesce(doors, 0) AS doors, coalesce(windows, 0) AS windows, room_area::DOUBLE AS room_area, round(px, 6) AS px_per_meter,
+          round(least((0.85::DOUBLE * 4 * n + 0.7::DOUBLE * bars + 0.9::DOUBLE * rooms) / (walls + rooms) * CASE WHEN rooms < 1 THEN 0.5::DOUBLE ELSE 1 END, 1), 2) AS confidence,
+          concat_ws(',', CASE WHEN s.plan % 100 > 95 THEN 'very_sparse_content' WHEN s.plan % 100 < 50 THEN 'very_dense_content' END, 'scale_uncertain', CASE WHEN rooms < 1 THEN 'no_rooms_detected' END) AS flags
+        FROM s LEFT JOIN g ON s.plan = g.plan""",
     "opening_kinds": ORDER_LINES + """
         , k AS (SELECT plan AS plan_id, id AS gap_id, EXISTS (SELECT 1 FROM o b WHERE b.plan = a.plan AND b.id % 2 = 0 AND sqrt((a.s - b.e) ** 2 + (a.pos - b.pos - 3) ** 2) < 1.5 * a.thick) AS door FROM o a)
         SELECT plan_id, gap_id, CASE WHEN door THEN 'door' ELSE 'window' END AS kind, CASE WHEN door THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM k""",
