@@ -1,10 +1,16 @@
-"""Cosine similarity search."""
+"""Cosine similarity search, against every vector or through an inverted-file index."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planweave.sources.scratch import Round
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
@@ -28,3 +34,78 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
     scored = asked.join(dealt, "block").select("query_id", "vec_id", F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_norm") * F.col("norm")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+#: Most lists of an index, vectors that its centres are found from for each list, and rounds of that; room for rounding in an angle.
+MAX_LISTS, SAMPLE_A_LIST, ROUNDS, ANGLE_SLACK = 1024, 40, 8, 1e-6
+
+
+def unit(v: Column) -> Column:
+    """The vector at length 1, null for one that is null, empty, of length 0 or not finite."""
+    norm = F.sqrt(dot(v, v))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def angle_between(a: Column, b: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+
+
+class InvertedIndex:
+    """Vectors (vec_id, embedding) in lists by their nearest centre, written by list.
+
+    There are about sqrt(n) lists, MAX_LISTS at most. Their centres are found by k-means on a sample of SAMPLE_A_LIST vectors a list (ordered by a
+    hash, so reruns agree); every vector is indexed. Null vectors and those without a direction are not. Of each list the index knows the
+    widest angle to its centre.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 1) -> None:
+        spark = vectors.sparkSession
+        rows = Round(vectors.select("vec_id", unit(F.col("embedding")).alias("u")).filter("u IS NOT NULL")).table
+        n = rows.count()
+        self.lists = max(1, min(lists or math.isqrt(n), MAX_LISTS, n))
+        if n == 0:
+            self.centres = spark.createDataFrame([], "list int, centre array<double>, radius double, size long")
+            self.rows = rows.select("vec_id", "u", F.lit(0).alias("list"))
+            return
+        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_A_LIST * self.lists).select(array_to_vector("u").alias("features"))
+        if self.lists > 1:
+            model = KMeans(k=self.lists, maxIter=ROUNDS, seed=seed).fit(sample)
+            centres = model.clusterCenters()
+            placed = model.transform(rows.withColumn("features", array_to_vector("u"))).select("vec_id", "u", F.col("prediction").alias("list"))
+        else:
+            centres, placed = [rows.first()["u"]], rows.withColumn("list", F.lit(0))
+        table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "list int, centre array<double>")
+        # a centre without a direction may stand anywhere
+        table = table.withColumn("centre", F.coalesce(unit(F.col("centre")), F.transform("centre", lambda x, i: (i == 0).cast("double"))))
+        placed = placed.join(F.broadcast(table), "list").select("vec_id", "u", "list", angle_between(F.col("u"), F.col("centre")).alias("angle"))
+        self.rows = Round(placed.repartition("list")).table
+        widths = self.rows.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("size"))
+        self.centres = Round(table.join(widths, "list")).table
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8, exact: bool = True) -> DataFrame:
+        """(query_id, vec_id, similarity, rank): the k nearest of each query (vec_id, embedding), ties to the smaller id.
+
+        A query first meets the vectors of its ``probes`` nearest lists. That is the answer of an approximate search; an exact one then meets every other list that can hold a
+        vector nearer than the k-th so far: those whose centre lies no further than that one's angle and the list's radius together.
+        """
+        asked = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q")).filter("q IS NOT NULL").distinct()
+        listed = asked.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(self.lists - 1))))
+        # at most MAX_LISTS centres
+        to_list = listed.join(F.broadcast(self.centres), "list").select("query_id", "q", "list", "radius", "size", angle_between(F.col("q"), F.col("centre")).alias("far"))
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "list"))
+        plan = Round(to_list.withColumn("order", order)).table
+        first = self._nearest(self._met(plan.filter(F.col("order") <= probes)), k)
+        if not exact:
+            return first
+        first = Round(first).table
+        kth = first.filter(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))).alias("reach"))
+        more = plan.filter(F.col("order") > probes).join(kth, "query_id", "left").filter(F.col("far") - F.col("radius") <= F.coalesce("reach", F.lit(math.pi)) + ANGLE_SLACK)
+        return self._nearest(self._met(more).unionByName(first.drop("rank")), k)
+
+    def _met(self, plan: DataFrame) -> DataFrame:
+        return plan.select("query_id", "q", "list").join(self.rows, "list").select("query_id", "vec_id", dot(F.col("q"), F.col("u")).alias("similarity"))
+
+    @staticmethod
+    def _nearest(scored: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

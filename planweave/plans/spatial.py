@@ -10,7 +10,7 @@ from planweave.functions import openings as O
 from planweave.functions import text as T
 from planweave.operators.intervals import band_pairs, dedupe_walls, greedy_pairs, merge_collinear, overlapping_pairs, with_neighbour
 from planweave.operators.scale import chosen_scale, fallback_scale, rank_matched_scale, scale_from_area, scale_from_rooms
-from planweave.operators.vector import cosine_top_k
+from planweave.operators.vector import InvertedIndex, cosine_top_k
 from planweave.sources.tables import table
 
 
@@ -200,6 +200,13 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("query_id", "vec_id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
+def indexed_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through an inverted-file index, searched until nothing nearer can be left."""
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    top = InvertedIndex(v).search(v.filter("vec_id % 100 = 0"), 5)
+    return top.select("query_id", "vec_id", "rank", F.round("similarity", 4).alias("similarity"))
+
+
 QUERIES = {
     "sanitize_key": sanitize_key,
     "parse_dimensions": parse_dimensions,
@@ -226,6 +233,7 @@ QUERIES = {
     "window_openings": window_openings,
     "fidelity_score": fidelity_score,
     "cosine_topk": cosine_topk,
+    "indexed_topk": indexed_topk,
 }
 
 _ROOM = "CASE " + " ".join(
@@ -339,3 +347,4 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM p)
         SELECT query_id, vec_id, rank, round(s, 4) AS similarity FROM r WHERE rank <= 5""",
 }
+ORACLE_SQL["indexed_topk"] = ORACLE_SQL["cosine_topk"]
