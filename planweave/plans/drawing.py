@@ -10,6 +10,7 @@ from planweave.functions import text as T
 from planweave.functions.geometry import ceiling_solid, floor_solid, ring_area, roof_solid, wall_record, wall_solid
 from planweave.functions.views import glb_key, percent, room_summary, stripped_opening, stripped_room, stripped_wall
 from planweave.operators.chain import parsed_plans
+from planweave.operators.regions import free_rooms
 from planweave.operators.rooms import contour_walls, labelled, on_walls, opening_kind, planar_rooms, plausible_openings, roof_outlines, surface_colors
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
@@ -290,6 +291,14 @@ def building_solids(spark: SparkSession, folder: str) -> DataFrame:
     return parts.filter("p.m IS NOT NULL").select("plan", "p.part", F.size("p.m.vertices").alias("vertices"), F.size("p.m.faces").alias("faces"), F.array_min(z).alias("low"), F.array_max(z).alias("high"), F.round(F.array_max(x), 6).alias("east"))
 
 
+def free_space(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as sheets parted by upright walls, one a line, some with a doorway: the regions of free space that are rooms."""
+    o = order_lines(spark, folder).select("plan", "id", (F.col("pos") * 4).alias("x"), F.when(F.col("id") % 2 == 0, F.col("thick") % 8).alias("door"))
+    frames = o.select("plan").distinct().select("plan", F.lit(210).alias("width"), F.lit(8).alias("height"))
+    walls = o.select("plan", "x", "door", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")).filter("door IS NULL OR y <> door")
+    return free_rooms(walls, frames, least_area=160).select("plan", "room", "area", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
 def parse_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Orders drawn as rooms apart from each other, with doubled lines, walls in pieces, doubles of walls and contours, parsed from lines to flags."""
     cell = (F.col("pos") % 6 + 6) * 10
@@ -315,7 +324,7 @@ def parse_chain(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("plan", "walls", "rooms", "doors", "windows", "room_area", F.round("px_per_meter", 6).alias("px_per_meter"), "confidence", F.array_join("flags", ",").alias("flags"))
 
 
-QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, parse_chain, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
+QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, free_space, parse_chain, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
 
 _TYPE = "CASE " + " ".join("WHEN " + " OR ".join(["(" + " AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) + ")" for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES) + " ELSE 'unknown' END"
 _WHITE = r"[\t-\r\x1C-\x20\x85\xA0]"
@@ -446,6 +455,13 @@ ORACLE_SQL = {
         b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY plan ORDER BY area DESC, first) = 1)
         SELECT plan, (4 + 2 * steps)::INT AS corners, area::DOUBLE AS area, round((area + 0.15 * around + (4 + steps) * 8 * 0.0225 * sin(pi() / 32) - steps * 0.0225)::DOUBLE, 6) AS outline_area,
           ((4 + steps) * 17 + steps)::INT AS outline_corners, (4 * ((4 + steps) * 17 + steps) - 4)::INT AS faces, 3.25::DOUBLE AS low, 3.45::DOUBLE AS high FROM b""",
+    "free_space": ORDER_LINES + """
+        , w AS (SELECT plan, pos * 4 AS x, count(*) AS n, count(DISTINCT CASE WHEN id % 2 = 0 THEN thick % 8 END) AS doors, count(*) FILTER (id % 2 = 0) AS open FROM o GROUP BY plan, pos),
+        c AS (SELECT plan, x, open = n AND doors = 1 AS passed FROM w UNION ALL SELECT DISTINCT plan, 210, false FROM o),
+        s AS (SELECT plan, x, passed, coalesce(lag(x) OVER v + 1, 0) AS start, coalesce(sum((NOT passed)::INT) OVER (PARTITION BY plan ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c WINDOW v AS (PARTITION BY plan ORDER BY x)),
+        r AS (SELECT plan, part, min(start)::INT AS x, (sum((x - start) * 8) + count(*) FILTER (passed))::BIGINT AS area FROM s GROUP BY plan, part),
+        k AS (SELECT * FROM r WHERE area BETWEEN 160 AND 0.45 * 210 * 8)
+        SELECT plan, 'room-' || row_number() OVER (PARTITION BY plan ORDER BY area DESC, x) AS room, area, x, 0 AS y FROM k""",
     "parse_chain": ORDER_LINES + """
         , c AS (SELECT plan, id, pos AS gap, (pos % 6 + 6) * 10 AS w, plan % 7 * 10 + 100 AS h, count(*) OVER (PARTITION BY plan) AS n FROM o),
         p AS (SELECT plan, sum(w + 40) AS width, max(h) + 40 AS height, sum(w * h) AS drawn, count(*) FILTER (id % 5 = 2) AS bars, count(*) AS n FROM c GROUP BY plan),

@@ -18,6 +18,7 @@ from planweave.functions.geometry import offset_ring, ring_area, roof_solid
 from planweave.operators.faces import faces, footprints
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merge_collinear
 from planweave.operators.latest import next_sequence, replay_since
+from planweave.operators.regions import free_rooms
 from planweave.operators.rooms import contour_walls, on_walls, opening_kind, planar_rooms, plausible_openings, surface_colors
 from planweave.operators.runs import boundary_open, line_numbers, wall_gaps, word_lines
 from planweave.operators.scale import chosen_scale, fallback_scale, last_materials, last_value, overall_confidence, plan_flags, rank_matched_scale, scale_from_area, scale_from_rooms
@@ -263,6 +264,31 @@ def test_footprints_of_random_cells_equal_flood_fill(spark):
     assert footprints(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("corners", [True, False])
+def test_free_rooms_of_random_grids_equal_flood_fill(spark, corners):
+    rng, rows, frames, want = random.Random(5), [], [], {}
+    for plan in range(6):
+        w, h = rng.randrange(5, 90), rng.randrange(3, 12)
+        walls = {(x, y) for x in range(w) for y in range(h) if rng.random() < 0.45}
+        left, found = {(x, y) for x in range(w) for y in range(h)} - walls, []
+        while left:
+            first = min(left, key=lambda p: (p[1], p[0]))
+            todo, n = [first], 0
+            left.remove(first)
+            while todo:
+                x, y = todo.pop()
+                n += 1
+                near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if corners or a == 0 or b == 0} & left
+                left -= near
+                todo += near
+            found.append((-n, first[1], first[0]))
+        want |= {(plan, f"room-{k}"): (-n, x, y) for k, (n, y, x) in enumerate(sorted(f for f in found if -f[0] <= 0.45 * w * h and -f[0] >= 2), 1)}
+        rows += [(plan, *p) for p in walls] + [(plan, -1, 0), (plan, w, 1)]
+        frames.append((plan, w, h))
+    got = free_rooms(spark.createDataFrame(rows, "plan int, x int, y int"), spark.createDataFrame(frames, "plan int, width int, height int"), 2, 0.45, corners)
+    assert {(r.plan, r.room): (r.area, r.x, r.y) for r in got.collect()} == want
+
+
 def test_moved_rings(spark):
     rings = [[(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (5, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)], [(0, 0), (12, 0), (0, 5)]]
     df = spark.createDataFrame([([(float(x), float(y)) for x, y in r],) for r in rings], "ring array<struct<x:double,y:double>>")
