@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from planweave.operators.rooms import contour_walls, labelled, on_walls, opening
 from planweave.operators.runs import boundary_open, section_means, wall_gaps, word_lines
 from planweave.operators.scale import last_materials, plan_flags, scale_from_rooms
 from planweave.plans.spatial import _RINGS, ORDER_LINES, boxes, greedy_sql, order_lines, q_greedy_pairs, rings
+from planweave.sources.blobs import blobs
+from planweave.sources.mesh import mesh_sizes, write_meshes
+from planweave.sources.scratch import scratch_folder
 from planweave.sources.tables import table
 from planweave.streaming.eventlog import STATES
 
@@ -291,6 +296,15 @@ def building_solids(spark: SparkSession, folder: str) -> DataFrame:
     return parts.filter("p.m IS NOT NULL").select("plan", "p.part", F.size("p.m.vertices").alias("vertices"), F.size("p.m.faces").alias("faces"), F.array_min(z).alias("low"), F.array_max(z).alias("high"), F.round(F.array_max(x), 6).alias("east"))
 
 
+def mesh_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rings as slabs in files of 500 sheets, written and read back: corners and triangles of each."""
+    r = rings(spark, folder).filter("size(ring) >= 3").withColumn("m", floor_solid(F.col("ring"), F.lit(0.25)))
+    path = f"{scratch_folder(spark)}/meshes-{uuid.uuid4().hex}"
+    write_meshes(r.select((F.col("plan") % 500).cast("string").alias("file"), F.col("plan").cast("string").alias("name"), "m.vertices", "m.faces", F.array(*map(F.lit, (140, 130, 122, 255))).alias("rgba")), path)
+    read = blobs(spark, path, "*.glb").select(F.explode(mesh_sizes(F.col("content"))).alias("m"))
+    return read.select(F.col("m.name").cast("long").alias("plan"), "m.vertices", "m.faces")
+
+
 def free_space(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as sheets parted by upright walls, one a line, some with a doorway: the regions of free space that are rooms."""
     o = order_lines(spark, folder).select("plan", "id", (F.col("pos") * 4).alias("x"), F.when(F.col("id") % 2 == 0, F.col("thick") % 8).alias("door"))
@@ -324,7 +338,7 @@ def parse_chain(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("plan", "walls", "rooms", "doors", "windows", "room_area", F.round("px_per_meter", 6).alias("px_per_meter"), "confidence", F.array_join("flags", ",").alias("flags"))
 
 
-QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, free_space, parse_chain, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
+QUERIES = {q.__name__: q for q in (annotation_texts, text_colors, file_kinds, fenced_json, annotation_lines, wall_records, contour_filter, room_scale, gap_openings, doubtful_plans, largest_ring, room_ids, plan_view, model_view, build_status, state_regressions, material_rules, ladder_rooms, spur_rooms, roof_outline, mesh_files, free_space, parse_chain, opening_kinds, plausible_widths, ruled_colors, opening_shapes, building_solids)}
 
 _TYPE = "CASE " + " ".join("WHEN " + " OR ".join(["(" + " AND ".join(f"contains(t, '{p}')" for p in ((part,) if isinstance(part, str) else part)) + ")" for part in parts] + [f"t = '{w}'" for w in whole]) + f" THEN '{name}'" for name, parts, whole in T.ROOM_TYPES) + " ELSE 'unknown' END"
 _WHITE = r"[\t-\r\x1C-\x20\x85\xA0]"
@@ -455,6 +469,7 @@ ORACLE_SQL = {
         b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY plan ORDER BY area DESC, first) = 1)
         SELECT plan, (4 + 2 * steps)::INT AS corners, area::DOUBLE AS area, round((area + 0.15 * around + (4 + steps) * 8 * 0.0225 * sin(pi() / 32) - steps * 0.0225)::DOUBLE, 6) AS outline_area,
           ((4 + steps) * 17 + steps)::INT AS outline_corners, (4 * ((4 + steps) * 17 + steps) - 4)::INT AS faces, 3.25::DOUBLE AS low, 3.45::DOUBLE AS high FROM b""",
+    "mesh_files": _RINGS + " SELECT plan, (2 * count(*))::INT AS vertices, (4 * count(*) - 4)::INT AS faces FROM q GROUP BY plan",
     "free_space": ORDER_LINES + """
         , w AS (SELECT plan, pos * 4 AS x, count(*) AS n, count(DISTINCT CASE WHEN id % 2 = 0 THEN thick % 8 END) AS doors, count(*) FILTER (id % 2 = 0) AS open FROM o GROUP BY plan, pos),
         c AS (SELECT plan, x, open = n AND doors = 1 AS passed FROM w UNION ALL SELECT DISTINCT plan, 210, false FROM o),
