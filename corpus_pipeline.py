@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import cleared, documents, fresh, numbered, written
+from planweave.llm.common import cleared, documents, drop_written, fresh, numbered, written
 from planweave.llm.line_dedup import dedup_lines
 from planweave.llm.mixing import mixed_texts
 from planweave.llm.packing import best_fit_packing
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over what the others kept; a stage's table is deleted once the next one is written."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
+    for number, (_, stage) in enumerate(STAGES[:-1]):
         with cleared(spark):
-            docs = written(stage(spark, docs, sf_dir), keep=True)
+            after = written(stage(spark, docs, sf_dir), keep=True)
+        if number:
+            drop_written(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
