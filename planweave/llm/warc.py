@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import bounded_batches, partitions, shared_folder
+from planweave.llm.common import bounded_batches, partitions, shared_folder, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
@@ -24,6 +24,8 @@ LEAST_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 8 << 20
 GZIP_LEVEL = 1
+#: Most revisits that are broadcast: a hash of 64 digits and two ids each.
+SENT_REVISITS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -311,12 +313,14 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
 
     The row with the largest id among equal payloads of LEAST_BYTES or more is a response, the others revisit it.
     A null payload is empty; a row with a null id is a response; of rows that repeat an id and a payload all
-    with the largest id are responses. Other columns are ignored.
+    with the largest id are responses. Other columns are ignored. Revisits are broadcast up to SENT_REVISITS rows (about 10 MB).
     """
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"))
-    revisits = originals(pages, id_column, payload_column)
+    # few revisits are sent to every task, so that no payload is shuffled; many are joined
+    revisits = written(originals(pages, id_column, payload_column))
+    revisits = F.broadcast(revisits) if revisits.count() <= SENT_REVISITS else revisits
     joined = rows.withColumn("content", F.sha2("payload", 256)).join(revisits, ["page_id", "content"], "left").select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "refers_to")
     return joined.mapInArrow(_write(qualified(pages.sparkSession, folder)), "name string")
 

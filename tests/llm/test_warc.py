@@ -112,3 +112,11 @@ def test_many_members_without_zip64():
     with zipfile.ZipFile(out, "w") as z:
         z.writestr(zipfile.ZipInfo("\xe9".encode().decode("cp437")), b"x")
     assert len(ZipArchive(Bytes(out.getvalue())).members) == 1
+
+
+def test_many_revisits_are_joined_with_the_same_result(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", "same " * 300 if i % 3 else f"own {i} " * 200) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    sent = sorted(map(tuple, warc.warc_round_trip(spark, df).collect()))
+    monkeypatch.setattr(warc, "SENT_REVISITS", 0)
+    assert sorted(map(tuple, warc.warc_round_trip(spark, df).collect())) == sent and sum(r[3] == "revisit" for r in sent) == 25
