@@ -9,6 +9,7 @@ from planweave.functions.geometry import overlap_ratio
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merged_extents
 from planweave.operators.rooms import opening_kind, planar_rooms, plausible_openings
 from planweave.operators.scale import overall_confidence, plan_flags, scale_from_rooms
+from planweave.sources.scratch import Round
 
 #: Thickness of walls in pixels, overlap of their lines, shortest wall; gap and offset of pieces that are one wall.
 LEAST_THICK, MOST_THICK, LEAST_OVERLAP, LEAST_LENGTH, TOUCHING = 3, 80, 0.3, 15, 10
@@ -40,11 +41,13 @@ def detected_walls(lines: DataFrame, contours: DataFrame) -> DataFrame:
     walls = ends.groupBy(*KEYS, "a", "b", "apart").agg(F.min("pos").alias("first"), F.sum("pos").alias("twice"), F.min("s").alias("s"), F.max("e").alias("e"))
     # found in the order of the first line's position
     order = (F.col("first").cast("long") + (1 << 30)) * (1 << 31) + F.col("a")
+    # written, as each of these tables is read more than once
     walls = walls.select(*KEYS, order.alias("id"), (F.col("twice") / 2).cast("int").alias("pos"), "s", "e", F.col("apart").alias("thick"), F.lit(FROM_PAIRS).alias("confidence"))
+    walls = Round(walls).table
     more = unknown_contours(contours, walls).select(*KEYS, (F.col("id") + (1 << 62)).alias("id"), "pos", "s", "e", "thick", F.lit(FROM_CONTOURS).alias("confidence"))
     walls = walls.unionByName(more)
     merged = merged_extents(walls, KEYS, TOUCHING, TOUCHING).select(*KEYS, F.col("first").alias("id"), "pos", "s", "e").filter(F.col("e") - F.col("s") >= LEAST_LENGTH)
-    merged = merged.join(walls.select(*KEYS, "id", "thick", "confidence"), [*KEYS, "id"])
+    merged = Round(merged.join(walls.select(*KEYS, "id", "thick", "confidence"), [*KEYS, "id"])).table
     kept = dedupe_walls(merged, KEYS, DOUBLE_NEAR, DOUBLE_OVERLAP).select(*KEYS, F.col("kept").alias("id"))
     return merged.join(kept, [*KEYS, "id"]).withColumnRenamed("id", "wall")
 
@@ -57,7 +60,7 @@ def parsed_plans(frames: DataFrame, lines: DataFrame, contours: DataFrame, gaps:
     which gaps (plan, gap_id, cx, cy, width_px) are openings; those near an arc (plan, cx, cy) are doors. Every step hands its table to the next; only
     numbers per plan meet in the end.
     """
-    walls = detected_walls(lines, contours)
+    walls = Round(detected_walls(lines, contours)).table
     across, flat = F.col("horizontal"), F.col
     placed = walls.select("plan", *[F.when(across, flat(h)).otherwise(flat(v)).alias(n) for n, h, v in (("x1", "s", "pos"), ("y1", "pos", "s"), ("x2", "e", "pos"), ("y2", "pos", "e"))])
     rooms = planar_rooms(placed.join(frames.select("plan", "width", "height"), "plan").withColumnRenamed("plan", "plan_id"))
@@ -65,7 +68,7 @@ def parsed_plans(frames: DataFrame, lines: DataFrame, contours: DataFrame, gaps:
     of_rooms = rooms.groupBy(F.col("plan_id").alias("plan")).agg(F.count("*").alias("rooms"), F.sum("area").alias("room_area"))
     plans = frames.join(of_walls, "plan", "left").join(of_rooms, "plan", "left").fillna(0, ["walls", "wall_sum", "rooms", "room_area"])
     scale = scale_from_rooms(F.col("room_area"), F.col("width"), F.col("height"), F.col("square_meters"))
-    plans = plans.withColumn("scale", scale).select("plan", "walls", "rooms", "wall_sum", "room_area", "white", "scale.px_per_meter", F.col("scale.confidence").alias("scale_confidence"))
+    plans = Round(plans.withColumn("scale", scale).select("plan", "walls", "rooms", "wall_sum", "room_area", "white", "scale.px_per_meter", F.col("scale.confidence").alias("scale_confidence"))).table
     kinds = opening_kind(gaps.withColumnRenamed("plan", "plan_id"), arcs.withColumnRenamed("plan", "plan_id"))
     kinds = kinds.select(F.col("plan_id").alias("plan"), "gap_id", "kind").join(gaps.select("plan", "gap_id", "width_px"), ["plan", "gap_id"]).join(plans.select("plan", "px_per_meter"), "plan")
     openings = plausible_openings(kinds, F.col("px_per_meter")).groupBy("plan").agg(F.count_if(F.col("kind") == "door").alias("doors"), F.count_if(F.col("kind") == "window").alias("windows"))
