@@ -16,8 +16,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     steps from the edge to that one.
 
     From its end a ring goes on along the edge that leaves there next clockwise from the way back, which a window over each corner's
-    edges finds. What lies ahead is then looked at 1, 2, 4, ... steps far, each round joining every edge to the one that it
-    points to, until no ring's least edge changes; so a ring of n edges takes log n joins, and no ring stands in one task.
+    edges finds.
     """
     way = lambda x1, y1, x2, y2: F.atan2((F.col(y2) - F.col(y1)).cast("double"), (F.col(x2) - F.col(x1)).cast("double"))
     leaves = edges.select("plan", F.col("ax").alias("x"), F.col("ay").alias("y"), way("ax", "ay", "bx", "by").alias("angle"), F.lit(1).alias("leaves"), "h")
@@ -25,7 +24,15 @@ def cycles(edges: DataFrame) -> DataFrame:
     corner = Window.partitionBy("plan", "x", "y").orderBy("angle", "leaves", "h")
     out = F.last(F.when(F.col("leaves") == 1, F.col("h")), ignorenulls=True)
     ahead = F.coalesce(out.over(corner.rowsBetween(Window.unboundedPreceding, -1)), out.over(corner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    start = leaves.unionByName(comes).withColumn("next", ahead).filter("leaves = 0")
+    return ringed(leaves.unionByName(comes).withColumn("next", ahead).filter("leaves = 0").select("h", "next"))
+
+
+def ringed(start: DataFrame) -> DataFrame:
+    """(h, face, off): the ring of each edge, where ``start`` (h, next) says which edge follows; each edge follows one.
+
+    What lies ahead is looked at 1, 2, 4, ... steps far, each round joining every edge to the one that it
+    points to, until no ring's least edge changes; so a ring of n edges takes log n joins, and no ring stands in one task.
+    """
     best = F.struct(F.col("h").alias("face"), F.lit(0).cast("long").alias("off"))
     now, steps = Round(start.select("h", "next", best.alias("best"))), 1
     while True:
@@ -97,6 +104,29 @@ def rings_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("face").agg(corners.alias("ring"))
 
 
+def outer_rings(edges: DataFrame) -> DataFrame:
+    """(face, ring): the corners of each face's outer ring (edges: face, off, h, ax, ay, bx, by; enclosed area on the left).
+
+    Where a ring comes to a corner again, it encloses a part there that touches it: the way back to the corner is closed to a ring of its own, at all
+    corners at once, and of the rings that come about the one around the others is the outer one.
+    """
+    again = edges.groupBy("face", "bx", "by").agg(F.count("*").alias("n")).filter("n > 1").select("face").distinct()
+    if again.isEmpty():
+        return rings_of(edges)
+    some = edges.join(again, "face", "left_semi")
+    length = some.groupBy("face").agg((F.max("off") + 1).alias("length"))
+    after = some.select("face", F.col("off").alias("next_off"), F.col("h").alias("next"))
+    some = some.join(length, "face").withColumn("next_off", F.when(F.col("off") > 0, F.col("off") - 1).otherwise(F.col("length") - 1)).join(after, ["face", "next_off"])
+    visits = Window.partitionBy("face", "bx", "by").orderBy(F.when(F.col("off") == 0, F.lit(-(1 << 62))).otherwise(-F.col("off")))
+    last = F.last("next").over(visits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = ringed(some.withColumn("closed", F.coalesce(F.lag("next").over(visits), last)).select("h", F.col("closed").alias("next")))
+    parts = Round(some.select("face", "h", "ax", "ay", "bx", "by").join(parts.withColumnRenamed("face", "part"), "h")).table
+    outer = parts.groupBy("face", "part").agg(F.sum(F.expr(CROSS)).alias("double")).filter("double > 0").select(F.col("face").alias("whole"), "part")
+    drawn = rings_of(parts.join(outer.select("part"), "part", "left_semi").select(F.col("part").alias("face"), "off", "ax", "ay"))
+    split = drawn.join(outer, F.col("face") == F.col("part")).select(F.col("whole").alias("face"), "ring")
+    return rings_of(edges.join(again, "face", "left_anti")).unionByName(split)
+
+
 def faces(segments: DataFrame) -> DataFrame:
     """(plan, face, ring, area, first): the polygons that the segments (plan, x1, y1, x2, y2; whole numbers, meeting at their ends only) enclose.
 
@@ -111,7 +141,7 @@ def faces(segments: DataFrame) -> DataFrame:
     several = outer.groupBy("plan").agg(F.count("*").alias("parts")).filter("parts > 1").select(F.col("plan").alias("__plan"))
     same = F.col("plan").eqNullSafe(F.col("__plan"))
     cut = nested(outer.join(several, same, "left_semi"), edges.join(several, same, "left_semi"), shells)
-    drawn = rings_of(edges.join(shells.select("face"), "face"))
+    drawn = outer_rings(edges.join(shells.select("face"), "face"))
     whole = shells.join(drawn, "face").join(cut, F.col("face") == F.col("shell"), "left")
     return whole.select("plan", "face", "ring", ((F.col("double") + F.coalesce("cut", F.lit(0))) / 2).alias("area"), "first")
 
@@ -175,7 +205,7 @@ def footprints(rings: DataFrame) -> DataFrame:
     cut = nested(found.filter("double < 0"), edges, shells)
     sized = shells.join(cut, F.col("face") == F.col("shell"), "left").withColumn("double", F.col("double") + F.coalesce("cut", F.lit(0)))
     best = sized.groupBy("plan").agg(F.min_by(F.struct("face", "double"), F.struct(-F.col("double"), "first")).alias("b")).select("plan", "b.face", (F.col("b.double") / 2).alias("area"))
-    drawn = rings_of(edges.join(best.select("face"), "face"))
+    drawn = outer_rings(edges.join(best.select("face"), "face"))
     return best.join(drawn, "face").select("plan", turning(F.col("ring")).alias("ring"), "area")
 
 

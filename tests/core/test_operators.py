@@ -219,7 +219,7 @@ def test_faces_of_random_grids_equal_flood_fill(spark):
     assert {p: sorted(r.area / 100 for r in found if r.plan == p) for p in want} == want
     for r in found:
         ring = [(p.x, p.y) for p in r.ring]
-        assert len(ring) >= 4 and sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 >= r.area
+        assert len(ring) >= 4 and len(set(ring)) == len(ring) and sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 >= r.area
     assert faces(spark.createDataFrame([(1, 0, 0, 10, 0), (1, 10, 0, 10, 10)], SEGMENTS)).count() == 0
     assert faces(spark.createDataFrame([], SEGMENTS)).count() == 0
 
@@ -236,6 +236,20 @@ def test_faces_with_slanting_walls_and_a_long_ring(spark):
     assert [(p.x, p.y) for p in whole.ring] == circle[start:] + circle[:start]
 
 
+def test_rings_that_touch_themselves(spark):
+    """Squares that hang on corners inside a room, one on another, and one outside."""
+    square = lambda x, y, a: [(x, y, x + a, y), (x + a, y, x + a, y + a), (x + a, y + a, x, y + a), (x, y + a, x, y)]
+    walls = square(0, 0, 40) + square(10, 10, 10) + square(20, 20, 5) + square(40, 40, 10)
+    turned = [(0, 0, 30, 0), (30, 0, 30, 30), (30, 30, 0, 30), (0, 30, 0, 0), (0, 0, 20, 10), (20, 10, 10, 20), (10, 20, 0, 0)]
+    found = faces(spark.createDataFrame([(1, *w) for w in walls] + [(2, *w) for w in turned], SEGMENTS)).collect()
+    rings = {(r.plan, r.area): {(p.x, p.y) for p in r.ring} for r in found}
+    assert rings[2, 900 - 150] == {(0, 0), (30, 0), (30, 30), (0, 30)} and rings[2, 150] == {(0, 0), (20, 10), (10, 20)}
+    assert sorted(r.area for r in found if r.plan == 1) == [25, 100, 100, 1600 - 125] and rings[1, 1475] == {(0, 0), (40, 0), (40, 40), (0, 40)}
+    for r in found:
+        ring = [(p.x, p.y) for p in r.ring]
+        assert len(set(ring)) == len(ring)
+
+
 def test_footprints_of_random_cells_equal_flood_fill(spark):
     rng, rows, want = random.Random(3), [], {}
     for plan in range(12):
