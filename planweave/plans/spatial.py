@@ -40,7 +40,7 @@ def classify_type(spark: SparkSession, folder: str) -> DataFrame:
 
 def hex_rgba(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part").select("p_partkey")
-    color = F.when(F.col("p_partkey") % 7 == 0, F.lit("#FFF")).otherwise(F.concat(F.lit("#"), F.lpad(F.hex(F.col("p_partkey") * 4099), 6, "0")))
+    color = F.when(F.col("p_partkey") % 7 == 0, F.lit("#FFF")).otherwise(F.concat(F.lit("#"), F.lpad(F.hex(F.pmod(F.col("p_partkey") * 4099, F.lit(1 << 24))), 6, "0")))
     c = T.rgba(color)
     return part.select("p_partkey", *[c[i].alias(n) for i, n in enumerate("rgba")])
 
