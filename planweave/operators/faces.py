@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planweave.operators.plane import FACE_TYPES, FACES, FRAMED, FRAMED_TYPES, plan_by_plan, small_faces, small_footprints, small_framed_faces
 from planweave.sources.scratch import Round
 
 #: Width of the columns in which edges below a point are looked for.
@@ -127,12 +128,30 @@ def outer_rings(edges: DataFrame) -> DataFrame:
     return rings_of(edges.join(again, "face", "left_anti")).unionByName(split)
 
 
-def faces(segments: DataFrame) -> DataFrame:
-    """(plan, face, ring, area, first): the polygons that the segments (plan, x1, y1, x2, y2; whole numbers, meeting at their ends only) enclose.
+def faces(segments: DataFrame, small: int | None = None) -> DataFrame:
+    """(plan, ring, area, first): the polygons that the segments (plan, x1, y1, x2, y2; whole numbers, meeting at their ends only) enclose.
 
     ``ring`` is the outer ring (array of struct<x, y>, against the clock where y points up), ``area`` its area less the holes', ``first`` its least edge. Spurs and
     bridges are left out; what lies inside without touching is a hole of the smallest ring around it, and a polygon itself.
+
+    Plans of at most ``small`` segments are traced many at a time in one pass over all segments; only larger ones go through the joins.
     """
+    made, large = plan_by_plan(segments.select("plan", "x1", "y1", "x2", "y2"), small_faces, FACES, FACE_TYPES, small)
+    return made if large.isEmpty() else made.unionByName(joined_faces(large))
+
+
+def framed_faces(segments: DataFrame, small: int | None = None) -> DataFrame:
+    """``faces`` of segments that carry their plan's width and height, with these."""
+    double = [F.col(c).cast("double").alias(c) for c in ("width", "height")]
+    made, large = plan_by_plan(segments.select("plan", "x1", "y1", "x2", "y2", *double), small_framed_faces, FRAMED, FRAMED_TYPES, small)
+    if large.isEmpty():
+        return made
+    size = large.groupBy(F.col("plan").alias("__plan")).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    return made.unionByName(joined_faces(large).join(size, F.col("plan").eqNullSafe(F.col("__plan"))).drop("__plan"))
+
+
+def joined_faces(segments: DataFrame) -> DataFrame:
+    """``faces`` by joins alone, so that no plan stands in one task."""
     edges = Round(traced(segments)).table
     rings = edges.groupBy("plan", "face").agg(F.sum(F.expr(CROSS)).alias("double"), F.min(F.struct("ax", "ay", "bx", "by")).alias("first"), F.count("*").alias("n"))
     rings = Round(rings).table
@@ -143,7 +162,7 @@ def faces(segments: DataFrame) -> DataFrame:
     cut = nested(outer.join(several, same, "left_semi"), edges.join(several, same, "left_semi"), shells)
     drawn = outer_rings(edges.join(shells.select("face"), "face"))
     whole = shells.join(drawn, "face").join(cut, F.col("face") == F.col("shell"), "left")
-    return whole.select("plan", "face", "ring", ((F.col("double") + F.coalesce("cut", F.lit(0))) / 2).alias("area"), "first")
+    return whole.select("plan", "ring", ((F.col("double") + F.coalesce("cut", F.lit(0))) / 2).alias("area"), "first")
 
 
 def nested(outlines: DataFrame, edges: DataFrame, shells: DataFrame) -> DataFrame:
@@ -168,7 +187,7 @@ def nested(outlines: DataFrame, edges: DataFrame, shells: DataFrame) -> DataFram
 
 
 def boundary(rings: DataFrame) -> DataFrame:
-    """(plan, h, ax, ay, bx, by): the edges around the union of rings (plan, ring: array of struct<x, y> of whole numbers up to 65,536) that don't overlap,
+    """(plan, ax, ay, bx, by): the edges around the union of rings (plan, ring: array of struct<x, y> of whole numbers up to 65,536) that don't overlap,
     with the inside on their left.
 
     Edges on one straight line meet in a window: each adds one at its start and takes one away at its end, so the sum along the line is the direction in
@@ -190,14 +209,21 @@ def boundary(rings: DataFrame) -> DataFrame:
     along = Window.partitionBy("plan", "slope", "meets").orderBy("p")
     covered = events.withColumn("net", F.sum("d").over(along)).withColumn("q", F.lead("p").over(along)).filter("net <> 0 AND q IS NOT NULL")
     a, b = F.when(F.col("net") > 0, F.col("p")).otherwise(F.col("q")), F.when(F.col("net") > 0, F.col("q")).otherwise(F.col("p"))
-    numbered = covered.select("plan", F.monotonically_increasing_id().alias("h"), a.alias("a"), b.alias("b"))
-    return Round(numbered.select("plan", "h", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))).table
+    return covered.select("plan", a.alias("a"), b.alias("b")).select("plan", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
-def footprints(rings: DataFrame) -> DataFrame:
+def footprints(rings: DataFrame, small: int | None = None) -> DataFrame:
     """(plan, ring, area): the outer ring of the union of each plan's rings (plan, ring) and its area less its holes; the largest part, where the union has
-    several (of equals the one with the least corner). Corners are those where the outline turns."""
-    edges = boundary(rings)
+    several (of equals the one with the least corner). Corners are those where the outline turns. Plans of at most ``small`` edges are traced many at a time."""
+    made, large = plan_by_plan(boundary(rings), small_footprints, FACES, FACE_TYPES, small)
+    found = made.select("plan", "ring", "area") if large.isEmpty() else made.select("plan", "ring", "area").unionByName(joined_footprints(large))
+    return found.select("plan", turning(F.col("ring")).alias("ring"), "area")
+
+
+def joined_footprints(boundaries: DataFrame) -> DataFrame:
+    """(plan, ring, area) of the edges around unions by joins alone, so that no plan stands in one task."""
+    # written, as a number must not change when a task runs again
+    edges = Round(boundaries.withColumn("h", F.monotonically_increasing_id())).table
     edges = Round(edges.join(cycles(edges), "h")).table
     found = edges.groupBy("plan", "face").agg(F.sum(F.expr(CROSS)).alias("double"), F.min(F.struct("ax", "ay", "bx", "by")).alias("first"))
     found = Round(found).table
@@ -206,7 +232,7 @@ def footprints(rings: DataFrame) -> DataFrame:
     sized = shells.join(cut, F.col("face") == F.col("shell"), "left").withColumn("double", F.col("double") + F.coalesce("cut", F.lit(0)))
     best = sized.groupBy("plan").agg(F.min_by(F.struct("face", "double"), F.struct(-F.col("double"), "first")).alias("b")).select("plan", "b.face", (F.col("b.double") / 2).alias("area"))
     drawn = outer_rings(edges.join(best.select("face"), "face"))
-    return best.join(drawn, "face").select("plan", turning(F.col("ring")).alias("ring"), "area")
+    return best.join(drawn, "face").select("plan", "ring", "area")
 
 
 def turning(ring: Column) -> Column:

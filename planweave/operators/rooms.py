@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planweave.functions.geometry import offset_ring, ring_area, to_meters
 from planweave.functions.text import rgba
-from planweave.operators.faces import faces, footprints
+from planweave.operators.faces import footprints, framed_faces
 
 #: Snapping grid, smallest room and largest share of the drawing that a room may cover.
 GRID, LEAST_AREA, LARGEST_SHARE = 5, 800.0, 0.45
@@ -24,12 +24,12 @@ def planar_rooms(walls: DataFrame, least_walls: int = LEAST_WALLS, least_segment
     """
     snap = lambda c: (F.bround(F.col(c) / GRID) * GRID).cast("long").alias(c)
     ends = ("x1", "y1", "x2", "y2")
+    of_plan = Window.partitionBy("plan")
+    some = F.count_if((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).over(of_plan)
     snapped = walls.select(F.col("plan_id").alias("plan"), *map(snap, ends), "width", "height")
-    some = F.count_if((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
-    size = snapped.groupBy("plan").agg(F.count("*").alias("walls"), some.alias("segments"), F.max("width").alias("width"), F.max("height").alias("height"))
-    enough = size.filter((F.col("walls") >= least_walls) & (F.col("segments") >= least_segments)).select(F.col("plan").alias("plan_id"), "width", "height")
-    same = F.col("plan").eqNullSafe(F.col("plan_id"))
-    found = faces(snapped.join(enough.select("plan_id"), same, "left_semi").select("plan", *ends)).join(enough, same)
+    sized = snapped.withColumn("walls", F.count("*").over(of_plan)).withColumn("segments", some)
+    enough = sized.filter((F.col("walls") >= least_walls) & (F.col("segments") >= least_segments))
+    found = framed_faces(enough.select("plan", *ends, "width", "height")).withColumnRenamed("plan", "plan_id")
     by_plan = Window.partitionBy("plan_id")
     number = F.row_number().over(by_plan.orderBy("first"))
     rooms = found.withColumn("room", F.concat(F.lit("room-"), number.cast("string"))).withColumn("number", number)

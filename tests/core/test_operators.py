@@ -464,3 +464,19 @@ def test_last_material_wins(spark):
     rules = spark.createDataFrame([(1, 0, "walls", "brick", "#111111", None), (1, 1, "walls", None, None, "gloss"), (1, 2, None, "x", None, None)], "plan int, at int, target_surface string, material string, color_hex string, finish string")
     got = last_materials(rules, ["plan"], "at").first().materials
     assert {k: tuple(v) for k, v in got.items()} == {"walls": ("concrete", "#CCCCCC", "gloss"), "wall": ("x", "#CCCCCC", "matte")}
+
+
+def test_small_plans_and_joins_give_the_same_faces(spark):
+    rng, rows = random.Random(5), []
+    for plan in [None, *range(1, 12)]:
+        for _ in range(rng.randint(4, 60)):
+            x, y = rng.randrange(6), rng.randrange(6)
+            rows.append((plan, x * 10, y * 10, *rng.choice([(x * 10 + 10, y * 10), (x * 10, y * 10 + 10)])))
+        rows += [(plan, 100, 0, 200, 0), (plan, 200, 0, 200, 100), (plan, 200, 100, 100, 100), (plan, 100, 100, 100, 0)]
+        # one that touches the square's corner from inside, one within that, and one on its own
+        for x, y, n in ((100, 0, 40), (110, 10, 10), (160, 60, 20)):
+            rows += [(plan, x, y, x + n, y + 1), (plan, x + n, y + 1, x + n, y + n), (plan, x + n, y + n, x + 1, y + n), (plan, x + 1, y + n, x, y)]
+    df = spark.createDataFrame(rows, SEGMENTS).repartition(3)
+    turned = lambda ring: min(tuple(ring[i:] + ring[:i]) for i in range(len(ring)))
+    seen = [sorted(((r.plan or 0, tuple(r.first), r.area, turned([tuple(p) for p in r.ring])) for r in faces(df, small).collect())) for small in (0, 40, 10_000)]
+    assert len(seen[0]) > 40 and seen[0] == seen[1] == seen[2]
