@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,17 +75,23 @@ def offset_ring(ring: Column, distance: float, quarter: int = 16) -> Column:
     def moved(p: Column, x: Column, y: Column) -> Column:
         return F.struct((p["x"] + distance * x).alias("x"), (p["y"] + distance * y).alias("y"))
 
-    def corner(v: Column) -> Column:
-        p, d, e = v["p"], v["d"], v["e"]  # the corner, the way to it and the way from it
+    def turned(v: Column) -> Column:
+        d, e = v["d"], v["e"]  # the way to the corner and the way from it
         cross, dot = d["x"] * e["y"] - d["y"] * e["x"], d["x"] * e["x"] + d["y"] * e["y"]
-        start, turn = F.atan2(-d["x"], d["y"]), F.atan2(cross, dot)
-        steps = F.greatest(F.lit(1), F.ceil(turn / (F.pi() / (2 * quarter)) - 1e-9)).cast("int")
-        arc = F.transform(F.sequence(F.lit(0), steps), lambda k: moved(p, F.cos(start + turn * k / steps), F.sin(start + turn * k / steps)))
-        inner = F.array(moved(p, (d["y"] + e["y"]) / (1 + dot), -(d["x"] + e["x"]) / (1 + dot)))
-        return F.when(cross > 1e-12, arc).when(cross < -1e-12, inner).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        return F.struct(v["p"].alias("p"), d.alias("d"), e.alias("e"), cross.alias("cross"), dot.alias("dot"), F.atan2(-d["x"], d["y"]).alias("start"), F.atan2(cross, dot).alias("turn"))
+
+    def arc(v: Column) -> Column:
+        steps = F.greatest(F.lit(1), F.ceil(v["turn"] / (F.pi() / (2 * quarter)) - 1e-9)).cast("int")
+        at = lambda k, n: v["start"] + v["turn"] * k / n
+        return bound(steps, lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: bound(at(k, n), lambda a: moved(v["p"], F.cos(a), F.sin(a)))))
+
+    def corner(v: Column) -> Column:
+        p, d, e = v["p"], v["d"], v["e"]
+        inner = F.array(moved(p, (d["y"] + e["y"]) / (1 + v["dot"]), -(d["x"] + e["x"]) / (1 + v["dot"])))
+        return F.when(v["cross"] > 1e-12, arc(v)).when(v["cross"] < -1e-12, inner).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
     ways = F.transform(ring, lambda p, i: F.struct(p.alias("p"), unit(ring[(i + n - 1) % n], p).alias("d"), unit(p, ring[(i + 1) % n]).alias("e")))
-    return F.flatten(F.transform(ways, corner))
+    return F.flatten(F.transform(F.transform(ways, turned), corner))
 
 
 def roof_solid(outline: Column, low: Column, height: Column) -> Column:
@@ -91,20 +99,29 @@ def roof_solid(outline: Column, low: Column, height: Column) -> Column:
     return extruded(outline, low, low + height)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def extruded(ring: Column, low: Column, high: Column) -> Column:
     """struct<vertices, faces> of a ring drawn up from ``low`` to ``high``: two triangles a side, caps as fans."""
-    n = F.size(ring)
-    level = lambda z: F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), z.cast("double")))
 
-    def side(i: Column) -> Column:
-        j = (i + 1) % n
-        return F.array(F.array(i, j, i + n), F.array(j, j + n, i + n))
+    def solid(r: Column, n: Column) -> Column:
+        level = lambda z: F.transform(r, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), z.cast("double")))
+
+        def side(i: Column) -> Column:
+            j = (i + 1) % n
+            return F.array(F.array(i, j, i + n), F.array(j, j + n, i + n))
+
+        def cap(i: Column) -> Column:
+            return F.array(F.array(F.lit(0), i + 1, i), F.array(n, i + n, i + n + 1))
 
-    def cap(i: Column) -> Column:
-        return F.array(F.array(F.lit(0), i + 1, i), F.array(n, i + n, i + n + 1))
+        faces = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), side)), F.flatten(F.transform(F.sequence(F.lit(1), n - 2), cap)))
+        return F.when(n >= 3, F.struct(F.concat(level(low), level(high)).alias("vertices"), faces.alias("faces")))
 
-    faces = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), side)), F.flatten(F.transform(F.sequence(F.lit(1), n - 2), cap)))
-    return F.when(n >= 3, F.struct(F.concat(level(low), level(high)).alias("vertices"), faces.alias("faces")))
+    # the ring may be a long expression
+    return bound(ring, lambda r: bound(F.size(r), lambda n: solid(r, n)))
 
 
 def wall_solid(a: Column, b: Column, thickness: Column, height: Column) -> Column:

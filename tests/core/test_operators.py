@@ -480,3 +480,9 @@ def test_small_plans_and_joins_give_the_same_faces(spark):
     turned = lambda ring: min(tuple(ring[i:] + ring[:i]) for i in range(len(ring)))
     seen = [sorted(((r.plan or 0, tuple(r.first), r.area, turned([tuple(p) for p in r.ring])) for r in faces(df, small).collect())) for small in (0, 40, 10_000)]
     assert len(seen[0]) > 40 and seen[0] == seen[1] == seen[2]
+
+
+def test_a_ring_stands_once_in_the_solid_drawn_from_it(spark):
+    ring = F.transform(F.sequence(F.lit(0), F.col("n").cast("int")), lambda i: F.struct(i.alias("x"), (i * i).alias("y")))
+    plan = spark.range(1).select(F.col("id").alias("n")).select(G.extruded(ring, F.lit(0.0), F.lit(1.0)).alias("m"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("sequence(0, cast(n#") == 1
