@@ -256,3 +256,35 @@ def small_footprints(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray, li
     rings = Rings(number, e, *ringed(after := following(number, e)), after, outside=False)
     order = np.lexsort((*rings.first.T[::-1], -rings.double, rings.plan))
     return made_of(rings, order[starts(rings.plan[order])]) if len(order) else NONE
+
+
+REGIONS, REGION_TYPES = "area bigint, y bigint, x bigint", [pa.int64()] * 3
+
+
+def small_regions(number: np.ndarray, part: pa.Table, reach: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Area and first pixel of each region of runs (y, x1, x2) of neighbouring rows that lie within ``reach`` of each other."""
+    y, x1, x2 = ends_of(part, "y", "x1", "x2").T
+    order = np.lexsort((x1, y, number))
+    plan, y, x1, x2 = (c[order] for c in (number, y, x1, x2))
+    if not len(plan):
+        return plan, [pa.array([], t) for t in REGION_TYPES]
+    row, wide = plan * (np.ptp(y) + 2) + y - y.min(), np.ptp(np.append(x1, x2)) + 3
+    at = lambda r, x: r * wide + np.clip(x - x1.min() + 1, 0, wide - 1)
+    # runs of a row don't meet, so those that a run touches in the next row follow each other
+    low = np.searchsorted(at(row, x2), at(row + 1, x1 - reach), "left")
+    n = np.maximum(np.searchsorted(at(row, x1), at(row + 1, x2 + reach), "right") - low, 0)
+    a = np.repeat(np.arange(len(plan)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(plan))
+    while True:
+        near = label.copy()
+        np.minimum.at(near, a, label[b])
+        np.minimum.at(near, b, label[a])
+        near = np.minimum(near, near[near])
+        if (near == label).all():
+            break
+        label = near
+    area = np.zeros(len(plan), np.int64)
+    np.add.at(area, label, x2 - x1 + 1)
+    first = np.flatnonzero(label == np.arange(len(plan)))
+    return plan[first], [pa.array(c[first]) for c in (area, y, x1)]

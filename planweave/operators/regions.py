@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from planweave.operators.plane import REGION_TYPES, REGIONS, plan_by_plan, small_regions
 from planweave.operators.rooms import LARGEST_SHARE, LEAST_AREA
 from planweave.sources.scratch import Round
 
@@ -59,14 +60,25 @@ def labelled_runs(runs: DataFrame, corners: bool = True) -> DataFrame:
             return numbered.join(now.table.select("run", F.col("label").alias("region")), "run").drop("run")
 
 
-def free_rooms(walls: DataFrame, frames: DataFrame, least_area: float = LEAST_AREA, largest_share: float = LARGEST_SHARE, corners: bool = True) -> DataFrame:
+def regions(runs: DataFrame, corners: bool = True, small: int | None = None) -> DataFrame:
+    """(plan, area, first): the regions of runs (plan, y, x1, x2) with their first pixel (y, x). Plans of at most ``small`` runs are labelled many at a time in one pass
+    over all runs; only larger ones go through the joins."""
+    reach = 1 if corners else 0
+    made, large = plan_by_plan(runs.select("plan", "y", "x1", "x2"), lambda number, part: small_regions(number, part, reach), REGIONS, REGION_TYPES, small)
+    found = made.select("plan", "area", F.struct("y", "x").alias("first"))
+    if large.isEmpty():
+        return found
+    long = [F.col(c).cast("long").alias(c) for c in ("y", "x1", "x2")]
+    first = F.min(F.struct("y", F.col("x1").alias("x"))).alias("first")
+    return found.unionByName(labelled_runs(large.select("plan", *long), corners).groupBy("plan", "region").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("area"), first).drop("region"))
+
+
+def free_rooms(walls: DataFrame, frames: DataFrame, least_area: float = LEAST_AREA, largest_share: float = LARGEST_SHARE, corners: bool = True, small: int | None = None) -> DataFrame:
     """(plan, room, area, x, y): regions of free pixels within the area limits, numbered by area, largest first, ties by their first pixel in the order of rows (x, y).
 
     ``walls`` has the wall pixels (plan, x, y; repeats and those outside the frame count for nothing), ``frames`` plan, width and height.
     """
-    runs = labelled_runs(free_runs(walls, frames), corners)
-    first = F.min(F.struct("y", F.col("x1").alias("x"))).alias("first")
-    regions = runs.groupBy("plan", "region").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("area"), first).join(frames, "plan")
-    kept = regions.filter((F.col("area") >= least_area) & (F.col("area") <= largest_share * F.col("width") * F.col("height")))
+    found = regions(free_runs(walls, frames), corners, small).join(frames, "plan")
+    kept = found.filter((F.col("area") >= least_area) & (F.col("area") <= largest_share * F.col("width") * F.col("height")))
     number = F.row_number().over(Window.partitionBy("plan").orderBy(F.desc("area"), "first"))
     return kept.select("plan", F.concat(F.lit("room-"), number.cast("string")).alias("room"), "area", "first.x", "first.y")

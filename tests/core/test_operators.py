@@ -486,3 +486,12 @@ def test_a_ring_stands_once_in_the_solid_drawn_from_it(spark):
     ring = F.transform(F.sequence(F.lit(0), F.col("n").cast("int")), lambda i: F.struct(i.alias("x"), (i * i).alias("y")))
     plan = spark.range(1).select(F.col("id").alias("n")).select(G.extruded(ring, F.lit(0.0), F.lit(1.0)).alias("m"))
     assert plan._jdf.queryExecution().analyzed().toString().count("sequence(0, cast(n#") == 1
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_small_plans_and_joins_give_the_same_regions(spark, corners):
+    rng = random.Random(8)
+    walls = spark.createDataFrame([(p, rng.randrange(30), rng.randrange(12)) for p in range(6) for _ in range(60 + 25 * p)], "plan int, x int, y int")
+    frames = spark.createDataFrame([(p, 30, 12) for p in range(6)], "plan int, width int, height int")
+    seen = [sorted(map(tuple, free_rooms(walls, frames, 1, 1.0, corners, small).collect())) for small in (0, 90, 10_000)]
+    assert len(seen[0]) > 5 and seen[0] == seen[1] == seen[2]
