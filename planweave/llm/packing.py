@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,27 +17,42 @@ from planweave.llm.common import arrow_rows, bounded_batches, written
 
 CONTEXT = 4096
 END_ID = 1
-#: Words whose ids a worker remembers in each of two generations; words that come again live on in the next.
-KNOWN_WORDS = 200_000
+#: Words whose ids a worker remembers in each of two generations, and their length at most; words that come again live on in the next.
+KNOWN_WORDS, KNOWN_LENGTH = 100_000, 64
 #: The word that holds words apart, and how many stand in a run.
 APART = "\x01"
 RUN_WORDS = 1_000
-#: A text on which word by word and as a whole must give the same ids.
-PROBE = " The  quick,brown fox's 12.5 JUMPS.\n\nOver (the) lazy-dog, and. \tNaïve Ünïcode\u00a0text \u4e2d\u6587 e.g. x\ny "
+#: Texts on which word by word and as a whole must give the same ids.
+PROBES = (
+    " The  quick,brown fox's 12.5 JUMPS.\n\nOver (the) lazy-dog, and. \tNaïve Ünïcode\u00a0text \u4e2d\u6587 e.g. x\ny ",
+    "FIN!! (Über) ÀÑ%%% rock'n'roll' it's' Don'T. ### a_ 3rd?! x) \"Quoted.\" Straße; x' s'",
+)
 #: Texts that a worker holds at a time.
 TEXTS = 512
-#: Signs that may follow a word.
-ENDS = (".", ",")
+#: Signs that part from the letters before them where a word ends.
+ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces of one length that one task ranks; a length with more is dealt out.
 RANK_ROWS = 100_000
 
 
+def lowered(text: str, added: list[str]) -> str:
+    """The text in lower case where that changes no tokens of a tokenizer that lower-cases; beyond Latin-1 composing letters may come
+    first, and tokens that were ``added`` are found before."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    low = text.lower()
+    return text if any(token in low for token in added) else low
+
+
 class WordIds:
-    """Little-endian 32-bit ids of a text, word by word.
+    """Little-endian 32-bit ids of texts, word by word.
 
     Where the tokenizer parts texts at white space and keeps nothing across it, a text's ids are those of its
     words joined, and only words not seen before go through the tokenizer. A word here is what stands between
-    spaces and line feeds; other white space inside it is left to the tokenizer. That is tried on PROBE first; a
+    spaces and line feeds; other white space inside it is left to the tokenizer. Signs that end a word of letters
+    are a word of their own. Arrow finds the different words of the texts and puts their ids together. That is tried on PROBES first; a
     tokenizer that answers otherwise gets whole texts.
     """
 
@@ -47,10 +63,11 @@ class WordIds:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
-        self.by_word = len(apart) == 1
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = len(apart) == 1 and not any(" " in t or "\n" in t or (t[0].isalpha() and t[-1] in ENDS) for t in self.added)
         if self.by_word:
             self.apart = apart[0]
-            self.by_word = self._of_words([PROBE]) == self._of_texts([PROBE])
+            self.by_word = self._of_words(list(PROBES)) == self._of_texts(list(PROBES))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return self._of_words(texts) if self.by_word else self._of_texts(texts)
@@ -59,43 +76,48 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_words(self, texts: list[str]) -> list[bytes]:
-        # the tokenizer lower-cases; doing so before makes fewer different words, and is the same for ASCII
-        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        parts = pc.split_pattern(pc.replace_substring(pa.array([lowered(t, self.added) for t in texts], pa.large_string()), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        bases = pc.utf8_rtrim(words.dictionary, ENDS)
+        bases = pc.if_else(pc.match_substring_regex(bases, r"^\pL+$"), bases, words.dictionary)
+        bases, whole = (strings.to_numpy(zero_copy_only=False).tolist() for strings in (bases, words.dictionary))  # to_pylist is slow
+        ends = [word[len(base) :] for word, base in zip(whole, bases, strict=True)]
+        ids = self._of_different({*bases, *ends})
+        each = pa.array([ids[base] + ids[end] for base, end in zip(bases, ends, strict=True)], pa.large_binary())
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, each.take(words.indices)), pa.scalar(b"", pa.large_binary())).to_pylist()
+
+    def _of_different(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, remembered ones first."""
         known, older = self.known, self.older
-        new: set[str] = set()
-        ended: list[tuple[str, str]] = []
-        for word in set().union(*parts).difference(known):
-            if (ids := older.get(word)) is not None:
+        out, new = {}, []
+        for word in words:
+            if (ids := known.get(word)) is None:
+                if (ids := older.get(word)) is None:
+                    new.append(word)
+                    continue
                 known[word] = ids
-            elif word[-1:] in ENDS and word[-2:-1].isascii() and word[-2:-1].isalpha():
-                ended.append((word, word[:-1]))  # a sign after a letter is a token sequence of its own
-                new.update((word[:-1], word[-1]))
-            else:
-                new.add(word)
-        self._learn([w for w in new if w not in known])
-        for word, base in ended:
-            known[word] = known[base] + known[word[-1]]
-        out = [b"".join(map(known.__getitem__, ws)) for ws in parts]
-        for word, _ in ended:  # soon made again from its parts, so the room is left to words
-            del known[word]
+            out[word] = ids
+        # words of letters hold apart without spaces, which the tokenizer takes longer for
+        plain = [w for w in new if w.isalpha()]
+        for some, apart in ((plain, APART), ([w for w in new if not w.isalpha()], f" {APART} ")):
+            for i in range(0, len(some), RUN_WORDS):
+                run = some[i : i + RUN_WORDS]
+                for word, ids in zip(run, self._of_run(run, apart), strict=True):
+                    out[word] = ids
+                    if len(word) <= KNOWN_LENGTH:
+                        known[word] = ids
         if len(known) > KNOWN_WORDS:
             self.known, self.older = {}, known
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Tokenizes words in runs held apart by a word of one id, which is much faster than one by one."""
-        runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
-        apart = f" {APART} "
-        for run in runs:
-            ids = np.array(self.tokenizer.encode_batch_fast([apart.join(run)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.apart)
-            if len(cuts) != len(run) - 1:  # a word holds that id itself
-                for word in run:
-                    self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            data, starts, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            for word, i, j in zip(run, starts, ends, strict=True):
-                self.known[word] = data[i:j]
+    def _of_run(self, run: list[str], apart: str) -> list[bytes]:
+        """Tokenizes words in a run held apart by a word of one id, which is much faster than one by one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([apart.join(run)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.apart)
+        if len(cuts) != len(run) - 1:  # a word holds that id itself
+            return self._of_texts(run)
+        data, starts, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[i:j] for i, j in zip(starts, ends, strict=True)]
 
 
 @functools.cache

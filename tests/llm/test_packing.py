@@ -100,3 +100,20 @@ def test_index_of_sums():
     for total in range(1, 61):
         assert sorted(index.of_two(total, total)) == sorted((a, b) for a in there for b in there if b <= a and a + b == total)
         assert sorted(index.of_three(total)) == sorted((a, b, c) for a in there for b in there for c in there if c <= b <= a and a + b + c == total)
+
+
+def test_words_are_told_apart_without_case_and_ends():
+    rng = random.Random(6)
+    ids = WordIds(PATH)
+    assert ids.by_word
+    tokenizer = Tokenizer.from_file(PATH)
+    alphabet = ["a", "B", "Ñ", "ß", "µ", "ÿ", "s", "T", " ", " ", "\n", "'", "!", "%%", "_", "-", ".", ")", "1", "²", "̈", "̸", "=", "\xa0", "\x01", "Σ"]
+    texts = ["".join(rng.choice(alphabet[: rng.choice((23, 26))]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["A <|ENDOFTEXT|> b", "a <|endoftext|> B", "Ab<|endoftext|>!"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # one word in many guises is remembered once, and words of any length aren't
+    ids = WordIds(PATH)
+    before = set(ids.known)
+    ids(["Wört!! wört%%% WÖRT wÖrt", "x" * 1000])
+    assert {w for w in set(ids.known) - before if w.isalpha()} == {"wört"}
