@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -16,22 +18,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
-#: Vectors in a block.
-BLOCK_ROWS = 20_000
+#: Vectors in a block, pairs that a task holds at a time, and what a product of matrices may be off for vectors of length 1.
+BLOCK_ROWS, HELD_PAIRS, SLACK = 20_000, 2_000_000, 1e-9
+
+
+def best_in_blocks(asked: DataFrame, dealt: DataFrame, blocks: list[str], k: int) -> DataFrame:
+    """(query_id, vec_id, similarity): of each block the k best vectors (vec_id, v, norm) for each query (query_id, q, q_norm), more in no case.
+
+    Vectors are finite, not null, all as long and of lengths that can be multiplied. A product of matrices tells which pairs can be among the best; only those are
+    worked out component by component as ``dot`` does, so results are the same to the last bit.
+    """
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((asked, "query_id"), (dealt, "vec_id"))]
+
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, rows, best = [], [], []
+        if len(left) and len(right):
+            right = right.sort_by("vec_id")
+            q, v = matrix(left, "q"), matrix(right, "v")
+            q_norm, norm = left["q_norm"].to_numpy(), right["norm"].to_numpy()
+            unit_q, unit_v = q / q_norm[:, None], (v / norm[:, None]).T
+            step = max(1, HELD_PAIRS // len(right))
+            for at in range(0, len(left), step):
+                near = unit_q[at : at + step] @ unit_v
+                least = np.partition(near, -k, axis=1)[:, -k] if k < len(right) else near.min(1)
+                i, j = np.nonzero(near >= least[:, None] - SLACK)
+                total, i = np.zeros(len(i)), i + at
+                for c in range(q.shape[1]):
+                    total += q[i, c] * v[j, c]
+                total /= q_norm[i] * norm[j]
+                order = np.lexsort((j, -total, i))
+                i, j, total = i[order], j[order], total[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                queries.append(i[kept])
+                rows.append(j[kept])
+                best.append(total[kept])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"query_id": left["query_id"].take(join(queries, np.int64)), "vec_id": right["vec_id"].take(join(rows, np.int64)), "similarity": join(best, float)})
+
+    return asked.groupBy(*blocks).cogroup(dealt.groupBy(*blocks)).applyInArrow(run, ", ".join([*kinds, "similarity double"]))
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, vec_id, similarity, rank): every query against every vector, in blocks of vectors.
 
     There are as many blocks as the number of vectors asks for, and at least one a shuffle partition. A query meets each
-    block by an equi-join on the block's number; the window keeps k rows a query and task
-    before its shuffle.
+    block in one task, which keeps k rows a query. Odd vectors (null, with nulls, not finite, of another size than most or of a length that is
+    hard to multiply) meet all others one by one; their similarity may be null.
     """
     blocks = max(-(-vectors.count() // block_rows), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
+    size = vectors.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    v = F.col("embedding")
+    norm = F.sqrt(dot(v, v))
+    plain = F.coalesce((F.size(v) == F.lit(size["size"] if size else 0)) & F.col("vec_id").isNotNull() & (norm > 1e-100) & (norm < 1e100), F.lit(False))
+    dealt = vectors.select("vec_id", v.alias("v"), norm.alias("norm"), plain.alias("plain")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = queries.select(F.col("vec_id").alias("query_id"), v.alias("q"), norm.alias("q_norm"), plain.alias("q_plain"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = asked.join(dealt, "block").select("query_id", "vec_id", F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_norm") * F.col("norm")).alias("similarity"))
+    odd = lambda a, b: a.join(b, "block").select("query_id", "vec_id", F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_norm") * F.col("norm")).alias("similarity"))
+    scored = best_in_blocks(asked.filter("q_plain"), dealt.filter("plain"), ["block"], k)
+    scored = scored.union(odd(asked.filter("q_plain"), dealt.filter("NOT plain"))).union(odd(asked.filter("NOT q_plain"), dealt))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -94,16 +141,21 @@ class InvertedIndex:
         to_list = listed.join(F.broadcast(self.centres), "list").select("query_id", "q", "list", "radius", "size", angle_between(F.col("q"), F.col("centre")).alias("far"))
         order = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "list"))
         plan = Round(to_list.withColumn("order", order)).table
-        first = self._nearest(self._met(plan.filter(F.col("order") <= probes)), k)
+        first = self._nearest(self._met(plan.filter(F.col("order") <= probes), k), k)
         if not exact:
             return first
         first = Round(first).table
         kth = first.filter(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))).alias("reach"))
         more = plan.filter(F.col("order") > probes).join(kth, "query_id", "left").filter(F.col("far") - F.col("radius") <= F.coalesce("reach", F.lit(math.pi)) + ANGLE_SLACK)
-        return self._nearest(self._met(more).unionByName(first.drop("rank")), k)
-
-    def _met(self, plan: DataFrame) -> DataFrame:
-        return plan.select("query_id", "q", "list").join(self.rows, "list").select("query_id", "vec_id", dot(F.col("q"), F.col("u")).alias("similarity"))
+        return self._nearest(self._met(more, k).unionByName(first.drop("rank")), k)
+
+    def _met(self, plan: DataFrame, k: int) -> DataFrame:
+        """The k best of each list for its queries; large lists are cut into parts."""
+        one, parts = F.lit(1.0), F.ceil(F.col("size") / BLOCK_ROWS).cast("long")
+        asked = plan.select("query_id", "q", "list", one.alias("q_norm"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        rows = self.rows.join(F.broadcast(self.centres.select("list", "size")), "list")
+        dealt = rows.select("vec_id", F.col("u").alias("v"), "list", one.alias("norm"), F.pmod(F.xxhash64("vec_id"), parts).alias("part"))
+        return best_in_blocks(asked, dealt, ["list", "part"], k)
 
     @staticmethod
     def _nearest(scored: DataFrame, k: int) -> DataFrame:

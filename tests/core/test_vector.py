@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from planweave.operators.vector import InvertedIndex, cosine_top_k
+from planweave.operators.vector import InvertedIndex, best_in_blocks, cosine_top_k, dot
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,20 @@ def test_small_and_empty_tables(spark):
     assert InvertedIndex(none).search(none, 3).count() == 0
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
     assert [(r.vec_id, r["rank"]) for r in InvertedIndex(few).search(few.filter("vec_id = 1"), 5, probes=1).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_blocks_hand_on_only_the_best(spark, vectors):
+    """As pair by pair, odd vectors, equal ones and other sizes among them; of each block k rows a query leave the task."""
+    odd = spark.createDataFrame([(7000, [1.0] * 11), (7001, [1e-200] * 12), (7002, [1e200] * 12), (7003, [None] * 12), (7, [1.0] * 12), (None, [2.0] * 12), (7005, [float("inf")] * 12)], "vec_id long, embedding array<double>")
+    rows = vectors.filter("vec_id >= 2500").union(odd)
+    queries = rows.filter("vec_id % 50 = 0 OR vec_id >= 5000 OR vec_id IS NULL")
+    pairs = queries.selectExpr("vec_id AS query_id", "embedding AS q").crossJoin(rows)
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    pairs = pairs.withColumn("similarity", F.try_divide(dot(F.col("q"), F.col("embedding")), norm("q") * norm("embedding")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    want = pairs.withColumn("rank", rank).filter("rank <= 5").select("query_id", "vec_id", "similarity", "rank").collect()
+    got = cosine_top_k(rows, queries, 5, block_rows=100).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    sides = vectors.filter("vec_id < 5000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(1.0).alias("q_norm"), F.lit(0).alias("block"))
+    dealt = sides.selectExpr("query_id AS vec_id", "q AS v", "q_norm AS norm", "block")
+    assert best_in_blocks(sides.filter("query_id % 100 = 0"), dealt, ["block"], 5).count() == 150
