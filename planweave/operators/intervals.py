@@ -120,13 +120,54 @@ class Cells:
                     self.reach.pop((band, number), None)
 
 
+class Few:
+    """``Cells`` for few lines: all are gone through."""
+
+    def __init__(self) -> None:
+        self.reach: dict[int, list] = {}
+
+    def put(self, pos: int, low: int, high: int, number: int, item: list) -> None:
+        self.reach[number] = item
+
+    def take(self, pos: int, number: int) -> None:
+        del self.reach[number]
+
+    def first(self, below: int, above: int, low: int, high: int, fits: Callable[[list], bool]) -> int | None:
+        # numbers come in order
+        for number, item in self.reach.items():
+            if fits(item):
+                return number
+        return None
+
+    def forget(self, below: int) -> None:
+        pass
+
+
+def seen(band: int, width: int) -> Cells | Few:
+    """Where a fold keeps what it has seen; the width is 0 where there are few lines."""
+    return Cells(band, width) if width else Few()
+
+
+#: Lines of a key that are folded as one island, without looking for its islands; and lines that are few.
+WHOLE_LINES, FEW_LINES = 4096, 64
+
+
 def scanned(lines: DataFrame, keys: list[str], reach: int, order: list[str], values: list[str], fold: Callable, out: list[tuple[str, str]]) -> DataFrame:
-    """A fold over each island's lines in order: ``fold`` makes, for an island's mean extent, a step that gets a line's ``values`` and
+    """A fold over each island's lines in order: ``fold`` makes, for an island's mean extent (0: few lines), a step that gets a line's ``values`` and
     an end; both give rows of ``out``.
 
-    Lines come sorted, one after the other, so a task holds what the fold keeps and never a plan's lines.
+    Lines come sorted, one after the other, so a task holds what the fold keeps and never a plan's lines. Keys of up to WHOLE_LINES lines are one island each
+    and move once, where they aren't together already; only larger ones are cut into islands.
     """
-    rows = islands(lines, keys, reach).repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", *order).select(*keys, "__island", "__width", *values)
+    whole = Window.partitionBy(*keys)
+    columns = [*keys, *dict.fromkeys([*values, *order, "pos", "s", "e"])]
+    extent = F.greatest(F.ceil(F.avg(F.greatest(F.col("e") - F.col("s"), F.lit(0))).over(whole)), F.lit(1)).cast("long")
+    sized = lines.select(*columns, F.count("*").over(whole).alias("__n"), extent.alias("__width"))
+    named = [*keys, "__island", "__width", *values]
+    small = sized.filter(F.col("__n") <= WHOLE_LINES).withColumn("__island", F.lit(0).cast("long")).withColumn("__width", F.when(F.col("__n") <= FEW_LINES, 0).otherwise(F.col("__width")).cast("long"))
+    small = small.sortWithinPartitions(*keys, *order).select(*named)
+    large = islands(sized.filter(F.col("__n") > WHOLE_LINES).select(*columns), keys, reach)
+    large = large.repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", *order).select(*named)
     kinds = {"int": pa.int32(), "long": pa.int64()}
     n = len(keys)
 
@@ -135,7 +176,7 @@ def scanned(lines: DataFrame, keys: list[str], reach: int, order: list[str], val
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(n)]
             found: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*map(plain, batch.columns), strict=True):
                 if row[: n + 1] != group:
                     if end is not None:
                         found += [(*group[:n], *r) for r in end()]
@@ -146,13 +187,17 @@ def scanned(lines: DataFrame, keys: list[str], reach: int, order: list[str], val
         if end is not None:
             yield batch_of([(*group[:n], *r) for r in end()], types)
 
+    def plain(column: pa.Array) -> list:
+        numbers = not column.null_count and pa.types.is_integer(column.type)
+        return column.to_numpy().tolist() if numbers else column.to_pylist()  # to_pylist is slow
+
     def batch_of(found: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
         kept = [*types, *(kinds[k] for _, k in out)]
         columns = list(zip(*found, strict=True)) or [()] * len(kept)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kept, strict=True)], names=[*keys, *(name for name, _ in out)])
 
     schema = ", ".join([*(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys), *(f"{name} {kind}" for name, kind in out)])
-    return rows.mapInArrow(run, schema)
+    return small.mapInArrow(run, schema).union(large.mapInArrow(run, schema))
 
 
 def share(s1: int, e1: int, s2: int, e2: int) -> float:
@@ -168,7 +213,7 @@ def greedy_pairs(lines: DataFrame, keys: list[str], low: int, high: int, least_o
     """
 
     def fold(width: int):
-        open_, numbers = Cells(high, width), iter(range(1 << 62))
+        open_, numbers = seen(high, width), iter(range(1 << 62))
         items: dict[int, list] = {}
 
         def step(pos: int, id_: int, s: int, e: int) -> list[tuple]:
@@ -202,7 +247,7 @@ def merged_extents(lines: DataFrame, keys: list[str], gap: int, near: int) -> Da
     """
 
     def fold(width: int):
-        cells, extents = Cells(near, width), []
+        cells, extents = seen(near, width), []
 
         def step(id_: int, pos: int, s: int, e: int) -> list[tuple]:
             hit = cells.first(pos - near, pos + near, min(s, e), max(s, e), lambda o: abs(o[1] - pos) <= near and max(o[2], s) - min(o[3], e) <= gap)
@@ -237,7 +282,7 @@ def dedupe_walls(walls: DataFrame, keys: list[str], near: int, least_overlap: fl
     """
 
     def fold(width: int):
-        cells, seeds = Cells(near, width), []
+        cells, seeds = seen(near, width), []
 
         def step(id_: int, pos: int, s: int, e: int, thick: int) -> list[tuple]:
             hit = cells.first(pos - near, pos + near, s, e, lambda o: abs(o[3] - pos) <= near and share(o[4], o[5], s, e) > least_overlap)
