@@ -43,13 +43,18 @@ def detected_walls(lines: DataFrame, contours: DataFrame) -> DataFrame:
     order = (F.col("first").cast("long") + (1 << 30)) * (1 << 31) + F.col("a")
     # written, as each of these tables is read more than once
     walls = walls.select(*KEYS, order.alias("id"), (F.col("twice") / 2).cast("int").alias("pos"), "s", "e", F.col("apart").alias("thick"), F.lit(FROM_PAIRS).alias("confidence"))
-    walls = Round(walls).table
+    paired = Round(walls)
+    walls = paired.table
     more = unknown_contours(contours, walls).select(*KEYS, (F.col("id") + (1 << 62)).alias("id"), "pos", "s", "e", "thick", F.lit(FROM_CONTOURS).alias("confidence"))
     walls = walls.unionByName(more)
     merged = merged_extents(walls, KEYS, TOUCHING, TOUCHING).select(*KEYS, F.col("first").alias("id"), "pos", "s", "e").filter(F.col("e") - F.col("s") >= LEAST_LENGTH)
-    merged = Round(merged.join(walls.select(*KEYS, "id", "thick", "confidence"), [*KEYS, "id"])).table
+    joined = Round(merged.join(walls.select(*KEYS, "id", "thick", "confidence"), [*KEYS, "id"]))
+    paired.drop()
+    merged = joined.table
     kept = dedupe_walls(merged, KEYS, DOUBLE_NEAR, DOUBLE_OVERLAP).select(*KEYS, F.col("kept").alias("id"))
-    return merged.join(kept, [*KEYS, "id"]).withColumnRenamed("id", "wall")
+    found = Round(merged.join(kept, [*KEYS, "id"]).withColumnRenamed("id", "wall")).table
+    joined.drop()
+    return found
 
 
 def parsed_plans(frames: DataFrame, lines: DataFrame, contours: DataFrame, gaps: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def parsed_plans(frames: DataFrame, lines: DataFrame, contours: DataFrame, gaps:
     which gaps (plan, gap_id, cx, cy, width_px) are openings; those near an arc (plan, cx, cy) are doors. Every step hands its table to the next; only
     numbers per plan meet in the end.
     """
-    walls = Round(detected_walls(lines, contours)).table
+    walls = detected_walls(lines, contours)
     across, flat = F.col("horizontal"), F.col
     placed = walls.select("plan", *[F.when(across, flat(h)).otherwise(flat(v)).alias(n) for n, h, v in (("x1", "s", "pos"), ("y1", "pos", "s"), ("x2", "e", "pos"), ("y2", "pos", "e"))])
     rooms = planar_rooms(placed.join(frames.select("plan", "width", "height"), "plan").withColumnRenamed("plan", "plan_id"))
