@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave.functions.geometry import overlap_ratio
+from planweave.operators import drawings
 from planweave.operators.intervals import dedupe_walls, greedy_pairs, merged_extents
-from planweave.operators.rooms import opening_kind, planar_rooms, plausible_openings
+from planweave.operators.plane import plan_by_plan, starts
+from planweave.operators.rooms import GRID, LARGEST_SHARE, LEAST_AREA, LEAST_ROOMS, LEAST_SEGMENTS, LEAST_WALLS, opening_kind, planar_rooms, plausible, plausible_openings
 from planweave.operators.scale import overall_confidence, plan_flags, scale_from_rooms
 from planweave.sources.scratch import Round
 
@@ -18,6 +22,8 @@ KNOWN_NEAR, KNOWN_OVERLAP, DOUBLE_NEAR, DOUBLE_OVERLAP = 15, 0.3, 25, 0.4
 #: Confidences of walls from line pairs, walls from contours, and rooms.
 FROM_PAIRS, FROM_CONTOURS, OF_ROOMS = 0.85, 0.7, 0.9
 KEYS = ["plan", "horizontal"]
+#: Most lines, contours, gaps and arcs of a plan that is parsed in one task, and rows that are parsed together.
+SMALL, TOGETHER = 1024, 16_384
 
 
 def unknown_contours(contours: DataFrame, walls: DataFrame) -> DataFrame:
@@ -77,7 +83,80 @@ def parsed_plans(frames: DataFrame, lines: DataFrame, contours: DataFrame, gaps:
     kinds = opening_kind(gaps.withColumnRenamed("plan", "plan_id"), arcs.withColumnRenamed("plan", "plan_id"))
     kinds = kinds.select(F.col("plan_id").alias("plan"), "gap_id", "kind").join(gaps.select("plan", "gap_id", "width_px"), ["plan", "gap_id"]).join(plans.select("plan", "px_per_meter"), "plan")
     openings = plausible_openings(kinds, F.col("px_per_meter")).groupBy("plan").agg(F.count_if(F.col("kind") == "door").alias("doors"), F.count_if(F.col("kind") == "window").alias("windows"))
+    return flagged(plans.join(openings, "plan", "left").fillna(0, ["doors", "windows"]))
+
+
+def flagged(plans: DataFrame) -> DataFrame:
+    """The plans' numbers with the confidence and the flags that follow from them."""
     mean = (F.col("wall_sum") + OF_ROOMS * F.col("rooms")) / F.greatest(F.col("walls") + F.col("rooms"), F.lit(1))
     flags = plan_flags(F.col("white"), F.col("scale_confidence"), F.lit(0), F.col("walls"), F.col("rooms"))
-    found = plans.join(openings, "plan", "left").fillna(0, ["doors", "windows"])
-    return found.select("plan", "walls", "rooms", "doors", "windows", "room_area", "px_per_meter", overall_confidence(mean, F.col("walls"), F.col("rooms")).alias("confidence"), flags.alias("flags"))
+    return plans.select("plan", "walls", "rooms", "doors", "windows", "room_area", "px_per_meter", overall_confidence(mean, F.col("walls"), F.col("rooms")).alias("confidence"), flags.alias("flags"))
+
+
+LISTS = {"lines": ["id", "horizontal", "pos", "s", "e"], "contours": ["id", "horizontal", "pos", "s", "e", "thick"], "gaps": ["gap_id", "cx", "cy", "width_px"], "arcs": ["cx", "cy"]}
+FRAME = ["width", "height", "white", "square_meters"]
+PARSED = "walls bigint, rooms bigint, wall_sum double, room_area double, door_px array<bigint>, window_px array<bigint>, " + ", ".join(f"{c} double" for c in FRAME)
+PARSED_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.float64()] * len(FRAME)]
+
+
+def parsed_parts(parts: DataFrame, small: int | None = None) -> DataFrame:
+    """``parsed_plans`` of plans that come in parts (plan, lines, contours, gaps, arcs: arrays of structs of whole numbers, and the plan's width, height, white and
+    square_meters in each part).
+
+    Plans of at most ``small`` (SMALL) lines, contours, gaps and arcs are parsed many at a time, in one pass over the parts once those of a plan
+    are together; only larger ones go through the tables of ``parsed_plans``.
+    """
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in LISTS), F.lit(1))
+    double = [F.col(c).cast("double").alias(c) for c in FRAME]
+    made, large = plan_by_plan(parts.select("plan", *LISTS, *double), small_plans, PARSED, PARSED_TYPES, SMALL if small is None else small, size, TOGETHER)
+    scale = scale_from_rooms(F.col("room_area"), F.col("width"), F.col("height"), F.col("square_meters"))
+    scaled = made.withColumn("scale", scale).withColumn("px_per_meter", F.col("scale.px_per_meter")).withColumn("scale_confidence", F.col("scale.confidence"))
+    openings = lambda c: F.size(F.filter(c, lambda px: plausible(px, F.col("px_per_meter")))).cast("long")
+    found = flagged(scaled.withColumn("doors", openings("door_px")).withColumn("windows", openings("window_px")))
+    if large.isEmpty():
+        return found
+    frames = large.groupBy("plan").agg(*[F.max(c).alias(c) for c in FRAME])
+    listed = {c: large.select("plan", F.explode(c).alias("__one")).select("plan", *[f"__one.{f}" for f in fields]) for c, fields in LISTS.items()}
+    return found.unionByName(parsed_plans(frames, *listed.values()))
+
+
+def small_plans(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray, list[pa.Array]]:
+    """The numbers of each plan: walls, rooms, their sums, the widths of gaps with an arc nearby and of others, and its frame."""
+    n = int(number[-1]) + 1
+    (plan, id_, flat, pos, s, e), (c_plan, c_id, c_flat, c_pos, c_s, c_e, c_thick), gaps, arcs = (drawings.parts_of(part, c, number, *fields) for c, fields in LISTS.items())
+    # walls from pairs of lines, and from contours that none of them covers
+    group = 2 * plan + flat
+    a, b = drawings.paired(group, id_, pos, s, e, LEAST_THICK, MOST_THICK, LEAST_OVERLAP)
+    w_group, w_pos, w_s, w_e = group[a], np.trunc((pos[a] + pos[b]) / 2).astype(np.int64), np.minimum(s[a], s[b]), np.maximum(e[a], e[b])
+    c_group, new = 2 * c_plan + c_flat, np.ones(len(c_plan), bool)
+    for i, j in drawings.met(c_group, c_pos - KNOWN_NEAR + 1, c_pos + KNOWN_NEAR - 1, w_group, w_pos):
+        new[i[drawings.share(c_s[i], c_e[i], w_s[j], w_e[j]) > KNOWN_OVERLAP]] = False
+    w_group, w_pos, w_s, w_e = (np.append(w, c[new]) for w, c in ((w_group, c_group), (w_pos, c_pos), (w_s, c_s), (w_e, c_e)))
+    thick, contour = np.append(pos[b] - pos[a], c_thick[new]), np.repeat([0, 1], [len(a), new.sum()])
+    order = [contour, np.append(np.minimum(pos[a], pos[b]), np.zeros(new.sum(), np.int64)), np.append(id_[a], c_id[new])]
+    # pieces are merged and doubles left out, in the order in which they were found
+    first, pos, s, e = drawings.merged(w_group, order, w_pos, w_s, w_e, TOUCHING, TOUCHING)
+    long = e - s >= LEAST_LENGTH
+    first, pos, s, e = (c[long] for c in (first, pos, s, e))
+    stay = drawings.kept(w_group[first], [c[first] for c in order], pos, s, e, thick[first], DOUBLE_NEAR, DOUBLE_OVERLAP)
+    first, pos, s, e = (c[stay] for c in (first, pos, s, e))
+    plan, flat, contour = w_group[first] // 2, (w_group[first] % 2 == 1)[:, None], contour[first]
+    walls, drawn = np.bincount(plan, minlength=n), np.bincount(plan, contour, minlength=n)
+    # rooms
+    ends = np.where(flat, np.column_stack([s, pos, e, pos]), np.column_stack([pos, s, pos, e]))
+    of, area = drawings.room_areas(plan, ends, GRID, LEAST_WALLS, LEAST_SEGMENTS)
+    head = part.take(pa.array(np.flatnonzero(starts(number))))
+    width, height = (head[c].to_numpy() for c in ("width", "height"))
+    with np.errstate(invalid="ignore"):
+        fits = (area >= LEAST_AREA) & (area <= LARGEST_SHARE * width[of] * height[of])
+    rooms, room_area = np.bincount(of[fits], minlength=n), np.bincount(of[fits], area[fits], minlength=n)
+    enough = rooms >= LEAST_ROOMS
+    rooms, room_area = np.where(enough, rooms, 0), np.where(enough, room_area, 0)
+    # openings
+    (g_plan, _, x, y, px), (r_plan, ax, ay) = gaps, arcs
+    door, reach = np.zeros(len(px), bool), np.ceil(1.5 * np.maximum(px, 0)).astype(np.int64)
+    for i, j in drawings.met(g_plan, x - reach, x + reach, r_plan, ax):
+        door[i[np.sqrt((x[i] - ax[j]) ** 2 + (y[i] - ay[j]) ** 2) < 1.5 * px[i]]] = True
+    openings = [drawings.lists_of(n, g_plan[some], px[some]) for some in (door, ~door)]
+    sums = FROM_PAIRS * (walls - drawn) + FROM_CONTOURS * drawn
+    return np.arange(n), [*map(pa.array, (walls, rooms, sums, room_area)), *openings, *(head[c].combine_chunks() for c in FRAME)]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.sources.scratch import Round
@@ -166,8 +166,9 @@ def drawn(e: np.ndarray, face: np.ndarray, off: np.ndarray, edges: np.ndarray) -
     return face[order][at], pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), points)
 
 
-def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, list[pa.Array]]], schema: str, types: list[pa.DataType], small: int | None = None) -> tuple[DataFrame, DataFrame]:
+def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, list[pa.Array]]], schema: str, types: list[pa.DataType], small: int | None = None, size: Column | None = None, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """What ``kernel`` makes of the rows (plan, ...) of plans of at most ``small`` rows (SMALL), and the rows of larger plans, left as they are.
+    A row counts as ``size``, 1 at least, where it holds lists; ``together`` rows are worked on together.
 
     ``kernel`` gets the rows of many whole plans and each row's plan, numbered from 0; it gives the plan's number and the values of ``schema`` (``types``) for each
     row that it makes. A window counts the rows of a plan, which so follow each other in one task without another shuffle; a task
@@ -175,7 +176,7 @@ def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple
     """
     names, limit = rows.columns, SMALL if small is None else small
     fields = [f.split()[0] for f in schema.split(", ")]
-    counted = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy("plan"))).sortWithinPartitions("plan")
+    counted = rows.withColumn("__rows", F.sum(F.lit(1) if size is None else size).over(Window.partitionBy("plan"))).sortWithinPartitions("plan")
     made_type = pa.struct(list(zip(fields, types, strict=True)))
 
     def result(plan: pa.Array, made: pa.Array, kept: pa.Array) -> list[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple
                 yield from result(large["plan"].combine_chunks(), pa.nulls(large.num_rows, made_type), pa.StructArray.from_arrays(values, fields=[t.schema.field(n) for n in names[1:]]))
                 t = t.filter(pc.less_equal(t["__rows"], limit))
             left = t if left is None else pa.concat_tables([left, t])
-            if left.num_rows >= TOGETHER + limit:
+            if left.num_rows >= together + limit:
                 left = left.combine_chunks()
                 # the last plan may go on: all its rows are left for the next batch
                 end = left.num_rows

@@ -101,8 +101,11 @@ def labelled(rooms: DataFrame, labels: DataFrame) -> DataFrame:
 
 def plausible_openings(openings: DataFrame, px_per_meter: Column) -> DataFrame:
     """Openings of 0.5 to 2.5 metres; all of them where the scale is missing or not positive."""
-    meters = F.try_divide(F.col("width_px"), px_per_meter)
-    return openings.filter(px_per_meter.isNull() | (px_per_meter <= 0) | meters.between(0.5, 2.5))
+    return openings.filter(plausible(F.col("width_px"), px_per_meter))
+
+
+def plausible(width_px: Column, px_per_meter: Column) -> Column:
+    return px_per_meter.isNull() | (px_per_meter <= 0) | F.try_divide(width_px, px_per_meter).between(0.5, 2.5)
 
 
 def surface_colors(surfaces: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFrame:
