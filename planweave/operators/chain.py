@@ -151,7 +151,7 @@ def small_plans(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray, list[pa
         fits = (area >= LEAST_AREA) & (area <= LARGEST_SHARE * width[of] * height[of])
     rooms, room_area = np.bincount(of[fits], minlength=n), np.bincount(of[fits], area[fits], minlength=n)
     enough = rooms >= LEAST_ROOMS
-    rooms, room_area = np.where(enough, rooms, 0), np.where(enough, room_area, 0)
+    rooms, room_area = np.where(enough, rooms, 0), np.where(enough, room_area, 0.0)
     # openings
     (g_plan, _, x, y, px), (r_plan, ax, ay) = gaps, arcs
     door, reach = np.zeros(len(px), bool), np.ceil(1.5 * np.maximum(px, 0)).astype(np.int64)
@@ -159,4 +159,4 @@ def small_plans(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray, list[pa
         door[i[np.sqrt((x[i] - ax[j]) ** 2 + (y[i] - ay[j]) ** 2) < 1.5 * px[i]]] = True
     openings = [drawings.lists_of(n, g_plan[some], px[some]) for some in (door, ~door)]
     sums = FROM_PAIRS * (walls - drawn) + FROM_CONTOURS * drawn
-    return np.arange(n), [*map(pa.array, (walls, rooms, sums, room_area)), *openings, *(head[c].combine_chunks() for c in FRAME)]
+    return np.arange(n), [pa.array(walls), pa.array(rooms), pa.array(sums), pa.array(room_area), *openings, *(head[c].combine_chunks() for c in FRAME)]

@@ -8,22 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from planweave.operators.plane import PAIRS, Rings, around, starts
-
-
-def order_by(*keys: np.ndarray) -> np.ndarray:
-    """The order of rows by whole numbers, the first key first; one number stands for all keys where it can."""
-    code, size = np.zeros(len(keys[0]), np.int64), 1
-    if not len(code):
-        return code
-    for k in keys:
-        low = int(k.min())
-        span = int(k.max()) - low + 1
-        size *= span
-        if size >= 1 << 62:
-            return np.lexsort(keys[::-1])
-        code = code * span + (k - low)
-    return np.argsort(code, kind="stable")
+from planweave.operators.plane import PAIRS, Rings, around, order_by, starts
 
 
 def met(of: np.ndarray, low: np.ndarray, high: np.ndarray, other: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

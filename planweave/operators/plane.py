@@ -33,6 +33,21 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def order_by(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by whole numbers, the first key first; one number stands for all keys where it can."""
+    code, size = np.zeros(len(keys[0]), np.int64), 1
+    if not len(code):
+        return code
+    for k in keys:
+        low = int(k.min())
+        span = int(k.max()) - low + 1
+        size *= span
+        if size >= 1 << 62:
+            return np.lexsort(keys[::-1])
+        code = code * span + (k.astype(np.int64, copy=False) - low)
+    return np.argsort(code, kind="stable")
+
+
 def following(plan: np.ndarray, e: np.ndarray) -> np.ndarray:
     """The edge that follows each directed edge (ax, ay, bx, by): of those that leave its end the next one clockwise from the way back."""
     n = len(e)
@@ -43,7 +58,7 @@ def following(plan: np.ndarray, e: np.ndarray) -> np.ndarray:
     x, y = np.concatenate([e[:, 0], e[:, 2]]), np.concatenate([e[:, 1], e[:, 3]])
     angle = np.concatenate([way(d[:, 0], d[:, 1]), way(-d[:, 0], -d[:, 1])])
     leaves, edge, at = np.repeat([True, False], n), np.tile(np.arange(n), 2), np.tile(plan, 2)
-    order = np.lexsort((edge, leaves, angle, y, x, at))
+    order = order_by(at, x, y, np.unique(angle, return_inverse=True)[1], leaves.astype(np.int64))
     new, out = starts(at[order], x[order], y[order]), leaves[order]
     first = np.maximum.accumulate(np.where(new, np.arange(2 * n), 0))
     last = np.maximum.accumulate(np.where(out, np.arange(2 * n), -1))
@@ -59,7 +74,7 @@ def both_ways(plan: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turned = (s[:, 0] > s[:, 2]) | ((s[:, 0] == s[:, 2]) & (s[:, 1] > s[:, 3]))
     s = np.where(turned[:, None], s[:, [2, 3, 0, 1]], s)
     known = np.column_stack([plan, s])[(s[:, :2] != s[:, 2:]).any(1)]
-    known = known[np.lexsort(known.T[::-1])]
+    known = known[order_by(*known.T)]
     known = known[starts(*known.T)] if len(known) else known
     return np.repeat(known[:, 0], 2), np.stack([known[:, 1:], known[:, [3, 4, 1, 2]]], 1).reshape(-1, 4)
 
@@ -81,7 +96,7 @@ class Rings:
 
     def __init__(self, plan: np.ndarray, e: np.ndarray, face: np.ndarray, off: np.ndarray, after: np.ndarray, outside: bool = True) -> None:
         cross = e[:, 0] * e[:, 3] - e[:, 1] * e[:, 2]
-        order = np.lexsort((e[:, 3], e[:, 2], e[:, 1], e[:, 0], face))
+        order = order_by(face, *e.T)
         at = np.flatnonzero(starts(face[order]))
         names, first = face[order][at], e[order][at]
         double, of = np.add.reduceat(cross[order], at), plan[order][at]

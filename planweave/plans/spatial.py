@@ -57,10 +57,12 @@ def angle_class(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of each order as intervals: id is their place in a full order of columns."""
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    # named before they move, so that what follows finds a plan's lines together
+    li = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("plan"), *order)
+    w = Window.partitionBy("plan").orderBy(*order)
     q = F.col("l_quantity").cast("int")
-    return li.select(F.col("l_orderkey").alias("plan"), F.row_number().over(w).cast("long").alias("id"), q.alias("pos"), (q % 9).alias("s"), (q % 9 + 5 * F.col("l_linenumber")).cast("int").alias("e"), (F.col("l_partkey") % 20).cast("int").alias("thick"))
+    return li.select("plan", F.row_number().over(w).cast("long").alias("id"), q.alias("pos"), (q % 9).alias("s"), (q % 9 + 5 * F.col("l_linenumber")).cast("int").alias("e"), (F.col("l_partkey") % 20).cast("int").alias("thick"))
 
 
 ORDER_LINES = """

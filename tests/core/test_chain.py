@@ -49,6 +49,9 @@ def test_small_plans_parse_as_tables_do(spark):
     # plans with rooms, contours' walls and both kinds of openings came up
     assert len({r[1] for r in found}) > 8 and len({r[2] for r in found}) > 2 and any(r[3] for r in found) and any(r[4] for r in found)
     assert chain.parsed_parts(df.limit(0)).count() == 0
+    # plans that stand alone in their batch, with and without rooms
+    for r in (next(r for r in found if not r[2]), next(r for r in found if r[2])):
+        assert value(chain.parsed_parts(df.filter(f"plan = {r[0]}").coalesce(1))) == [r]
 
 
 @pytest.mark.parametrize("n", [1, 12, 90])
