@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.operators.plane import FACE_TYPES, FACES, FRAMED, FRAMED_TYPES, plan_by_plan, small_faces, small_footprints, small_framed_faces
+from planweave.operators.outlines import UNION_TYPES, UNIONS, small_unions
+from planweave.operators.plane import FACE_TYPES, FACES, FRAMED, FRAMED_TYPES, plan_by_plan, small_faces, small_framed_faces
 from planweave.sources.scratch import Round
 
 #: Width of the columns in which edges below a point are looked for.
 COLUMN = 128
+#: Rings that are put together at a time.
+ROOMS_TOGETHER = 16_384
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -214,16 +217,20 @@ def boundary(rings: DataFrame) -> DataFrame:
 
 def footprints(rings: DataFrame, small: int | None = None) -> DataFrame:
     """(plan, ring, area): the outer ring of the union of each plan's rings (plan, ring) and its area less its holes; the largest part, where the union has
-    several (of equals the one with the least corner). Corners are those where the outline turns. Plans of at most ``small`` edges are traced many at a time."""
-    made, large = plan_by_plan(boundary(rings), small_footprints, FACES, FACE_TYPES, small)
-    found = made.select("plan", "ring", "area") if large.isEmpty() else made.select("plan", "ring", "area").unionByName(joined_footprints(large))
-    return found.select("plan", turning(F.col("ring")).alias("ring"), "area")
+    several (of equals the one with the least corner). Corners are those where the outline turns. Plans whose rings have at most ``small`` corners are put together many at
+    a time, in one pass over all rings; only larger ones go through joins."""
+    made, large = plan_by_plan(rings.select("plan", "ring"), small_unions, UNIONS, UNION_TYPES, small, ring_size(), ROOMS_TOGETHER)
+    return made if large.isEmpty() else made.unionByName(joined_footprints(large))
 
 
-def joined_footprints(boundaries: DataFrame) -> DataFrame:
-    """(plan, ring, area) of the edges around unions by joins alone, so that no plan stands in one task."""
+def ring_size() -> Column:
+    return F.greatest(F.size("ring"), F.lit(1))
+
+
+def joined_footprints(rings: DataFrame) -> DataFrame:
+    """``footprints`` by joins alone, so that no plan stands in one task."""
     # written, as a number must not change when a task runs again
-    edges = Round(boundaries.withColumn("h", F.monotonically_increasing_id())).table
+    edges = Round(boundary(rings).withColumn("h", F.monotonically_increasing_id())).table
     edges = Round(edges.join(cycles(edges), "h")).table
     found = edges.groupBy("plan", "face").agg(F.sum(F.expr(CROSS)).alias("double"), F.min(F.struct("ax", "ay", "bx", "by")).alias("first"))
     found = Round(found).table
@@ -232,7 +239,7 @@ def joined_footprints(boundaries: DataFrame) -> DataFrame:
     sized = shells.join(cut, F.col("face") == F.col("shell"), "left").withColumn("double", F.col("double") + F.coalesce("cut", F.lit(0)))
     best = sized.groupBy("plan").agg(F.min_by(F.struct("face", "double"), F.struct(-F.col("double"), "first")).alias("b")).select("plan", "b.face", (F.col("b.double") / 2).alias("area"))
     drawn = outer_rings(edges.join(best.select("face"), "face"))
-    return best.join(drawn, "face").select("plan", "ring", "area")
+    return best.join(drawn, "face").select("plan", turning(F.col("ring")).alias("ring"), "area")
 
 
 def turning(ring: Column) -> Column:

@@ -264,9 +264,8 @@ def small_framed_faces(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray,
     return plan, [*columns, *(pa.array(v[plan], pa.float64(), from_pandas=True) for v in largest)]
 
 
-def small_footprints(number: np.ndarray, part: pa.Table) -> tuple[np.ndarray, list[pa.Array]]:
+def largest_rings(number: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """The largest ring of each plan's directed edges (ax, ay, bx, by); of equals the one with the least first edge."""
-    e = ends_of(part, "ax", "ay", "bx", "by")
     if not len(e):
         return NONE
     rings = Rings(number, e, *ringed(after := following(number, e)), after, outside=False)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.functions.geometry import offset_ring, ring_area, to_meters
+from planweave.functions.geometry import ring_area
 from planweave.functions.text import rgba
-from planweave.operators.faces import footprints, framed_faces
+from planweave.operators.faces import ROOMS_TOGETHER, framed_faces, joined_footprints, ring_size
+from planweave.operators.outlines import ROOF_TYPES, ROOFS, outlined, small_roofs
+from planweave.operators.plane import plan_by_plan
 
 #: Snapping grid, smallest room and largest share of the drawing that a room may cover.
 GRID, LEAST_AREA, LARGEST_SHARE = 5, 800.0, 0.45
@@ -40,22 +42,22 @@ def planar_rooms(walls: DataFrame, least_walls: int = LEAST_WALLS, least_segment
     return rooms.select("plan_id", "room", ring.alias("ring"), "area", place.alias("place"))
 
 
-def roof_outlines(rooms: DataFrame, px_per_meter: Column, overhang: float = 0.15, least_area: float = 0.01) -> DataFrame:
-    """(plan_id, footprint, area, outline): the union of each plan's rooms (plan_id, ring in whole pixels, which don't overlap) as the outer ring of its largest
-    part, in metres with y upwards, its area, and that ring moved outwards by ``overhang``.
+def roof_outlines(rooms: DataFrame, px_per_meter: Column, low: float, height: float, overhang: float = 0.15, least_area: float = 0.01, small: int | None = None) -> DataFrame:
+    """(plan_id, footprint, area, outline, outline_area, vertices, faces, low, high): the union of each plan's rooms (plan_id, ring in whole pixels, which don't overlap) as the
+    outer ring of its largest part, in metres with y upwards, its area, that ring moved outwards by ``overhang``, and the size and heights of the slab of ``height`` drawn
+    over it on top of ceilings at ``low``.
 
     Rooms of at most ``least_area`` square metres count for nothing. Metres are counted from the least x and the largest y of the plan's rooms.
-    ``px_per_meter`` is a column of ``rooms``, one value a plan.
+    ``px_per_meter`` is a column of ``rooms``, one value a plan. Plans whose rings have at most ``small`` corners are worked on many at a time, in one pass over all rooms.
     """
-    sized = rooms.withColumn("__scale", px_per_meter)
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    frame = sized.groupBy("plan_id").agg(F.min(F.array_min(x)).alias("min_x"), F.max(F.array_max(y)).alias("max_y"), F.max("__scale").alias("scale"))
-    large = sized.filter(ring_area(F.col("ring")) / (F.col("__scale") * F.col("__scale")) > least_area)
-    found = footprints(large.select(F.col("plan_id").alias("plan"), "ring")).join(frame, F.col("plan").eqNullSafe(F.col("plan_id")))
-    # y turns round, and so does the ring
-    ring = F.transform(F.reverse("ring"), lambda p: to_meters(p["x"], p["y"], F.col("min_x"), F.col("max_y"), F.col("scale")))
-    found = found.select("plan_id", ring.alias("footprint"), (F.col("area") / (F.col("scale") * F.col("scale"))).alias("area"))
-    return found.withColumn("outline", offset_ring(F.col("footprint"), overhang))
+    rows = rooms.select(F.col("plan_id").alias("plan"), "ring", px_per_meter.cast("double").alias("scale"))
+    kernel = lambda number, part: small_roofs(number, part, least_area)
+    found, large = plan_by_plan(rows, kernel, ROOFS, ROOF_TYPES, small, ring_size(), ROOMS_TOGETHER)
+    if not large.isEmpty():
+        frame = large.groupBy(F.col("plan").alias("__plan")).agg(F.min(F.array_min("ring.x")).cast("long").alias("min_x"), F.max(F.array_max("ring.y")).cast("long").alias("max_y"), F.max("scale").alias("scale"))
+        counted = large.filter(ring_area(F.col("ring")) / (F.col("scale") * F.col("scale")) > least_area)
+        found = found.unionByName(joined_footprints(counted.select("plan", "ring")).join(frame, F.col("plan").eqNullSafe(F.col("__plan"))).drop("__plan"))
+    return outlined(found.withColumnRenamed("plan", "plan_id"), overhang, low, height)
 
 
 def contour_walls(boxes: DataFrame) -> DataFrame:
