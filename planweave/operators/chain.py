@@ -22,8 +22,8 @@ KNOWN_NEAR, KNOWN_OVERLAP, DOUBLE_NEAR, DOUBLE_OVERLAP = 15, 0.3, 25, 0.4
 #: Confidences of walls from line pairs, walls from contours, and rooms.
 FROM_PAIRS, FROM_CONTOURS, OF_ROOMS = 0.85, 0.7, 0.9
 KEYS = ["plan", "horizontal"]
-#: Most lines, contours, gaps and arcs of a plan that is parsed in one task, and rows that are parsed together.
-SMALL, TOGETHER = 1024, 16_384
+#: Most lines, contours, gaps and arcs of a plan that is parsed in one task, and how many are parsed together.
+SMALL, TOGETHER = 1024, 1 << 17
 
 
 def unknown_contours(contours: DataFrame, walls: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from planweave.sources.scratch import Round
 
 #: Width of the columns in which edges below a point are looked for.
 COLUMN = 128
-#: Rings that are put together at a time.
-ROOMS_TOGETHER = 16_384
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def footprints(rings: DataFrame, small: int | None = None) -> DataFrame:
     """(plan, ring, area): the outer ring of the union of each plan's rings (plan, ring) and its area less its holes; the largest part, where the union has
     several (of equals the one with the least corner). Corners are those where the outline turns. Plans whose rings have at most ``small`` corners are put together many at
     a time, in one pass over all rings; only larger ones go through joins."""
-    made, large = plan_by_plan(rings.select("plan", "ring"), small_unions, UNIONS, UNION_TYPES, small, ring_size(), ROOMS_TOGETHER)
+    made, large = plan_by_plan(rings.select("plan", "ring"), small_unions, UNIONS, UNION_TYPES, small, ring_size())
     return made if large.isEmpty() else made.unionByName(joined_footprints(large))
 
 

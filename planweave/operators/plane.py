@@ -183,7 +183,7 @@ def drawn(e: np.ndarray, face: np.ndarray, off: np.ndarray, edges: np.ndarray) -
 
 def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, list[pa.Array]]], schema: str, types: list[pa.DataType], small: int | None = None, size: Column | None = None, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """What ``kernel`` makes of the rows (plan, ...) of plans of at most ``small`` rows (SMALL), and the rows of larger plans, left as they are.
-    A row counts as ``size``, 1 at least, where it holds lists; ``together`` rows are worked on together.
+    A row counts as ``size``, 1 at least, where it holds lists; about ``together`` rows, so counted, are worked on together.
 
     ``kernel`` gets the rows of many whole plans and each row's plan, numbered from 0; it gives the plan's number and the values of ``schema`` (``types``) for each
     row that it makes. A window counts the rows of a plan, which so follow each other in one task without another shuffle; a task
@@ -191,7 +191,8 @@ def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple
     """
     names, limit = rows.columns, SMALL if small is None else small
     fields = [f.split()[0] for f in schema.split(", ")]
-    counted = rows.withColumn("__rows", F.sum(F.lit(1) if size is None else size).over(Window.partitionBy("plan"))).sortWithinPartitions("plan")
+    counted = rows.withColumn("__size", F.lit(1) if size is None else size)
+    counted = counted.withColumn("__rows", F.sum("__size").over(Window.partitionBy("plan"))).sortWithinPartitions("plan")
     made_type = pa.struct(list(zip(fields, types, strict=True)))
 
     def result(plan: pa.Array, made: pa.Array, kept: pa.Array) -> list[pa.RecordBatch]:
@@ -206,8 +207,18 @@ def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple
         kept = pa.struct([part.schema.field(n) for n in names[1:]])
         return result(plan, pa.StructArray.from_arrays(columns, fields=list(made_type)), pa.nulls(len(of), kept))
 
+    def pieces(t: pa.Table, whole: bool) -> tuple[list[pa.Table], pa.Table]:
+        """Tables of whole plans, and what is left: the rows of the last plan, which may go on, unless all are ``whole``."""
+        code = t["plan"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        at, sizes = np.flatnonzero(starts(code)), t["__size"].to_numpy()
+        cuts = at[1:][np.diff((np.cumsum(sizes) - sizes)[at] // together) > 0]
+        end = t.num_rows if whole else at[-1]
+        cuts = [0, *cuts[cuts < end], end]
+        return [t.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a], t.slice(end)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
+        held = 0
         for batch in batches:
             t = pa.Table.from_batches([batch])
             large = t.filter(pc.greater(t["__rows"], limit)).combine_chunks()
@@ -216,16 +227,15 @@ def plan_by_plan(rows: DataFrame, kernel: Callable[[np.ndarray, pa.Table], tuple
                 yield from result(large["plan"].combine_chunks(), pa.nulls(large.num_rows, made_type), pa.StructArray.from_arrays(values, fields=[t.schema.field(n) for n in names[1:]]))
                 t = t.filter(pc.less_equal(t["__rows"], limit))
             left = t if left is None else pa.concat_tables([left, t])
-            if left.num_rows >= together + limit:
-                left = left.combine_chunks()
-                # the last plan may go on: all its rows are left for the next batch
-                end = left.num_rows
-                code = left["plan"].slice(end - limit - 1).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-                end += np.flatnonzero(starts(code))[-1] - len(code)
-                yield from worked(left.slice(0, end))
-                left = left.slice(end)
+            held += pc.sum(t["__size"]).as_py() or 0
+            if held >= together + limit:
+                done, left = pieces(left.combine_chunks(), False)
+                for part in done:
+                    yield from worked(part)
+                held = pc.sum(left["__size"]).as_py()
         if left is not None and left.num_rows:
-            yield from worked(left)
+            for part in pieces(left.combine_chunks(), True)[0]:
+                yield from worked(part)
 
     of_plan = rows.schema["plan"].dataType.simpleString()
     kept = ", ".join(f"`{n}`: {rows.schema[n].dataType.simpleString()}" for n in names[1:])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planweave.functions.geometry import ring_area
 from planweave.functions.text import rgba
-from planweave.operators.faces import ROOMS_TOGETHER, framed_faces, joined_footprints, ring_size
+from planweave.operators.faces import framed_faces, joined_footprints, ring_size
 from planweave.operators.outlines import ROOF_TYPES, ROOFS, outlined, small_roofs
 from planweave.operators.plane import plan_by_plan
 
@@ -52,7 +52,7 @@ def roof_outlines(rooms: DataFrame, px_per_meter: Column, low: float, height: fl
     """
     rows = rooms.select(F.col("plan_id").alias("plan"), "ring", px_per_meter.cast("double").alias("scale"))
     kernel = lambda number, part: small_roofs(number, part, least_area)
-    found, large = plan_by_plan(rows, kernel, ROOFS, ROOF_TYPES, small, ring_size(), ROOMS_TOGETHER)
+    found, large = plan_by_plan(rows, kernel, ROOFS, ROOF_TYPES, small, ring_size())
     if not large.isEmpty():
         frame = large.groupBy(F.col("plan").alias("__plan")).agg(F.min(F.array_min("ring.x")).cast("long").alias("min_x"), F.max(F.array_max("ring.y")).cast("long").alias("max_y"), F.max("scale").alias("scale"))
         counted = large.filter(ring_area(F.col("ring")) / (F.col("scale") * F.col("scale")) > least_area)

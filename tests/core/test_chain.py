@@ -74,3 +74,19 @@ def test_the_chain_takes_few_jobs(spark):
     assert drawing.parse_chain(spark, "/root/testdata/sf0.001").count() > 0
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 8
+
+
+def test_lists_count_in_what_a_task_holds(spark, monkeypatch):
+    # rows of long lists are not worked on by the number of rows
+    held, kernel = spark.sparkContext.accumulator(0), chain.small_plans
+    lines = "transform(sequence(0, 199), k -> struct(bigint(k) AS id, k % 2 = 0 AS horizontal, int(k * 7 % 90) AS pos, int(k) AS s, int(k + 30) AS e))"
+    empty = lambda kind: f"CAST(array() AS array<{kind}>)"
+    df = spark.range(300).selectExpr("id AS plan", f"{lines} AS lines", f"{empty(CONTOUR)} AS contours", f"{empty('struct<gap_id:bigint,cx:bigint,cy:bigint,width_px:int>')} AS gaps", f"{empty('struct<cx:bigint,cy:bigint>')} AS arcs", "900 AS width", "300 AS height", "0.5 AS white", "NULL AS square_meters").coalesce(1)
+
+    def counted(number, part):
+        held.add(number[-1] + 1 > 30)
+        return kernel(number, part)
+
+    monkeypatch.setattr(chain, "TOGETHER", 4000)
+    monkeypatch.setattr(chain, "small_plans", counted)
+    assert len({repr(r[1:]) for r in chain.parsed_parts(df).collect()}) == 1 and held.value == 0
